@@ -75,21 +75,26 @@ def _by_pollutant(pollutant: Column, per_tier) -> Column:
     return out.otherwise(per_tier(THRESHOLDS[DEFAULT_POLLUTANT]))
 
 
-def tier_index(value: Column, pollutant: Column) -> Column:
-    """1-based tier of ``value``; null for null, NaN or negative values.
-
-    0 falls in tier 1 ("Good") — the label rule, distinct from the style rule.
-    """
+def _tier_chain(value: Column, pollutant: Column, outputs: list) -> Column:
+    """outputs[i] for the first tier whose upper bound holds ``value``; null for
+    null, NaN or negative values. 0 falls in tier 1 ("Good") — the label rule,
+    distinct from the style rule."""
     def chain(uppers):
         c = None
-        for i, upper in enumerate(uppers[:-1], start=1):
-            c = F.when(value <= F.lit(upper), F.lit(i)) if c is None else c.when(value <= F.lit(upper), F.lit(i))
-        return c.otherwise(F.lit(len(uppers)))
+        for upper, out in zip(uppers[:-1], outputs):
+            cond = value <= F.lit(upper)
+            c = F.when(cond, F.lit(out)) if c is None else c.when(cond, F.lit(out))
+        return c.otherwise(F.lit(outputs[len(uppers) - 1]))
 
     valid = value.isNotNull() & ~F.isnan(value) & (value >= 0)
     return F.when(valid, _by_pollutant(pollutant, chain))
 
 
+def tier_index(value: Column, pollutant: Column) -> Column:
+    """1-based tier of ``value`` (null for null, NaN or negative values)."""
+    return _tier_chain(value, pollutant, list(range(1, len(LABELS) + 1)))
+
+
 def _pick(idx: Column, values: list) -> Column:
     c = None
     for i, v in enumerate(values, start=1):
@@ -99,7 +104,7 @@ def _pick(idx: Column, values: list) -> Column:
 
 def aqi_label(value: Column, pollutant: Column) -> Column:
     """Tier label, or null when the value is null/NaN/negative."""
-    return _pick(tier_index(value, pollutant), LABELS)
+    return _tier_chain(value, pollutant, LABELS)
 
 
 def label_colour(label: Column) -> Column:

@@ -435,7 +435,18 @@ def q_area_symbol(spark, sf):
                        L.area_symbol(F.col("area_type")).alias("symbol"))
 
 
-@register("map_payload", None)
+def _payload_sql() -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in P.PAYLOAD_COLUMNS)
+    norm = "coalesce(lower(area_type), 'unknown')"
+    bucket = "CASE " + " ".join(
+        f"WHEN {norm} IN ({', '.join(repr(m) for m in members)}) THEN '{name}'" for name, members in P.BUCKETS) + " END"
+    hv = _HOUR_VIEW_SQL.replace(f"\nSELECT {_VIEW_COLS} FROM frame", f",\nview AS (SELECT {_VIEW_COLS} FROM frame)")
+    return hv + f"""
+SELECT country, pollutant, bucket, station_id, CAST(to_json({{{fields}}}) AS VARCHAR) AS record
+FROM (SELECT *, {bucket} AS bucket FROM view) WHERE bucket IS NOT NULL"""
+
+
+@register("map_payload", _payload_sql())
 def q_map_payload(spark, sf):
     return P.map_payload(_hour_view(spark, sf))
 
@@ -494,9 +505,9 @@ def q_eaqi_style(spark, sf):
     FROM clean GROUP BY ALL) c ON d.pollutant = c.ep AND d.label = c.aqi_label"""))
 def q_eaqi_dim(spark, sf):
     clean = C.clean_readings(A.raw_readings(spark, sf))
-    counts = (clean.groupBy(eaqi.effective_pollutant(F.col("pollutant")).alias("pollutant"),
+    labelled = clean.select(eaqi.effective_pollutant(F.col("pollutant")).alias("pollutant"),
                             eaqi.aqi_label(F.col("Value"), F.col("pollutant")).alias("label"))
-              .agg(F.count(F.lit(1)).alias("n_readings")))
+    counts = labelled.groupBy("pollutant", "label").agg(F.count(F.lit(1)).alias("n_readings"))
     dim = eaqi.eaqi_dim(spark)
     # the dimension is the preserved side; counts are one row per (pollutant, tier)
     return (dim.join(counts, ["pollutant", "label"], "left")
@@ -670,7 +681,8 @@ def _series_root(spark, sf):
 
 
 def _scan_out(df: DataFrame) -> DataFrame:
-    return df.select("country", "pollutant", "series", "Samplingpoint", "Start", "Value")
+    from aeris.sources.files import with_series
+    return with_series(df).select("country", "pollutant", "series", "Samplingpoint", "Start", "Value")
 
 
 @register("scan_readings", S.with_ctes([S.RAW_READINGS], _SERIES_SQL_ALL))
@@ -712,24 +724,34 @@ def _manifest(spark, sf):
 
 def _path_parts(df: DataFrame) -> DataFrame:
     p = F.col("path")
-    return df.select(*[F.regexp_extract(p, rf"{k}=([^/]+)", 1).alias(k) for k in ("country", "pollutant", "series")])
+    return df.select(*[F.regexp_extract(p, rf"{k}=([^/]+)", 1).alias(k) for k in ("country", "pollutant")])
 
 
-_DISTINCT_SERIES = f"SELECT DISTINCT country, pollutant, {S.short_id('Samplingpoint')} AS series FROM raw_readings"
+_DISTINCT_GROUPS = "SELECT DISTINCT country, pollutant FROM raw_readings"
 
 
-@register("manifest_paths", S.with_ctes([S.RAW_READINGS], _DISTINCT_SERIES))
+@register("manifest_paths", S.with_ctes([S.RAW_READINGS], _DISTINCT_GROUPS))
 def q_manifest_paths(spark, sf):
-    return _path_parts(_manifest(spark, sf))
+    return _path_parts(_manifest(spark, sf)).distinct()
 
 
 @register("manifest_first", S.with_ctes([S.RAW_READINGS],
-          f"SELECT * FROM ({_DISTINCT_SERIES}) ORDER BY country, pollutant, series LIMIT 1"))
+          f"SELECT * FROM ({_DISTINCT_GROUPS}) ORDER BY country, pollutant LIMIT 1"))
 def q_manifest_first(spark, sf):
     from aeris.sources.files import manifest_first
     return _path_parts(manifest_first(_manifest(spark, sf)))
 
 
+@register("manifest_scan", S.with_ctes([S.RAW_READINGS], _SERIES_SQL_ALL))
+def q_manifest_scan(spark, sf):
+    """Manifest → paths → one tolerant multi-file scan (the reference's fetch loop)."""
+    from aeris.session import scratch_path
+    from aeris.sources.files import manifest_entries, read_manifest, write_manifest
+    root = _series_root(spark, sf)
+    entries = manifest_entries(spark, write_manifest(spark, root, scratch_path(spark, "manifest")))
+    return _scan_out(read_manifest(spark, entries, base_path=root))
+
+
 @register("metadata_sink", S.with_ctes(_META_BASE, f"SELECT {_CLEAN_COLS} FROM meta_clean"))
 def q_metadata_sink(spark, sf):
     from aeris.session import scratch_path

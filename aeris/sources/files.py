@@ -1,10 +1,19 @@
-"""Per-series Parquet files, manifests and tolerant scans.
+"""Readings as Parquet files, manifests and tolerant scans.
 
 The reference downloads one Parquet file per station series, found through a
-manifest (one URL per line). Here the series are files in a shared folder:
-``write_series`` lays readings out one directory per (country, pollutant,
-series), ``write_manifest`` lists them, and the scans read them back as one
-multi-file Spark scan (one task per file split instead of one thread per URL).
+manifest (one URL per line), and reads them with 20 threads. Here readings
+live in a shared folder laid out the way a Spark table should be:
+
+* directories per ``country=…/pollutant=…`` (the request predicates become
+  partition pruning);
+* rows range-partitioned by (country, pollutant, series) before writing, so
+  a group holding a third of all rows is split over several tasks and files,
+  and each file holds contiguous, sorted series (Parquet min/max statistics
+  then skip row groups for a series or time predicate);
+* no file per series — that would be the small-file problem at scale.
+
+``write_manifest`` lists the files and the scans read them back as one
+multi-file Spark scan.
 """
 
 from __future__ import annotations
@@ -23,18 +32,23 @@ SERIES_SCHEMA = T.StructType([
     T.StructField("Samplingpoint", T.StringType()),
     T.StructField("Start", T.TimestampNTZType()),
     T.StructField("Value", T.DoubleType()),
+    T.StructField("country", T.StringType()),
+    T.StructField("pollutant", T.StringType()),
 ])
-PARTITIONS = ["country", "pollutant", "series"]
-
-
-def write_series(raw: DataFrame, root: str) -> str:
-    """One directory per series: ``country=…/pollutant=…/series=SPO-…/part-*.parquet``.
-
-    Shuffled by the partition columns so each series lands in one file.
-    """
-    (raw.withColumn("series", short_id(F.col("Samplingpoint")))
-        .repartition(*PARTITIONS)
-        .write.mode("overwrite").partitionBy(*PARTITIONS).parquet(root))
+PARTITIONS = ["country", "pollutant"]
+ROWS_PER_FILE = 5_000_000
+
+
+def write_series(raw: DataFrame, root: str, num_partitions: int | None = None) -> str:
+    """Write readings under ``root`` partitioned by country and pollutant."""
+    spark = raw.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = raw.withColumn("_series", short_id(F.col("Samplingpoint")))
+    (keyed.repartitionByRange(n, *PARTITIONS, "_series")
+        .sortWithinPartitions(*PARTITIONS, "_series", "Start")
+        .drop("_series")
+        .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+        .partitionBy(*PARTITIONS).parquet(root))
     return root
 
 
@@ -43,7 +57,7 @@ def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool =
     """Multi-file scan with a declared schema; ``url`` is the file each row came from.
 
     ``tolerant`` skips files that are corrupt or vanished (the reference's
-    per-file try/except), instead of failing the job.
+    per-file try/except) instead of failing the job.
     """
     reader = spark.read.schema(SERIES_SCHEMA)
     if base_path:
@@ -55,16 +69,16 @@ def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool =
     return df.withColumn("url", F.col("_metadata.file_path"))
 
 
-def series_of_path(path_col) -> F.Column:
-    """The ``series=…`` directory of a file path."""
-    return F.regexp_extract(path_col, r"series=([^/]+)", 1)
+def with_series(scan: DataFrame) -> DataFrame:
+    """Station id of each row: the Samplingpoint's tail, else the file name's."""
+    return scan.withColumn("series", short_id(F.coalesce(F.col("Samplingpoint"), F.col("url"))))
 
 
 def write_manifest(spark: SparkSession, series_root: str, manifest_dir: str) -> str:
-    """List the series files as a manifest: header line, blank lines, padded paths.
+    """List the files as a manifest: header line, a blank line, padded paths.
 
-    The listing is a Spark job over the files' own metadata (no driver-side
-    file walk); the manifest is written sorted by path.
+    The listing is a Spark job over the files' own metadata column (no
+    driver-side file walk); the manifest is written sorted by path.
     """
     files = (spark.read.schema(SERIES_SCHEMA).parquet(series_root)
              .select(F.col("_metadata.file_path").alias("p")).distinct())
@@ -78,7 +92,7 @@ def write_manifest(spark: SparkSession, series_root: str, manifest_dir: str) ->
 def manifest_entries(spark: SparkSession, manifest: str) -> DataFrame:
     """Manifest → (pos, path): trimmed lines without blanks or the header line.
 
-    ``pos`` orders entries as in the file (file path, then position in it).
+    ``pos`` orders entries as in the manifest (file path, then position in it).
     """
     lines = spark.read.text(manifest).select(
         strip_all(F.col("value")).alias("path"),
@@ -92,6 +106,13 @@ def manifest_first(entries: DataFrame) -> DataFrame:
     return entries.agg(F.min_by("path", "pos").alias("path"))
 
 
+def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, tolerant: bool = True) -> DataFrame:
+    """Scan the files a manifest lists. The path list is the one thing collected:
+    file names only (what a Parquet scan needs to plan), never row data."""
+    paths = [r.path for r in entries.select("path").collect()]
+    return scan_readings(spark, paths, tolerant=tolerant, base_path=base_path)
+
+
 def select_partition(series: DataFrame, countries: list[str] | None = None,
                      pollutants: list[str] | None = None, start: str | None = None,
                      end: str | None = None) -> DataFrame:
@@ -110,11 +131,11 @@ def select_partition(series: DataFrame, countries: list[str] | None = None,
 
 
 def inject_corrupt_series(spark: SparkSession, root: str) -> str:
-    """Add a series directory whose file is not Parquet (a failed download).
+    """Add a partition directory whose file is not Parquet (a failed download).
 
     Written with Spark's own writer, so it works on any shared file system.
     """
-    bad = f"{root.rstrip('/')}/country=_broken/pollutant=PM10/series=_broken"
+    bad = f"{root.rstrip('/')}/country=_broken/pollutant=PM10"
     spark.createDataFrame([("PAR1 not a parquet file",)], "value string").coalesce(1) \
         .write.mode("overwrite").text(bad)
     return bad
