@@ -29,6 +29,14 @@ def decile_edges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def decile_of(value: Column, edges: Column) -> Column:
-    """Bin index of ``value`` given sorted distinct ``edges``; null with < 2 edges."""
-    below = F.size(F.filter(edges, lambda e: e < value))
+    """Bin index of ``value`` given sorted distinct ``edges``; null with < 2 edges.
+
+    The count of edges below the value is unrolled over the (at most 11) edge
+    positions, so it stays in generated code (a lambda would be interpreted
+    per row).
+    """
+    below = None
+    for i in range(1, len(_PROBS) + 1):
+        term = F.when(F.try_element_at(edges, F.lit(i)) < value, F.lit(1)).otherwise(F.lit(0))
+        below = term if below is None else below + term
     return F.when(F.size(edges) >= 2, F.greatest(F.lit(0), below - F.lit(1)))

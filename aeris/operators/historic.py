@@ -44,27 +44,38 @@ def master_stations(hist: DataFrame, start: str, end: str) -> DataFrame:
 def dedup_latlon(hist: DataFrame) -> DataFrame:
     """One value per (pollutant, day, lat, lon): the first by (Date, Value, nulls last).
 
-    ``min_by`` is a hash aggregate with a map-side partial step, so a hot
-    station-day never gathers all its rows in one task.
+    Two hash aggregates, both with a map-side partial step (a hot station-day
+    never gathers its rows in one task): the smallest non-null value per exact
+    time, then the value of the earliest time. Ordering on a plain timestamp
+    keeps the second step a HashAggregate (a struct ordering would force a
+    sort-based aggregate).
     """
-    order = F.struct(F.col("Date"), F.col("Value").isNull(), F.col("Value"))
-    return (with_coords(hist)
-            .groupBy("pollutant", F.to_date("Date").alias("Date"),
-                     F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"))
-            .agg(F.min_by(F.col("Value"), order).alias("Value")))
+    keys = ["pollutant", F.to_date("Date").alias("Date"), F.col("Latitude").alias("lat"),
+            F.col("Longitude").alias("lon")]
+    per_time = (with_coords(hist)
+                .groupBy(*keys, F.col("Date").alias("_t"))
+                .agg(F.min("Value").alias("Value")))
+    return (per_time.groupBy("pollutant", "Date", "lat", "lon")
+            .agg(F.min_by("Value", "_t").alias("Value")))
 
 
-def style_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
+def style_frames(frames: DataFrame, keys: list[str], edge_values: DataFrame | None = None) -> DataFrame:
     """Map styling per frame (``keys`` identify a frame, e.g. pollutant + Date).
 
     Value: null → 0, clipped to [0, 240]; 0 counts as missing. Size: 0 when
     missing, else 3000 + 2000 × decile of the frame's non-missing values.
-    Decile edges are one small row per frame; AQE broadcasts them at run time.
+    ``edge_values`` may supply those values directly (same rows as the frame's
+    non-missing ones) so edges need not be derived from the dense frame.
+
+    The edge table has one row per frame (pollutant × day of the requested
+    range: bounded by the calendar, not by data volume) and is broadcast, so
+    the dense frame itself is never shuffled for it.
     """
     clipped = frames.withColumn("Value", clip_value(F.col("Value")))
     missing = F.col("Value") == 0
-    edges = decile_edges(clipped.where(~missing), keys, "Value")
-    out = clipped.join(edges, keys, "left")
+    src = clipped if edge_values is None else edge_values.withColumn("Value", clip_value(F.col("Value")))
+    edges = decile_edges(src.where(F.col("Value") != 0), keys, "Value")
+    out = clipped.join(F.broadcast(edges), keys, "left")
     decile = decile_of(F.col("Value"), F.col("edges"))
     return (out.withColumns({"decile": F.when(~missing, decile)})
                .withColumn("size", F.when(missing, F.lit(0))
@@ -93,8 +104,10 @@ def map_frames_all(hist: DataFrame, start: str, end: str) -> DataFrame:
     master = master_stations(hist, start, end)
     grid = master.select("pollutant", "lat", "lon", F.explode(F.sequence(
         F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("Date"))
-    frame = grid.join(dedup_latlon(in_range), ["pollutant", "Date", "lat", "lon"], "left")
-    return style_frames(frame, ["pollutant", "Date"])
+    days = dedup_latlon(in_range)
+    frame = grid.join(days, ["pollutant", "Date", "lat", "lon"], "left")
+    # every deduplicated row of the range has its (lat, lon) in master: edges from them directly
+    return style_frames(frame, ["pollutant", "Date"], edge_values=days)
 
 
 def time_bounds(hist: DataFrame) -> DataFrame:
