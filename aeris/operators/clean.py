@@ -29,20 +29,25 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     return parsed.where(F.col("Start").isNotNull() & valid_value(F.col("Value")))
 
 
-def as_of_time(parsed: DataFrame) -> Column:
-    """Default "now" for the live window: the latest reading time (scalar subquery)."""
-    return parsed.select(F.max("Start")).scalar()
+def as_of_time(parsed: DataFrame):
+    """Default "now" for the live window: the latest reading time, evaluated once
+    (one scalar) so the window predicate becomes a literal pushed into the scan."""
+    return parsed.agg(F.max("Start")).first()[0]
 
 
 def last_days(clean: DataFrame, as_of: Column | str | _dt.datetime | None = None,
               days: int = LIVE_WINDOW_DAYS, reference: DataFrame | None = None) -> DataFrame:
     """Rows with ``Start >= as_of − days``. ``as_of`` defaults to the latest time seen
-    in ``reference`` (or ``clean``), evaluated once as a scalar subquery."""
+    in ``reference`` (or ``clean``)."""
     if as_of is None:
         as_of = as_of_time(reference if reference is not None else clean)
-    elif not isinstance(as_of, Column):
-        as_of = F.lit(as_of).cast("timestamp_ntz")
-    return clean.where(F.col("Start") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    if isinstance(as_of, Column):
+        cutoff = as_of - F.make_dt_interval(days=F.lit(days))
+    else:
+        if isinstance(as_of, str):
+            as_of = _dt.datetime.fromisoformat(as_of)
+        cutoff = F.lit(as_of - _dt.timedelta(days=days)).cast("timestamp_ntz")
+    return clean.where(F.col("Start") >= cutoff)
 
 
 def between_days(df: DataFrame, start: str, end: str, col: str = "Date") -> DataFrame:

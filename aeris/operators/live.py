@@ -39,14 +39,21 @@ def recent_readings(raw: DataFrame, as_of: Column | str | _dt.datetime | None =
 
 def station_files(recent: DataFrame) -> DataFrame:
     """One row per source file: its station id (first Samplingpoint, else the url
-    tail) and its mean value over the window."""
+    tail) and its mean value over the window.
+
+    Two steps so the heavy one is a hash aggregate: sums, counts and first time
+    per (file, Samplingpoint) over all readings; then, over that tiny result, the
+    file's mean and its earliest Samplingpoint (a string-valued ``min_by`` would
+    force a sort-based aggregate over every reading).
+    """
     has_sp = "Samplingpoint" in recent.columns
-    agg = [F.avg("Value").alias("Value")]
-    if has_sp:
-        agg.append(F.min_by("Samplingpoint", "Start").alias("_sp"))
-    per_file = recent.groupBy(*GROUP, "url").agg(*agg)
-    raw_id = F.coalesce(F.col("_sp"), F.col("url")) if has_sp else F.col("url")
-    return per_file.withColumn("station_id", short_id(raw_id)).drop(*(["_sp"] if has_sp else []))
+    sp = F.col("Samplingpoint") if has_sp else F.lit(None).cast("string")
+    per_sp = recent.groupBy(*GROUP, "url", sp.alias("_sp")).agg(
+        F.sum("Value").alias("_sum"), F.count("Value").alias("_n"), F.min("Start").alias("_t"))
+    per_file = per_sp.groupBy(*GROUP, "url").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("Value"),
+        F.min_by("_sp", F.struct(F.col("_t"), F.col("_sp").isNull(), F.col("_sp"))).alias("_sp"))
+    return per_file.withColumn("station_id", short_id(F.coalesce(F.col("_sp"), F.col("url")))).drop("_sp")
 
 
 def station_meta(recent: DataFrame, coords: DataFrame) -> DataFrame:
@@ -93,8 +100,9 @@ def hour_view(meta: DataFrame, hourly: DataFrame, hour: str | _dt.datetime | Non
     falling back to the window mean; styled for the map."""
     h = hourly.select(*GROUP, "station_id", "hour", F.col("Value").alias("_v"))
     if hour is None:
+        # one row per (country, pollutant): bounded by the request domain → broadcast
         last = hourly.groupBy(*GROUP).agg(F.max("hour").alias("hour"))
-        h = h.join(last, [*GROUP, "hour"], "left_semi")
+        h = h.join(F.broadcast(last), [*GROUP, "hour"], "left_semi")
     else:
         h = h.where(F.col("hour") == F.lit(hour).cast("timestamp_ntz"))
     frame = (meta.join(h.drop("hour"), [*GROUP, "station_id"], "left")
@@ -122,7 +130,8 @@ def hour_frames_all(meta: DataFrame, named: DataFrame, hourly: DataFrame) -> Dat
     (semi join on a set bounded by groups × 169, hence broadcast), then
     left-joined to the hourly means on a key unique on both sides.
     """
-    grid = (meta.join(hour_bounds(named), GROUP, "inner")
+    # hour_bounds has one row per (country, pollutant) → broadcast
+    grid = (meta.join(F.broadcast(hour_bounds(named)), GROUP, "inner")
             .withColumn("hour", F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))))
             .drop("first_hour", "last_hour"))
     grid = grid.join(F.broadcast(observed_hours(named)), [*GROUP, "hour"], "left_semi")

@@ -65,7 +65,7 @@ def _coords(spark, sf):
 
 def _live(spark, sf):
     raw = A.raw_readings(spark, sf)
-    recent = L.recent_readings(raw)
+    recent = L.recent_readings(raw, as_of=A.readings_clock(spark, sf))
     meta = L.station_meta(recent, _coords(spark, sf))
     named = L.readings_named(recent, meta)
     return raw, recent, meta, named
@@ -312,7 +312,7 @@ def q_clean_readings(spark, sf):
 
 @register("filter_last_7d", S.with_ctes([S.RAW_READINGS, S.CLEAN, S.RECENT], "SELECT * FROM recent"))
 def q_filter_last_7d(spark, sf):
-    return L.recent_readings(A.raw_readings(spark, sf))
+    return L.recent_readings(A.raw_readings(spark, sf), as_of=A.readings_clock(spark, sf))
 
 
 @register("filter_year", S.with_ctes([S.RAW_READINGS], """SELECT * FROM raw_readings

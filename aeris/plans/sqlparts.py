@@ -114,7 +114,7 @@ RAW_READINGS = """raw_readings AS (
 CLEAN = """clean AS (SELECT * FROM raw_readings WHERE Start IS NOT NULL AND """ + valid("Value") + ")"
 
 RECENT = """recent AS (SELECT * FROM clean
-  WHERE Start >= (SELECT max(Start) FROM raw_readings) - INTERVAL 7 DAY)"""
+  WHERE Start >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY)"""
 
 HISTORIC = """historic AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'PM2.5' ELSE 'PM10' END AS pollutant,
