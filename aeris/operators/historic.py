@@ -27,9 +27,15 @@ def route_pollutant(hist: DataFrame, pollutant: str) -> DataFrame:
     return hist.where(F.col("pollutant") == pollutant)
 
 
-def daily_average(hist: DataFrame, start: str, end: str) -> DataFrame:
-    """Mean of non-null values per pollutant and calendar day in [start, end]."""
-    return (between_days(hist.where(F.col("Value").isNotNull()), start, end)
+def daily_average(hist: DataFrame, start: str, end: str, drop_negative: bool = False) -> DataFrame:
+    """Mean of non-null values per pollutant and calendar day in [start, end].
+
+    Like the reference, negative values count unless ``drop_negative``.
+    """
+    keep = F.col("Value").isNotNull()
+    if drop_negative:
+        keep &= F.col("Value") >= 0
+    return (between_days(hist.where(keep), start, end)
             .groupBy("pollutant", F.to_date("Date").alias("Date"))
             .agg(F.avg("Value").alias("AvgValue")))
 
@@ -84,8 +90,17 @@ def style_frames(frames: DataFrame, keys: list[str], edge_values: DataFrame | No
                .drop("edges"))
 
 
-def map_frame(hist: DataFrame, day: str, start: str, end: str) -> DataFrame:
-    """One day's map: every master station of [start, end], the day's first value or missing."""
+def map_frame(hist: DataFrame, day: str, start: str, end: str, densify: bool = True) -> DataFrame:
+    """One day's map: every master station of [start, end], the day's first value or missing.
+
+    ``densify=False`` is the reference's path without a station list: the day's
+    rows as they are (not de-duplicated, no missing stations added).
+    """
+    if not densify:
+        rows = with_coords(on_day(hist, day)).select(
+            "pollutant", F.to_date("Date").alias("Date"), F.col("Latitude").alias("lat"),
+            F.col("Longitude").alias("lon"), "Value")
+        return style_frames(rows, ["pollutant", "Date"])
     master = master_stations(hist, start, end)
     day_rows = dedup_latlon(on_day(hist, day)).drop("Date")
     frame = master.join(day_rows, ["pollutant", "lat", "lon"], "left") \
@@ -93,20 +108,28 @@ def map_frame(hist: DataFrame, day: str, start: str, end: str) -> DataFrame:
     return style_frames(frame, ["pollutant", "Date"])
 
 
-def map_frames_all(hist: DataFrame, start: str, end: str) -> DataFrame:
+def map_frames_all(hist: DataFrame, start: str, end: str, materialize: bool = True) -> DataFrame:
     """All days of [start, end] × master stations in one job (the reference loops per day).
 
-    The dense grid is generated per station with ``explode(sequence(...))`` —
-    no cross join — then left-joined to the deduplicated day values on
-    (pollutant, day, lat, lon), a key unique on both sides.
+    Everything derives from one de-duplicated day table (one row per pollutant,
+    day and station — far smaller than the raw table): the master stations are
+    its distinct coordinates (the same set as a distinct over the raw range),
+    the dense grid is generated per station with ``explode(sequence(...))`` —
+    no cross join — and left-joined back on a key unique on both sides, and
+    the decile edges come from it too. The day table is written once to the
+    shared checkpoint folder (``materialize``), so the historic table is
+    scanned once instead of three times and the lineage is cut there.
     """
-    in_range = between_days(hist, start, end)
-    master = master_stations(hist, start, end)
+    days = dedup_latlon(between_days(hist, start, end))
+    if materialize:
+        from aeris.session import materialize as write_once
+        days = write_once(days, "day-values")
+        master = days.select("pollutant", "lat", "lon").distinct()
+    else:
+        master = master_stations(hist, start, end)
     grid = master.select("pollutant", "lat", "lon", F.explode(F.sequence(
         F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("Date"))
-    days = dedup_latlon(in_range)
     frame = grid.join(days, ["pollutant", "Date", "lat", "lon"], "left")
-    # every deduplicated row of the range has its (lat, lon) in master: edges from them directly
     return style_frames(frame, ["pollutant", "Date"], edge_values=days)
 
 

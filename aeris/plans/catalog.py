@@ -125,6 +125,15 @@ def q_daily_point(spark, sf):
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
 
 
+@register("daily_average_nonneg", S.with_ctes([S.HISTORIC], f"""SELECT pollutant, CAST("Date" AS DATE) AS "Date",
+  round(avg("Value"), 6) AS AvgValue FROM historic
+  WHERE "Value" IS NOT NULL AND "Value" >= 0 AND CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'
+  GROUP BY pollutant, CAST("Date" AS DATE)"""))
+def q_daily_average_nonneg(spark, sf):
+    d = H.daily_average(_hist(spark, sf), HIST_START, HIST_END, drop_negative=True)
+    return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
+
+
 @register("peak_days", S.with_ctes([S.HISTORIC, _DAILY_SQL], f"""SELECT pollutant, "Date", round(AvgValue, 6) AS AvgValue, rank
   FROM (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS rank FROM daily)
   WHERE rank <= {PEAK_K}"""))
@@ -238,6 +247,15 @@ def q_map_frame(spark, sf):
     return _frame_out(H.map_frame(_hist(spark, sf), DAY, HIST_START, HIST_END))
 
 
+@register("map_frame_sparse", S.with_ctes([S.HISTORIC], f"""frame AS (
+  SELECT pollutant, CAST("Date" AS DATE) AS "Date", "Latitude" AS lat, "Longitude" AS lon, "Value" FROM historic
+  WHERE CAST("Date" AS DATE) = DATE '{DAY}' AND "Latitude" IS NOT NULL AND NOT isnan("Latitude")
+    AND "Longitude" IS NOT NULL AND NOT isnan("Longitude")),
+""" + _styled_sql("frame")))
+def q_map_frame_sparse(spark, sf):
+    return _frame_out(H.map_frame(_hist(spark, sf), DAY, HIST_START, HIST_END, densify=False))
+
+
 @register("map_frames_all", S.with_ctes(
     [S.HISTORIC, _MASTER_SQL,
      _dedup_sql(f"""CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'""")],
@@ -451,6 +469,13 @@ def q_map_payload(spark, sf):
     return P.map_payload(_hour_view(spark, sf))
 
 
+@register("empty_schema", S.with_ctes(_LIVE, f"SELECT {_META_COLS} FROM meta WHERE pollutant = 'CO'"))
+def q_empty_schema(spark, sf):
+    """A request that finds nothing (no CO series) still yields the station table's typed schema."""
+    _, _, meta, _ = _live(spark, sf)
+    return meta.where(F.col("pollutant") == "CO").withColumn("Value", r6("Value"))
+
+
 @register("coords_status", S.with_ctes(_LIVE, """SELECT country, pollutant, count(*) AS n_stations,
   count(lat) AS n_with_coords, count(lat) = 0 AS unresolved FROM meta GROUP BY country, pollutant"""))
 def q_coords_status(spark, sf):

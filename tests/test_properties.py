@@ -54,3 +54,10 @@ def test_tier_monotone(spark, values, pollutant):
     rows = df.select("v", eaqi.tier_index(F.col("v"), F.lit(pollutant)).alias("t")).collect()
     pairs = sorted((r.v, r.t) for r in rows)
     assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
+
+
+def test_map_frames_materialized_equals_recomputed(spark, sf_small):
+    hist = A.historic(spark, sf_small)
+    a = H.map_frames_all(hist, "1996-01-01", "1996-02-15", materialize=True)
+    b = H.map_frames_all(hist, "1996-01-01", "1996-02-15", materialize=False)
+    assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
