@@ -41,15 +41,47 @@ def parse_time(df: DataFrame, col: str = "Start") -> DataFrame:
         parsed = from_epoch_nanos(F.col(col))
     elif isinstance(dtype, T.TimestampNTZType):
         parsed = F.col(col)
-    elif isinstance(dtype, (T.TimestampType, T.DateType)):
-        # zoned instants: keep the UTC wall clock
-        parsed = F.to_utc_timestamp(F.col(col), "UTC").cast("timestamp_ntz") \
-            if isinstance(dtype, T.TimestampType) else F.col(col).cast("timestamp_ntz")
+    elif isinstance(dtype, T.TimestampType):
+        parsed = instant_to_ntz(F.col(col))          # zoned instant: its UTC wall clock
+    elif isinstance(dtype, T.DateType):
+        parsed = F.col(col).cast("timestamp_ntz")
     else:
         parsed = _try_cast_ntz(F.col(col).cast("string"))
     return df.withColumn(col, parsed)
 
 
+def _epoch() -> Column:
+    return F.lit(_EPOCH).cast("timestamp_ntz")
+
+
 def floor_hour(c: Column) -> Column:
-    """Hour bucket of a wall-clock time, kept as TIMESTAMP_NTZ."""
-    return F.date_trunc("hour", c).cast("timestamp_ntz")
+    """Hour bucket of a wall-clock time, kept as TIMESTAMP_NTZ.
+
+    Pure wall-clock arithmetic (whole hours since the epoch), so the result does
+    not depend on the session time zone or its daylight-saving gaps, as a
+    ``date_trunc`` round trip through TIMESTAMP would.
+    """
+    hours = F.timestamp_diff("HOUR", _epoch(), c)
+    up = F.timestamp_add("HOUR", hours, _epoch())
+    return F.when(up > c, F.timestamp_add("HOUR", hours - F.lit(1), _epoch())).otherwise(up)
+
+
+def ntz_lit(value) -> Column:
+    """A wall-clock literal (datetime or text) as TIMESTAMP_NTZ, independent of any zone.
+
+    A Python ``datetime`` literal would be read in the Python process's local
+    zone; its ISO text cast to TIMESTAMP_NTZ is not.
+    """
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def ntz_to_instant(c: Column) -> Column:
+    """Wall clock → TIMESTAMP instant read as UTC, whatever the session zone
+    (watermarks and stream windows need TIMESTAMP)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), c))
+
+
+def instant_to_ntz(c: Column) -> Column:
+    """Inverse of ``ntz_to_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch())

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeris.functions.timefmt import parse_time
+from aeris.functions.timefmt import ntz_lit, parse_time
 
 LIVE_WINDOW_DAYS = 7
 
@@ -46,7 +46,7 @@ def last_days(clean: DataFrame, as_of: Column | str | _dt.datetime | None = None
     else:
         if isinstance(as_of, str):
             as_of = _dt.datetime.fromisoformat(as_of)
-        cutoff = F.lit(as_of - _dt.timedelta(days=days)).cast("timestamp_ntz")
+        cutoff = ntz_lit(as_of - _dt.timedelta(days=days))
     return clean.where(F.col("Start") >= cutoff)
 
 

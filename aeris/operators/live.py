@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from aeris.functions.eaqi import with_aqi_style
 from aeris.functions.keys import normalize_key, short_id
 from aeris.functions.text import fixed_decimals
-from aeris.functions.timefmt import floor_hour
+from aeris.functions.timefmt import floor_hour, ntz_lit
 from aeris.operators.clean import clean_readings, last_days, parse_readings
 
 GROUP = ["country", "pollutant"]
@@ -104,7 +104,7 @@ def hour_view(meta: DataFrame, hourly: DataFrame, hour: str | _dt.datetime | Non
         last = hourly.groupBy(*GROUP).agg(F.max("hour").alias("hour"))
         h = h.join(F.broadcast(last), [*GROUP, "hour"], "left_semi")
     else:
-        h = h.where(F.col("hour") == F.lit(hour).cast("timestamp_ntz"))
+        h = h.where(F.col("hour") == ntz_lit(hour))
     frame = (meta.join(h.drop("hour"), [*GROUP, "station_id"], "left")
              .withColumn("is_fallback", F.col("_v").isNull())
              .withColumn("Value", F.coalesce("_v", "Value")).drop("_v"))

@@ -822,12 +822,12 @@ def _arrivals(spark, sf, parts: int = 4) -> tuple[str, object]:
     raw = A.raw_readings(spark, sf)
     lo, hi = raw.agg(F.min("Start"), F.max("Start")).first()
     src = scratch_path(spark, "arrivals")
+    from aeris.functions.timefmt import ntz_lit
     step = (hi - lo) / parts
     for i in range(parts):
-        a = lo + step * i
-        cond = F.col("Start") >= F.lit(a)
+        cond = F.col("Start") >= ntz_lit(lo + step * i)
         if i < parts - 1:
-            cond &= F.col("Start") < F.lit(lo + step * (i + 1))
+            cond &= F.col("Start") < ntz_lit(lo + step * (i + 1))
         raw.where(cond).write.mode("append").parquet(src)
     return src, raw.schema
 

@@ -12,8 +12,8 @@ streams the arriving files:
 * ``stream_classify`` — stateless clean + tier + stream-static join to the
   station coordinates, appended to Parquet.
 
-Watermarks need TIMESTAMP (not NTZ): wall-clock times are read as UTC
-instants (session zone UTC) and cast back on output.
+Watermarks need TIMESTAMP (not NTZ): wall-clock times are mapped to instants
+as if they were UTC (independent of the session zone) and mapped back on output.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from aeris.functions.eaqi import aqi_label
 from aeris.functions.keys import normalize_key, short_id
+from aeris.functions.timefmt import instant_to_ntz, ntz_to_instant
 from aeris.operators.clean import valid_value
 
 KEY = ["country", "pollutant", "station_id", "hour"]
@@ -40,7 +41,7 @@ def clean_stream(stream: DataFrame) -> DataFrame:
 
 
 def hourly_mean_stream(stream: DataFrame) -> DataFrame:
-    ts = F.col("Start").cast("timestamp")
+    ts = ntz_to_instant(F.col("Start"))
     return (clean_stream(stream).withColumn("_ts", ts)
             .withWatermark("_ts", WATERMARK)
             .groupBy("country", "pollutant", "station_id", F.window("_ts", "1 hour").alias("w"))
@@ -52,7 +53,7 @@ def run_hourly_mean(spark: SparkSession, source_dir: str, schema, sink_dir: str,
     """Run the stream over everything available now, then stop."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
         (batch.select("country", "pollutant", "station_id",
-                      F.col("w.start").cast("timestamp_ntz").alias("hour"), "sum_value", "n")
+                      instant_to_ntz(F.col("w.start")).alias("hour"), "sum_value", "n")
               .withColumn("batch_id", F.lit(batch_id))
               .write.mode("append").parquet(sink_dir))
 

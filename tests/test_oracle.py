@@ -52,3 +52,20 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
     assert "aqi_label" in df.columns
+
+
+ZONE_SENSITIVE = ["parse_time", "filter_last_7d", "hourly_mean", "hour_view", "hour_frames_all",
+                  "frame_index", "format_time", "station_summary", "map_frames_all", "stream_hourly_mean"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_results_do_not_depend_on_session_zone(spark, duck, sf_small, name):
+    """Wall-clock semantics: a session in a daylight-saving zone gives the same rows."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = QUERIES[name](spark, sf_small)
+        rows, cols = df.collect(), df.columns
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    res = duck.execute(ORACLE[name])
+    assert _canon(cols, rows) == _canon([d[0] for d in res.description], res.fetchall())

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from aeris.functions.keys import short_id
-from aeris.functions.timefmt import floor_hour
+from aeris.functions.timefmt import floor_hour, ntz_lit
 from aeris.operators.clean import clean_readings
 from aeris.session import scratch_path
 from aeris.sources import adapters as A
@@ -15,9 +15,9 @@ def test_hourly_stream_resumes_and_equals_batch(spark, sf_small):
     src = scratch_path(spark, "arrivals")
     sink, ckpt = scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
     mid = raw.agg(F.min("Start") + (F.max("Start") - F.min("Start")) / 2).first()[0]
-    raw.where(F.col("Start") < F.lit(mid)).write.parquet(src)
+    raw.where(F.col("Start") < ntz_lit(mid)).write.parquet(src)
     ST.run_hourly_mean(spark, src, raw.schema, sink, ckpt)          # first arrival
-    raw.where(F.col("Start") >= F.lit(mid)).write.mode("append").parquet(src)
+    raw.where(F.col("Start") >= ntz_lit(mid)).write.mode("append").parquet(src)
     ST.run_hourly_mean(spark, src, raw.schema, sink, ckpt)          # restart: resumes from checkpoint
     got = ST.latest_per_key(spark, sink)
     batch = (clean_readings(raw).groupBy("country", "pollutant",
