@@ -135,7 +135,7 @@ def q_daily_average_nonneg(spark, sf):
 
 
 @register("peak_days", S.with_ctes([S.HISTORIC, _DAILY_SQL], f"""SELECT pollutant, "Date", round(AvgValue, 6) AS AvgValue, rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS rank FROM daily)
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS INTEGER) AS rank FROM daily)
   WHERE rank <= {PEAK_K}"""))
 def q_peak_days(spark, sf):
     d = P.peak_days(H.daily_average(_hist(spark, sf), HIST_START, HIST_END), PEAK_K)
@@ -145,7 +145,7 @@ def q_peak_days(spark, sf):
 @register("peak_prompts", S.with_ctes([S.HISTORIC, _DAILY_SQL], f"""SELECT pollutant, "Date", rank,
   'Explain briefly in only 1-2 sentences what event could cause there to be an air quality (' || pollutant
   || ') peak on ' || strftime("Date", '%Y-%m-%d') || ' in Europe. Keep your response short and concise.' AS prompt
-  FROM (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS rank FROM daily)
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS INTEGER) AS rank FROM daily)
   WHERE rank <= {PEAK_K}"""))
 def q_peak_prompts(spark, sf):
     return P.peak_prompts(P.peak_days(H.daily_average(_hist(spark, sf), HIST_START, HIST_END), PEAK_K))
@@ -209,10 +209,10 @@ edges AS (
   FROM sorted_vals),
 binned AS (
   SELECT f.*, CASE WHEN NOT f.missing AND len(x.e) >= 2
-                   THEN greatest(0, len(list_filter(x.e, lambda q: q < f."Value")) - 1) END AS decile
+                   THEN CAST(greatest(0, len(list_filter(x.e, lambda q: q < f."Value")) - 1) AS INTEGER) END AS decile
   FROM flagged f LEFT JOIN edges x ON f.pollutant = x.pollutant AND f."Date" = x."Date")
 SELECT pollutant, "Date", lat, lon, "Value", decile,
-       CASE WHEN missing THEN 0 ELSE 3000 + decile * 2000 END AS size,
+       CAST(CASE WHEN missing THEN 0 ELSE 3000 + decile * 2000 END AS INTEGER) AS size,
        {", ".join(_ramp_sql('"Value"'))}
 FROM binned"""
 
@@ -419,7 +419,7 @@ def q_all_hours(spark, sf):
 
 
 @register("frame_index", S.with_ctes(_LIVE + [_HOURS_SQL], """SELECT country, pollutant, hour,
-  row_number() OVER (PARTITION BY country, pollutant ORDER BY hour) AS frame,
+  CAST(row_number() OVER (PARTITION BY country, pollutant ORDER BY hour) AS INTEGER) AS frame,
   count(*) OVER (PARTITION BY country, pollutant) AS n_frames,
   lead(hour) OVER (PARTITION BY country, pollutant ORDER BY hour) AS next_hour FROM hours"""))
 def q_frame_index(spark, sf):

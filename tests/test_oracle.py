@@ -20,6 +20,10 @@ def _norm(v):
     return v
 
 
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
@@ -45,6 +49,8 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(cols) == sorted(dcols)
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    assert {c: _TYPES.get(t, t) for c, t in df.dtypes} == duck_types
     assert _canon(cols, rows) == _canon(dcols, drows)
 
 
