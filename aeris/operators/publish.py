@@ -42,6 +42,13 @@ def map_payload(view: DataFrame) -> DataFrame:
                     F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("record")))
 
 
+def write_map_payload(payload: DataFrame, path: str) -> str:
+    """JSON-lines sink: one directory per (country, pollutant, bucket), one record per line."""
+    (payload.select("record", *GROUP, "bucket")
+        .write.mode("overwrite").partitionBy(*GROUP, "bucket").text(path))
+    return path
+
+
 def legend(pollutants: DataFrame, dim: DataFrame) -> DataFrame:
     """Legend rows per pollutant seen in the data: label, colour and range text
     ``lo–hi`` (``lo+`` for the open tier). Unknown pollutants use PM10's table."""
