@@ -62,16 +62,17 @@ def station_summary(series: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_readings"))
     out = ext.join(dominant, STATION)
     pol = F.col("pollutant")
+    # labels first (one tier chain each), then colours and text from those columns
+    labels = {f"{tag}_label": F.coalesce(aqi_label(F.col(f"{s}.Value"), pol), F.lit(NO_LABEL_TEXT))
+              for tag, s in (("worst", "w"), ("best", "b"))}
     cols = {"colour": label_colour(F.col("dominant"))}
     for tag, s in (("worst", "w"), ("best", "b")):
-        lab = F.coalesce(aqi_label(F.col(f"{s}.Value"), pol), F.lit(NO_LABEL_TEXT))
         cols[f"{tag}_start"] = F.col(f"{s}.Start")
         cols[f"{tag}_value"] = F.col(f"{s}.Value")
-        cols[f"{tag}_label"] = lab
-        cols[f"{tag}_colour"] = label_colour(lab)
+        cols[f"{tag}_colour"] = label_colour(F.col(f"{tag}_label"))
         cols[f"{tag}_time_text"] = F.date_format(F.col(f"{s}.Start"), FMT_CARD)
         cols[f"{tag}_value_text"] = fixed_decimals(F.col(f"{s}.Value"), 1)
-    return out.withColumns(cols).drop("w", "b")
+    return out.withColumns(labels).withColumns(cols).drop("w", "b")
 
 
 def chart_bands(named: DataFrame, dim: DataFrame) -> DataFrame:
