@@ -50,17 +50,23 @@ def station_summary(series: DataFrame) -> DataFrame:
     """Per station: dominant label and colour, worst and best reading with labels and text.
 
     Dominant = most rows, ties → lower tier. Worst/best = highest/lowest value,
-    ties → earliest time. All are ``min_by`` aggregates (partial aggregation,
-    no sort of a station's rows).
+    ties → earliest time. One pass over the readings: a first aggregate per
+    (station, label) keeps the row count and that label's worst and best
+    reading; the second, over at most seven rows per station, picks the
+    dominant label and the extremes of those extremes (the arg-max of a union
+    is the arg-max of its parts). Both are ``min_by`` aggregates with a
+    partial step, so no station's rows are ever gathered or sorted in one task.
     """
-    counts = series.groupBy(*STATION, "aqi_label").agg(F.count(F.lit(1)).alias("hours"))
-    dominant = counts.groupBy(*STATION).agg(
-        F.min_by("aqi_label", F.struct(-F.col("hours"), label_order(F.col("aqi_label")))).alias("dominant"))
-    ext = series.groupBy(*STATION).agg(
-        F.min_by(F.struct("Start", "Value"), F.struct(-F.col("Value"), F.col("Start"))).alias("w"),
-        F.min_by(F.struct("Start", "Value"), F.struct(F.col("Value"), F.col("Start"))).alias("b"),
-        F.count(F.lit(1)).alias("n_readings"))
-    out = ext.join(dominant, STATION)
+    reading = F.struct("Start", "Value")
+    per_label = series.groupBy(*STATION, "aqi_label").agg(
+        F.count(F.lit(1)).alias("hours"),
+        F.min_by(reading, F.struct(-F.col("Value"), F.col("Start"))).alias("w"),
+        F.min_by(reading, F.struct(F.col("Value"), F.col("Start"))).alias("b"))
+    out = per_label.groupBy(*STATION).agg(
+        F.min_by("aqi_label", F.struct(-F.col("hours"), label_order(F.col("aqi_label")))).alias("dominant"),
+        F.min_by("w", F.struct(-F.col("w.Value"), F.col("w.Start"))).alias("w"),
+        F.min_by("b", F.struct(F.col("b.Value"), F.col("b.Start"))).alias("b"),
+        F.sum("hours").alias("n_readings"))
     pol = F.col("pollutant")
     # labels first (one tier chain each), then colours and text from those columns
     labels = {f"{tag}_label": F.coalesce(aqi_label(F.col(f"{s}.Value"), pol), F.lit(NO_LABEL_TEXT))

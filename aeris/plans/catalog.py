@@ -63,10 +63,16 @@ def _coords(spark, sf):
     return M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf)))
 
 
-def _live(spark, sf):
+def _live(spark, sf, reuse_meta: bool = False):
+    """Live tables. ``reuse_meta`` writes the station table (one row per series file)
+    once to the shared folder, for queries that use it twice — otherwise each use,
+    pruned to different columns, would aggregate the 7-day window again."""
     raw = A.raw_readings(spark, sf)
     recent = L.recent_readings(raw, as_of=A.readings_clock(spark, sf))
     meta = L.station_meta(recent, _coords(spark, sf))
+    if reuse_meta:
+        from aeris.session import materialize
+        meta = materialize(meta, "station-table")
     named = L.readings_named(recent, meta)
     return raw, recent, meta, named
 
@@ -401,7 +407,7 @@ _HOUR_VIEW_SQL = S.with_ctes(_LIVE + [S.HOURLY, """last AS (SELECT country, poll
 
 
 def _hour_view(spark, sf):
-    _, _, meta, named = _live(spark, sf)
+    _, _, meta, named = _live(spark, sf, reuse_meta=True)
     return L.hour_view(meta, L.hourly_mean(named))
 
 
@@ -442,7 +448,7 @@ def q_hour_spine(spark, sf):
        WHERE m.lat IS NOT NULL AND NOT isnan(m.lat) AND m.lon IS NOT NULL AND NOT isnan(m.lon))"""],
     f"SELECT hour, {_VIEW_COLS} FROM frame"))
 def q_hour_frames_all(spark, sf):
-    _, _, meta, named = _live(spark, sf)
+    _, _, meta, named = _live(spark, sf, reuse_meta=True)
     return _view_out(L.hour_frames_all(meta, named, L.hourly_mean(named)))
 
 
