@@ -31,8 +31,12 @@ def top_stations(named: DataFrame, k: int = 2) -> DataFrame:
 
 
 def compare_semi(named: DataFrame, selection: DataFrame) -> DataFrame:
-    """Readings of the selected stations (semi join: the selection is a table)."""
-    return compare_series(named.join(selection, STATION, "left_semi"))
+    """Readings of the selected stations (semi join: the selection is a table).
+
+    A selection is a handful of stations per group (the UI allows two), so it is
+    broadcast; the readings are never shuffled for it.
+    """
+    return compare_series(named.join(F.broadcast(selection), STATION, "left_semi"))
 
 
 def tier_breakdown(series: DataFrame) -> DataFrame:
