@@ -123,9 +123,6 @@ def label_order(label: Column) -> Column:
     return c.otherwise(F.lit(99))
 
 
-def hex_channel(hex_col: Column, channel: int) -> Column:
-    """Integer 0-255 of channel 0/1/2 of a ``#RRGGBB`` string column."""
-    return F.conv(F.substring(hex_col, 2 + 2 * channel, 2), 16, 10).cast("int")
 
 
 def _rgb(hex_str: str) -> tuple[int, int, int]:

@@ -25,9 +25,6 @@ def from_epoch_nanos(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.floor(c.cast("decimal(38,0)") / F.lit(1000)).cast("long"), F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
-def from_text(c: Column) -> Column:
-    """Text → TIMESTAMP_NTZ keeping the wall clock; a zone suffix is ignored, junk → null."""
-    return _try_cast_ntz(c)
 
 
 def _try_cast_ntz(c: Column) -> Column:
