@@ -54,16 +54,20 @@ def station_summary(series: DataFrame) -> DataFrame:
     """Per station: dominant label and colour, worst and best reading with labels and text.
 
     Dominant = most rows, ties → lower tier. Worst/best = highest/lowest value,
-    ties → earliest time. One pass over the readings: a first aggregate per
-    (station, label) keeps the row count and that label's worst and best
-    reading; the second, over at most seven rows per station, picks the
+    ties → earliest time. One pass over the readings, and the only step that
+    sees every reading is a hash aggregate (count and earliest time per
+    distinct value). Then an aggregate per (station, label) keeps the row
+    count and that label's worst and best reading; the second, over at most seven rows per station, picks the
     dominant label and the extremes of those extremes (the arg-max of a union
     is the arg-max of its parts). Both are ``min_by`` aggregates with a
     partial step, so no station's rows are ever gathered or sorted in one task.
     """
+    # hash pre-aggregate over every reading: count and earliest time per distinct value
+    per_value = series.groupBy(*STATION, "aqi_label", "Value").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("Start").alias("Start"))
     reading = F.struct("Start", "Value")
-    per_label = series.groupBy(*STATION, "aqi_label").agg(
-        F.count(F.lit(1)).alias("hours"),
+    per_label = per_value.groupBy(*STATION, "aqi_label").agg(
+        F.sum("_n").alias("hours"),
         F.min_by(reading, F.struct(-F.col("Value"), F.col("Start"))).alias("w"),
         F.min_by(reading, F.struct(F.col("Value"), F.col("Start"))).alias("b"))
     out = per_label.groupBy(*STATION).agg(
