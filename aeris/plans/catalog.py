@@ -822,13 +822,21 @@ def q_metadata_fallback(spark, sf):
 
 # ===================================== streaming ======================================
 
-def _arrivals(spark, sf, parts: int = 4) -> tuple[str, object]:
-    """Write the raw readings as ``parts`` successive arrivals (time slices, oldest first)."""
+def _arrivals(spark, sf) -> tuple[str, object]:
+    """Write the raw readings as successive arrivals (time slices, oldest first).
+
+    Slices span at most half the 7-day watermark, so no row of a later arrival
+    can be behind the watermark of an earlier micro-batch (it would be dropped
+    as late data, correctly, and the result would differ from batch).
+    """
+    import datetime as dt
+    import math
+    from aeris.functions.timefmt import ntz_lit
     from aeris.session import scratch_path
     raw = A.raw_readings(spark, sf)
     lo, hi = raw.agg(F.min("Start"), F.max("Start")).first()
+    parts = max(2, math.ceil((hi - lo) / dt.timedelta(days=3.5)))
     src = scratch_path(spark, "arrivals")
-    from aeris.functions.timefmt import ntz_lit
     step = (hi - lo) / parts
     for i in range(parts):
         cond = F.col("Start") >= ntz_lit(lo + step * i)
@@ -850,6 +858,21 @@ def q_stream_hourly_mean(spark, sf):
     return ST.latest_per_key(spark, sink).withColumn("Value", r6("Value"))
 
 
+@register("stream_hourly_final", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT * FROM (
+  SELECT country, pollutant, {S.short_id('Samplingpoint')} AS station_id, date_trunc('hour', Start) AS hour,
+         round(avg(Value), 6) AS Value, count(*) AS n
+  FROM clean GROUP BY country, pollutant, {S.short_id('Samplingpoint')}, date_trunc('hour', Start)) h
+WHERE h.hour + INTERVAL 1 HOUR <= (SELECT max(Start) FROM clean) - INTERVAL 7 DAY"""))
+def q_stream_hourly_final(spark, sf):
+    """Append-mode history: only windows closed by the 7-day watermark are written."""
+    from aeris.session import scratch_path
+    from aeris.streaming import hourly as ST
+    src, schema = _arrivals(spark, sf)
+    sink, ckpt = scratch_path(spark, "hourly-final"), scratch_path(spark, "hourly-final-ckpt")
+    ST.run_hourly_final(spark, src, schema, sink, ckpt)
+    return spark.read.parquet(sink).withColumn("Value", r6("Value"))
+
+
 @register("stream_classify", S.with_ctes(_META_BASE + [S.COORDS, S.RAW_READINGS, S.CLEAN], f"""SELECT r.*,
   {S.short_id('r.Samplingpoint')} AS station_id, {S.label('r.Value', 'r.pollutant')} AS aqi_label,
   c.lat, c.lon, c.station_name

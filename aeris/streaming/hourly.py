@@ -63,6 +63,21 @@ def run_hourly_mean(spark: SparkSession, source_dir: str, schema, sink_dir: str,
     q.awaitTermination()
 
 
+def run_hourly_final(spark: SparkSession, source_dir: str, schema, sink_dir: str,
+                     checkpoint_dir: str, max_files: int = 4) -> None:
+    """Final history: ``append`` mode writes each hourly window exactly once, when the
+    watermark (latest time − 7 days) has passed its end, to a Parquet file sink
+    (exactly-once through the sink's commit log)."""
+    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, max_files))
+         .select("country", "pollutant", "station_id",
+                 instant_to_ntz(F.col("w.start")).alias("hour"),
+                 (F.col("sum_value") / F.col("n")).alias("Value"), "n")
+         .writeStream.outputMode("append").format("parquet")
+         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def latest_per_key(spark: SparkSession, sink_dir: str) -> DataFrame:
     """Current value of every window: the row of the highest batch id per key."""
     rows = spark.read.parquet(sink_dir)
