@@ -18,7 +18,7 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
-                  app_name: str = "aeris") -> SparkSession:
+                  app_name: str = "aeris", advisory_partition_bytes: str = "128m") -> SparkSession:
     """A session with the settings every job here assumes.
 
     * session time zone UTC: wall-clock NTZ times and the oracle agree;
@@ -26,6 +26,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
       (one station or country holding a third of the rows) are split at run
       time and small join sides are broadcast only after their size is known;
     * Spark UI off (no server).
+
+    On a cluster pass a generous ``shuffle_partitions`` (e.g. a few per core of
+    the whole cluster): AQE coalesces small partitions at run time towards
+    ``advisory_partition_bytes``, so large stages get enough tasks to stay in
+    memory and small ones do not pay for empty tasks.
     """
     return (
         SparkSession.builder.master(master)
@@ -36,6 +41,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory_partition_bytes)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()

@@ -98,3 +98,17 @@ def test_gzip_csv_discovery(spark):
     df.write.option("header", "true").option("sep", "|").option("compression", "gzip").csv(d)
     found = csvio.read_csv_discovered(spark, d)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "1", "2", "3"), ("b", "4", "5", "6")]
+
+
+def test_legend_and_bands(spark):
+    from aeris.functions import eaqi
+    from aeris.operators import publish as P
+    pols = spark.createDataFrame([("PM2.5",), ("SO2",)], "pollutant string")
+    got = {(r.pollutant, r.tier): (r.label, r.range_text) for r in P.legend(pols, eaqi.eaqi_dim(spark)).collect()}
+    assert got[("PM2.5", 1)] == ("Good", "0–5")
+    assert got[("PM2.5", 6)] == ("Extremely poor", "140+")
+    assert got[("SO2", 2)] == ("Fair", "15–45")                 # unknown pollutant → PM10 table
+    named = spark.createDataFrame([("C", "PM2.5", 20.0)], "country string, pollutant string, Value double")
+    bands = sorted((r.tier, r.y1, r.y2) for r in CMP.chart_bands(named, eaqi.eaqi_dim(spark)).collect())
+    # y_max = max(20 × 1.15, 15 + 1) = 23: bands 0–5, 5–15, 15–23; the rest start above y_max
+    assert [b[0] for b in bands] == [1, 2, 3] and bands[-1][2] == 20.0 * 1.15
