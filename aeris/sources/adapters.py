@@ -105,7 +105,7 @@ def historic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw station metadata, one row per (station, pollutant) like the EEA export.
+    """Raw station metadata, one row per (station, pollutant) like a metadata export.
 
     ``source_row`` is the row number in the export (the order "keep first"
     refers to).
