@@ -49,19 +49,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder, set to a private temp dir only if unset."""
+    """The shared checkpoint folder, created privately only when none is configured.
+
+    Reads ``spark.checkpoint.dir`` from the session (or the context's checkpoint
+    directory). Works with classic and Spark Connect sessions; the latter have
+    no SparkContext, so only the configuration is consulted there.
+    """
     root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context
+        sc = None
+    if not root and sc is not None:
+        jdir = sc._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
         # local runs and tests only: no shared folder was configured
         root = tempfile.mkdtemp(prefix="aeris-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        return jdir.get()
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is None:
+            return root
+        sc.setCheckpointDir(root)
+        return sc._jsc.sc().getCheckpointDir().get()
+    if sc is not None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
     return root
 
 
