@@ -78,8 +78,15 @@ def readings_named(recent: DataFrame, meta: DataFrame) -> DataFrame:
         *GROUP, "station_id", "station_name", "Start", "Value")
 
 
-def hourly_mean(named: DataFrame) -> DataFrame:
-    """Mean per station and hour, for every hour (partial aggregation before the shuffle)."""
+def hourly_mean(named: DataFrame, hour: str | _dt.datetime | None = None) -> DataFrame:
+    """Mean per station and hour (partial aggregation before the shuffle).
+
+    With ``hour``, only that hour: the readings are cut to ``[hour, hour + 1h)``
+    first, a plain range on the time column that reaches the Parquet scan.
+    """
+    if hour is not None:
+        h0 = _dt.datetime.fromisoformat(hour) if isinstance(hour, str) else hour
+        named = named.where((F.col("Start") >= ntz_lit(h0)) & (F.col("Start") < ntz_lit(h0 + _dt.timedelta(hours=1))))
     return (named.groupBy(*GROUP, "station_id", floor_hour(F.col("Start")).alias("hour"))
             .agg(F.avg("Value").alias("Value"), F.count(F.lit(1)).alias("n")))
 

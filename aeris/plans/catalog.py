@@ -416,6 +416,22 @@ def q_hour_view(spark, sf):
     return _view_out(_hour_view(spark, sf))
 
 
+VIEW_HOUR = "2024-01-27 12:00:00"   # an explicitly chosen hour (the slider position)
+
+
+@register("hour_view_at", S.with_ctes(_LIVE + [S.HOURLY,
+    f"""hv AS (SELECT country, pollutant, station_id, Value AS v FROM hourly WHERE hour = TIMESTAMP '{VIEW_HOUR}')""",
+    """frame AS (SELECT m.country, m.pollutant, m.station_id, m.url, m.station_name, m.lat, m.lon, m.area_type,
+         hv.v IS NULL AS is_fallback, coalesce(hv.v, m.Value) AS Value
+       FROM meta m LEFT JOIN hv ON m.country = hv.country AND m.pollutant = hv.pollutant AND m.station_id = hv.station_id
+       WHERE m.lat IS NOT NULL AND NOT isnan(m.lat) AND m.lon IS NOT NULL AND NOT isnan(m.lon))"""],
+    f"SELECT {_VIEW_COLS} FROM frame"))
+def q_hour_view_at(spark, sf):
+    """The hour view at a chosen hour: only that hour's readings are scanned for the means."""
+    _, _, meta, named = _live(spark, sf, reuse_meta=True)
+    return _view_out(L.hour_view(meta, L.hourly_mean(named, hour=VIEW_HOUR), hour=VIEW_HOUR))
+
+
 _HOURS_SQL = "hours AS (SELECT DISTINCT country, pollutant, date_trunc('hour', Start) AS hour FROM named)"
 
 
