@@ -52,21 +52,40 @@ def write_series(raw: DataFrame, root: str, num_partitions: int | None = None) -
     return root
 
 
+def _series_schema(start_type: str, value_type: str = "double") -> T.StructType:
+    types = {"Start": {"timestamp": T.TimestampNTZType(), "nanos": T.LongType(), "text": T.StringType()}[start_type],
+             "Value": {"double": T.DoubleType(), "text": T.StringType()}[value_type]}
+    return T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in SERIES_SCHEMA.fields])
+
+
 def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool = False,
-                  base_path: str | None = None) -> DataFrame:
+                  base_path: str | None = None, start_type: str = "timestamp",
+                  value_type: str = "double") -> DataFrame:
     """Multi-file scan with a declared schema; ``url`` is the file each row came from.
 
     ``tolerant`` skips files that are corrupt or vanished (the reference's
-    per-file try/except) instead of failing the job.
+    per-file try/except) instead of failing the job. ``start_type`` says how the
+    files store ``Start``: ``timestamp`` (wall clock), ``nanos`` (Parquet
+    TIMESTAMP(NANOS) as written by pandas — read as integer nanoseconds, which
+    needs ``spark.sql.legacy.parquet.nanosAsLong``) or ``text``; the last two are
+    parsed to wall-clock TIMESTAMP_NTZ. ``value_type='text'`` reads text values and
+    coerces them to double (bad text → null, dropped later by the cleaning).
     """
-    reader = spark.read.schema(SERIES_SCHEMA)
+    if start_type == "nanos":
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    reader = spark.read.schema(_series_schema(start_type, value_type))
     if base_path:
         reader = reader.option("basePath", base_path)
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = reader.parquet(*paths)
-    return df.withColumn("url", F.col("_metadata.file_path"))
+    df = reader.parquet(*paths).withColumn("url", F.col("_metadata.file_path"))
+    if start_type != "timestamp":
+        from aeris.functions.timefmt import parse_time
+        df = parse_time(df, "Start")
+    if value_type == "text":
+        df = df.withColumn("Value", F.col("Value").try_cast("double"))
+    return df
 
 
 def with_series(scan: DataFrame) -> DataFrame:

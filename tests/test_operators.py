@@ -112,3 +112,25 @@ def test_legend_and_bands(spark):
     bands = sorted((r.tier, r.y1, r.y2) for r in CMP.chart_bands(named, eaqi.eaqi_dim(spark)).collect())
     # y_max = max(20 × 1.15, 15 + 1) = 23: bands 0–5, 5–15, 15–23; the rest start above y_max
     assert [b[0] for b in bands] == [1, 2, 3] and bands[-1][2] == 20.0 * 1.15
+
+
+def test_scan_nanosecond_parquet(spark):
+    """Files as pandas writes them: Start as Parquet TIMESTAMP(NANOS), Value as text."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    d = scratch_path(spark, "nanos")
+    part = os.path.join(d, "country=CH", "pollutant=NO2")
+    os.makedirs(part)
+    pdf = pd.DataFrame({"Samplingpoint": ["CH/SPO-1", "CH/SPO-1"],
+                        "Start": pd.to_datetime([1546300800123456789, 1546304400000000000], unit="ns"),
+                        "Value": [12.5, -999.0]})
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    assert str(table.schema.field("Start").type) == "timestamp[ns]"
+    pq.write_table(table, os.path.join(part, "a.parquet"), version="2.6")
+    try:
+        rows = FS.scan_readings(spark, d, start_type="nanos").orderBy("Start").collect()
+    finally:
+        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    assert [r.Start for r in rows] == [dt.datetime(2019, 1, 1, 0, 0, 0, 123456), dt.datetime(2019, 1, 1, 1, 0)]
+    assert rows[0].country == "CH" and rows[0].Value == 12.5
