@@ -90,6 +90,19 @@ def style_frames(frames: DataFrame, keys: list[str], edge_values: DataFrame | No
                .drop("edges"))
 
 
+def day_values_styled(hist: DataFrame, materialize: bool = True) -> DataFrame:
+    """Every station-day value of the table, styled per day (no densifying).
+
+    The de-duplicated day table feeds both the rows and the decile edges; it is
+    written once to the shared checkpoint folder so the table is scanned once.
+    """
+    days = dedup_latlon(hist)
+    if materialize:
+        from aeris.session import materialize as write_once
+        days = write_once(days, "day-values")
+    return style_frames(days, ["pollutant", "Date"])
+
+
 def map_frame(hist: DataFrame, day: str, start: str, end: str, densify: bool = True) -> DataFrame:
     """One day's map: every master station of [start, end], the day's first value or missing.
 

@@ -230,7 +230,7 @@ def _frame_out(df: DataFrame) -> DataFrame:
 
 @register("decile_size", S.with_ctes([S.HISTORIC, _dedup_sql()], _styled_sql("dedup")))
 def q_decile_size(spark, sf):
-    return _frame_out(H.style_frames(H.dedup_latlon(_hist(spark, sf)), ["pollutant", "Date"]))
+    return _frame_out(H.day_values_styled(_hist(spark, sf)))
 
 
 @register("colour_ramp", S.with_ctes([S.HISTORIC, _dedup_sql()], """flagged AS (
