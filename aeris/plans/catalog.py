@@ -93,6 +93,21 @@ def q_route_pollutant(spark, sf):
     return H.route_pollutant(_hist(spark, sf), "PM2.5")
 
 
+@register("route_partitioned", S.with_ctes([S.HISTORIC], f"""SELECT pollutant, CAST("Date" AS DATE) AS "Date",
+  round(avg("Value"), 6) AS AvgValue FROM historic
+  WHERE pollutant = 'PM2.5' AND "Value" IS NOT NULL
+    AND CAST("Date" AS DATE) BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'
+  GROUP BY pollutant, CAST("Date" AS DATE)"""))
+def q_route_partitioned(spark, sf):
+    """Routing on the stored table: the pollutant prunes partitions, the range is pushed."""
+    from aeris.session import scratch_path
+    from aeris.sources import files as FS
+    root = FS.write_historic(_hist(spark, sf), scratch_path(spark, "historic"))
+    routed = H.route_pollutant(FS.scan_historic(spark, root), "PM2.5")
+    d = H.daily_average(routed, RANGE_START, RANGE_END)
+    return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
+
+
 @register("filter_date_range", S.with_ctes([S.HISTORIC], f"""SELECT * FROM historic
   WHERE CAST("Date" AS DATE) BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'"""))
 def q_filter_date_range(spark, sf):

@@ -158,3 +158,27 @@ def inject_corrupt_series(spark: SparkSession, root: str) -> str:
     spark.createDataFrame([("PAR1 not a parquet file",)], "value string").coalesce(1) \
         .write.mode("overwrite").text(bad)
     return bad
+
+
+HISTORIC_SCHEMA = T.StructType([
+    T.StructField("Date", T.TimestampNTZType()), T.StructField("Value", T.DoubleType()),
+    T.StructField("Latitude", T.DoubleType()), T.StructField("Longitude", T.DoubleType()),
+    T.StructField("pollutant", T.StringType()),
+])
+
+
+def write_historic(hist: DataFrame, root: str, num_partitions: int | None = None) -> str:
+    """The historic table as one dataset partitioned by pollutant (the reference keeps
+    one database table per pollutant). Range-partitioned on (pollutant, Date) and
+    sorted by Date within files, so a pollutant prunes directories and a date range
+    skips row groups; a pollutant with most of the rows is spread over many files."""
+    n = num_partitions or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (hist.repartitionByRange(n, "pollutant", "Date").sortWithinPartitions("pollutant", "Date")
+        .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+        .partitionBy("pollutant").parquet(root))
+    return root
+
+
+def scan_historic(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(HISTORIC_SCHEMA).parquet(root).select(
+        "pollutant", "Date", "Value", "Latitude", "Longitude")
