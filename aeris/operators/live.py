@@ -51,18 +51,27 @@ def station_files(recent: DataFrame) -> DataFrame:
     per_sp = recent.groupBy(*GROUP, "url", sp.alias("_sp")).agg(
         F.sum("Value").alias("_sum"), F.count("Value").alias("_n"), F.min("Start").alias("_t"))
     per_file = per_sp.groupBy(*GROUP, "url").agg(
-        (F.sum("_sum") / F.sum("_n")).alias("Value"),
+        F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"),
         F.min_by("_sp", F.struct(F.col("_t"), F.col("_sp").isNull(), F.col("_sp"))).alias("_sp"))
-    return per_file.withColumn("station_id", short_id(F.coalesce(F.col("_sp"), F.col("url")))).drop("_sp")
+    return (per_file.withColumn("Value", F.col("_sum") / F.col("_n"))
+            .withColumn("station_id", short_id(F.coalesce(F.col("_sp"), F.col("url")))).drop("_sp"))
 
 
-def station_meta(recent: DataFrame, coords: DataFrame) -> DataFrame:
+def station_meta(recent: DataFrame, coords: DataFrame, per_file: bool = True) -> DataFrame:
     """Station table: id, url, window mean, coordinates, name and area with fallbacks.
 
+    ``per_file`` (the reference's shape) gives one row per source file, so a
+    station delivered in two files appears twice; ``per_file=False`` gives one
+    row per station: the readings-weighted mean over its files and its first url.
+
     The coordinate dimension grows with the metadata; no broadcast hint — AQE
     broadcasts it after measuring it, else it stays a shuffle join.
     """
-    files = station_files(recent).withColumn("key", normalize_key(F.col("station_id")))
+    files = station_files(recent)
+    if not per_file:
+        files = files.groupBy(*GROUP, "station_id").agg(
+            (F.sum("_sum") / F.sum("_n")).alias("Value"), F.min("url").alias("url"))
+    files = files.drop("_sum", "_n").withColumn("key", normalize_key(F.col("station_id")))
     c = coords.select("key", "lat", "lon", F.col("station_name").alias("_name"),
                       F.col("area_type").alias("_area"))
     return (files.join(c, "key", "left")

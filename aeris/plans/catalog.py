@@ -387,6 +387,20 @@ def q_station_meta(spark, sf):
     return meta.withColumn("Value", r6("Value"))
 
 
+@register("station_table", S.with_ctes(_LIVE, f"""st AS (
+  SELECT country, pollutant, station_id, sum(Value * n) / sum(n) AS Value, min(url) AS url FROM (
+    SELECT f.*, (SELECT count(*) FROM recent r WHERE r.country = f.country AND r.pollutant = f.pollutant
+                 AND r.url = f.url) AS n FROM files f) GROUP BY country, pollutant, station_id)
+SELECT st.country, st.pollutant, st.station_id, st.url, round(st.Value, 6) AS Value, c.lat, c.lon,
+  coalesce(c.station_name, st.station_id) AS station_name, coalesce(c.area_type, 'unknown') AS area_type
+FROM st LEFT JOIN coords c ON {S.norm_key('st.station_id')} = c.key"""))
+def q_station_table(spark, sf):
+    """One row per station (not per file): the survey's fix of duplicate ids."""
+    raw = A.raw_readings(spark, sf)
+    recent = L.recent_readings(raw, as_of=A.readings_clock(spark, sf))
+    return L.station_meta(recent, _coords(spark, sf), per_file=False).withColumn("Value", r6("Value"))
+
+
 @register("readings_named", S.with_ctes(_LIVE, "SELECT * FROM named"))
 def q_readings_named(spark, sf):
     return _live(spark, sf)[3]
