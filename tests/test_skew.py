@@ -53,3 +53,39 @@ def test_hot_key_keep_first_and_hourly_mean(spark):
     ref = pdf.groupby(["station_name", "hour"])["Value"].agg(["mean", "count"])
     assert hourly == {(s, h.to_pydatetime()): (round(m, 9), c) for (s, h), (m, c) in ref.iterrows()}
     assert df.where(F.col("station_name") == "hot").count() == len(rows) // 3
+
+
+def test_hot_file_join_is_split_by_aqe(spark):
+    """readings ⋈ station table on the file key, one file holding a third of the rows:
+    with broadcasts off, AQE splits the hot partition (skew join) and the result is exact."""
+    rows = _readings(n=6000, seed=3)
+    df = spark.createDataFrame(rows, "country string, pollutant string, station_name string, url string, "
+                                     "Start timestamp_ntz, Value double") \
+        .withColumn("Samplingpoint", F.concat(F.lit("x/"), F.col("station_name"))).drop("station_name")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        coords = spark.createDataFrame([(f"s{i}", 46.0 + i / 10, 7.0, f"Station {i}", "urban") for i in range(41)]
+                                       + [("hot", 47.5, 8.5, "Hot station", "urban")],
+                                       "key string, lat double, lon double, station_name string, area_type string")
+        meta = L.station_meta(df, coords)
+        named = L.readings_named(df, meta)
+        got = named.groupBy("station_id").count().collect()
+        qe = named._jdf.queryExecution()
+        qe.toRdd().count()                       # run this very plan, so AQE finalises it
+        plan = qe.executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    counts = {r.station_id: r["count"] for r in got}
+    assert counts["hot"] == 2000 and sum(counts.values()) == 6000
+    assert "skew=true" in plan
