@@ -10,7 +10,15 @@ import re
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+def final_section(text: str) -> str:
+    """Only the plan AQE settled on (final AQE plans also print the initial plan)."""
+    if "== Final Plan ==" in text:
+        text = text.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+    return text
+
+
 def facts(text: str) -> dict:
+    text = final_section(text)
     return {
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", text)),
         "single": len(re.findall(r"Exchange SinglePartition", text)),
