@@ -870,9 +870,10 @@ def q_metadata_fallback(spark, sf):
 def _arrivals(spark, sf) -> tuple[str, object]:
     """Write the raw readings as successive arrivals (time slices, oldest first).
 
-    Slices span at most half the 7-day watermark, so no row of a later arrival
-    can be behind the watermark of an earlier micro-batch (it would be dropped
-    as late data, correctly, and the result would differ from batch).
+    Slices span at most the 7-day watermark delay: a micro-batch's watermark is
+    at most (end of its slice − 7 days) ≤ start of that slice, so no row of the
+    same or a later arrival is ever behind it (it would be dropped as late data,
+    correctly, and the result would differ from batch).
     """
     import datetime as dt
     import math
@@ -880,7 +881,7 @@ def _arrivals(spark, sf) -> tuple[str, object]:
     from aeris.session import scratch_path
     raw = A.raw_readings(spark, sf)
     lo, hi = raw.agg(F.min("Start"), F.max("Start")).first()
-    parts = max(2, math.ceil((hi - lo) / dt.timedelta(days=3.5)))
+    parts = max(2, math.ceil((hi - lo) / dt.timedelta(days=7)))
     src = scratch_path(spark, "arrivals")
     step = (hi - lo) / parts
     for i in range(parts):
