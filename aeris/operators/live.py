@@ -138,19 +138,24 @@ def hour_spine(named: DataFrame) -> DataFrame:
         "first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
 
 
-def hour_frames_all(meta: DataFrame, named: DataFrame, hourly: DataFrame) -> DataFrame:
+def hour_frames_all(meta: DataFrame, hourly: DataFrame) -> DataFrame:
     """The hour view for every observed hour of each group, in one job.
 
-    Grid per station by ``explode(sequence(first, last hour))`` (≤ 169 hours
-    in a 7-day window, no cross join), kept where the hour was observed
-    (semi join on a set bounded by groups × 169, hence broadcast), then
-    left-joined to the hourly means on a key unique on both sides.
+    The observed hours and each group's first/last hour come from the hourly
+    means themselves (the hours that have means are the observed hours), so
+    the readings are aggregated once. Grid per station by
+    ``explode(sequence(first, last hour))`` (≤ 169 hours in a 7-day window, no
+    cross join), kept where the hour was observed (semi join on a set bounded
+    by groups × 169, hence broadcast), then left-joined to the hourly means on
+    a key unique on both sides.
     """
-    # hour_bounds has one row per (country, pollutant) → broadcast
-    grid = (meta.join(F.broadcast(hour_bounds(named)), GROUP, "inner")
+    hours = hourly.select(*GROUP, "hour").distinct()
+    bounds = hourly.groupBy(*GROUP).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+    # bounds: one row per (country, pollutant) → broadcast
+    grid = (meta.join(F.broadcast(bounds), GROUP, "inner")
             .withColumn("hour", F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))))
             .drop("first_hour", "last_hour"))
-    grid = grid.join(F.broadcast(observed_hours(named)), [*GROUP, "hour"], "left_semi")
+    grid = grid.join(F.broadcast(hours), [*GROUP, "hour"], "left_semi")
     h = hourly.select(*GROUP, "station_id", "hour", F.col("Value").alias("_v"))
     frame = (grid.join(h, [*GROUP, "station_id", "hour"], "left")
              .withColumn("is_fallback", F.col("_v").isNull())

@@ -435,9 +435,16 @@ _HOUR_VIEW_SQL = S.with_ctes(_LIVE + [S.HOURLY, """last AS (SELECT country, poll
     f"SELECT {_VIEW_COLS} FROM frame")
 
 
+def _hourly_written(named):
+    """Hourly means written once (stations × ≤ 169 hours: small) when a query uses
+    them more than once; each use would otherwise re-aggregate the readings."""
+    from aeris.session import materialize
+    return materialize(L.hourly_mean(named), "hourly")
+
+
 def _hour_view(spark, sf):
     _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return L.hour_view(meta, L.hourly_mean(named))
+    return L.hour_view(meta, _hourly_written(named))
 
 
 @register("hour_view", _HOUR_VIEW_SQL)
@@ -494,7 +501,7 @@ def q_hour_spine(spark, sf):
     f"SELECT hour, {_VIEW_COLS} FROM frame"))
 def q_hour_frames_all(spark, sf):
     _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return _view_out(L.hour_frames_all(meta, named, L.hourly_mean(named)))
+    return _view_out(L.hour_frames_all(meta, _hourly_written(named)))
 
 
 @register("area_symbol", S.with_ctes(_LIVE, f"SELECT country, pollutant, station_id, url, area_type, {S.symbol('area_type')} AS symbol FROM meta"))
