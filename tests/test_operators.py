@@ -134,3 +134,29 @@ def test_scan_nanosecond_parquet(spark):
         spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
     assert [r.Start for r in rows] == [dt.datetime(2019, 1, 1, 0, 0, 0, 123456), dt.datetime(2019, 1, 1, 1, 0)]
     assert rows[0].country == "CH" and rows[0].Value == 12.5
+
+
+def test_hour_view_fallback_and_styling(spark):
+    from aeris.operators import live as L
+    t = lambda d, h, m=0: dt.datetime(2024, 1, d, h, m)
+    rows = [  # country, pollutant, url, Samplingpoint, Start, Value
+        ("C", "PM10", "u1", "x/SPO-1", t(5, 10), 10.0), ("C", "PM10", "u1", "x/SPO-1", t(5, 12, 5), 40.0),
+        ("C", "PM10", "u1", "x/SPO-1", t(5, 12, 45), 60.0),
+        ("C", "PM10", "u2", "x/SPO-2", t(5, 9), 0.0),          # no reading in the last hour → 7-day mean 0
+        ("C", "PM10", "u3", "x/SPO-3", t(5, 12), 30.0),        # no coordinates → dropped from the map
+        ("C", "PM10", "u4", "x/SPO-4", t(1, 0), 99.0),         # older than 7 days → outside the window
+        ("C", "PM10", "u4", "x/SPO-4", t(5, 11), -999.0),      # sentinel → removed
+    ]
+    raw = spark.createDataFrame(rows, "country string, pollutant string, url string, Samplingpoint string, "
+                                      "Start timestamp_ntz, Value double")
+    coords = spark.createDataFrame([("spo-1", 47.0, 8.0, "One", "urban"), ("spo-2", 46.0, 7.0, None, None)],
+                                   "key string, lat double, lon double, station_name string, area_type string")
+    recent = L.recent_readings(raw, as_of="2024-01-05 13:00:00")
+    meta = L.station_meta(recent, coords)
+    named = L.readings_named(recent, meta)
+    view = {r.station_id: r for r in L.hour_view(meta, L.hourly_mean(named)).collect()}
+    assert set(view) == {"SPO-1", "SPO-2"}
+    one, two = view["SPO-1"], view["SPO-2"]
+    assert (one.Value, one.is_fallback, one.aqi_label, one.color_a, one.value_str) == (50.0, False, "Moderate", 220, "50.00")
+    assert (two.Value, two.is_fallback, two.aqi_label, two.color_a) == (0.0, True, "No data", 0)
+    assert (two.station_name, two.area_type, two.symbol) == ("SPO-2", "unknown", "●")   # fallbacks
