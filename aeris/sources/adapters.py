@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeris.sources.tables import table
+from aeris.sources.tables import snapshot_value, table
 
 # --- Fixed values: adapter rules (FIXTURES.md §3) ---------------------------
 EVENT_POLLUTANT = [("error", "PM10"), ("signup", "PM2.5"), ("click", "NO2"),
@@ -81,7 +81,7 @@ def readings_clock(spark: SparkSession, sf_dir: str):
     row groups; a scalar subquery would not be pushed down and every run would
     read the whole history.
     """
-    return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return snapshot_value(spark, sf_dir, "events", "max_ts", lambda ev: ev.agg(F.max("ts")).first()[0])
 
 
 def _coord(key: Column, mult: int, modulus: int, base: float) -> Column:

@@ -1,7 +1,10 @@
 """Reading the driver's parquet tables with the columns a job needs.
 
 Only ``spark.read.parquet`` plus ``select``: Catalyst prunes the read schema
-and pushes filters into the scan.
+and pushes filters into the scan. Like catalog tables, each input is opened
+once per session (file listing and Parquet footer schema read once) and the
+DataFrame is reused by every query; ``refresh_tables()`` re-lists them, the
+counterpart of ``REFRESH TABLE`` after new files arrive.
 """
 
 from __future__ import annotations
@@ -13,6 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_OPENED: dict[tuple[SparkSession, str], DataFrame] = {}
+_SNAPSHOT_VALUES: dict[tuple[SparkSession, str, str], object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark, path)
+    df = _OPENED.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _OPENED[key] = df
+    return df
+
+
+def snapshot_value(spark: SparkSession, sf_dir: str, name: str, what: str, compute):
+    """A scalar derived from an opened table (e.g. its latest time), computed once
+    per table snapshot and dropped with it by ``refresh_tables``."""
+    key = (spark, os.path.join(sf_dir, f"{name}.parquet"), what)
+    if key not in _SNAPSHOT_VALUES:
+        _SNAPSHOT_VALUES[key] = compute(table(spark, sf_dir, name))
+    return _SNAPSHOT_VALUES[key]
+
+
+def refresh_tables() -> None:
+    _OPENED.clear()
+    _SNAPSHOT_VALUES.clear()
