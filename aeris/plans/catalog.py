@@ -60,7 +60,9 @@ def r6(c) -> F.Column:
 # ----- shared Spark building blocks -------------------------------------------------
 
 def _coords(spark, sf):
-    return M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf)))
+    from aeris.sources.tables import session_view
+    return session_view(spark, sf, "station_coords",
+                        lambda: M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf))))
 
 
 def _live(spark, sf, reuse_meta: bool = False):

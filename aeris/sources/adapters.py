@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeris.sources.tables import snapshot_value, table
+from aeris.sources.tables import session_view, snapshot_value, table
 
 # --- Fixed values: adapter rules (FIXTURES.md §3) ---------------------------
 EVENT_POLLUTANT = [("error", "PM10"), ("signup", "PM2.5"), ("click", "NO2"),
@@ -45,6 +45,11 @@ def _sp_id(key: Column) -> Column:
 
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station readings (country, pollutant, url, Samplingpoint, Start, Value); a per-session view."""
+    return session_view(spark, sf_dir, "raw_readings", lambda: _raw_readings(spark, sf_dir))
+
+
+def _raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station readings: country, pollutant, url, Samplingpoint, Start, Value.
 
     One "file" (url) per (country, pollutant, station) series, as the
@@ -89,6 +94,11 @@ def _coord(key: Column, mult: int, modulus: int, base: float) -> Column:
 
 
 def historic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historic table (pollutant, Date, Value, Latitude, Longitude); a per-session view."""
+    return session_view(spark, sf_dir, "historic", lambda: _historic(spark, sf_dir))
+
+
+def _historic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historic table: pollutant, Date, Value, Latitude, Longitude (from lineitem)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
@@ -105,6 +115,11 @@ def historic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw station metadata, one row per (station, pollutant); a per-session view."""
+    return session_view(spark, sf_dir, "raw_metadata", lambda: _raw_metadata(spark, sf_dir))
+
+
+def _raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw station metadata, one row per (station, pollutant) like a metadata export.
 
     ``source_row`` is the row number in the export (the order "keep first"

@@ -39,6 +39,22 @@ def snapshot_value(spark: SparkSession, sf_dir: str, name: str, what: str, compu
     return _SNAPSHOT_VALUES[key]
 
 
+_VIEWS: dict[tuple[SparkSession, str, str], DataFrame] = {}
+
+
+def session_view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived view (a lazy DataFrame: no data is computed or kept) defined once
+    per session and input folder, like ``createOrReplaceTempView`` for an
+    application's standard views; dropped by ``refresh_tables``."""
+    key = (spark, sf_dir, name)
+    df = _VIEWS.get(key)
+    if df is None:
+        df = build()
+        _VIEWS[key] = df
+    return df
+
+
 def refresh_tables() -> None:
     _OPENED.clear()
     _SNAPSHOT_VALUES.clear()
+    _VIEWS.clear()
