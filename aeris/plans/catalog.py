@@ -760,9 +760,12 @@ _SERIES_SQL_ALL = f"""SELECT country, pollutant, {S.short_id('Samplingpoint')} A
 
 
 def _series_root(spark, sf):
+    """The readings stored as Parquet (country/pollutant partitions), written once per session."""
     from aeris.session import scratch_path
     from aeris.sources.files import write_series
-    return write_series(A.raw_readings(spark, sf).drop("url"), scratch_path(spark, "series"))
+    from aeris.sources.tables import session_folder
+    return session_folder(spark, sf, "series", lambda: write_series(
+        A.raw_readings(spark, sf).drop("url"), scratch_path(spark, "series")))
 
 
 def _scan_out(df: DataFrame) -> DataFrame:
@@ -779,8 +782,11 @@ def q_scan_readings(spark, sf):
 
 @register("scan_tolerant", S.with_ctes([S.RAW_READINGS], _SERIES_SQL_ALL))
 def q_scan_tolerant(spark, sf):
-    from aeris.sources.files import inject_corrupt_series, scan_readings
-    root = _series_root(spark, sf)
+    """Stored readings plus a partition whose file is not Parquet (a failed download).
+    This query adds a broken file, so it writes its own copy of the layout."""
+    from aeris.session import scratch_path
+    from aeris.sources.files import inject_corrupt_series, scan_readings, write_series
+    root = write_series(A.raw_readings(spark, sf).drop("url"), scratch_path(spark, "series-tolerant"))
     inject_corrupt_series(spark, root)
     return _scan_out(scan_readings(spark, root, tolerant=True))
 
@@ -877,6 +883,12 @@ def q_metadata_fallback(spark, sf):
 # ===================================== streaming ======================================
 
 def _arrivals(spark, sf) -> tuple[str, object]:
+    """The landing folder of arriving reading files, written once per session."""
+    from aeris.sources.tables import session_folder
+    return session_folder(spark, sf, "arrivals", lambda: _write_arrivals(spark, sf))
+
+
+def _write_arrivals(spark, sf) -> tuple[str, object]:
     """Write the raw readings as successive arrivals (time slices, oldest first).
 
     Slices span at most the 7-day watermark delay: a micro-batch's watermark is

@@ -54,7 +54,21 @@ def session_view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     return df
 
 
+_FOLDERS: dict[tuple[SparkSession, str, str], object] = {}
+
+
+def session_folder(spark: SparkSession, sf_dir: str, name: str, write):
+    """A derived input folder (e.g. the stored readings layout, or a landing folder
+    of arriving files) written once per session and input folder; ``write``
+    returns what the callers need (its path). Dropped by ``refresh_tables``."""
+    key = (spark, sf_dir, name)
+    if key not in _FOLDERS:
+        _FOLDERS[key] = write()
+    return _FOLDERS[key]
+
+
 def refresh_tables() -> None:
     _OPENED.clear()
     _SNAPSHOT_VALUES.clear()
     _VIEWS.clear()
+    _FOLDERS.clear()
