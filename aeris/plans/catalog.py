@@ -69,13 +69,15 @@ def _live(spark, sf, reuse_meta: bool = False):
     """Live tables. ``reuse_meta`` writes the station table (one row per series file)
     once to the shared folder, for queries that use it twice — otherwise each use,
     pruned to different columns, would aggregate the 7-day window again."""
+    from aeris.sources.tables import session_view
     raw = A.raw_readings(spark, sf)
-    recent = L.recent_readings(raw, as_of=A.readings_clock(spark, sf))
-    meta = L.station_meta(recent, _coords(spark, sf))
+    recent = session_view(spark, sf, "recent", lambda: L.recent_readings(raw, as_of=A.readings_clock(spark, sf)))
     if reuse_meta:
         from aeris.session import materialize
-        meta = materialize(meta, "station-table")
-    named = L.readings_named(recent, meta)
+        meta = materialize(L.station_meta(recent, _coords(spark, sf)), "station-table")
+        return raw, recent, meta, L.readings_named(recent, meta)
+    meta = session_view(spark, sf, "station_meta", lambda: L.station_meta(recent, _coords(spark, sf)))
+    named = session_view(spark, sf, "named", lambda: L.readings_named(recent, meta))
     return raw, recent, meta, named
 
 
