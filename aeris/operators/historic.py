@@ -142,8 +142,15 @@ def map_frames_all(hist: DataFrame, start: str, end: str, materialize: bool = Tr
         master = master_stations(hist, start, end)
     grid = master.select("pollutant", "lat", "lon", F.explode(F.sequence(
         F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("Date"))
-    frame = grid.join(days, ["pollutant", "Date", "lat", "lon"], "left")
-    return style_frames(frame, ["pollutant", "Date"], edge_values=days)
+    # Style the day values (each lands on exactly one grid cell, and they are all
+    # of a frame's non-missing values), then fill the cells without one with the
+    # missing style: deciles and colours are computed per value, not per cell.
+    styled = style_frames(days, ["pollutant", "Date"]).withColumn("_day", F.lit(True))
+    frame = grid.join(styled, ["pollutant", "Date", "lat", "lon"], "left")
+    missing = {"Value": F.lit(0.0), "size": F.lit(0), "color_r": F.lit(0), "color_g": F.lit(0),
+               "color_b": F.lit(0), "color_a": F.lit(0)}
+    no_day = F.col("_day").isNull()
+    return frame.withColumns({c: F.when(no_day, v).otherwise(F.col(c)) for c, v in missing.items()}).drop("_day")
 
 
 def time_bounds(hist: DataFrame) -> DataFrame:
