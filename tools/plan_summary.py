@@ -61,7 +61,18 @@ def main() -> None:
         part = "; ".join(f"`{p}`" for p in f["partition_filters"]) or "—"
         out.append(f"* `{name}` — pushed: {pushed}; partition filters: {part}")
     out += ["", "Single-partition exchanges are the global `max`/`min` of the live clock and",
-            "whole-table profile aggregates (one row), never a data-sized stage."]
+            "whole-table profile aggregates (one row), never a data-sized stage.",
+            "",
+            "Queries that write an intermediate once (`materialize()`) show the plan of",
+            "their last job here; the write jobs run before it:",
+            "",
+            "* `map_frames_all`, `decile_size`: the de-duplicated station-day table (one",
+            "  historic scan, two hash aggregates);",
+            "* `hour_view`, `hour_frames_all`, `map_payload`, `hour_view_at`,",
+            "  `station_count`: the station table (7-day window ⋈ coordinates, two-level",
+            "  file aggregate);",
+            "* `hour_view`, `hour_frames_all`, `map_payload`: the hourly means (7-day",
+            "  window ⋈ station table, one hash aggregate)."]
     with open(os.path.join(ROOT, "docs", "PLANS.md"), "w") as fh:
         fh.write("\n".join(out) + "\n")
 
