@@ -106,7 +106,9 @@ def q_route_partitioned(spark, sf):
     """Routing on the stored table: the pollutant prunes partitions, the range is pushed."""
     from aeris.session import scratch_path
     from aeris.sources import files as FS
-    root = FS.write_historic(_hist(spark, sf), scratch_path(spark, "historic"))
+    from aeris.sources.tables import session_folder
+    root = session_folder(spark, sf, "historic", lambda: FS.write_historic(
+        _hist(spark, sf), scratch_path(spark, "historic")))
     routed = H.route_pollutant(FS.scan_historic(spark, root), "PM2.5")
     d = H.daily_average(routed, RANGE_START, RANGE_END)
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
