@@ -75,3 +75,21 @@ def test_results_do_not_depend_on_session_zone(spark, duck, sf_small, name):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     res = duck.execute(ORACLE[name])
     assert _canon(cols, rows) == _canon([d[0] for d in res.description], res.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_same_results_without_size_based_broadcasts(spark, duck, sf_small, name):
+    """The large-input plan shape (shuffle joins wherever a side is not provably
+    small) gives the same rows as the oracle."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = QUERIES[name](spark, sf_small)
+        rows, cols = df.collect(), df.columns
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    res = duck.execute(ORACLE[name])
+    assert _canon(cols, rows) == _canon([d[0] for d in res.description], res.fetchall())
