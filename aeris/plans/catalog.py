@@ -490,6 +490,14 @@ def q_frame_index(spark, sf):
     return L.frame_index(_live(spark, sf)[3])
 
 
+@register("hour_bounds", S.with_ctes(_LIVE, """SELECT country, pollutant,
+  date_trunc('hour', min(Start)) AS first_hour, date_trunc('hour', max(Start)) AS last_hour
+  FROM named GROUP BY country, pollutant"""))
+def q_hour_bounds(spark, sf):
+    """Slider bounds of the live view: first and last hour per group."""
+    return L.hour_bounds(_live(spark, sf)[3])
+
+
 @register("hour_spine", S.with_ctes(_LIVE, """SELECT country, pollutant, h AS hour FROM (
   SELECT country, pollutant, date_trunc('hour', min(Start)) AS a, date_trunc('hour', max(Start)) AS b
   FROM named GROUP BY country, pollutant), LATERAL (SELECT unnest(range(a, b + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h)"""))
