@@ -125,11 +125,13 @@ def manifest_first(entries: DataFrame) -> DataFrame:
     return entries.agg(F.min_by("path", "pos").alias("path"))
 
 
-def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, tolerant: bool = True) -> DataFrame:
+def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, tolerant: bool = True,
+                  start_type: str = "timestamp", value_type: str = "double") -> DataFrame:
     """Scan the files a manifest lists. The path list is the one thing collected:
     file names only (what a Parquet scan needs to plan), never row data."""
     paths = [r.path for r in entries.select("path").collect()]
-    return scan_readings(spark, paths, tolerant=tolerant, base_path=base_path)
+    return scan_readings(spark, paths, tolerant=tolerant, base_path=base_path,
+                         start_type=start_type, value_type=value_type)
 
 
 def select_partition(series: DataFrame, countries: list[str] | None = None,
