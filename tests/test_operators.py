@@ -160,3 +160,32 @@ def test_hour_view_fallback_and_styling(spark):
     assert (one.Value, one.is_fallback, one.aqi_label, one.color_a, one.value_str) == (50.0, False, "Moderate", 220, "50.00")
     assert (two.Value, two.is_fallback, two.aqi_label, two.color_a) == (0.0, True, "No data", 0)
     assert (two.station_name, two.area_type, two.symbol) == ("SPO-2", "unknown", "●")   # fallbacks
+
+
+def test_manifest_to_nanosecond_files(spark):
+    """Manifest of pandas-written files → one tolerant scan, times parsed to wall clock."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    root = scratch_path(spark, "landing")
+    paths = []
+    for country, sp, ns in (("CH", "SPO-1", 1546300800000000000), ("DE", "SPO-2", 1546304400000000000)):
+        part = os.path.join(root, f"country={country}", "pollutant=NO2")
+        os.makedirs(part)
+        pdf = pd.DataFrame({"Samplingpoint": [f"{country}/{sp}"], "Start": pd.to_datetime([ns], unit="ns"),
+                            "Value": ["17.5"]})
+        path = os.path.join(part, f"{sp}.parquet")
+        pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False), path, version="2.6")
+        paths.append(path)
+    man = scratch_path(spark, "manifest")
+    os.makedirs(man)
+    with open(os.path.join(man, "urls.txt"), "w") as fh:
+        fh.write("ParquetFileUrl\n" + "\n".join(f"  {p} " for p in paths) + "\n\n")
+    entries = FS.manifest_entries(spark, man)
+    try:
+        rows = FS.read_manifest(spark, entries, base_path=root, start_type="nanos", value_type="text") \
+            .orderBy("Start").collect()
+    finally:
+        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    assert [(r.country, r.Start, r.Value) for r in rows] == [
+        ("CH", dt.datetime(2019, 1, 1, 0, 0), 17.5), ("DE", dt.datetime(2019, 1, 1, 1, 0), 17.5)]
