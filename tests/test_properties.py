@@ -61,3 +61,22 @@ def test_map_frames_materialized_equals_recomputed(spark, sf_small):
     a = H.map_frames_all(hist, "1996-01-01", "1996-02-15", materialize=True)
     b = H.map_frames_all(hist, "1996-01-01", "1996-02-15", materialize=False)
     assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
+
+
+def test_order_independence_under_reshuffled_input(spark, sf_small):
+    """Same results when the input arrives in another partitioning and order
+    (every keep-first / arg-max states its own total order)."""
+    hist = A.historic(spark, sf_small)
+    shuffled_hist = hist.repartition(11).orderBy(F.rand(17))
+    for build in (H.dedup_latlon, lambda h: H.day_values_styled(h, materialize=False)):
+        a = sorted(build(hist).collect(), key=repr)
+        b = sorted(build(shuffled_hist).collect(), key=repr)
+        assert a == b
+    raw = A.raw_readings(spark, sf_small)
+    coords = M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf_small)))
+    shuffled_coords = M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf_small).repartition(5).orderBy(F.rand(3))))
+    def summary(r, c):
+        recent = L.recent_readings(r, as_of="2024-01-30 00:00:00")
+        named = L.readings_named(recent, L.station_meta(recent, c))
+        return sorted(CMP.station_summary(CMP.compare_series(named)).collect(), key=repr)
+    assert summary(raw, coords) == summary(raw.repartition(7).orderBy(F.rand(5)), shuffled_coords)
