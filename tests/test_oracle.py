@@ -61,7 +61,8 @@ def test_entry_smoke(spark):
 
 
 ZONE_SENSITIVE = ["parse_time", "filter_last_7d", "hourly_mean", "hour_view", "hour_frames_all",
-                  "frame_index", "format_time", "station_summary", "map_frames_all", "stream_hourly_mean"]
+                  "frame_index", "format_time", "station_summary", "map_frames_all", "stream_hourly_mean",
+                  "hour_view_at", "hour_bounds", "stream_hourly_final", "filter_year", "hour_spine"]
 
 
 @pytest.mark.parametrize("name", ZONE_SENSITIVE)
