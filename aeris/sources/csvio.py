@@ -27,15 +27,38 @@ _JAVA_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "u
                   "utf-16be": "UTF-16BE", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
 
 
+_UTF16 = ("utf-16", "utf-16le", "utf-16be")
+
+
 def _reader(spark: SparkSession, sep: str, encoding: str):
-    return (spark.read.option("header", "true").option("sep", sep)
-            .option("encoding", _JAVA_ENCODING[encoding]).option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false"))
+    r = (spark.read.option("header", "true").option("sep", sep)
+         .option("encoding", _JAVA_ENCODING[encoding]).option("mode", "PERMISSIVE")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false"))
+    # line splitting works on bytes; UTF-16 text needs the charset-aware multi-line parser
+    return r.option("multiLine", "true") if encoding in _UTF16 else r
+
+
+def _decodable(spark: SparkSession, path: str) -> set[str]:
+    """Encodings worth trying, from the file's bytes read as UTF-8 text.
+
+    NUL characters in the first line mean UTF-16; a line that is not valid
+    UTF-8 anywhere means another single-byte encoding (a distributed scan that
+    stops at the first hit). pandas finds the same by failing to decode; Spark would
+    silently substitute, so the undecodable tries are skipped instead.
+    """
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
+    if first and "\x00" in first[0].value:
+        return set(_UTF16)
+    if not lines.where(~F.is_valid_utf8(F.col("value"))).limit(1).isEmpty():
+        return {"latin-1", "cp1252"}
+    return {e for e in ENCODINGS if e not in _UTF16}
 
 
 def discover_dialect(spark: SparkSession, path: str) -> tuple[str, str] | None:
     """First (encoding, separator) giving >= 4 columns and >= 1 row, else None."""
-    for enc in ENCODINGS:
+    allowed = _decodable(spark, path)
+    for enc in (e for e in ENCODINGS if e in allowed):
         for sep in SEPARATORS:
             try:
                 df = _reader(spark, sep, enc).csv(path)

@@ -189,3 +189,15 @@ def test_manifest_to_nanosecond_files(spark):
         spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
     assert [(r.country, r.Start, r.Value) for r in rows] == [
         ("CH", dt.datetime(2019, 1, 1, 0, 0), 17.5), ("DE", dt.datetime(2019, 1, 1, 1, 0), 17.5)]
+
+
+def test_utf16_and_latin1_csv_discovery(spark):
+    for enc, expect in (("utf-16", "utf-16"), ("latin-1", "latin-1")):
+        d = scratch_path(spark, f"csv-{enc}")
+        os.makedirs(d)
+        with open(os.path.join(d, "m.csv"), "w", encoding=enc) as fh:
+            fh.write("Sampling Point Id;Latitude;Longitude;Air Quality Station Name\n"
+                     "SPO-1;47.1;8.5;Zürich\nSPO-2;46.0;7.0;Genève\n")
+        assert csvio.discover_dialect(spark, d) == (expect, ";")
+        rows = sorted(tuple(r) for r in csvio.read_csv_discovered(spark, d).collect())
+        assert rows == [("SPO-1", "47.1", "8.5", "Zürich"), ("SPO-2", "46.0", "7.0", "Genève")]
