@@ -201,3 +201,18 @@ def test_utf16_and_latin1_csv_discovery(spark):
         assert csvio.discover_dialect(spark, d) == (expect, ";")
         rows = sorted(tuple(r) for r in csvio.read_csv_discovered(spark, d).collect())
         assert rows == [("SPO-1", "47.1", "8.5", "Zürich"), ("SPO-2", "46.0", "7.0", "Genève")]
+
+
+def test_stored_historic_prunes_and_pushes(spark, sf_small):
+    from aeris.operators import historic as H
+    from aeris.sources import adapters as A
+    hist = A.historic(spark, sf_small)
+    root = FS.write_historic(hist, scratch_path(spark, "historic-test"))
+    routed = H.daily_average(H.route_pollutant(FS.scan_historic(spark, root), "PM2.5"), "1997-01-01", "1997-12-31")
+    qe = routed._jdf.queryExecution()
+    qe.toRdd().count()
+    plan = qe.executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(pollutant" in plan and "(pollutant" in plan
+    assert "GreaterThanOrEqual(Date,1997-01-01" in plan
+    expected = H.daily_average(H.route_pollutant(hist, "PM2.5"), "1997-01-01", "1997-12-31")
+    assert sorted(routed.collect(), key=repr) == sorted(expected.collect(), key=repr)
