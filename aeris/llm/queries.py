@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeris.llm import exact_dedup, lang_id, licenses, warc
+from aeris.llm import chat, decontaminate, exact_dedup, html_text, lang_id, licenses, warc
 from aeris.llm.common import read_table, ship
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -35,6 +47,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op2_license_scan, op4_warc, op5_exact_dedup, op8_language_id)}
+    f.__name__: _shipped(f) for f in (op1_html_text, op2_license_scan, op4_warc, op5_exact_dedup, op7_chat_collapse,
+                                     op8_language_id, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
