@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeris.llm import chat, decontaminate, exact_dedup, html_text, lang_id, licenses, warc
+from aeris.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, licenses, packing, repeats, warc
 from aeris.llm.common import read_table, ship
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary of the public tokenizers lies on this machine (the same place on every machine)."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
@@ -18,6 +24,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages")).drop("target_uri")
 
@@ -26,6 +36,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(read_table(spark, sf_dir, "conversations"))
 
@@ -34,6 +48,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +65,8 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_html_text, op2_license_scan, op4_warc, op5_exact_dedup, op7_chat_collapse,
-                                     op8_language_id, op10_decontaminate)}
+    f.__name__: _shipped(f) for f in (
+        op1_html_text, op2_license_scan, op3_jaccard_join, op4_warc, op5_exact_dedup, op6_packing, op7_chat_collapse,
+        op8_language_id, op9_repeats, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
