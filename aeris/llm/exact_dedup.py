@@ -150,7 +150,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     maybe = flagged.where("maybe").drop("maybe")
-    rest = maybe.join(grouped(maybe), "sha").select(
+    # groups are written on their own, so that the join's two sides are plain shuffles and a hot digest can be split
+    rest = maybe.join(stored(grouped(maybe), "exact-groups"), "sha").select(
         F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"),
         (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     return alone.unionByName(rest)
