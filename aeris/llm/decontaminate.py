@@ -13,7 +13,8 @@ window are one window of all their words (at least ``MIN_LITERAL`` literal words
 Null and empty texts match nothing; repeated rows of either table are matched alike; other columns are ignored
 or kept as they are; an empty table on either side gives no match. Rows with a null id cannot be reported and
 are never removed. All windows of all documents are tested. Benchmarks of at most ``BROADCAST_WINDOWS`` windows
-(counted) are broadcast; larger ones meet the documents by a shuffle join.
+(counted) are broadcast; larger ones meet the documents by a shuffle join. So are the ids of documents with matches,
+up to ``BROADCAST_IDS``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ MIN_LITERAL = 4
 MIN_COVER = 0.5
 MIN_RUN = 13
 BROADCAST_WINDOWS = 2_000_000
+BROADCAST_IDS = 2_000_000
 
 # Unit words that follow a number.
 UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound "
@@ -116,6 +118,12 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """Ids marked for a broadcast when they are few (counted); else the texts meet them in a shuffle."""
+    ids = stored(ids, "bench-ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", min_cover: float = MIN_COVER,
             min_run: int = MIN_RUN) -> DataFrame:
@@ -124,7 +132,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     windows = stored(item_windows(benchmark, item_col, item_text_col), "bench-windows")
     found = stored(hits(docs, windows, id_col, text_col), "bench-hits")
     # the words of the documents that were hit, at the places that were hit
-    ids = found.select("doc").distinct()
+    ids = _sized(found.select("doc").distinct())
     raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")) \
         .join(ids, "doc", "left_semi").select("doc", words(F.col("text")).alias("dw"))
     # one row per document with its places: places are bounded by the words of the document
@@ -157,5 +165,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item was found, all columns as they were."""
     (key,) = fresh(docs, "_leak_id")
-    ids = stored(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct(), "bench-leaks")
+    ids = _sized(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct())
     return docs.join(ids, F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -31,79 +31,97 @@ from pyspark.sql.window import Window
 from aeris.llm.common import sliced, stored
 
 CAPACITY = 2048
-_REMEMBER = 1_000_000
+_REMEMBER = 600_000
 _PART = 50_000
 
 
 class WordTokens:
     """Ids of texts through remembered ids of their blank-separated words.
 
-    New words are tokenised together. Words of letters only are joined by blanks and told apart again by the end
-    mark that each one's last id carries; a full stop or comma after them is a token of its own. All other words,
-    and those whose end marks do not add up, are tokenised one by one."""
+    Texts are lower-cased as the tokenizer does, and full stops and commas at the end of a word become words of
+    their own, which they are to the tokenizer unless they follow another sign; texts where they do go to the
+    tokenizer whole. New words are tokenised together: words of letters joined by blanks and told apart again
+    by the end mark that each one's last id carries, all others one by one."""
 
     def __init__(self, path: str):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
-        self.after = {c: self._ids(c) for c in ".,"}
         self._clear()
 
-    def _ids(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
     def _clear(self) -> None:
         self.at = _Numbered()
-        self.at[""] = 0
-        self.plain: dict[str, list[int]] = {}
-        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _plain(self, words: list[str]) -> None:
-        """Remember the ids of words of letters."""
-        lines = [words[i:i + 64] for i in range(0, len(words), 64)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False),
-                           strict=True):
-            ids = e.ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
-            if len(stops) == len(line):
-                self.plain.update(zip(line, (ids[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-            else:
-                self.plain.update((w, self._ids(w)) for w in line)
+        for w in ("", ".", ","):
+            self.at[w] = len(self.at)
+        point, comma = (self._whole(x) for x in ".,")
+        self.flat = np.r_[point, comma].astype(np.uint32)
+        self.size = np.array([0, len(point), len(comma)])
+        self.start = np.array([0, 0, len(point)])
+        self.sign = np.array([False, True, True])  # words that end in a sign
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        stems = []
-        for w in words:
-            stem = w[:-1] if w[-1] in ".," else w
-            stems.append(stem if stem.isalpha() else "")
-        self._plain(list({s for s in stems if s and s not in self.plain}))
-        odd = [w for w, s in zip(words, stems, strict=True) if not s]
-        slow = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
-        plain, after = self.plain, self.after
-        ids = [slow[w] if not s else plain[s] if len(s) == len(w) else plain[s] + after[w[-1]]
-               for w, s in zip(words, stems, strict=True)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        size = np.zeros(len(words), np.int64)
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        plain, odd = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        lines = [plain[i:i + 64] for i in range(0, len(plain), 64)]
+        text = [" ".join([words[i] for i in line]) for line in lines]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(text, add_special_tokens=False), strict=True):
+            own = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[own]) + 1
+            if len(stops) == len(line):
+                size[line] = np.diff(stops, prepend=0)
+                ids[line[0]] = own  # the ids of the whole line, at its first word
+            else:
+                odd += line.tolist()
+        order = np.argsort(~letters, kind="stable")  # lines one after the other, then the others
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, np.uint32)
+            size[i] = len(ids[i])
+        start = np.empty(len(words), np.int64)
+        start[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.flat = np.concatenate([self.flat, *(ids[i] for i in order.tolist())])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        sign = np.fromiter((not w[-1].isalnum() for w in words), bool, len(words))
+        self.sign = np.concatenate([self.sign, sign])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.at) > _REMEMBER or len(self.flat) > 8 * _REMEMBER:
+        if len(self.at) > _REMEMBER:
             self._clear()
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self._words(t or "") for t in texts]
         words = [w for s in split for w in s]
         index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         if self.at.new:
             self._learn(self.at.new)
             self.at.new = []
+        ends = np.cumsum([len(s) for s in split])
+        # a stop or comma after another sign belongs to it
+        joined = np.flatnonzero(self.sign[index[:-1]] & ((index[1:] == 1) | (index[1:] == 2))) + 1 if len(index) else []
+        whole = np.unique(np.searchsorted(ends, joined, side="right")).tolist()
         size = self.size[index]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[index] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.cumsum([len(s) for s in split])
-        per = np.diff(np.r_[0, upto[ends - 1]]) if len(ends) else np.zeros(0, np.int64)
-        return ids, per
+        if not whole:
+            return ids, np.diff(upto[ends - 1], prepend=0) if len(ends) else np.zeros(0, np.int64)
+        parts = np.split(ids, upto[ends - 1][:-1])
+        for i in whole:
+            parts[i] = self._whole(texts[i])
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        if "<|" not in text and "\u03a3" not in text:  # special tokens keep their case; final sigma is lowered by context
+            text = text.lower()
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return (text + " ").replace(". ", " . ").replace(", ", " , ").split(" ")
 
 
 class _Numbered(dict):

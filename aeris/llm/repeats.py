@@ -36,7 +36,7 @@ from aeris.llm.common import as_bytes, mix, sliced, stored
 
 LENGTH = 200
 GRAM = 40
-_BUFFER = 2 << 20  # bytes worked on at once
+_BUFFER = 1 << 19  # bytes worked on at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 23) - 1)  # low bits of a key: the place in the buffer
 
@@ -148,7 +148,7 @@ def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     (``_KNOWN``: it is repeated already); the others are settled (``_DONE``), joined to runs, with their number
     of starts in ``e``."""
     def run(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, 4 << 20):
             keys = np.asarray(b.column(0))
             for data, owner, start, begin, valid in buffers(as_bytes(b.column(1)), length):
                 first, count, offset, g, e = anchors(data, valid, length, gram)
@@ -294,7 +294,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
         pack = zstandard.ZstdCompressor(level=1)
-        for b in sliced(batches, column=2):
+        for b in sliced(batches, 4 << 20, column=2):
             data = pa.array([pack.compress(x) for x in as_bytes(b.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], names=["key", "doc_id", "packed_text"])
 
