@@ -189,8 +189,9 @@ def ranked(rows: DataFrame) -> DataFrame:
     different segment of a gram that has several (``group`` of them)."""
     gram, segment = Window.partitionBy("g"), Window.partitionBy("g", "e")
     state = F.col("packed").bitwiseAND(3)
-    both = rows.withColumn("same", F.count(F.lit(1)).over(segment)).withColumn("known", F.max(state).over(segment)) \
-        .withColumn("k", F.row_number().over(segment.orderBy("key", "packed"))) \
+    # dealt by the gram once: that holds for its segments as well
+    both = rows.repartition("g").withColumn("k", F.row_number().over(segment.orderBy("key", "packed"))) \
+        .withColumn("same", F.count(F.lit(1)).over(segment)).withColumn("known", F.max(state).over(segment)) \
         .withColumn("group", F.sum((F.col("k") == 1).cast("int")).over(gram))
     done = state == _DONE
     repeated = (F.col("same") > 1) | (F.col("known") > 0)
