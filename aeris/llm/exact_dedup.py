@@ -169,7 +169,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("binary")
     def sha(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(b"" if t is None else t.encode()) for t in texts])
+        return pd.Series([digest(t.encode() if isinstance(t, str) else b"") for t in texts])
 
     flagged = docs.withColumn(sha_name, sha(F.col(text_col))).withColumn(maybe_name, test(sha_name))
     straight = flagged.where(~F.col(maybe_name)).select(*cols)

@@ -4,7 +4,8 @@ A document is its set of five-word shingles; two documents are linked when the J
 ``threshold`` (0.8) or more. Candidates come from a chosen-path join: each set is embedded as ``COORDINATES``
 min-hash tokens, and every run splits the sets recursively. A node of the recursion, the path of tokens so far,
 draws a few coordinates at random (the same for all sets at the node) and sends each set on by its token there. Sets
-that meet at a node of at most ``BUCKET`` members are compared by brute force; larger nodes are split again. A
+that meet at a node of at most ``BUCKET`` members are compared by brute force (in blocks of ``BLOCK``); larger nodes
+are split again. A
 linked pair survives a run of two levels with at least ``threshold ** 2``, so ``runs`` is chosen to miss it with a
 probability below ``1 - recall`` (0.99999: 12 runs).
 
@@ -33,8 +34,8 @@ SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 COORDINATES = 64
-BUCKET = 400
-BLOCK = 256
+BUCKET = 4000
+BLOCK = 400
 DEPTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EXTRA = np.uint64(int(0.25 / COORDINATES * 2 ** 64))
@@ -128,8 +129,8 @@ def _forest(near: np.ndarray) -> np.ndarray:
 
 def candidate_edges(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges ``(a, b)`` between members ``(path, lo, hi, side, key, tokens)`` of a node whose tokens agree often enough
-    for a link; a spanning forest per node. ``lo < hi`` are two blocks of one large node: only pairs
-    across them count."""
+    for a link; a spanning forest per node. ``lo < hi`` are two blocks of one large node: only edges that
+    join what is not connected within either block are given."""
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
     def run(batches):
@@ -147,10 +148,11 @@ def candidate_edges(members: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     continue
                 part = mark[s:e]
                 near = np.stack([(part == x).mean(axis=1) >= least for x in part])
-                if rows[s][1] != rows[s][2]:
-                    near &= side[s:e, None] != side[None, s:e]
                 label = _forest(near)
-                other = np.flatnonzero(label != np.arange(e - s))
+                own = np.arange(e - s)
+                if rows[s][1] != rows[s][2]:  # one member of each block's own components
+                    own = _forest(near & (side[s:e, None] == side[None, s:e]))
+                other = np.flatnonzero((label != np.arange(e - s)) & (own == np.arange(e - s)))
                 a.append(keys[s:e][label[other]])
                 b.append(keys[s:e][other])
             if a:
@@ -181,7 +183,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         shared = stored(nodes.join(sizes, "path"), "join-shared")
         last = depth == DEPTH
         ready = shared if last else shared.where(F.col("c") <= BUCKET)
-        found.append(_blocked(ready, "path", "c", BUCKET))
+        found.append(_blocked(ready, "path", "c", BLOCK))
         if last or (large := shared.where(F.col("c") > BUCKET)).isEmpty():
             break
         nodes = _split(large.select("key", "path").join(marks, "key"))

@@ -21,6 +21,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -243,7 +244,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language cannot be told (``und``), all columns as they were. Where
     nothing is labelled no language can be ruled out, and only texts without a letter go."""
-    import pandas as pd
     model = fit(docs, id_col, text_col) if "lang" in docs.columns else Model({})
     shared = docs.sparkSession.sparkContext.broadcast(model if model.langs else Model({"any": ["a"]}))
 
@@ -251,7 +251,7 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def known(texts: pd.Series) -> pd.Series:
         out: list[bool] = []
         for at in range(0, len(texts), 256):
-            names, _ = shared.value.predict([None if t is None else t for t in texts[at:at + 256]])
+            names, _ = shared.value.predict([t if isinstance(t, str) else None for t in texts[at:at + 256]])
             out += [x != UNKNOWN for x in names]
         return pd.Series(out, dtype=bool)
 
