@@ -93,7 +93,7 @@ def sliced(batches, max_bytes: int = 16 << 20, column: int = 1):
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -114,6 +114,11 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def forget() -> None:
+    """Free the remembered words at the end of a task: Python workers are used again by other stages."""
+    _HASHES.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply), element by element."""
     x = x ^ (x >> np.uint64(33))
@@ -162,5 +167,5 @@ def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-__all__ = ["as_bytes", "checkpoint_root", "connected", "fresh", "mix", "os", "read_table", "shingles", "ship", "sliced",
+__all__ = ["as_bytes", "checkpoint_root", "connected", "forget", "fresh", "mix", "os", "read_table", "shingles", "ship", "sliced",
            "stored", "word_hashes", "words_of"]

@@ -28,12 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeris.llm.common import as_bytes, connected, fresh, mix, shingles, sliced, stored
+from aeris.llm.common import as_bytes, connected, forget, fresh, mix, shingles, sliced, stored
 
 SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 COORDINATES = 64
+WAVE = 4
 BUCKET = 4000
 BLOCK = 400
 DEPTH = 5
@@ -65,8 +66,9 @@ def children(path: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, runs: int | None = None) -> DataFrame:
-    """``(key, doc_id, n, same, tokens, paths)`` of every row: a key of id and text, the number of shingles, a
-    digest of the set, one byte per token, and its nodes after two levels of every run."""
+    """``(key, doc_id, n, same, tokens, paths, later)`` of every row: a key of id and text, the number of shingles, a
+    digest of the set, one byte per token, and its nodes after two levels of the first ``WAVE`` runs and of the
+    others."""
     roots = mix(np.arange(1, (runs or runs_for()) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
     def run(batches):
@@ -80,21 +82,24 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low.append(tokens(s) if len(s) else np.zeros(COORDINATES, np.uint64))
             values = np.array(low)
-            row = np.repeat(np.flatnonzero(n), len(roots))
-            path = np.tile(roots, np.count_nonzero(n))
-            for _ in range(2):
-                at, path = children(path, values[row])
-                row = row[at]
-            nodes = [np.unique(x).view(np.int64) for x in np.split(path, np.searchsorted(row, np.arange(1, len(n))))]
+            nodes = []
+            for part in (roots[:WAVE], roots[WAVE:]):
+                row = np.repeat(np.flatnonzero(n), len(part))
+                path = np.tile(part, np.count_nonzero(n))
+                for _ in range(2):
+                    at, path = children(path, values[row])
+                    row = row[at]
+                nodes.append([np.unique(x).view(np.int64) for x in np.split(path, np.searchsorted(row, np.arange(1, len(n))))])
             small = (values & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(same, pa.binary()),
-                 pa.array([x.tobytes() for x in small], pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["key", "doc_id", "n", "same", "tokens", "paths"])
+                 pa.array([x.tobytes() for x in small], pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in nodes)],
+                names=["key", "doc_id", "n", "same", "tokens", "paths", "later"])
+        forget()
 
     three = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
                         F.col(text_col).alias("text"))
-    return three.mapInArrow(run, "key long, doc_id long, n int, same binary, tokens binary, paths array<long>")
+    return three.mapInArrow(run, "key long, doc_id long, n int, same binary, tokens binary, paths array<long>, later array<long>")
 
 
 def _groups(batches, n_keys: int, at_least: int = 4096):
@@ -128,38 +133,41 @@ def _forest(near: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges ``(a, b)`` between members ``(path, lo, hi, side, key, tokens)`` of a node whose tokens agree often enough
-    for a link; a spanning forest per node. ``lo < hi`` are two blocks of one large node: only edges that
+    """Edges ``(a, b)`` between members ``(path, lo, hi, side, key, group, tokens)`` of a node whose tokens agree often
+    enough for a link; a spanning forest per node. Members of one ``group`` are connected already, and edges join
+    groups. ``lo < hi`` are two blocks of one large node: only edges that
     join what is not connected within either block are given."""
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
     def run(batches):
         import pyarrow as pa
         for rows in _groups(batches, 3):
-            keys = np.array([r[4] for r in rows], np.int64)
+            group = np.array([r[5] for r in rows], np.int64)
             side = np.array([r[3] for r in rows], np.int32)
-            mark = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, COORDINATES)
+            mark = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, COORDINATES)
             a, b = [], []
             for s, e in _bounds([r[:3] for r in rows]):
                 if e - s == 2:
-                    if (mark[s] == mark[s + 1]).mean() >= least and (rows[s][1] == rows[s][2] or side[s] != side[s + 1]):
-                        a.append(keys[s:s + 1])
-                        b.append(keys[s + 1:e])
+                    if group[s] != group[s + 1] and (mark[s] == mark[s + 1]).mean() >= least:
+                        a.append(group[s:s + 1])
+                        b.append(group[s + 1:e])
                     continue
-                part = mark[s:e]
-                near = np.stack([(part == x).mean(axis=1) >= least for x in part])
-                label = _forest(near)
-                own = np.arange(e - s)
-                if rows[s][1] != rows[s][2]:  # one member of each block's own components
-                    own = _forest(near & (side[s:e, None] == side[None, s:e]))
+                part, mine = mark[s:e], group[s:e]
+                if (mine == mine[0]).all():
+                    continue
+                near = np.stack([(part == x).mean(axis=1) >= least for x in part]) | (mine[:, None] == mine[None, :])
+                own = mine[:, None] == mine[None, :]
+                if rows[s][1] != rows[s][2]:  # each block's own components come from its own pair
+                    own |= near & (side[s:e, None] == side[None, s:e])
+                label, own = _forest(near), _forest(own)
                 other = np.flatnonzero((label != np.arange(e - s)) & (own == np.arange(e - s)))
-                a.append(keys[s:e][label[other]])
-                b.append(keys[s:e][other])
+                a.append(mine[label[other]])
+                b.append(mine[other])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     order = ["path", "lo", "hi"]
-    return members.select(*order, "side", "key", "tokens").repartition(*order).sortWithinPartitions(*order) \
+    return members.select(*order, "side", "key", "group", "tokens").repartition(*order).sortWithinPartitions(*order) \
         .mapInArrow(run, "a long, b long")
 
 
@@ -172,25 +180,35 @@ def _blocked(members: DataFrame, node: str, count: str, block: int) -> DataFrame
 
 
 def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate edges of distinct sets ``(key, tokens, paths)``: nodes of up to ``BUCKET`` members by brute force,
-    larger ones split again by the next tokens; what is still larger after ``DEPTH`` levels in blocks."""
+    """Tentative components ``(node, root)`` of distinct sets ``(key, tokens, paths, later)``. The first runs connect most
+    of what belongs together; the others only add edges between the components found so far."""
     marks = reps.select("key", "tokens")
-    nodes = reps.select("key", F.explode("paths").alias("path"))
-    found: list[DataFrame] = []
+    first = candidate_edges(_members(reps.select("key", F.explode("paths").alias("path")), marks)
+                            .withColumn("group", F.col("key")), threshold)
+    found = connected(first, "join-first")
+    again = _members(reps.select("key", F.explode("later").alias("path")), marks) \
+        .join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("root", "key"))
+    more = candidate_edges(again, threshold)
+    return connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "join-candidates")
+
+
+def _members(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members ``(path, lo, hi, side, key, tokens)`` to compare of ``nodes(key, path)``: nodes of up to ``BUCKET``
+    members; larger ones are split again by the next tokens, and taken as they are after ``DEPTH`` levels."""
+    ready: list[DataFrame] = []
     for depth in range(2, DEPTH + 1):
         nodes = stored(nodes, "join-nodes")
         sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         shared = stored(nodes.join(sizes, "path"), "join-shared")
         last = depth == DEPTH
-        ready = shared if last else shared.where(F.col("c") <= BUCKET)
-        found.append(_blocked(ready, "path", "c", BLOCK))
+        ready.append(_blocked(shared if last else shared.where(F.col("c") <= BUCKET), "path", "c", BLOCK))
         if last or (large := shared.where(F.col("c") > BUCKET)).isEmpty():
             break
         nodes = _split(large.select("key", "path").join(marks, "key"))
-    members = found[0]
-    for f in found[1:]:
-        members = members.unionByName(f)
-    return candidate_edges(members.join(marks, "key"), threshold)
+    members = ready[0]
+    for more in ready[1:]:
+        members = members.unionByName(more)
+    return members.join(marks, "key")
 
 
 def _split(members: DataFrame) -> DataFrame:
@@ -234,6 +252,7 @@ def linked(members: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -
                 links = near @ np.array([r[5] for r in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[_forest(near)]), pa.array(links)],
                                                  names=["key", "top", "links"])
+        forget()
 
     order = ["root", "lo", "hi"]
     return members.select(*order, "side", "key", "copies", "packed_text").repartition(*order).sortWithinPartitions(*order) \
@@ -273,8 +292,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     same = wordy.groupBy("same").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     same = stored(same, "join-same")
     firsts = same.select(F.col("rep").alias("key"))
-    reps = wordy.select("key", "tokens", "paths").join(firsts, "key", "left_semi").dropDuplicates(["key"])
-    found = connected(candidates(stored(reps, "join-reps"), threshold), "join-candidates")
+    reps = wordy.select("key", "tokens", "paths", "later").join(firsts, "key", "left_semi").dropDuplicates(["key"])
+    found = candidates(stored(reps, "join-reps"), threshold)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     members = found.withColumnRenamed("node", "key").join(sizes, "root") \
         .join(same.select(F.col("rep").alias("key"), "copies"), "key")
