@@ -115,8 +115,19 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def forget() -> None:
-    """Free the remembered words at the end of a task: Python workers are used again by other stages."""
+    """At the end of a task, free what it remembered and give memory back to the system: Python workers live on and
+    are used again by other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
     _HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeris.llm.common import as_bytes, fresh, stored
+from aeris.llm.common import as_bytes, forget, fresh, stored
 
 FILTER_BITS = 1 << 26
 PROBES = 2
@@ -66,7 +67,7 @@ def _slots(shas, bits: int) -> np.ndarray:
 def repeated_bits(prints: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes]:
     """The "seen again" filter as ``{chunk: packed bits}``; at most ``bits / 8`` bytes in all."""
 
-    def local(batches):  # one filter pair per task: chunks that were hit, packed
+    def local(batches):  # one filter pair per task: bytes of eight bits, chunks that were hit
         seen: dict[int, np.ndarray] = {}
         again: dict[int, np.ndarray] = {}
         for b in batches:
@@ -75,13 +76,14 @@ def repeated_bits(prints: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes
             for probe in _slots(b.column(0).to_pylist(), bits).T:
                 # repeats within the batch, then against what came before
                 slot, n = np.unique(probe, return_counts=True)
-                for c in np.unique(slot // _CHUNK_BITS):
+                for c in np.unique(slot // _CHUNK_BITS).tolist():
                     mine = slot // _CHUNK_BITS == c
-                    at, more = slot[mine] % _CHUNK_BITS, n[mine] > 1
+                    byte, bit = _bit(slot[mine] % _CHUNK_BITS)
                     if c not in seen:
-                        seen[c], again[c] = np.zeros(_CHUNK_BITS, bool), np.zeros(_CHUNK_BITS, bool)
-                    again[c][at[more | seen[c][at]]] = True
-                    seen[c][at] = True
+                        seen[c], again[c] = np.zeros(_CHUNK_BITS // 8, np.uint8), np.zeros(_CHUNK_BITS // 8, np.uint8)
+                    more = (n[mine] > 1) | (seen[c][byte] & bit > 0)
+                    np.bitwise_or.at(again[c], byte[more], bit[more])
+                    np.bitwise_or.at(seen[c], byte, bit)
         yield from _packed(seen, again)
 
     def merged(batches):
@@ -107,32 +109,64 @@ def _packed(seen, again):
     import pyarrow as pa
     for c in seen:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(c)], pa.int32()), pa.array([zlib.compress(np.packbits(seen[c]).tobytes(), 1)]),
-             pa.array([zlib.compress(np.packbits(again[c]).tobytes(), 1)])], names=["chunk", "seen", "again"])
+            [pa.array([int(c)], pa.int32()), pa.array([zlib.compress(seen[c].tobytes(), 1)]),
+             pa.array([zlib.compress(again[c].tobytes(), 1)])], names=["chunk", "seen", "again"])
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8)).astype(bool)
+    return np.frombuffer(zlib.decompress(data), np.uint8).copy()
 
 
-def possibly_repeated(spark, chunks: dict[int, bytes], bits: int = FILTER_BITS):
-    """A column function ``sha -> boolean`` testing the broadcast filter."""
-    shared = spark.sparkContext.broadcast(chunks)
-    cache: dict[int, np.ndarray] = {}
+def _bit(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return slot >> 3, (1 << (slot & 7)).astype(np.uint8)
 
+
+class Filter:
+    """The broadcast "seen again" filter, unpacked where it is used."""
+
+    def __init__(self, spark, chunks: dict[int, bytes], bits: int = FILTER_BITS):
+        self.shared, self.bits = spark.sparkContext.broadcast(chunks), bits
+
+    def test(self):
+        """A function from digests to booleans, for one task."""
+        table = np.zeros((self.bits + _CHUNK_BITS) // 8, np.uint8)
+        for c, data in self.shared.value.items():
+            table[c * _CHUNK_BITS // 8:(c + 1) * _CHUNK_BITS // 8] = _unpacked(data)
+
+        def maybe(shas) -> np.ndarray:
+            byte, bit = _bit(_slots(list(shas), self.bits))
+            return (table[byte] & bit > 0).all(axis=1)
+        return maybe
+
+    def __getstate__(self):
+        return {"shared": self.shared, "bits": self.bits}
+
+
+def possibly_repeated(found: Filter):
+    """A column function ``sha -> boolean``."""
     @F.pandas_udf("boolean")
-    def test(shas: pd.Series) -> pd.Series:
-        if not len(shas):
-            return pd.Series([], dtype=bool)
-        if not cache:
-            cache[0] = np.zeros(bits + _CHUNK_BITS, bool)
-            for c, data in shared.value.items():
-                cache[0][c * _CHUNK_BITS:(c + 1) * _CHUNK_BITS] = _unpacked(data)
-        return pd.Series(cache[0][_slots(list(shas), bits)].all(axis=1))
+    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        maybe = found.test()
+        for shas in parts:
+            yield pd.Series(maybe(shas) if len(shas) else [], dtype=bool)
+        forget()
 
     return test
 
 
+def fingerprint_and_test(found: Filter):
+    """A column function ``text -> struct<sha, maybe>``, one Python call for both."""
+    @F.pandas_udf("sha binary, maybe boolean")
+    def marked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        maybe = found.test()
+        for texts in parts:
+            shas = [digest(t.encode() if isinstance(t, str) else b"") for t in texts]
+            yield pd.DataFrame({"sha": shas, "maybe": maybe(shas) if shas else np.zeros(0, bool)})
+        forget()
+
+    return marked
+
+
 def grouped(maybe: DataFrame) -> DataFrame:
     """One row per digest: size and the row that stays."""
     best = F.max(F.struct("n_cp", (-F.col("id")).alias("neg"), (-F.col("row")).alias("neg_row")))
@@ -144,7 +178,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 filter_bits: int = FILTER_BITS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     prints = fingerprints(docs, id_col, text_col)
-    test = possibly_repeated(docs.sparkSession, repeated_bits(prints, filter_bits), filter_bits)
+    test = possibly_repeated(Filter(docs.sparkSession, repeated_bits(prints, filter_bits), filter_bits))
     flagged = prints.withColumn("maybe", test("sha"))
     alone = flagged.where(~F.col("maybe")).select(
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -163,18 +197,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cannot be repeated pass through without a shuffle; the rest meet the rows that stay by (digest, id)."""
     spark, cols = docs.sparkSession, docs.columns
     prints = fingerprints(docs, id_col, text_col)
-    test = possibly_repeated(spark, repeated_bits(prints, filter_bits), filter_bits)
-    kept = stored(grouped(prints.where(test("sha"))), "exact-kept")
-    sha_name, maybe_name, key_name, id_name = fresh(docs, "_sha", "_maybe", "_keep_sha", "_keep_id")
-
-    @F.pandas_udf("binary")
-    def sha(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(t.encode() if isinstance(t, str) else b"") for t in texts])
-
-    flagged = docs.withColumn(sha_name, sha(F.col(text_col))).withColumn(maybe_name, test(sha_name))
-    straight = flagged.where(~F.col(maybe_name)).select(*cols)
+    found = Filter(spark, repeated_bits(prints, filter_bits), filter_bits)
+    kept = stored(grouped(prints.where(possibly_repeated(found)("sha"))), "exact-kept")
+    mark, sha_name, key_name, id_name = fresh(docs, "_mark", "_sha", "_keep_sha", "_keep_id")
+    flagged = docs.withColumn(mark, fingerprint_and_test(found)(F.col(text_col))).withColumn(sha_name, F.col(mark)["sha"])
+    maybe = F.col(mark)["maybe"]
+    straight = flagged.where(~maybe).select(*cols)
     right = kept.select(F.col("sha").alias(key_name), F.col("keep_id").alias(id_name))
-    rest = flagged.where(F.col(maybe_name)).join(
+    rest = flagged.where(maybe).join(
         right, (F.col(sha_name) == F.col(key_name)) & F.col(id_col).cast("long").eqNullSafe(F.col(id_name)), "left_semi")
     # the kept id may stand on shorter variants or repeated rows of its group: the longest one stays
     length = F.length(F.coalesce(F.col(text_col), F.lit("")))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aeris.llm.common import sliced
+from aeris.llm.common import forget, sliced
 
 DOCS_PER_LANG = 96
 CHARS_PER_DOC = 320
@@ -226,6 +227,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             names, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
+        forget()
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return two.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -248,11 +250,13 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model if model.langs else Model({"any": ["a"]}))
 
     @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for at in range(0, len(texts), 256):
-            names, _ = shared.value.predict([t if isinstance(t, str) else None for t in texts[at:at + 256]])
-            out += [x != UNKNOWN for x in names]
-        return pd.Series(out, dtype=bool)
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            out: list[bool] = []
+            for at in range(0, len(texts), 256):
+                names, _ = shared.value.predict([t if isinstance(t, str) else None for t in texts[at:at + 256]])
+                out += [x != UNKNOWN for x in names]
+            yield pd.Series(out, dtype=bool)
+        forget()
 
     return docs.where(known(F.col(text_col)))

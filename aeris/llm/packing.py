@@ -15,23 +15,24 @@ If the fitted patterns need more sequences than best fit alone, the fit is left
 
 Null and empty texts are the single id 0. Repeated rows are packed each on its own. Other columns are
 ignored; an empty table gives an empty result. Tokenising remembers the ids of blank-separated words (the
-tokenizer's pre-tokeniser never joins across blanks), up to ``_REMEMBER`` words a worker.
+tokenizer's pre-tokeniser never joins across blanks), up to ``_REMEMBER`` words a task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aeris.llm.common import sliced, stored
+from aeris.llm.common import forget, sliced, stored
 
 CAPACITY = 2048
-_REMEMBER = 600_000
+_REMEMBER = 250_000
 _PART = 50_000
 
 
@@ -63,6 +64,14 @@ class WordTokens:
         self.start = np.array([0, 0, len(point)])
         self.sign = np.array([False, True, True])  # words that end in a sign
 
+    def _forget(self) -> None:
+        """Drop the words beyond the first ``_REMEMBER``, which hold the frequent ones."""
+        if len(self.at) > _REMEMBER:
+            for w in list(islice(reversed(self.at), len(self.at) - _REMEMBER)):
+                del self.at[w]
+            self.size, self.start, self.sign = (x[:_REMEMBER].copy() for x in (self.size, self.start, self.sign))
+            self.flat = self.flat[:int((self.start + self.size).max())].copy()
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -94,8 +103,7 @@ class WordTokens:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.at) > _REMEMBER:
-            self._clear()
+        self._forget()
         split = [self._words(t or "") for t in texts]
         words = [w for s in split for w in s]
         index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
@@ -137,9 +145,6 @@ class _Numbered(dict):
         return n
 
 
-_TOKENIZERS: dict[str, WordTokens] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, row, piece, start, length, ids_crc32`` (and ``ids``) of every piece; ``row`` tells repeated
@@ -148,9 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
 
     def run(batches):
         import pyarrow as pa
-        if tokenizer_path not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer_path] = WordTokens(tokenizer_path)
-        tokens = _TOKENIZERS[tokenizer_path]
+        tokens = WordTokens(tokenizer_path)  # for this task: Python workers are used again by other stages
         for b in sliced(batches, 4 << 20):
             ids, per = tokens.encode(b.column(1).to_pylist())
             ids = ids.astype("<u4")
@@ -167,6 +170,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names[:len(out)])
+        del tokens
+        forget()
 
     three = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                         F.monotonically_increasing_id().alias("row"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aeris.llm.common import as_bytes, mix, sliced, stored
+from aeris.llm.common import as_bytes, forget, mix, sliced, stored
 
 LENGTH = 200
 GRAM = 40
@@ -170,6 +170,7 @@ def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     far = mix(key[head].view(np.uint64) + place[head].astype(np.uint64))  # dealt anywhere
                     yield _rows(key[head], far, total, _packed(place[head], 0, 0, _DONE))
                 yield _rows(key[leads], g[leads], e[leads], _packed(place[leads], count[leads], offset[leads], state[leads]))
+        forget()
 
     return texts.mapInArrow(run, "key long, g long, e long, packed long")
 
