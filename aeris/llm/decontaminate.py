@@ -111,8 +111,9 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
         F.col(id_col).cast("long").alias("doc"), words(F.col(text_col)).alias("raw"))
     found = tokens.select("doc", F.posexplode(window_hashes(F.col("raw"))).alias("pos", "h")).join(keys, "h", "left_semi")
     for size in sorted(lengths):  # items shorter than a window: at most a few lengths
-        places = _let(template(F.col("raw")), lambda t, k=size: F.transform(
-            F.sequence(F.lit(0), F.size(t) - k), lambda i: _short(F.slice(t, i + 1, F.lit(k)))))
+        piece = lambda t, at: _short(F.slice(t, at + 1, F.lit(size)))  # noqa: E731, B023  (used in this round only)
+        starts = F.sequence(F.lit(0), F.size("raw") - size)
+        places = _let(template(F.col("raw")), lambda t: F.transform(starts, lambda at: piece(t, at)))  # noqa: B023
         some = tokens.where(F.size("raw") >= size).select("doc", F.posexplode(places).alias("pos", "h"))
         found = found.unionByName(some.join(keys, "h", "left_semi"))
     return found
