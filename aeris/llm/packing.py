@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,8 +48,12 @@ class WordTokens:
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-cased, NFC words of letters: splitting at blanks is all that is left to do
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -78,11 +83,12 @@ class WordTokens:
     def _learn(self, words: list[str]) -> None:
         size = np.zeros(len(words), np.int64)
         ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        letters = np.fromiter((w.isalpha() and (w.isascii() or is_normalized("NFC", w)) and w == w.lower() for w in words),
+                              bool, len(words))
         plain, odd = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
         lines = [plain[i:i + 64] for i in range(0, len(plain), 64)]
         text = [" ".join([words[i] for i in line]) for line in lines]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(text, add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.letters.encode_batch_fast(text, add_special_tokens=False), strict=True):
             own = np.array(e.ids, np.uint32)
             stops = np.flatnonzero(self.ends[own]) + 1
             if len(stops) == len(line):
@@ -154,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     def run(batches):
         import pyarrow as pa
         tokens = WordTokens(tokenizer_path)  # for this task: Python workers are used again by other stages
-        for b in sliced(batches, 4 << 20):
+        for b in sliced(batches, 1 << 20):
             ids, per = tokens.encode(b.column(1).to_pylist())
             ids = ids.astype("<u4")
             at = 0
