@@ -160,8 +160,10 @@ def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     written table. Rows per round: nodes plus edges. A node with very many edges only meets partial
     minimums and a join that Spark may split.
     """
-    edges = edges.where("a <> b").select("a", "b")
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    # written before they are used in both directions: a second computation could choose other edges
+    one = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                 f"{name}-edges")
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")) \
         .select("node", F.least("node", "low").alias("root"))
     labels = stored(labels, f"{name}-labels")

@@ -167,7 +167,7 @@ def candidate_edges(members: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     order = ["path", "lo", "hi"]
-    return members.select(*order, "side", "key", "group", "tokens").repartition(*order).sortWithinPartitions(*order) \
+    return members.select(*order, "side", "key", "group", "tokens").repartition(*order).sortWithinPartitions(*order, "key") \
         .mapInArrow(run, "a long, b long")
 
 
