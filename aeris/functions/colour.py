@@ -22,8 +22,8 @@ ANCHORS = [
 
 
 def clip_value(v: Column, cap: float = CAP) -> Column:
-    """Null → 0, then clip to [0, cap]."""
-    return F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), F.lit(cap))
+    """Null and NaN → 0 (missing), then clip to [0, cap]."""
+    return F.least(F.greatest(F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(cap))
 
 
 def _channel(t: Column, ch: int) -> Column:

@@ -64,6 +64,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         jdir = sc._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
+    if not root and sc is not None and sc.master.split("[")[0] != "local":
+        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     if not root:
         # local runs and tests only: no shared folder was configured
         root = tempfile.mkdtemp(prefix="aeris-ckpt-")

@@ -13,6 +13,8 @@ with the same CSV parser against a one-column-wider schema.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,14 @@ _JAVA_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "u
 _UTF16 = ("utf-16", "utf-16le", "utf-16be")
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str):
-    r = (spark.read.option("header", "true").option("sep", sep)
+def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool = True):
+    """Quoted cells may hold separators, doubled quotes and (``multi_line``) line breaks. A multi-line file is read
+    by one task; pass ``multi_line=False`` for large files whose cells hold no line breaks."""
+    r = (spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
          .option("encoding", _JAVA_ENCODING[encoding]).option("mode", "PERMISSIVE")
          .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false"))
     # line splitting works on bytes; UTF-16 text needs the charset-aware multi-line parser
-    return r.option("multiLine", "true") if encoding in _UTF16 else r
+    return r.option("multiLine", "true") if multi_line or encoding in _UTF16 else r
 
 
 def _decodable(spark: SparkSession, path: str) -> set[str]:
@@ -69,12 +73,13 @@ def discover_dialect(spark: SparkSession, path: str) -> tuple[str, str] | None:
     return None
 
 
-def read_csv_metadata(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
+def read_csv_metadata(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
+                      multi_line: bool = True) -> DataFrame:
     """All-string CSV read with the reference's row rule (long rows skipped, short padded)."""
-    header = _reader(spark, sep, encoding).csv(path).columns
+    header = _reader(spark, sep, encoding, multi_line).csv(path).columns
     names = [c.lstrip("﻿") for c in header]
     wide = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
-    rows = _reader(spark, sep, encoding).schema(wide).csv(path)
+    rows = _reader(spark, sep, encoding, multi_line).schema(wide).csv(path)
     kept = rows.where(F.col(f"_c{len(names)}").isNull()).drop(f"_c{len(names)}")
     return kept.toDF(*names)
 
@@ -89,7 +94,7 @@ def read_csv_discovered(spark: SparkSession, path: str) -> DataFrame | None:
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8") -> str:
     """CSV sink with header (one directory of part files)."""
-    (df.write.mode("overwrite").option("header", "true").option("sep", sep)
+    (df.write.mode("overwrite").option("header", "true").option("sep", sep).option("escape", '"')
        .option("encoding", _JAVA_ENCODING[encoding])
        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return path
@@ -97,12 +102,12 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8")
 
 def first_non_empty(*sources) -> DataFrame | None:
     """The first source that yields rows. Sources are DataFrames or zero-argument
-    callables (built lazily, so a failing source is just skipped)."""
-    for src in sources:
+    callables; one that fails while it is built or read is skipped, with a warning that names the error."""
+    for k, src in enumerate(sources):
         try:
             df = src() if callable(src) else src
-        except Exception:
-            continue
-        if df is not None and not df.limit(1).isEmpty():
-            return df
+            if df is not None and not df.limit(1).isEmpty():
+                return df
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"source {k} skipped: {type(e).__name__}: {str(e)[:200]}", stacklevel=2)
     return None

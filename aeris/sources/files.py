@@ -138,11 +138,11 @@ def select_partition(series: DataFrame, countries: list[str] | None = None,
                      pollutants: list[str] | None = None, start: str | None = None,
                      end: str | None = None) -> DataFrame:
     """The download request as predicates: partition columns prune directories,
-    the time range is pushed into the Parquet scan."""
+    the time range is pushed into the Parquet scan. ``None`` means no restriction; an empty list selects nothing."""
     out = series
-    if countries:
+    if countries is not None:
         out = out.where(F.col("country").isin(countries))
-    if pollutants:
+    if pollutants is not None:
         out = out.where(F.col("pollutant").isin(pollutants))
     if start:
         out = out.where(F.col("Start") >= F.lit(start).cast("timestamp_ntz"))
