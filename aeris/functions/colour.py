@@ -1,24 +1,40 @@
-"""Continuous colour ramp for the historic map.
+"""Colour ramp for the historic map.
 
-The reference samples a named yellow-orange palette at ``value / 240``. The
-palette's anchor colours are not part of the reference, so the anchors below
-are our own yellow→orange ramp; alpha (180) and the missing rule (all zero)
-are the reference's.
+The dashboard samples the public palette "Wistia" (yellow to orange) at
+``value / 240``. A named palette is a table of 256 colours, interpolated
+between its stops, so a value takes entry ``floor(256 * t)`` (at most 255).
+Alpha (180) and the missing rule (all zero) are the reference's.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CAP = 240.0
 ALPHA = 180
-# Our own anchors: position in [0, 1] → (r, g, b) in [0, 1]
-ANCHORS = [
-    (0.0, (0.894, 1.000, 0.478)),
-    (0.5, (1.000, 0.749, 0.000)),
-    (1.0, (1.000, 0.498, 0.000)),
+ENTRIES = 256
+# --- Fixed values: stops of the palette "Wistia", position → (r, g, b) of 255 ---
+STOPS = [
+    (0.00, (228, 255, 122)),
+    (0.25, (255, 232, 26)),
+    (0.50, (255, 189, 0)),
+    (0.75, (255, 160, 0)),
+    (1.00, (252, 127, 0)),
 ]
+# ---------------------------------------------------------------------------
+
+
+def palette(ch: int) -> list[int]:
+    """Channel ``ch`` of the 256 palette colours: linear between the stops, truncated to whole numbers."""
+    out = []
+    for i in range(ENTRIES):
+        t = Fraction(i, ENTRIES - 1)
+        (p0, c0), (p1, c1) = next((a, b) for a, b in zip(STOPS, STOPS[1:]) if t <= b[0])
+        out.append(int(c0[ch] + (t - Fraction(p0)) / (Fraction(p1) - Fraction(p0)) * (c1[ch] - c0[ch])))
+    return out
 
 
 def clip_value(v: Column, cap: float = CAP) -> Column:
@@ -26,20 +42,10 @@ def clip_value(v: Column, cap: float = CAP) -> Column:
     return F.least(F.greatest(F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(cap))
 
 
-def _channel(t: Column, ch: int) -> Column:
-    """Piecewise-linear interpolation of one channel, scaled to 0-255 and truncated."""
-    expr = None
-    for (p0, c0), (p1, c1) in zip(ANCHORS, ANCHORS[1:]):
-        seg = F.lit(c0[ch]) + (t - F.lit(p0)) * F.lit((c1[ch] - c0[ch]) / (p1 - p0))
-        expr = F.when(t <= F.lit(p1), seg) if expr is None else expr.when(t <= F.lit(p1), seg)
-    expr = expr.otherwise(F.lit(ANCHORS[-1][1][ch]))
-    return F.floor(expr * F.lit(255.0)).cast("int")
-
-
 def ramp_columns(clipped: Column, missing: Column) -> dict[str, Column]:
-    t = clipped / F.lit(CAP)
+    entry = F.least(F.floor(clipped / F.lit(CAP) * F.lit(ENTRIES)), F.lit(ENTRIES - 1)).cast("int") + F.lit(1)
     out = {}
     for i, name in enumerate(("color_r", "color_g", "color_b")):
-        out[name] = F.when(missing, F.lit(0)).otherwise(_channel(t, i))
+        out[name] = F.when(missing, F.lit(0)).otherwise(F.element_at(F.lit(palette(i)), entry))
     out["color_a"] = F.when(missing, F.lit(0)).otherwise(F.lit(ALPHA))
     return out

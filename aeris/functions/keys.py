@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Leading/trailing whitespace of any kind (Spark's trim only removes spaces).
 _EDGE_SPACE = r"^\s+|\s+$"
+BYTE_ORDER_MARK = "\ufeff"
+NAME_BREAKS = "-./"
 
 
 def strip_all(c: Column) -> Column:
@@ -36,5 +38,8 @@ def snake_case(name: str) -> str:
 
 
 def norm_col_name(name: str) -> str:
-    """Robust header normaliser: drop BOM, trim, lower, runs of space - . / → ``_``."""
-    return re.sub(r"[\s\-./]+", "_", str(name).replace("﻿", "").strip().lower())
+    """Header name without byte-order mark and outer white space, in lower case, where every run
+    of white space, hyphens, dots and slashes is one ``_``."""
+    text = name.replace(BYTE_ORDER_MARK, "").strip().lower()
+    runs = groupby(text, key=lambda ch: ch.isspace() or ch in NAME_BREAKS)
+    return "".join("_" if is_break else "".join(chars) for is_break, chars in runs)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeris.functions import eaqi
-from aeris.functions.colour import ANCHORS, CAP
 from aeris.functions.keys import normalize_key, short_id
 from aeris.functions.text import fixed_decimals
 from aeris.functions.timefmt import FMT_AXIS, FMT_CARD, FMT_HEADER, FMT_SLIDER
@@ -207,13 +206,15 @@ def q_dedup_latlon(spark, sf):
 
 
 def _ramp_sql(v: str) -> list[str]:
-    t = f"({v} / {CAP})"
+    """Palette colour of ``v``, in whole numbers from the published stops (four segments of 63.75 entries)."""
+    stops = {"color_r": (228, 255, 255, 255, 252), "color_g": (255, 232, 189, 160, 127),
+             "color_b": (122, 26, 0, 0, 0)}
+    i = f"least(CAST(floor({v} / 240.0::DOUBLE * 256) AS BIGINT), 255)"
     out = []
-    for ch, name in enumerate(("color_r", "color_g", "color_b")):
-        segs = " ".join(
-            f"WHEN {t} <= {p1} THEN {c0[ch]} + ({t} - {p0}) * {(c1[ch] - c0[ch]) / (p1 - p0)}"
-            for (p0, c0), (p1, c1) in zip(ANCHORS, ANCHORS[1:]))
-        out.append(f"CASE WHEN missing THEN 0 ELSE CAST(floor((CASE {segs} ELSE {ANCHORS[-1][1][ch]} END) * 255.0) AS INTEGER) END AS {name}")
+    for name, c in stops.items():
+        segs = " ".join(f"WHEN {i} * 4 <= {255 * (k + 1)} THEN ({c[k]} * 255 + ({i} * 4 - {255 * k}) * ({c[k + 1] - c[k]})) // 255"
+                        for k in range(4))
+        out.append(f"CASE WHEN missing THEN 0 ELSE CAST(CASE {segs} END AS INTEGER) END AS {name}")
     out.append("CASE WHEN missing THEN 0 ELSE 180 END AS color_a")
     return out
 

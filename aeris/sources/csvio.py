@@ -1,9 +1,8 @@
 """CSV station metadata: dialect discovery, row repair, sink.
 
-Dialect discovery tries encodings × separators in the reference's order and
-takes the first reading with at least four columns and one row. Each try
-reads only the header and at most one row (``limit(1)``), so the loop costs
-28 tiny jobs at most, whatever the file size.
+Dialect discovery looks at every line once, in one Spark job, and takes the
+first pair of encoding and separator in the reference's order that can decode
+the file and gives at least four columns and one row.
 
 Row rule of the reference: lines with more fields than the header are
 skipped, shorter ones are padded with nulls. Spark's PERMISSIVE mode keeps
@@ -13,6 +12,8 @@ with the same CSV parser against a one-column-wider schema.
 
 from __future__ import annotations
 
+import codecs
+import csv
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,35 +43,44 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool = Tru
     return r.option("multiLine", "true") if multi_line or encoding in _UTF16 else r
 
 
-def _decodable(spark: SparkSession, path: str) -> set[str]:
-    """Encodings worth trying, from the file's bytes read as UTF-8 text.
-
-    NUL characters in the first line mean UTF-16; a line that is not valid
-    UTF-8 anywhere means another single-byte encoding (a distributed scan that
-    stops at the first hit). pandas finds the same by failing to decode; Spark would
-    silently substitute, so the undecodable tries are skipped instead.
-    """
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()
-    if first and "\x00" in first[0].value:
-        return set(_UTF16)
-    if not lines.where(~F.is_valid_utf8(F.col("value"))).limit(1).isEmpty():
-        return {"latin-1", "cp1252"}
-    return {e for e in ENCODINGS if e not in _UTF16}
+def _survey(spark: SparkSession, path: str):
+    """One pass over every line of the file, as raw bytes: is any of them not UTF-8, does any hold a NUL
+    (ASCII text in UTF-16), how many are not blank, and which is the first of those (the header)."""
+    raw = F.col("value").cast("binary")
+    blank = F.regexp_replace(F.hex(raw), "^((00|09|0A|0B|0C|0D|20)*)$", "") == ""
+    lines = spark.read.text(path).select(
+        (~F.is_valid_utf8(F.col("value"))).alias("bad"), F.contains(raw, F.lit(b"\x00")).alias("nul"),
+        F.when(~blank, F.hex(raw)).alias("line"),
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id()).alias("at"))
+    return lines.agg(
+        F.max("bad").alias("bad"), F.max("nul").alias("nul"), F.count("line").alias("n_lines"),
+        F.min_by("line", F.when(F.col("line").isNotNull(), F.col("at"))).alias("header")).first()
 
 
 def discover_dialect(spark: SparkSession, path: str) -> tuple[str, str] | None:
-    """First (encoding, separator) giving >= 4 columns and >= 1 row, else None."""
-    allowed = _decodable(spark, path)
-    for enc in (e for e in ENCODINGS if e in allowed):
-        for sep in SEPARATORS:
-            try:
-                df = _reader(spark, sep, enc).csv(path)
-                if len(df.columns) >= MIN_COLUMNS and not df.limit(1).isEmpty():
-                    return enc, sep
-            except Exception:  # an undecodable try is just a miss
-                continue
-    return None
+    """First (encoding, separator), in the fixed order, that can decode the whole file and gives at least
+    four header cells and one more line; None if there is none, or the file is empty.
+
+    Whether an encoding fits is judged on all lines, in one Spark job: a separator is a byte of its own in
+    each of them, so only the header (one line) is looked at on the driver. A header cell must not hold a
+    line break. Big-endian UTF-16 without a byte-order mark starts with a NUL, little-endian does not."""
+    seen = _survey(spark, path)
+    if seen.header is None or seen.n_lines < 2:
+        return None
+    head = bytes.fromhex(seen.header)
+    if seen.nul:
+        fits = {"utf-16"} if head[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else \
+            {"utf-16be"} if head[:1] == b"\x00" else {"utf-16le"}
+    else:
+        fits = {"latin-1", "cp1252"} if seen.bad else {"utf-8-sig", "utf-8"}
+
+    def cells(pair: tuple[str, str]) -> int:
+        text = head.decode(pair[0], errors="replace").strip("\x00\r")
+        return max((len(row) for row in csv.reader([text], delimiter=pair[1])), default=0)
+
+    pairs = [(enc, sep) for enc in ENCODINGS if enc in fits for sep in SEPARATORS]
+    return next((pair for pair in pairs if cells(pair) >= MIN_COLUMNS), None)
 
 
 def read_csv_metadata(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeris import session
-from aeris.functions.colour import clip_value
+from aeris.functions.colour import clip_value, ramp_columns
 from aeris.functions.text import fixed_decimals
 from aeris.operators import metadata as M
 from aeris.sources import csvio
@@ -59,3 +59,26 @@ def test_a_cluster_needs_a_shared_folder():
     fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(fake)
+
+
+@pytest.mark.parametrize("codec, bom, expected", [
+    ("utf-8", b"\xef\xbb\xbf", "utf-8-sig"), ("latin-1", b"", "latin-1"), ("utf-16-le", b"\xff\xfe", "utf-16"),
+    ("utf-16-be", b"\xfe\xff", "utf-16"), ("utf-16-le", b"", "utf-16le"), ("utf-16-be", b"", "utf-16be")])
+def test_dialect_is_judged_on_all_lines(spark, tmp_path, codec, bom, expected):
+    lines = ['"a|1"|b|c|d', *(f"{k}|x|y|z" for k in range(500)), "500|Zürich|y|z"]    # the one odd byte comes last
+    (tmp_path / "m.csv").write_bytes(bom + "\n".join(lines).encode(codec))
+    assert csvio.discover_dialect(spark, str(tmp_path)) == (expected, "|")
+    got = csvio.read_csv_discovered(spark, str(tmp_path))
+    assert got.columns == ["a|1", "b", "c", "d"] and got.count() == 501
+    assert got.where(F.col("`a|1`") == "500").first()[1] == "Zürich"
+
+
+def test_dialect_of_a_file_without_rows(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b,c,d\n\n")
+    assert csvio.discover_dialect(spark, str(tmp_path)) is None
+
+
+def test_palette_stops_and_middle(spark):
+    df = spark.createDataFrame([(0.0,), (60.0,), (120.0,), (240.0,)], "v double")
+    got = [tuple(r) for r in df.select(*ramp_columns(F.col("v"), F.col("v") < 0).values()).collect()]
+    assert got == [(228, 255, 122, 180), (255, 231, 25, 180), (255, 188, 0, 180), (252, 127, 0, 180)]
