@@ -50,9 +50,12 @@ def last_days(clean: DataFrame, as_of: Column | str | _dt.datetime | None = None
     return clean.where(F.col("Start") >= cutoff)
 
 
-def between_days(df: DataFrame, start: str, end: str, col: str = "Date") -> DataFrame:
-    """Closed calendar-day range on a timestamp column (pushed to the scan as a range)."""
-    return df.where(F.to_date(F.col(col)).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def between_days(df: DataFrame, start: str | None = None, end: str | None = None, col: str = "Date") -> DataFrame:
+    """Closed calendar-day range on a timestamp column (pushed to the scan as a range); ``None`` is open."""
+    day = F.to_date(F.col(col))
+    if start is not None:
+        df = df.where(day >= F.lit(start).cast("date"))
+    return df if end is None else df.where(day <= F.lit(end).cast("date"))
 
 
 def on_day(df: DataFrame, day: str, col: str = "Date") -> DataFrame:

@@ -27,8 +27,9 @@ def route_pollutant(hist: DataFrame, pollutant: str) -> DataFrame:
     return hist.where(F.col("pollutant") == pollutant)
 
 
-def daily_average(hist: DataFrame, start: str, end: str, drop_negative: bool = False) -> DataFrame:
-    """Mean of non-null values per pollutant and calendar day in [start, end].
+def daily_average(hist: DataFrame, start: str | None = None, end: str | None = None,
+                  drop_negative: bool = False) -> DataFrame:
+    """Mean of non-null values per pollutant and calendar day in [start, end] (default: every day).
 
     Like the reference, negative values count unless ``drop_negative``.
     """
@@ -40,8 +41,8 @@ def daily_average(hist: DataFrame, start: str, end: str, drop_negative: bool = F
             .agg(F.avg("Value").alias("AvgValue")))
 
 
-def master_stations(hist: DataFrame, start: str, end: str) -> DataFrame:
-    """Distinct (lat, lon) per pollutant seen in [start, end]."""
+def master_stations(hist: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Distinct (lat, lon) per pollutant seen in [start, end] (default: ever)."""
     return (with_coords(between_days(hist, start, end))
             .select("pollutant", F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"))
             .distinct())
@@ -103,8 +104,9 @@ def day_values_styled(hist: DataFrame, materialize: bool = True) -> DataFrame:
     return style_frames(days, ["pollutant", "Date"])
 
 
-def map_frame(hist: DataFrame, day: str, start: str, end: str, densify: bool = True) -> DataFrame:
-    """One day's map: every master station of [start, end], the day's first value or missing.
+def map_frame(hist: DataFrame, day: str, start: str | None = None, end: str | None = None,
+              densify: bool = True) -> DataFrame:
+    """One day's map: every master station of [start, end] (default: all), the day's first value or missing.
 
     ``densify=False`` is the reference's path without a station list: the day's
     rows as they are (not de-duplicated, no missing stations added).
@@ -121,9 +123,12 @@ def map_frame(hist: DataFrame, day: str, start: str, end: str, densify: bool = T
     return style_frames(frame, ["pollutant", "Date"])
 
 
-def map_frames_all(hist: DataFrame, start: str, end: str, materialize: bool = True) -> DataFrame:
+def map_frames_all(hist: DataFrame, start: str | None = None, end: str | None = None,
+                   materialize: bool = True) -> DataFrame:
     """All days of [start, end] × master stations in one job (the reference loops per day).
 
+    Without bounds, each pollutant's days run from its first to its last day with a located value.
+
     Everything derives from one de-duplicated day table (one row per pollutant,
     day and station — far smaller than the raw table): the master stations are
     its distinct coordinates (the same set as a distinct over the raw range),
@@ -140,8 +145,12 @@ def map_frames_all(hist: DataFrame, start: str, end: str, materialize: bool = Tr
         master = days.select("pollutant", "lat", "lon").distinct()
     else:
         master = master_stations(hist, start, end)
-    grid = master.select("pollutant", "lat", "lon", F.explode(F.sequence(
-        F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("Date"))
+    first = F.lit(start).cast("date") if start is not None else F.col("min_date")
+    last = F.lit(end).cast("date") if end is not None else F.col("max_date")
+    if start is None or end is None:
+        master = master.join(time_bounds(days), "pollutant")      # one row per pollutant
+    grid = master.select("pollutant", "lat", "lon",
+                         F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("Date"))
     # Style the day values (each lands on exactly one grid cell, and they are all
     # of a frame's non-missing values), then fill the cells without one with the
     # missing style: deciles and colours are computed per value, not per cell.

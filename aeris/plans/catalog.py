@@ -28,7 +28,6 @@ from aeris.plans import sqlparts as S
 from aeris.sources import adapters as A
 
 # --- Parameters of the registered queries -----------------------------------
-HIST_START, HIST_END = "1995-01-01", "2001-12-31"      # whole span of the historic data
 RANGE_START, RANGE_END = "1997-01-01", "1997-12-31"    # a one-year window
 DAY = "1997-06-15"                                     # the scrubber's day
 PEAK_K = 5
@@ -133,30 +132,30 @@ def q_filter_coords(spark, sf):
 
 _DAILY_SQL = f"""daily AS (
   SELECT pollutant, CAST("Date" AS DATE) AS "Date", avg("Value") AS AvgValue FROM historic
-  WHERE "Value" IS NOT NULL AND CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'
+  WHERE "Value" IS NOT NULL
   GROUP BY pollutant, CAST("Date" AS DATE))"""
 
 
 @register("daily_average", S.with_ctes([S.HISTORIC, _DAILY_SQL],
           'SELECT pollutant, "Date", round(AvgValue, 6) AS AvgValue FROM daily ORDER BY pollutant, "Date"'))
 def q_daily_average(spark, sf):
-    d = H.daily_average(_hist(spark, sf), HIST_START, HIST_END)
+    d = H.daily_average(_hist(spark, sf))
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue")).orderBy("pollutant", "Date")
 
 
 @register("daily_point", S.with_ctes([S.HISTORIC, _DAILY_SQL],
           f"""SELECT pollutant, "Date", round(AvgValue, 6) AS AvgValue FROM daily WHERE "Date" = DATE '{DAY}'"""))
 def q_daily_point(spark, sf):
-    d = H.daily_point(H.daily_average(_hist(spark, sf), HIST_START, HIST_END), DAY)
+    d = H.daily_point(H.daily_average(_hist(spark, sf)), DAY)
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
 
 
 @register("daily_average_nonneg", S.with_ctes([S.HISTORIC], f"""SELECT pollutant, CAST("Date" AS DATE) AS "Date",
   round(avg("Value"), 6) AS AvgValue FROM historic
-  WHERE "Value" IS NOT NULL AND "Value" >= 0 AND CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'
+  WHERE "Value" IS NOT NULL AND "Value" >= 0
   GROUP BY pollutant, CAST("Date" AS DATE)"""))
 def q_daily_average_nonneg(spark, sf):
-    d = H.daily_average(_hist(spark, sf), HIST_START, HIST_END, drop_negative=True)
+    d = H.daily_average(_hist(spark, sf), drop_negative=True)
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
 
 
@@ -164,7 +163,7 @@ def q_daily_average_nonneg(spark, sf):
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS INTEGER) AS rank FROM daily)
   WHERE rank <= {PEAK_K}"""))
 def q_peak_days(spark, sf):
-    d = P.peak_days(H.daily_average(_hist(spark, sf), HIST_START, HIST_END), PEAK_K)
+    d = P.peak_days(H.daily_average(_hist(spark, sf)), PEAK_K)
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"), "rank")
 
 
@@ -174,18 +173,17 @@ def q_peak_days(spark, sf):
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pollutant ORDER BY AvgValue DESC, "Date") AS INTEGER) AS rank FROM daily)
   WHERE rank <= {PEAK_K}"""))
 def q_peak_prompts(spark, sf):
-    return P.peak_prompts(P.peak_days(H.daily_average(_hist(spark, sf), HIST_START, HIST_END), PEAK_K))
+    return P.peak_prompts(P.peak_days(H.daily_average(_hist(spark, sf)), PEAK_K))
 
 
 _MASTER_SQL = f"""master AS (
   SELECT DISTINCT pollutant, "Latitude" AS lat, "Longitude" AS lon FROM historic
-  WHERE CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'
-    AND "Latitude" IS NOT NULL AND NOT isnan("Latitude") AND "Longitude" IS NOT NULL AND NOT isnan("Longitude"))"""
+  WHERE "Latitude" IS NOT NULL AND NOT isnan("Latitude") AND "Longitude" IS NOT NULL AND NOT isnan("Longitude"))"""
 
 
 @register("master_stations", S.with_ctes([S.HISTORIC, _MASTER_SQL], "SELECT * FROM master ORDER BY pollutant, lat, lon"))
 def q_master_stations(spark, sf):
-    return H.master_stations(_hist(spark, sf), HIST_START, HIST_END).orderBy("pollutant", "lat", "lon")
+    return H.master_stations(_hist(spark, sf)).orderBy("pollutant", "lat", "lon")
 
 
 def _dedup_sql(where: str = "TRUE") -> str:
@@ -272,7 +270,7 @@ def q_colour_ramp(spark, sf):
   FROM master m LEFT JOIN dedup d ON m.pollutant = d.pollutant AND m.lat = d.lat AND m.lon = d.lon),
 """ + _styled_sql("frame")))
 def q_map_frame(spark, sf):
-    return _frame_out(H.map_frame(_hist(spark, sf), DAY, HIST_START, HIST_END))
+    return _frame_out(H.map_frame(_hist(spark, sf), DAY))
 
 
 @register("map_frame_sparse", S.with_ctes([S.HISTORIC], f"""frame AS (
@@ -281,20 +279,22 @@ def q_map_frame(spark, sf):
     AND "Longitude" IS NOT NULL AND NOT isnan("Longitude")),
 """ + _styled_sql("frame")))
 def q_map_frame_sparse(spark, sf):
-    return _frame_out(H.map_frame(_hist(spark, sf), DAY, HIST_START, HIST_END, densify=False))
+    return _frame_out(H.map_frame(_hist(spark, sf), DAY, densify=False))
 
 
 @register("map_frames_all", S.with_ctes(
     [S.HISTORIC, _MASTER_SQL,
-     _dedup_sql(f"""CAST("Date" AS DATE) BETWEEN DATE '{HIST_START}' AND DATE '{HIST_END}'""")],
-    f"""days AS (SELECT CAST(d AS DATE) AS "Date" FROM range(DATE '{HIST_START}', DATE '{HIST_END}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)),
+     _dedup_sql()],
+    """span AS (SELECT pollutant, min("Date") AS a, max("Date") AS b FROM dedup GROUP BY pollutant),
+days AS (SELECT pollutant, CAST(d AS DATE) AS "Date"
+  FROM span, LATERAL (SELECT unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d)),
 frame AS (
   SELECT m.pollutant, days."Date", m.lat, m.lon, d."Value"
-  FROM master m JOIN days ON TRUE
+  FROM master m JOIN days ON days.pollutant = m.pollutant
   LEFT JOIN dedup d ON m.pollutant = d.pollutant AND days."Date" = d."Date" AND m.lat = d.lat AND m.lon = d.lon),
 """ + _styled_sql("frame")))
 def q_map_frames_all(spark, sf):
-    return _frame_out(H.map_frames_all(_hist(spark, sf), HIST_START, HIST_END))
+    return _frame_out(H.map_frames_all(_hist(spark, sf)))
 
 
 _BOUNDS_SQL = """bounds AS (SELECT pollutant, CAST(min("Date") AS DATE) AS min_date, CAST(max("Date") AS DATE) AS max_date
@@ -793,15 +793,41 @@ def q_scan_readings(spark, sf):
     return _scan_out(scan_readings(spark, root))
 
 
+def _damaged_root(spark, sf):
+    """Stored readings plus a folder whose file is not Parquet (a failed download), written once per session
+    with Spark's own writer, so it works on any shared file system."""
+    from aeris.session import scratch_path
+    from aeris.sources.files import write_series
+    from aeris.sources.tables import session_folder
+
+    def write():
+        root = write_series(A.raw_readings(spark, sf).drop("url"), scratch_path(spark, "series-tolerant"))
+        spark.createDataFrame([("PAR1 not a parquet file",)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{root}/country=_broken/pollutant=PM10")
+        return root
+    return session_folder(spark, sf, "series-tolerant", write)
+
+
 @register("scan_tolerant", S.with_ctes([S.RAW_READINGS], _SERIES_SQL_ALL))
 def q_scan_tolerant(spark, sf):
-    """Stored readings plus a partition whose file is not Parquet (a failed download).
-    This query adds a broken file, so it writes its own copy of the layout."""
-    from aeris.session import scratch_path
-    from aeris.sources.files import inject_corrupt_series, scan_readings, write_series
-    root = write_series(A.raw_readings(spark, sf).drop("url"), scratch_path(spark, "series-tolerant"))
-    inject_corrupt_series(spark, root)
-    return _scan_out(scan_readings(spark, root, tolerant=True))
+    from aeris.sources.files import scan_readings
+    return _scan_out(scan_readings(spark, _damaged_root(spark, sf), tolerant=True))
+
+
+@register("scan_skipped", S.with_ctes([S.RAW_READINGS], """SELECT country, pollutant,
+  CAST(count(*) AS BIGINT) AS rows_read, CAST(0 AS BIGINT) AS files_skipped FROM raw_readings GROUP BY country, pollutant
+UNION ALL SELECT '_broken', 'PM10', CAST(0 AS BIGINT), CAST(1 AS BIGINT)"""))
+def q_scan_skipped(spark, sf):
+    """What a tolerant scan read and left out, per requested group."""
+    from aeris.sources.files import scan_readings, skipped_files
+    root = _damaged_root(spark, sf)
+    read = scan_readings(spark, root, tolerant=True).groupBy("country", "pollutant").agg(
+        F.count(F.lit(1)).alias("rows_read"))
+    left = _path_parts(skipped_files(spark, root)).groupBy("country", "pollutant").agg(
+        F.count(F.lit(1)).alias("files_skipped"))
+    return read.join(left, ["country", "pollutant"], "full").select(
+        "country", "pollutant", F.coalesce("rows_read", F.lit(0)).alias("rows_read"),
+        F.coalesce("files_skipped", F.lit(0)).alias("files_skipped"))
 
 
 _SEL_COUNTRIES = ["NATION_3", "NATION_7", "NATION_12"]
@@ -848,7 +874,7 @@ def q_manifest_first(spark, sf):
 
 @register("manifest_scan", S.with_ctes([S.RAW_READINGS], _SERIES_SQL_ALL))
 def q_manifest_scan(spark, sf):
-    """Manifest → paths → one tolerant multi-file scan (the reference's fetch loop)."""
+    """Manifest → folders → one multi-file scan of the listed files (the reference's fetch loop)."""
     from aeris.session import scratch_path
     from aeris.sources.files import manifest_entries, read_manifest, write_manifest
     root = _series_root(spark, sf)

@@ -6,10 +6,11 @@ live in a shared folder laid out the way a Spark table should be:
 
 * directories per ``country=…/pollutant=…`` (the request predicates become
   partition pruning);
-* rows range-partitioned by (country, pollutant, series) before writing, so
-  a group holding a third of all rows is split over several tasks and files,
-  and each file holds contiguous, sorted series (Parquet min/max statistics
-  then skip row groups for a series or time predicate);
+* rows range-partitioned by (country, pollutant, series, time) before writing,
+  so a group, or one series, holding a third of all rows is split over several
+  tasks and files, and each file holds contiguous, sorted series (Parquet
+  min/max statistics then skip row groups for a series or time predicate); the
+  number of tasks is left to adaptive execution;
 * no file per series — that would be the small-file problem at scale.
 
 ``write_manifest`` lists the files and the scans read them back as one
@@ -39,12 +40,15 @@ PARTITIONS = ["country", "pollutant"]
 ROWS_PER_FILE = 5_000_000
 
 
+def _by_range(df: DataFrame, num_partitions: int | None, *cols: str) -> DataFrame:
+    """Range partitioning; without a number, adaptive execution merges small partitions by their bytes."""
+    return df.repartitionByRange(*([num_partitions] if num_partitions else []), *cols)
+
+
 def write_series(raw: DataFrame, root: str, num_partitions: int | None = None) -> str:
     """Write readings under ``root`` partitioned by country and pollutant."""
-    spark = raw.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = raw.withColumn("_series", short_id(F.col("Samplingpoint")))
-    (keyed.repartitionByRange(n, *PARTITIONS, "_series")
+    (_by_range(keyed, num_partitions, *PARTITIONS, "_series", "Start")
         .sortWithinPartitions(*PARTITIONS, "_series", "Start")
         .drop("_series")
         .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -63,23 +67,22 @@ def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool =
                   value_type: str = "double") -> DataFrame:
     """Multi-file scan with a declared schema; ``url`` is the file each row came from.
 
-    ``tolerant`` skips files that are corrupt or vanished (the reference's
-    per-file try/except) instead of failing the job. ``start_type`` says how the
-    files store ``Start``: ``timestamp`` (wall clock), ``nanos`` (Parquet
-    TIMESTAMP(NANOS) as written by pandas — read as integer nanoseconds, which
-    needs ``spark.sql.legacy.parquet.nanosAsLong``) or ``text``; the last two are
+    ``tolerant`` leaves out files that cannot be read in full (a failing file
+    contributes nothing, as in the reference's per-file try/except) instead of
+    failing the job; ``skipped_files`` lists them. This costs a second pass, so it is off by default.
+    ``start_type`` says how the files store ``Start``: ``timestamp`` (wall clock), ``nanos`` (Parquet
+    TIMESTAMP(NANOS) as written by pandas — read as integer nanoseconds; the
+    session must set ``spark.sql.legacy.parquet.nanosAsLong``) or ``text``; the last two are
     parsed to wall-clock TIMESTAMP_NTZ. ``value_type='text'`` reads text values and
     coerces them to double (bad text → null, dropped later by the cleaning).
     """
-    if start_type == "nanos":
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    reader = spark.read.schema(_series_schema(start_type, value_type))
-    if base_path:
-        reader = reader.option("basePath", base_path)
+    if start_type == "nanos" and spark.conf.get(_NANOS, "false") != "true":
+        raise ValueError(f"nanosecond times need a session with {_NANOS}=true")
+    df = _open(spark, paths, _series_schema(start_type, value_type), base_path, tolerant) \
+        .withColumn("url", F.col("_metadata.file_path"))
     if tolerant:
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = reader.parquet(*paths).withColumn("url", F.col("_metadata.file_path"))
+        bad = skipped_files(spark, paths, base_path, start_type, value_type).select(F.col("path").alias("url"))
+        df = df.join(bad, "url", "left_anti").select(*df.columns)
     if start_type != "timestamp":
         from aeris.functions.timefmt import parse_time
         df = parse_time(df, "Start")
@@ -88,6 +91,48 @@ def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool =
     return df
 
 
+_NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def _open(spark: SparkSession, paths: list[str] | str, schema: T.StructType, base_path: str | None,
+          tolerant: bool) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if base_path:
+        reader = reader.option("basePath", base_path)
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return reader.parquet(*([paths] if isinstance(paths, str) else paths))
+
+
+def list_files(spark: SparkSession, paths: list[str] | str, base_path: str | None = None) -> DataFrame:
+    """One row per file, ``path``; no file is opened (the source's content column is not asked for)."""
+    reader = spark.read.format("binaryFile")
+    if base_path:
+        reader = reader.option("basePath", base_path)
+    return reader.load([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"))
+
+
+def skipped_files(spark: SparkSession, paths: list[str] | str, base_path: str | None = None,
+                  start_type: str = "timestamp", value_type: str = "double") -> DataFrame:
+    """Files that a tolerant scan leaves out: ``path, rows_stored, rows_read``.
+
+    A file counts as readable when a tolerant read of all its columns yields as many rows as its footer
+    states (a read of no column touches footers only). ``rows_stored`` is null where the footer itself is
+    unreadable, or the file holds no row."""
+    schema = _series_schema(start_type, value_type)
+    rows = _open(spark, paths, schema, base_path, tolerant=True).withColumn("path", F.col("_metadata.file_path"))
+    stored = rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows_stored"))
+    kept = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows_read"),
+        *[F.count(c).alias(f"_{c}") for c in schema.fieldNames() if c not in PARTITIONS])
+    return (list_files(spark, paths, base_path).join(stored, "path", "left")
+            .join(kept.withColumn("_all", F.col("_Start") + F.col("_Value") + F.col("_Samplingpoint")), "path", "left")
+            .where(F.col("rows_stored").isNull() | ~F.col("rows_read").eqNullSafe(F.col("rows_stored"))
+                   | F.col("_all").isNull())
+            .select("path", "rows_stored", F.coalesce("rows_read", F.lit(0)).alias("rows_read")))
+
+
 def with_series(scan: DataFrame) -> DataFrame:
     """Station id of each row: the Samplingpoint's tail, else the file name's."""
     return scan.withColumn("series", short_id(F.coalesce(F.col("Samplingpoint"), F.col("url"))))
@@ -96,11 +141,9 @@ def with_series(scan: DataFrame) -> DataFrame:
 def write_manifest(spark: SparkSession, series_root: str, manifest_dir: str) -> str:
     """List the files as a manifest: header line, a blank line, padded paths.
 
-    The listing is a Spark job over the files' own metadata column (no
-    driver-side file walk); the manifest is written sorted by path.
+    One row per file from the listing; the manifest is written sorted by path.
     """
-    files = (spark.read.schema(SERIES_SCHEMA).parquet(series_root)
-             .select(F.col("_metadata.file_path").alias("p")).distinct())
+    files = list_files(spark, series_root).select(F.col("path").alias("p"))
     body = files.select(F.concat(F.lit("  "), F.col("p"), F.lit(" ")).alias("value"), F.col("p").alias("_k"))
     extra = spark.createDataFrame([(MANIFEST_HEADER, ""), ("", "")], "value string, _k string")
     (extra.unionByName(body).orderBy("_k").select("value")
@@ -115,9 +158,10 @@ def manifest_entries(spark: SparkSession, manifest: str) -> DataFrame:
     """
     lines = spark.read.text(manifest).select(
         strip_all(F.col("value")).alias("path"),
-        F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("line")).alias("pos"))
     return (lines.where((F.col("path") != "") & ~F.col("path").contains(MANIFEST_HEADER))
-            .select(F.struct("_f", "_i").alias("pos"), "path"))
+            .select("pos", "path"))
 
 
 def manifest_first(entries: DataFrame) -> DataFrame:
@@ -125,13 +169,33 @@ def manifest_first(entries: DataFrame) -> DataFrame:
     return entries.agg(F.min_by("path", "pos").alias("path"))
 
 
-def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, tolerant: bool = True,
+def _bare(path: F.Column) -> F.Column:
+    """A path without scheme and host, percent codes decoded: the same for every spelling of one file."""
+    p = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.coalesce(F.try_url_decode(p), p)
+
+
+def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, tolerant: bool = False,
                   start_type: str = "timestamp", value_type: str = "double") -> DataFrame:
-    """Scan the files a manifest lists. The path list is the one thing collected:
-    file names only (what a Parquet scan needs to plan), never row data."""
-    paths = [r.path for r in entries.select("path").collect()]
-    return scan_readings(spark, paths, tolerant=tolerant, base_path=base_path,
+    """Scan the files a manifest lists.
+
+    Only the folders they lie in reach the driver (one per country and pollutant, however many files); the
+    files themselves are chosen by a semi join on their path. A listed file that is not there fails the
+    call, unless ``tolerant``.
+    """
+    folders = [r.d for r in entries.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().collect()]
+    listed = entries.select(_bare(F.col("path")).alias("_p")).distinct()
+    if not folders:
+        return _open(spark, base_path, _series_schema("timestamp"), None, tolerant) \
+            .withColumn("url", F.col("_metadata.file_path")).limit(0)
+    if not tolerant:
+        there = list_files(spark, folders, base_path).select(_bare(F.col("path")).alias("_p"))
+        absent = [r[0] for r in listed.join(there, "_p", "left_anti").limit(5).collect()]
+        if absent:
+            raise FileNotFoundError(f"listed in the manifest but absent, among others: {absent}")
+    scan = scan_readings(spark, folders, tolerant=tolerant, base_path=base_path,
                          start_type=start_type, value_type=value_type)
+    return scan.withColumn("_p", _bare(F.col("url"))).join(listed, "_p", "left_semi").drop("_p")
 
 
 def select_partition(series: DataFrame, countries: list[str] | None = None,
@@ -151,17 +215,6 @@ def select_partition(series: DataFrame, countries: list[str] | None = None,
     return out
 
 
-def inject_corrupt_series(spark: SparkSession, root: str) -> str:
-    """Add a partition directory whose file is not Parquet (a failed download).
-
-    Written with Spark's own writer, so it works on any shared file system.
-    """
-    bad = f"{root.rstrip('/')}/country=_broken/pollutant=PM10"
-    spark.createDataFrame([("PAR1 not a parquet file",)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(bad)
-    return bad
-
-
 HISTORIC_SCHEMA = T.StructType([
     T.StructField("Date", T.TimestampNTZType()), T.StructField("Value", T.DoubleType()),
     T.StructField("Latitude", T.DoubleType()), T.StructField("Longitude", T.DoubleType()),
@@ -171,11 +224,11 @@ HISTORIC_SCHEMA = T.StructType([
 
 def write_historic(hist: DataFrame, root: str, num_partitions: int | None = None) -> str:
     """The historic table as one dataset partitioned by pollutant (the reference keeps
-    one database table per pollutant). Range-partitioned on (pollutant, Date) and
+    one database table per pollutant). Range-partitioned on (pollutant, Date, place), so one bulk-loaded day is split too, and
     sorted by Date within files, so a pollutant prunes directories and a date range
     skips row groups; a pollutant with most of the rows is spread over many files."""
-    n = num_partitions or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (hist.repartitionByRange(n, "pollutant", "Date").sortWithinPartitions("pollutant", "Date")
+    (_by_range(hist, num_partitions, "pollutant", "Date", "Latitude", "Longitude")
+        .sortWithinPartitions("pollutant", "Date")
         .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy("pollutant").parquet(root))
     return root

@@ -1,5 +1,6 @@
 """Real-input cases: quoted CSV cells, missing order column, odd values, failing sources, shared folder."""
 
+import re
 import types
 
 import pytest
@@ -10,6 +11,7 @@ from aeris.functions.colour import clip_value, ramp_columns
 from aeris.functions.text import fixed_decimals
 from aeris.operators import metadata as M
 from aeris.sources import csvio
+from aeris.sources import files as FS
 from aeris.sources.files import select_partition
 
 
@@ -82,3 +84,57 @@ def test_palette_stops_and_middle(spark):
     df = spark.createDataFrame([(0.0,), (60.0,), (120.0,), (240.0,)], "v double")
     got = [tuple(r) for r in df.select(*ramp_columns(F.col("v"), F.col("v") < 0).values()).collect()]
     assert got == [(228, 255, 122, 180), (255, 231, 25, 180), (255, 188, 0, 180), (252, 127, 0, 180)]
+
+
+def _stored(spark, root, groups, n=20000):
+    parts = [spark.range(n).selectExpr(f"'{c}' AS country", "'NO2' AS pollutant", f"'x/{c}-1' AS Samplingpoint",
+                                       "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) AS Start",
+                                       "rand(7) AS Value") for c in groups]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return FS.write_series(df, root, num_partitions=4)
+
+
+def test_a_half_damaged_file_contributes_nothing_and_is_listed(spark, tmp_path):
+    root = str(tmp_path / "series")
+    _stored(spark, root, ["AT", "CH"])
+    whole = FS.scan_readings(spark, root).groupBy("url").count().collect()
+    victim = next(r for r in whole if "country=CH" in r.url)
+    f = re.sub("^file:/*", "/", victim.url)
+    data = bytearray(open(f, "rb").read())
+    data[len(data) // 3: len(data) // 2] = b"\x7f" * (len(data) // 2 - len(data) // 3)     # footer stays intact
+    open(f, "wb").write(bytes(data))
+    crc = tmp_path.joinpath(f).parent / f".{f.rsplit('/', 1)[1]}.crc"
+    if crc.exists():
+        crc.write_bytes(b"")
+    bad = FS.skipped_files(spark, root).collect()
+    assert [r.path for r in bad] == [victim.url] and bad[0].rows_stored == victim["count"] > bad[0].rows_read
+    assert FS.scan_readings(spark, root, tolerant=True).count() == sum(r["count"] for r in whole) - victim["count"]
+    with pytest.raises(Exception):
+        FS.scan_readings(spark, root).agg(F.sum("Value")).collect()
+
+
+def test_one_hot_series_is_written_by_several_tasks(spark, tmp_path):
+    root = str(tmp_path / "series")
+    _stored(spark, root, ["AT"], n=30000)
+    assert FS.list_files(spark, root).count() >= 3
+
+
+def test_manifest_reads_the_listed_files_only(spark, tmp_path):
+    root = str(tmp_path / "series")
+    _stored(spark, root, ["AT", "CH"])
+    files = sorted(r.path for r in FS.list_files(spark, root).collect())
+    listed = [re.sub("^file:/*", "/", files[0]), files[-1]]              # with and without the scheme
+    entries = spark.createDataFrame([(p,) for p in listed], "path string")
+    got = {r.url for r in FS.read_manifest(spark, entries, root).select("url").distinct().collect()}
+    assert got == {files[0], files[-1]}
+    gone = entries.unionByName(spark.createDataFrame([(listed[0] + "x",)], "path string"))
+    with pytest.raises(FileNotFoundError):
+        FS.read_manifest(spark, gone, root)
+    assert FS.read_manifest(spark, entries.limit(0), root).count() == 0
+
+
+def test_nanosecond_times_need_the_session_setting(spark):
+    with pytest.raises(ValueError, match="nanosAsLong"):
+        FS.scan_readings(spark, "/nowhere", start_type="nanos")

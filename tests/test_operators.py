@@ -128,6 +128,7 @@ def test_scan_nanosecond_parquet(spark):
     table = pa.Table.from_pandas(pdf, preserve_index=False)
     assert str(table.schema.field("Start").type) == "timestamp[ns]"
     pq.write_table(table, os.path.join(part, "a.parquet"), version="2.6")
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     try:
         rows = FS.scan_readings(spark, d, start_type="nanos").orderBy("Start").collect()
     finally:
@@ -163,7 +164,7 @@ def test_hour_view_fallback_and_styling(spark):
 
 
 def test_manifest_to_nanosecond_files(spark):
-    """Manifest of pandas-written files → one tolerant scan, times parsed to wall clock."""
+    """Manifest of pandas-written files → one scan, times parsed to wall clock."""
     import pandas as pd
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -182,6 +183,7 @@ def test_manifest_to_nanosecond_files(spark):
     with open(os.path.join(man, "urls.txt"), "w") as fh:
         fh.write("ParquetFileUrl\n" + "\n".join(f"  {p} " for p in paths) + "\n\n")
     entries = FS.manifest_entries(spark, man)
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     try:
         rows = FS.read_manifest(spark, entries, base_path=root, start_type="nanos", value_type="text") \
             .orderBy("Start").collect()
