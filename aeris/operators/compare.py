@@ -9,6 +9,7 @@ from aeris.functions.eaqi import (UNKNOWN_LABEL, aqi_label, effective_pollutant,
                                   label_colour, label_order)
 from aeris.functions.text import NO_LABEL_TEXT, fixed_decimals
 from aeris.functions.timefmt import FMT_CARD
+from aeris.operators.live import point_column, with_station
 
 GROUP = ["country", "pollutant"]
 STATION = [*GROUP, "station_name"]
@@ -23,53 +24,79 @@ def compare_series(named: DataFrame) -> DataFrame:
                                                     F.lit(UNKNOWN_LABEL)))
 
 
+def station_labels(recent: DataFrame, coords: DataFrame) -> DataFrame:
+    """Per (file, label): rows and extremes with the file's station, from one pass over the readings.
+
+    ``tier_breakdown`` and ``station_summary`` take it in place of the labelled readings."""
+    keys = [*GROUP, "url", "_sp"]
+    pre = _extremes(compare_series(recent.withColumn("_sp", point_column(recent))), keys)
+    return with_station(pre, coords)
+
+
+def station_sizes(recent: DataFrame, coords: DataFrame) -> DataFrame:
+    """Files with their station and number of readings (``hours``)."""
+    pre = recent.groupBy(*GROUP, "url", point_column(recent).alias("_sp")).agg(
+        F.count(F.lit(1)).alias("hours"), F.min("Start").alias("_t"))
+    return with_station(pre, coords).groupBy(*GROUP, "url", "station_id", "station_name").agg(
+        F.sum("hours").alias("hours"))
+
+
 def top_stations(named: DataFrame, k: int = 2) -> DataFrame:
-    """A selection table: the ``k`` station names with most readings per group."""
-    counts = named.where(F.col("station_name").isNotNull()).groupBy(*STATION).agg(F.count(F.lit(1)).alias("n"))
+    """A selection table: the ``k`` station names with most readings per group (of readings, or of
+    rows that carry their number in ``hours``)."""
+    n = F.sum("hours") if "hours" in named.columns else F.count(F.lit(1))
+    counts = named.where(F.col("station_name").isNotNull()).groupBy(*STATION).agg(n.alias("n"))
     w = Window.partitionBy(*GROUP).orderBy(F.desc("n"), "station_name")
     return counts.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).select(*STATION)
 
 
 def compare_semi(named: DataFrame, selection: DataFrame) -> DataFrame:
-    """Readings of the selected stations (semi join: the selection is a table).
-
-    A selection is a handful of stations per group (the UI allows two), so it is
-    broadcast; the readings are never shuffled for it.
-    """
-    return compare_series(named.join(F.broadcast(selection), STATION, "left_semi"))
+    """Readings of the selected stations (semi join: the selection is a table, of any size;
+    adaptive execution broadcasts it where it measures it small)."""
+    return compare_series(named.join(selection, STATION, "left_semi"))
 
 
 def tier_breakdown(series: DataFrame) -> DataFrame:
     """Rows per (station, label) named ``hours`` (it counts rows), with share and order.
 
-    The share window runs over a station's at most 7 label rows.
+    ``series`` holds labelled readings, or ``station_labels``. The share window runs over a station's at
+    most 7 label rows.
     """
-    counts = series.groupBy(*STATION, "aqi_label").agg(F.count(F.lit(1)).alias("hours"))
+    n = F.sum("hours") if "hours" in series.columns else F.count(F.lit(1))
+    counts = series.groupBy(*STATION, "aqi_label").agg(n.alias("hours"))
     total = F.sum("hours").over(Window.partitionBy(*STATION))
     return (counts.withColumn("share", F.col("hours") / total)
             .withColumn("order_idx", label_order(F.col("aqi_label"))))
 
 
+def _extremes(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Per (keys, label): ``hours`` (rows), first time ``_t``, highest and lowest value with their earliest time.
+
+    Hash aggregates only. Rows are first reduced to one per distinct value with its earliest time; a value is
+    then unique within its key, so ``max_by`` of a time by a value has no ties and needs no struct ordering.
+    """
+    per_value = series.groupBy(*keys, "aqi_label", "Value").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("Start").alias("_first"))
+    return per_value.groupBy(*keys, "aqi_label").agg(
+        F.sum("_n").alias("hours"), F.min("_first").alias("_t"),
+        F.max("Value").alias("_hi"), F.max_by("_first", "Value").alias("_hi_at"),
+        F.min("Value").alias("_lo"), F.min_by("_first", "Value").alias("_lo_at"))
+
+
 def station_summary(series: DataFrame) -> DataFrame:
     """Per station: dominant label and colour, worst and best reading with labels and text.
 
-    Dominant = most rows, ties → lower tier. Worst/best = highest/lowest value,
-    ties → earliest time. One pass over the readings, and the only step that
-    sees every reading is a hash aggregate (count and earliest time per
-    distinct value). Then an aggregate per (station, label) keeps the row
-    count and that label's worst and best reading; the second, over at most seven rows per station, picks the
-    dominant label and the extremes of those extremes (the arg-max of a union
-    is the arg-max of its parts). Both are ``min_by`` aggregates with a
-    partial step, so no station's rows are ever gathered or sorted in one task.
+    Dominant = most rows, ties → lower tier. Worst/best = highest/lowest value, ties → earliest time.
+    ``series`` holds labelled readings, or ``station_labels``. Every reading passes hash aggregates only
+    (``_extremes``); the arg-min aggregates below see a few rows per file or station and label.
     """
-    # hash pre-aggregate over every reading: count and earliest time per distinct value
-    per_value = series.groupBy(*STATION, "aqi_label", "Value").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("Start").alias("Start"))
-    reading = F.struct("Start", "Value")
-    per_label = per_value.groupBy(*STATION, "aqi_label").agg(
-        F.sum("_n").alias("hours"),
-        F.min_by(reading, F.struct(-F.col("Value"), F.col("Start"))).alias("w"),
-        F.min_by(reading, F.struct(F.col("Value"), F.col("Start"))).alias("b"))
+    ext = series if "hours" in series.columns else _extremes(series, STATION)
+    hi = F.struct(F.col("_hi_at").alias("Start"), F.col("_hi").alias("Value"))
+    lo = F.struct(F.col("_lo_at").alias("Start"), F.col("_lo").alias("Value"))
+    per_label = ext.groupBy(*STATION, "aqi_label").agg(
+        F.sum("hours").alias("hours"),
+        F.min_by(hi, F.struct(-F.col("_hi"), F.col("_hi_at"))).alias("w"),
+        F.min_by(lo, F.struct(F.col("_lo"), F.col("_lo_at"))).alias("b"))
     out = per_label.groupBy(*STATION).agg(
         F.min_by("aqi_label", F.struct(-F.col("hours"), label_order(F.col("aqi_label")))).alias("dominant"),
         F.min_by("w", F.struct(-F.col("w.Value"), F.col("w.Start"))).alias("w"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeris.functions.eaqi import with_aqi_style
@@ -37,6 +37,72 @@ def recent_readings(raw: DataFrame, as_of: Column | str | _dt.datetime | None =
     return last_days(clean_readings(raw), as_of=as_of, reference=parse_readings(raw))
 
 
+def point_column(readings: DataFrame) -> Column:
+    """The Samplingpoint, or null where the files carry none."""
+    return F.col("Samplingpoint") if "Samplingpoint" in readings.columns else F.lit(None).cast("string")
+
+
+def with_station(pre: DataFrame, coords: DataFrame | None = None) -> DataFrame:
+    """Station id of pre-aggregated rows (``GROUP, url, _sp, _t`` and measures): the file's first
+    Samplingpoint (by first time ``_t``), else the url tail; with ``coords`` also place, name and area.
+
+    The readings are reduced before they meet here, so each reading is scanned and shuffled once and the
+    window per file sees its Samplingpoints x hours (or labels), never its readings.
+    """
+    first = F.min_by("_sp", F.struct(F.col("_t"), F.col("_sp").isNull(), F.col("_sp"))).over(
+        Window.partitionBy(*GROUP, "url"))
+    out = pre.withColumn("station_id", short_id(F.coalesce(first, F.col("url")))).drop("_sp", "_t")
+    return out if coords is None else _located(out, coords)
+
+
+def _located(rows: DataFrame, coords: DataFrame) -> DataFrame:
+    """Place, name and area of each station. The coordinate dimension grows with the metadata; no broadcast
+    hint: adaptive execution broadcasts it after measuring it, else it stays a shuffle join."""
+    c = coords.select("key", "lat", "lon", F.col("station_name").alias("_name"), F.col("area_type").alias("_area"))
+    return (rows.withColumn("key", normalize_key(F.col("station_id"))).join(c, "key", "left")
+            .withColumns({"station_name": F.coalesce("_name", "station_id"),
+                          "area_type": F.coalesce("_area", F.lit(UNKNOWN_AREA))})
+            .drop("key", "_name", "_area"))
+
+
+def station_hours(recent: DataFrame) -> DataFrame:
+    """Sum and count per (file, Samplingpoint, hour) with the file's station id: the one table that the
+    station table, the hourly means and the hour view derive from. A hash aggregate with a partial step."""
+    return with_station(recent.groupBy(
+        *GROUP, "url", point_column(recent).alias("_sp"), floor_hour(F.col("Start")).alias("hour")).agg(
+        F.sum("Value").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("Start").alias("_t")))
+
+
+def hourly_means(hours: DataFrame) -> DataFrame:
+    """Mean per station and hour from ``station_hours``."""
+    return hours.groupBy(*GROUP, "station_id", "hour").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("Value"), F.sum("_n").alias("n"))
+
+
+def live_view(recent: DataFrame, coords: DataFrame, hour: str | _dt.datetime | None = None) -> DataFrame:
+    """The hour view in one pass over the readings: per file, the station's mean of one hour (default: the
+    group's latest hour), else the file's mean over the window; styled for the map.
+
+    Each station's own last hour is a window over its hours. It counts if it is the group's last hour, which
+    comes from a narrow aggregate of the times alone (one row per group).
+    """
+    station = Window.partitionBy(*GROUP, "station_id")
+    at = F.max("hour").over(station) if hour is None else ntz_lit(hour)
+    hours = station_hours(recent).withColumn("_h", at)
+    here = F.col("hour") == F.col("_h")
+    files = (hours.groupBy(*GROUP, "url", "station_id", "_h")
+             .agg((F.sum("_sum") / F.sum("_n")).alias("Value"),
+                  F.sum(F.when(here, F.col("_sum"))).alias("_hs"), F.sum(F.when(here, F.col("_n"))).alias("_hn"))
+             .withColumn("_v", F.sum("_hs").over(station) / F.sum("_hn").over(station)))
+    if hour is None:
+        last = recent.groupBy(*GROUP).agg(floor_hour(F.max("Start")).alias("_last"))
+        files = (files.join(last, GROUP).withColumn("_v", F.when(F.col("_h") == F.col("_last"), F.col("_v")))
+                 .drop("_last"))
+    frame = (files.withColumn("is_fallback", F.col("_v").isNull())
+             .withColumn("Value", F.coalesce("_v", "Value")).drop("_v", "_h", "_hs", "_hn"))
+    return _styled(_located(frame, coords))
+
+
 def station_files(recent: DataFrame) -> DataFrame:
     """One row per source file: its station id (first Samplingpoint, else the url
     tail) and its mean value over the window.
@@ -46,9 +112,7 @@ def station_files(recent: DataFrame) -> DataFrame:
     file's mean and its earliest Samplingpoint (a string-valued ``min_by`` would
     force a sort-based aggregate over every reading).
     """
-    has_sp = "Samplingpoint" in recent.columns
-    sp = F.col("Samplingpoint") if has_sp else F.lit(None).cast("string")
-    per_sp = recent.groupBy(*GROUP, "url", sp.alias("_sp")).agg(
+    per_sp = recent.groupBy(*GROUP, "url", point_column(recent).alias("_sp")).agg(
         F.sum("Value").alias("_sum"), F.count("Value").alias("_n"), F.min("Start").alias("_t"))
     per_file = per_sp.groupBy(*GROUP, "url").agg(
         F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"),
@@ -63,21 +127,20 @@ def station_meta(recent: DataFrame, coords: DataFrame, per_file: bool = True) ->
     ``per_file`` (the reference's shape) gives one row per source file, so a
     station delivered in two files appears twice; ``per_file=False`` gives one
     row per station: the readings-weighted mean over its files and its first url.
-
-    The coordinate dimension grows with the metadata; no broadcast hint — AQE
-    broadcasts it after measuring it, else it stays a shuffle join.
     """
     files = station_files(recent)
     if not per_file:
         files = files.groupBy(*GROUP, "station_id").agg(
             (F.sum("_sum") / F.sum("_n")).alias("Value"), F.min("url").alias("url"))
-    files = files.drop("_sum", "_n").withColumn("key", normalize_key(F.col("station_id")))
-    c = coords.select("key", "lat", "lon", F.col("station_name").alias("_name"),
-                      F.col("area_type").alias("_area"))
-    return (files.join(c, "key", "left")
-            .select(*GROUP, "station_id", "url", "Value", "lat", "lon",
-                    F.coalesce("_name", "station_id").alias("station_name"),
-                    F.coalesce("_area", F.lit(UNKNOWN_AREA)).alias("area_type")))
+    return _located(files, coords).select(
+        *GROUP, "station_id", "url", "Value", "lat", "lon", "station_name", "area_type")
+
+
+def station_meta_of(hours: DataFrame, coords: DataFrame) -> DataFrame:
+    """The station table (one row per file) from ``station_hours``."""
+    files = hours.groupBy(*GROUP, "url", "station_id").agg((F.sum("_sum") / F.sum("_n")).alias("Value"))
+    return _located(files, coords).select(
+        *GROUP, "station_id", "url", "Value", "lat", "lon", "station_name", "area_type")
 
 
 def readings_named(recent: DataFrame, meta: DataFrame) -> DataFrame:
@@ -116,9 +179,8 @@ def hour_view(meta: DataFrame, hourly: DataFrame, hour: str | _dt.datetime | Non
     falling back to the window mean; styled for the map."""
     h = hourly.select(*GROUP, "station_id", "hour", F.col("Value").alias("_v"))
     if hour is None:
-        # one row per (country, pollutant): bounded by the request domain → broadcast
-        last = hourly.groupBy(*GROUP).agg(F.max("hour").alias("hour"))
-        h = h.join(F.broadcast(last), [*GROUP, "hour"], "left_semi")
+        last = hourly.groupBy(*GROUP).agg(F.max("hour").alias("hour"))      # one row per (country, pollutant)
+        h = h.join(last, [*GROUP, "hour"], "left_semi")
     else:
         h = h.where(F.col("hour") == ntz_lit(hour))
     frame = (meta.join(h.drop("hour"), [*GROUP, "station_id"], "left")
@@ -145,17 +207,16 @@ def hour_frames_all(meta: DataFrame, hourly: DataFrame) -> DataFrame:
     means themselves (the hours that have means are the observed hours), so
     the readings are aggregated once. Grid per station by
     ``explode(sequence(first, last hour))`` (≤ 169 hours in a 7-day window, no
-    cross join), kept where the hour was observed (semi join on a set bounded
-    by groups × 169, hence broadcast), then left-joined to the hourly means on
+    cross join), kept where the hour was observed (semi join on groups × ≤ 169
+    hours), then left-joined to the hourly means on
     a key unique on both sides.
     """
     hours = hourly.select(*GROUP, "hour").distinct()
     bounds = hourly.groupBy(*GROUP).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
-    # bounds: one row per (country, pollutant) → broadcast
-    grid = (meta.join(F.broadcast(bounds), GROUP, "inner")
+    grid = (meta.join(bounds, GROUP, "inner")
             .withColumn("hour", F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))))
             .drop("first_hour", "last_hour"))
-    grid = grid.join(F.broadcast(hours), [*GROUP, "hour"], "left_semi")
+    grid = grid.join(hours, [*GROUP, "hour"], "left_semi")
     h = hourly.select(*GROUP, "station_id", "hour", F.col("Value").alias("_v"))
     frame = (grid.join(h, [*GROUP, "station_id", "hour"], "left")
              .withColumn("is_fallback", F.col("_v").isNull())
@@ -168,9 +229,8 @@ def frame_index(named: DataFrame) -> DataFrame:
 
     The window runs per group over distinct hours (≤ 169 rows per group).
     """
-    from pyspark.sql import Window as W
-    w = W.partitionBy(*GROUP).orderBy("hour")
+    w = Window.partitionBy(*GROUP).orderBy("hour")
     return (observed_hours(named)
             .withColumn("frame", F.row_number().over(w))
-            .withColumn("n_frames", F.count(F.lit(1)).over(W.partitionBy(*GROUP)))
+            .withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy(*GROUP)))
             .withColumn("next_hour", F.lead("hour").over(w)))

@@ -61,11 +61,10 @@ def legend(pollutants: DataFrame, dim: DataFrame) -> DataFrame:
             .join(d, "_ep").select("pollutant", "tier", "label", "colour", rng.alias("range_text")))
 
 
-def station_count(meta: DataFrame, named: DataFrame) -> DataFrame:
-    """Stations found and rows loaded per group."""
-    s = meta.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("stations"))
-    r = named.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows_loaded"))
-    return s.join(r, GROUP, "full")
+def station_count(files: DataFrame) -> DataFrame:
+    """Per group: stations (one per file, as in the station table) and rows loaded, from ``station_files``."""
+    return files.groupBy("country", "pollutant").agg(
+        F.count(F.lit(1)).alias("stations"), F.sum("_n").alias("rows_loaded"))
 
 
 def station_names(meta: DataFrame) -> DataFrame:

@@ -63,20 +63,22 @@ def _coords(spark, sf):
                         lambda: M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf))))
 
 
-def _live(spark, sf, reuse_meta: bool = False):
-    """Live tables. ``reuse_meta`` writes the station table (one row per series file)
-    once to the shared folder, for queries that use it twice — otherwise each use,
-    pruned to different columns, would aggregate the 7-day window again."""
+def _recent(spark, sf):
     from aeris.sources.tables import session_view
-    raw = A.raw_readings(spark, sf)
-    recent = session_view(spark, sf, "recent", lambda: L.recent_readings(raw, as_of=A.readings_clock(spark, sf)))
-    if reuse_meta:
-        from aeris.session import materialize
-        meta = materialize(L.station_meta(recent, _coords(spark, sf)), "station-table")
-        return raw, recent, meta, L.readings_named(recent, meta)
-    meta = session_view(spark, sf, "station_meta", lambda: L.station_meta(recent, _coords(spark, sf)))
-    named = session_view(spark, sf, "named", lambda: L.readings_named(recent, meta))
-    return raw, recent, meta, named
+    return session_view(spark, sf, "recent", lambda: L.recent_readings(
+        A.raw_readings(spark, sf), as_of=A.readings_clock(spark, sf)))
+
+
+def _station_meta(spark, sf):
+    from aeris.sources.tables import session_view
+    return session_view(spark, sf, "station_meta", lambda: L.station_meta(_recent(spark, sf), _coords(spark, sf)))
+
+
+def _named(spark, sf):
+    """Every reading with its station: the names come from an aggregate of the same readings, so this one
+    view scans them twice. Queries that count or average readings derive from pre-aggregated rows instead."""
+    from aeris.sources.tables import session_view
+    return session_view(spark, sf, "named", lambda: L.readings_named(_recent(spark, sf), _station_meta(spark, sf)))
 
 
 def _hist(spark, sf):
@@ -390,8 +392,7 @@ _META_COLS = "country, pollutant, station_id, url, round(Value, 6) AS Value, lat
 
 @register("station_meta", S.with_ctes(_LIVE, f"SELECT {_META_COLS} FROM meta"))
 def q_station_meta(spark, sf):
-    _, _, meta, _ = _live(spark, sf)
-    return meta.withColumn("Value", r6("Value"))
+    return _station_meta(spark, sf).withColumn("Value", r6("Value"))
 
 
 @register("station_table", S.with_ctes(_LIVE, f"""st AS (
@@ -403,20 +404,18 @@ SELECT st.country, st.pollutant, st.station_id, st.url, round(st.Value, 6) AS Va
 FROM st LEFT JOIN coords c ON {S.norm_key('st.station_id')} = c.key"""))
 def q_station_table(spark, sf):
     """One row per station (not per file): the survey's fix of duplicate ids."""
-    raw = A.raw_readings(spark, sf)
-    recent = L.recent_readings(raw, as_of=A.readings_clock(spark, sf))
-    return L.station_meta(recent, _coords(spark, sf), per_file=False).withColumn("Value", r6("Value"))
+    return L.station_meta(_recent(spark, sf), _coords(spark, sf), per_file=False).withColumn("Value", r6("Value"))
 
 
 @register("readings_named", S.with_ctes(_LIVE, "SELECT * FROM named"))
 def q_readings_named(spark, sf):
-    return _live(spark, sf)[3]
+    return _named(spark, sf)
 
 
 @register("hourly_mean", S.with_ctes(_LIVE + [S.HOURLY],
           "SELECT country, pollutant, station_id, hour, round(Value, 6) AS Value, n FROM hourly"))
 def q_hourly_mean(spark, sf):
-    return L.hourly_mean(_live(spark, sf)[3]).withColumn("Value", r6("Value"))
+    return L.hourly_means(L.station_hours(_recent(spark, sf))).withColumn("Value", r6("Value"))
 
 
 _VIEW_COLS = ("country, pollutant, station_id, url, station_name, lat, lon, area_type, is_fallback, "
@@ -442,16 +441,8 @@ _HOUR_VIEW_SQL = S.with_ctes(_LIVE + [S.HOURLY, """last AS (SELECT country, poll
     f"SELECT {_VIEW_COLS} FROM frame")
 
 
-def _hourly_written(named):
-    """Hourly means written once (stations × ≤ 169 hours: small) when a query uses
-    them more than once; each use would otherwise re-aggregate the readings."""
-    from aeris.session import materialize
-    return materialize(L.hourly_mean(named), "hourly")
-
-
-def _hour_view(spark, sf):
-    _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return L.hour_view(meta, _hourly_written(named))
+def _hour_view(spark, sf, hour=None):
+    return L.live_view(_recent(spark, sf), _coords(spark, sf), hour)
 
 
 @register("hour_view", _HOUR_VIEW_SQL)
@@ -470,9 +461,8 @@ VIEW_HOUR = "2024-01-27 12:00:00"   # an explicitly chosen hour (the slider posi
        WHERE m.lat IS NOT NULL AND NOT isnan(m.lat) AND m.lon IS NOT NULL AND NOT isnan(m.lon))"""],
     f"SELECT {_VIEW_COLS} FROM frame"))
 def q_hour_view_at(spark, sf):
-    """The hour view at a chosen hour: only that hour's readings are scanned for the means."""
-    _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return _view_out(L.hour_view(meta, L.hourly_mean(named, hour=VIEW_HOUR), hour=VIEW_HOUR))
+    """The hour view at a chosen hour."""
+    return _view_out(_hour_view(spark, sf, VIEW_HOUR))
 
 
 _HOURS_SQL = "hours AS (SELECT DISTINCT country, pollutant, date_trunc('hour', Start) AS hour FROM named)"
@@ -480,7 +470,7 @@ _HOURS_SQL = "hours AS (SELECT DISTINCT country, pollutant, date_trunc('hour', S
 
 @register("all_hours", S.with_ctes(_LIVE + [_HOURS_SQL], "SELECT * FROM hours ORDER BY country, pollutant, hour"))
 def q_all_hours(spark, sf):
-    return L.observed_hours(_live(spark, sf)[3]).orderBy("country", "pollutant", "hour")
+    return L.observed_hours(_recent(spark, sf)).orderBy("country", "pollutant", "hour")
 
 
 @register("frame_index", S.with_ctes(_LIVE + [_HOURS_SQL], """SELECT country, pollutant, hour,
@@ -488,7 +478,7 @@ def q_all_hours(spark, sf):
   count(*) OVER (PARTITION BY country, pollutant) AS n_frames,
   lead(hour) OVER (PARTITION BY country, pollutant ORDER BY hour) AS next_hour FROM hours"""))
 def q_frame_index(spark, sf):
-    return L.frame_index(_live(spark, sf)[3])
+    return L.frame_index(_recent(spark, sf))
 
 
 @register("hour_bounds", S.with_ctes(_LIVE, """SELECT country, pollutant,
@@ -496,14 +486,14 @@ def q_frame_index(spark, sf):
   FROM named GROUP BY country, pollutant"""))
 def q_hour_bounds(spark, sf):
     """Slider bounds of the live view: first and last hour per group."""
-    return L.hour_bounds(_live(spark, sf)[3])
+    return L.hour_bounds(_recent(spark, sf))
 
 
 @register("hour_spine", S.with_ctes(_LIVE, """SELECT country, pollutant, h AS hour FROM (
   SELECT country, pollutant, date_trunc('hour', min(Start)) AS a, date_trunc('hour', max(Start)) AS b
   FROM named GROUP BY country, pollutant), LATERAL (SELECT unnest(range(a, b + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h)"""))
 def q_hour_spine(spark, sf):
-    return L.hour_spine(_live(spark, sf)[3])
+    return L.hour_spine(_recent(spark, sf))
 
 
 @register("hour_frames_all", S.with_ctes(_LIVE + [S.HOURLY, _HOURS_SQL,
@@ -515,13 +505,16 @@ def q_hour_spine(spark, sf):
        WHERE m.lat IS NOT NULL AND NOT isnan(m.lat) AND m.lon IS NOT NULL AND NOT isnan(m.lon))"""],
     f"SELECT hour, {_VIEW_COLS} FROM frame"))
 def q_hour_frames_all(spark, sf):
-    _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return _view_out(L.hour_frames_all(meta, _hourly_written(named)))
+    """Dense by definition (stations x observed hours). ``hourly_mean`` and ``hour_view_at`` are the sparse
+    table and the single frame; here the pre-aggregated hours are written once and used twice."""
+    from aeris.session import materialize
+    hours = materialize(L.station_hours(_recent(spark, sf)), "station-hours")
+    return _view_out(L.hour_frames_all(L.station_meta_of(hours, _coords(spark, sf)), L.hourly_means(hours)))
 
 
 @register("area_symbol", S.with_ctes(_LIVE, f"SELECT country, pollutant, station_id, url, area_type, {S.symbol('area_type')} AS symbol FROM meta"))
 def q_area_symbol(spark, sf):
-    meta = _live(spark, sf)[2]
+    meta = _station_meta(spark, sf)
     return meta.select("country", "pollutant", "station_id", "url", "area_type",
                        L.area_symbol(F.col("area_type")).alias("symbol"))
 
@@ -545,14 +538,13 @@ def q_map_payload(spark, sf):
 @register("empty_schema", S.with_ctes(_LIVE, f"SELECT {_META_COLS} FROM meta WHERE pollutant = 'CO'"))
 def q_empty_schema(spark, sf):
     """A request that finds nothing (no CO series) still yields the station table's typed schema."""
-    _, _, meta, _ = _live(spark, sf)
-    return meta.where(F.col("pollutant") == "CO").withColumn("Value", r6("Value"))
+    return _station_meta(spark, sf).where(F.col("pollutant") == "CO").withColumn("Value", r6("Value"))
 
 
 @register("coords_status", S.with_ctes(_LIVE, """SELECT country, pollutant, count(*) AS n_stations,
   count(lat) AS n_with_coords, count(lat) = 0 AS unresolved FROM meta GROUP BY country, pollutant"""))
 def q_coords_status(spark, sf):
-    return M.coords_status(_live(spark, sf)[2])
+    return M.coords_status(_station_meta(spark, sf))
 
 
 @register("station_count", S.with_ctes(_LIVE, """SELECT coalesce(s.country, r.country) AS country,
@@ -561,14 +553,13 @@ def q_coords_status(spark, sf):
   FULL JOIN (SELECT country, pollutant, count(*) AS rows_loaded FROM named GROUP BY ALL) r
   ON s.country = r.country AND s.pollutant = r.pollutant"""))
 def q_station_count(spark, sf):
-    _, _, meta, named = _live(spark, sf, reuse_meta=True)
-    return P.station_count(meta, named)
+    return P.station_count(L.station_files(_recent(spark, sf)))
 
 
 @register("station_names", S.with_ctes(_LIVE, """SELECT country, pollutant, station_name FROM meta
   WHERE station_name IS NOT NULL ORDER BY country, pollutant, station_name"""))
 def q_station_names(spark, sf):
-    return P.station_names(_live(spark, sf)[2]).orderBy("country", "pollutant", "station_name")
+    return P.station_names(_station_meta(spark, sf)).orderBy("country", "pollutant", "station_name")
 
 
 # ======================================= index ========================================
@@ -649,7 +640,7 @@ _SERIES_SQL = f"""series AS (SELECT *, coalesce({S.label('Value', 'pollutant')},
 
 @register("compare_series", S.with_ctes(_LIVE + [_SERIES_SQL], "SELECT * FROM series"))
 def q_compare_series(spark, sf):
-    return CMP.compare_series(_live(spark, sf)[3])
+    return CMP.compare_series(_named(spark, sf))
 
 
 @register("compare_semi", S.with_ctes(_LIVE + [_SERIES_SQL, """sel AS (
@@ -659,8 +650,11 @@ def q_compare_series(spark, sf):
     FROM named WHERE station_name IS NOT NULL GROUP BY country, pollutant, station_name) WHERE rk <= 2)"""],
     "SELECT s.* FROM series s SEMI JOIN sel USING (country, pollutant, station_name)"))
 def q_compare_semi(spark, sf):
-    named = _live(spark, sf)[3]
-    return CMP.compare_semi(named, CMP.top_stations(named, 2))
+    recent = _recent(spark, sf)
+    files = CMP.station_sizes(recent, _coords(spark, sf))
+    chosen = files.join(CMP.top_stations(files, 2), CMP.STATION, "left_semi")
+    return CMP.compare_series(recent.join(chosen.drop("hours"), [*L.GROUP, "url"]).select(
+        *L.GROUP, "station_id", "station_name", "Start", "Value"))
 
 
 _COUNTS_SQL = """counts AS (SELECT country, pollutant, station_name, aqi_label, count(*) AS hours
@@ -671,7 +665,7 @@ _COUNTS_SQL = """counts AS (SELECT country, pollutant, station_name, aqi_label,
   round(hours / sum(hours) OVER (PARTITION BY country, pollutant, station_name), 6) AS share,
   {S.order_of('aqi_label')} AS order_idx FROM counts"""))
 def q_tier_breakdown(spark, sf):
-    t = CMP.tier_breakdown(CMP.compare_series(_live(spark, sf)[3]))
+    t = CMP.tier_breakdown(CMP.station_labels(_recent(spark, sf), _coords(spark, sf)))
     return t.withColumn("share", r6("share"))
 
 
@@ -699,7 +693,7 @@ SELECT country, pollutant, station_name, n_readings, dominant, colour, {", ".joi
 
 @register("station_summary", S.with_ctes(_LIVE + [_SERIES_SQL, _COUNTS_SQL], _summary_sql()))
 def q_station_summary(spark, sf):
-    return CMP.station_summary(CMP.compare_series(_live(spark, sf)[3])).select(
+    return CMP.station_summary(CMP.station_labels(_recent(spark, sf), _coords(spark, sf))).select(
         "country", "pollutant", "station_name", "n_readings", "dominant", "colour",
         *[f"{t}_{x}" for t in ("worst", "best")
           for x in ("start", "value", "label", "colour", "time_text", "value_text")])
@@ -713,7 +707,7 @@ def q_station_summary(spark, sf):
 SELECT ym.country, ym.pollutant, d.tier, d.lower AS y1, least(d.upper, ym.y_max) AS y2, d.label, d.colour, ym.y_max
 FROM ym JOIN eaqi d ON d.pollutant = ym.ep WHERE d.lower < ym.y_max"""))
 def q_chart_bands(spark, sf):
-    return CMP.chart_bands(_live(spark, sf)[3], eaqi.eaqi_dim(spark))
+    return CMP.chart_bands(_recent(spark, sf), eaqi.eaqi_dim(spark))
 
 
 # ===================================== metadata =======================================
