@@ -8,24 +8,49 @@ single distinct edge there are no bins and the label is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PROBS = [i / 10 for i in range(11)]
 
 
 def decile_edges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per group with ``edges`` = distinct exact decile edges.
+    """One row per group with ``edges`` = distinct exact decile edges; nulls do not count.
 
-    Values are first counted per (group, value) — a partial aggregate that runs
-    before the shuffle — and the exact ``percentile`` then works on those
-    weighted distinct values, so its buffer is bounded by the number of
-    distinct values per group, not by rows (a hot group stays small).
+    No group is ever held in one buffer. Rows are counted per (group, value), then per whole-number bucket of
+    the value (at most 241 of them where values are clipped to 0..240). Running counts over the buckets tell
+    which ones hold the 22 ranks an edge is interpolated from, and only those buckets' values are ranked, each
+    bucket by itself in a running sum.
     """
-    counted = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    probs = F.array(*[F.lit(p) for p in _PROBS])
-    return counted.groupBy(*keys).agg(
-        F.array_distinct(F.percentile(F.col(value), probs, F.col("_w"))).alias("edges"))
+    keyed = values.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value)))
+    counted = keyed.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_w"))
+    group, steps = Window.partitionBy(*keys), (Window.unboundedPreceding, Window.currentRow)
+    buckets = (counted.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
+               .withColumn("_n", F.sum("_bw").over(group))
+               .withColumn("_from", F.sum("_bw").over(group.orderBy("_b").rowsBetween(*steps)) - F.col("_bw")))
+    at = [(F.col("_n") - F.lit(1)) * F.lit(p) for p in _PROBS]
+    ranks = [(F.floor(x), F.ceil(x)) for x in at]
+
+    def covers(rank: Column, width: str) -> Column:
+        return (rank >= F.col("_from")) & (rank < F.col("_from") + F.col(width))
+
+    hit = reduce(or_, [covers(r, "_bw") for pair in ranks for r in pair])
+    ranked = (counted.join(buckets.where(hit).select(*keys, "_b", "_n", "_from"), [*keys, "_b"])
+              .withColumn("_from", F.col("_from") - F.col("_w") + F.sum("_w").over(
+                  Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(*steps))))
+    found = ranked.groupBy(*keys, "_n").agg(*[
+        F.max(F.when(covers(r, "_w"), F.col(value).cast("double"))).alias(f"_{side}{i}")
+        for i, pair in enumerate(ranks) for side, r in zip(("lo", "hi"), pair)])
+
+    def edge(i: int) -> Column:
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        below, above = ranks[i]
+        return F.when(lo == hi, lo).otherwise((above - at[i]) * lo + (at[i] - below) * hi)
+
+    return found.select(*keys, F.array_distinct(F.array(*[edge(i) for i in range(len(_PROBS))])).alias("edges"))
 
 
 def decile_of(value: Column, edges: Column) -> Column:

@@ -74,15 +74,13 @@ def style_frames(frames: DataFrame, keys: list[str], edge_values: DataFrame | No
     ``edge_values`` may supply those values directly (same rows as the frame's
     non-missing ones) so edges need not be derived from the dense frame.
 
-    The edge table has one row per frame (pollutant × day of the requested
-    range: bounded by the calendar, not by data volume) and is broadcast, so
-    the dense frame itself is never shuffled for it.
+    The edge table has one row per frame; adaptive execution broadcasts it where it measures it small.
     """
     clipped = frames.withColumn("Value", clip_value(F.col("Value")))
     missing = F.col("Value") == 0
     src = clipped if edge_values is None else edge_values.withColumn("Value", clip_value(F.col("Value")))
     edges = decile_edges(src.where(F.col("Value") != 0), keys, "Value")
-    out = clipped.join(F.broadcast(edges), keys, "left")
+    out = clipped.join(edges, keys, "left")
     decile = decile_of(F.col("Value"), F.col("edges"))
     return (out.withColumns({"decile": F.when(~missing, decile)})
                .withColumn("size", F.when(missing, F.lit(0))

@@ -31,3 +31,18 @@ def test_summary_reads_readings_by_hash_aggregates(spark, sf_small):
     pre = CMP._extremes(CMP.compare_series(catalog._recent(spark, sf_small)), ["country", "pollutant", "url"])
     assert "SortAggregate" not in _plan(pre)[1] and "ObjectHashAggregate" not in _plan(pre)[1]
     assert "hours" in ext.columns
+
+
+def test_deciles_of_many_distinct_values_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from aeris.functions.deciles import decile_edges
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 5000), "v": np.where(rng.random(5000) < .4, 100 + rng.random(5000), rng.random(5000) * 240)})
+    df = decile_edges(spark.createDataFrame(pdf).repartition(5), ["g"], "v")
+    plan = _plan(df)[1]
+    assert "percentile" not in plan and "collect" not in plan
+    for r in df.collect():
+        x = np.quantile(pdf.v[pdf.g == r.g], [i / 10 for i in range(11)])
+        assert np.allclose(r.edges, x, rtol=1e-12, atol=0)
+    assert decile_edges(spark.createDataFrame([], "g int, v double"), ["g"], "v").count() == 0
