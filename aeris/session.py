@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
-                  app_name: str = "aeris", advisory_partition_bytes: str = "128m") -> SparkSession:
+def build_session(master: str | None = None, shuffle_partitions: int = 16, app_name: str = "aeris",
+                  advisory_partition_bytes: str = "128m", driver_memory: str | None = None) -> SparkSession:
     """A session with the settings every job here assumes.
 
     * session time zone UTC: wall-clock NTZ times and the oracle agree;
@@ -27,14 +27,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
       time and small join sides are broadcast only after their size is known;
     * Spark UI off (no server).
 
+    ``master`` and ``driver_memory`` are left to the cluster's own settings unless given.
+
     On a cluster pass a generous ``shuffle_partitions`` (e.g. a few per core of
     the whole cluster): AQE coalesces small partitions at run time towards
     ``advisory_partition_bytes``, so large stages get enough tasks to stay in
     memory and small ones do not pay for empty tasks.
     """
+    builder = SparkSession.builder
+    if master is not None:
+        builder = builder.master(master)
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -43,7 +49,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory_partition_bytes)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
 

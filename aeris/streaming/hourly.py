@@ -18,6 +18,8 @@ as if they were UTC (independent of the session zone) and mapped back on output.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +27,32 @@ from aeris.functions.eaqi import aqi_label
 from aeris.functions.keys import normalize_key, short_id
 from aeris.functions.timefmt import instant_to_ntz, ntz_to_instant
 from aeris.operators.clean import valid_value
+from aeris.session import materialize
 
 KEY = ["country", "pollutant", "station_id", "hour"]
 WATERMARK = "7 days"
 
 
-def readings_stream(spark: SparkSession, source_dir: str, schema, max_files: int = 4) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+BATCH_BYTES = 64 * 1024 ** 3
+
+
+def readings_stream(spark: SparkSession, source_dir: str, schema, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Arriving files, oldest first; a micro-batch takes about ``batch_bytes`` of them, however many files that is."""
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
             .parquet(source_dir))
 
 
+def _finish(query) -> int:
+    """Wait for the query to end. Returns the rows it dropped as later than the watermark (grouped per window
+    and station before they are counted), over the micro-batches the session keeps progress of
+    (``spark.sql.streaming.numRecentProgressUpdates``), and warns if there are any."""
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if late:
+        warnings.warn(f"{late} rows arrived more than {WATERMARK} late and were dropped", stacklevel=3)
+    return late
+
+
 def clean_stream(stream: DataFrame) -> DataFrame:
     return (stream.where(F.col("Start").isNotNull() & valid_value(F.col("Value")))
             .withColumn("station_id", short_id(F.col("Samplingpoint"))))
@@ -49,33 +67,33 @@ def hourly_mean_stream(stream: DataFrame) -> DataFrame:
 
 
 def run_hourly_mean(spark: SparkSession, source_dir: str, schema, sink_dir: str,
-                    checkpoint_dir: str, max_files: int = 4) -> None:
-    """Run the stream over everything available now, then stop."""
+                    checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> int:
+    """Run the stream over everything available now, then stop. Returns the late rows dropped."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
         (batch.select("country", "pollutant", "station_id",
                       instant_to_ntz(F.col("w.start")).alias("hour"), "sum_value", "n")
               .withColumn("batch_id", F.lit(batch_id))
               .write.mode("append").parquet(sink_dir))
 
-    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, max_files))
+    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, batch_bytes))
          .writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _finish(q)
 
 
 def run_hourly_final(spark: SparkSession, source_dir: str, schema, sink_dir: str,
-                     checkpoint_dir: str, max_files: int = 4) -> None:
+                     checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> int:
     """Final history: ``append`` mode writes each hourly window exactly once, when the
     watermark (latest time − 7 days) has passed its end, to a Parquet file sink
-    (exactly-once through the sink's commit log)."""
-    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, max_files))
+    (exactly-once through the sink's commit log). Returns the late rows dropped."""
+    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, batch_bytes))
          .select("country", "pollutant", "station_id",
                  instant_to_ntz(F.col("w.start")).alias("hour"),
                  (F.col("sum_value") / F.col("n")).alias("Value"), "n")
          .writeStream.outputMode("append").format("parquet")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _finish(q)
 
 
 def latest_per_key(spark: SparkSession, sink_dir: str) -> DataFrame:
@@ -95,8 +113,10 @@ def classify_stream(stream: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 def run_classify(spark: SparkSession, source_dir: str, schema, coords: DataFrame, sink_dir: str,
-                 checkpoint_dir: str, max_files: int = 4) -> None:
-    q = (classify_stream(readings_stream(spark, source_dir, schema, max_files), coords)
+                 checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> None:
+    """``coords`` is written once, so that no micro-batch computes it again."""
+    coords = materialize(coords.select("key", "lat", "lon", "station_name"), "stream-coords")
+    q = (classify_stream(readings_stream(spark, source_dir, schema, batch_bytes), coords)
          .writeStream.outputMode("append").format("parquet")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())

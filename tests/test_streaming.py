@@ -1,5 +1,6 @@
 """Stream = batch, including a restart from the checkpoint between arrivals."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from aeris.functions.keys import short_id
@@ -28,3 +29,20 @@ def test_hourly_stream_resumes_and_equals_batch(spark, sf_small):
     b = {tuple(r[:4]): (round(r.Value, 9), r.n) for r in batch.collect()}
     assert g == b
     assert spark.read.parquet(sink).select("batch_id").distinct().count() >= 2
+
+
+def test_late_rows_are_counted(spark):
+    import datetime as dt
+    from aeris.session import scratch_path
+    from aeris.streaming import hourly as ST
+    schema = "country string, pollutant string, Samplingpoint string, Start timestamp_ntz, Value double"
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("late-src", "late-sink", "late-ckpt"))
+
+    def arrive(day):
+        spark.createDataFrame([("AT", "NO2", "x/A", dt.datetime(2024, 1, day), 1.0)], schema).write.mode("append").parquet(src)
+        return ST.run_hourly_mean(spark, src, schema, sink, ckpt)
+
+    assert arrive(20) == 0 and arrive(15) == 0          # five days late: kept
+    with pytest.warns(UserWarning, match="1 rows arrived"):
+        assert arrive(2) == 1                            # beyond the watermark: dropped and reported
+    assert ST.latest_per_key(spark, sink).count() == 2
