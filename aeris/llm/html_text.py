@@ -3,9 +3,10 @@
 A page is parsed into a tree of elements. For every node the link-adjusted characters per tag are computed: with
 C characters, T tags, LC characters and LT tags inside links, density is ``C / T`` scaled down by the share of
 link characters, and a node's density sum is the sum over its children. The subtree with the largest density sum
-is the core of the page; the smallest density on the path from the core to the body is the threshold, and blocks
-outside the core whose top-level branch reaches the threshold are kept as well. A core inside an ``article`` or
-``main`` element is widened to it.
+is the core of the page; the smallest density on the path from the core up to the body's child is the threshold. The text is the
+core, and what stands beside the core or beside an element of that path with a density that reaches the threshold
+(a run of text and inline elements counts as one element). A core inside an ``article`` or ``main`` element is
+widened to it; a core that holds most of its text in such elements is narrowed to them.
 
 Before that, elements that are no text of a page by their kind go: scripts, styles, forms, navigation, page
 headers and footers, asides, and elements whose class, id or role marks them as menus, sidebars, notices,
@@ -156,6 +157,10 @@ def parse(page: str) -> Node:
     return root
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int) -> float:
+    return (chars - link_chars) / max(1, tags) / (1 + link_tags / max(1, tags)) if chars else 0.0
+
+
 def _measure(root: Node) -> None:
     """Characters, tags and densities bottom-up, without recursion (trees may be deep)."""
     order, stack = [], [(root, False)]
@@ -176,8 +181,7 @@ def _measure(root: Node) -> None:
                 n.link_chars += k.link_chars
                 n.link_tags += k.link_tags + (k.tag == "a")
                 n.sum += k.density
-        plain = n.chars - n.link_chars
-        n.density = n.chars / max(1, n.tags) * (plain / n.chars) / (1 + n.link_tags / max(1, n.tags)) if n.chars else 0.0
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags)
         n.sum += n.density if n.tags == 0 else 0.0
 
 
@@ -196,46 +200,85 @@ def _body(root: Node) -> Node:
     return root
 
 
-def content(root: Node) -> list[Node]:
-    """Subtrees that hold the main text, in page order."""
-    body = _body(root)
-    _measure(body)
+def _core(body: Node) -> tuple[Node, list[Node]]:
+    """The subtree with the largest density sum, and the articles and mains with text."""
     core, semantic = body, []
     for n in _descend(body):
         if n.sum > core.sum:
             core = n
         if n.tag in ("article", "main") and n.chars:
             semantic.append(n)
-    if semantic:  # the core's own article or main, or the one with most text
-        p = core
-        found = None
-        while p is not None:
-            if p.tag in ("article", "main"):
-                found = p
-            p = p.parent
-        if found is None:
-            found = max(semantic, key=lambda n: (n.chars - n.link_chars, n.tag == "main"))
+    return core, semantic
+
+
+def _plain(n: Node) -> int:
+    return n.chars - n.link_chars
+
+
+def _article(core: Node, semantic: list[Node]) -> Node | None:
+    """The core's own article or main; where the core holds most of its text in some, the one with most text."""
+    p, found = core, None
+    while p is not None:
+        if p.tag in ("article", "main"):
+            found = p
+        p = p.parent
+    if found is None:
+        held = [n for n in semantic if _inside(n, [core])]
+        if held and 2 * sum(_plain(n) for n in held if not _inside(n, held)) >= _plain(core):
+            found = max(held, key=lambda n: (_plain(n), n.tag == "main"))
+    return found
+
+
+def content(root: Node) -> list[Node]:
+    """Subtrees that hold the main text, in page order."""
+    body = _body(root)
+    _measure(body)
+    core, semantic = _core(body)
+    found = _article(core, semantic)
+    if found is not None:
         # articles beside each other under the body are parts of one page's text when there is no main
         tops = [n for n in semantic if not _inside(n, semantic)]
         return tops if found.tag == "article" and found in tops else [found]
-    threshold, p = core.density, core
-    while p is not None and p is not body:
-        threshold = min(threshold, p.density)
-        p = p.parent
-    top = core
-    while top is not body and top.parent is not body:
-        top = top.parent
-    if top is body:
-        return [body]
-    keep = []
-    for k in body.kids:
-        if type(k) is str:
-            keep.append(k)
-        elif not k.dropped and (k is top or k.density >= threshold or k.chars and k.link_chars * 2 < k.chars):
-            keep.append(k)
-    holder = Node("body", None)
-    holder.kids = keep
-    return [holder]
+    path = [core]
+    while path[-1] is not body and path[-1].parent is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    kept, on_path = core, core
+    while on_path is not body:  # from the core up: each parent without what is below the threshold
+        parent = on_path.parent
+        holder = Node(parent.tag, None)
+        for unit in _units(parent):
+            if on_path in unit:
+                holder.kids += [kept if k is on_path else k for k in unit]
+            elif _unit_density(unit) >= threshold:
+                holder.kids += unit
+        kept, on_path = holder, parent
+    return [kept]
+
+
+def _units(parent: Node) -> list[list[Node | str]]:
+    """Children of an element: blocks one by one, runs of text and inline elements (and line breaks) together."""
+    out: list[list[Node | str]] = []
+    run = False
+    for k in parent.kids:
+        inline = type(k) is str or k.tag == "br" or k.tag not in _BLOCK
+        if inline and run:
+            out[-1].append(k)
+        else:
+            out.append([k])
+        run = inline
+    return out
+
+
+def _unit_density(unit: list[Node | str]) -> float:
+    """As an element with these children would have; a block has its own."""
+    nodes = [k for k in unit if type(k) is not str and not k.dropped]
+    if len(unit) == 1 and nodes:
+        return nodes[0].density if nodes[0].chars else -1.0
+    chars = sum(k.chars for k in nodes) + sum(len(" ".join(k.split())) for k in unit if type(k) is str)
+    tags = sum(k.tags + 1 for k in nodes)
+    link_tags = sum(k.link_tags + (k.tag == "a") for k in nodes)
+    return _density(chars, tags, sum(k.link_chars for k in nodes), link_tags) if chars else -1.0
 
 
 def _inside(n: Node, others: list[Node]) -> bool:

@@ -309,6 +309,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def _page(*blocks):
+    return "<body><div id=wrap>" + "".join(blocks) + "</div></body>"
+
+
+STORY = ["The harbour was quiet that morning, and the first boats came back with little more than rope and weather.",
+         "By noon the market had opened all the same; the women laid out what there was and the buyers took their time.",
+         "Nobody spoke of the storm until the evening, when the last of the missing boats was seen beyond the point."]
+
+
+@pytest.mark.parametrize("beside", [
+    "<div><div><a href=1>Home</a></div><div><a href=2>News</a></div><div>Weather</div><div>Sport</div></div>",
+    "<div>Terms have changed.</div>", "<div><span>Buy</span> <span>two</span> <span>boats</span></div>", "All rights kept."])
+def test_main_text_is_the_core(beside):
+    story = "<div class=x>" + "".join(f"<p>{p}</p>" for p in STORY) + "</div>"
+    for page in (_page(beside, story), _page(story, beside), f"<body>{beside}{story}</body>",
+                 _page(beside, f"<div>{story}{beside}</div>"), _page(story, beside, "<article><h2>Read on</h2><p>A card.</p></article>")):
+        assert html_text.main_text(page) == " ".join(STORY)
+
+
+def test_main_text_keeps_dense_neighbours():
+    story = "<div class=x>" + "".join(f"<p>{p}</p>" for p in STORY) + "</div>"
+    half = len(STORY[0]) // 2
+    head, tail = STORY[0][:half].rstrip(), STORY[0][half:].lstrip()
+    for more in (f"<p>{STORY[0]}</p>", f"{head} <i>{tail}</i>", f"{head}<br>{tail}"):
+        text = " ".join([head, tail, *STORY]) if "<p>" not in more else " ".join([STORY[0], *STORY])
+        assert html_text.main_text(_page(more, "<div>Terms</div>", story)) == text
+
+
 def test_extract_rows_and_depth(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     df = spark.createDataFrame([(1, "u", None, 0), (2, None, deep, 0), (2, None, deep, 0)],
