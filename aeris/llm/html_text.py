@@ -10,7 +10,10 @@ widened to it; a core that holds most of its text in such elements is narrowed t
 
 Before that, elements that are no text of a page by their kind go: scripts, styles, forms, navigation, page
 headers and footers, asides, and elements whose class, id or role marks them as menus, sidebars, notices,
-adverts or reader comments. Character references are decoded, white space inside a block becomes one space,
+adverts or reader comments. Such words also name layouts (``content sidebar-right``), so a marked element goes only
+after densities are measured, and stays if it holds the core or the chosen article; adverts, consent and reader
+comments may be denser than the article and stay only if they hold the page's only articles, or all text of an article or page.
+``has-``, ``no-``, ``with-``, ``without-`` forms and the like mark nothing. Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by one space.
 
 Null and empty pages give an empty text. Broken pages (open tags at the end, cut references, stray end tags) are
@@ -38,13 +41,20 @@ iframe input link menu meta nav noembed noframes noscript object search select s
 video""".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "title",
                       "legend", "select"}
+#: forms that say how a page is laid out
+_MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|no|with|without)[_-]\S*|(?:ads?|comments?)[_-](?:free|open|closed|enabled|disabled|on|off)(?!\S))")
 #: words of a class, id or role that mark an element as not part of the article
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tion|ted)?"
     r"|nav|navbar|navigation|navigations|menu|menus|breadcrumbs?|sidebars?|aside|widgets?|complementary"
     r"|comments?|commentlist|disqus|replies|respond|reader-comments|header|masthead|topbar|footer|contentinfo|colophon"
-    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search"
+    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search(?![_-]results?)"
     r"|share|sharing|social|related|recommended|pagination|pager|skip-link|toolbar|hidden|sr-only)(?:$|[\s_-])")
+#: those that often hold more text than the article
+_OTHERS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|sponsor(?:ed|s)?"
+    r"|comments?|commentlist|disqus|replies|respond|reader-comments|cookies?|consent|gdpr)(?:$|[\s_-])")
+_HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -53,32 +63,37 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parent", "kids", "dropped", "mark", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, mark: int = 0):
+        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
         self.kids: list[Node | str] = []
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is no text of a page by its kind, and what its class, id or role marks it as: 0 nothing,
+    1 boilerplate or a layout, 2 adverts, consent or comments."""
     if tag in _DROP:
-        return True
+        return True, 0
+    mark = 0
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, mark
     for m in _ATTR.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, 0
         if name == "style" and _HIDDEN.search(value):
-            return True
-        if tag in ("article", "main", "h1"):
-            continue
+            return True, 0
         if name == "role" and value.strip().lower() in _MARK_ROLES:
-            return True
-        if name in ("class", "id") and _MARKS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
-            return True
-    return False
+            mark = max(mark, 1)
+        if name in ("class", "id"):
+            value = _MODIFIER.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
+            if in_article:  # its title block
+                value = _HEADER.sub(" ", value)
+            if _MARKS.search(value):
+                mark = max(mark, 2 if _OTHERS.search(value) else 1)
+    return False, mark
 
 
 def parse(page: str) -> Node:
@@ -142,8 +157,8 @@ def parse(page: str) -> Node:
                 p = p.parent
             node = p
         # a header inside an article is its title block, not the page's header
-        dropped = _marked(name, m[3]) and not (name == "header" and article_depth)
-        new = Node(name, node, dropped)
+        dropped, mark = _judge(name, m[3], article_depth > 0)
+        new = Node(name, node, dropped and not (name == "header" and article_depth), mark)
         node.kids.append(new)
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK and name not in _RAW:
             continue
@@ -229,10 +244,53 @@ def _article(core: Node, semantic: list[Node]) -> Node | None:
     return found
 
 
+def _up(n: Node | None):
+    while n is not None:
+        yield n
+        n = n.parent
+
+
+def _settle(body: Node) -> None:
+    """Drop the marked elements that do not hold the core or the chosen article, and measure what is left. An article,
+    main or h1 is not dropped for its own marks, but no evidence for the element it stands in."""
+    marked, free, inside = [], [], []
+    stack = [(body, False)]
+    while stack:  # free articles stand in no advert, consent or comment
+        n, others = stack.pop()
+        own = n.tag in ("article", "main", "h1")
+        if n.mark and not own:
+            marked.append(n)
+            others = others or n.mark == 2
+        elif own and n.tag != "h1" and not n.mark:
+            (inside if others else free).append(n)
+        stack += [(k, others) for k in n.kids if type(k) is not str and not k.dropped]
+    if not marked:
+        _measure(body)
+        return
+    held = set() if free else {p for n in inside for p in _up(n)}
+    for n in marked:
+        n.dropped = n.mark == 2 and n not in held
+    _measure(body)
+    bare = {a for a in (free if body.chars else [body]) if not a.chars}
+    if bare:
+        for n in marked:
+            n.dropped = n.dropped and not any(p in bare for p in _up(n))
+        _measure(body)
+    core, semantic = _core(body)
+    stays = {*_up(core), *_up(_article(core, semantic))}
+    for n in marked:
+        n.dropped = n not in stays
+    _measure(body)
+    if not body.chars:  # all the core's text stands in marked elements
+        for n in marked:
+            n.dropped = False
+        _measure(body)
+
+
 def content(root: Node) -> list[Node]:
     """Subtrees that hold the main text, in page order."""
     body = _body(root)
-    _measure(body)
+    _settle(body)
     core, semantic = _core(body)
     found = _article(core, semantic)
     if found is not None:

@@ -337,6 +337,26 @@ def test_main_text_keeps_dense_neighbours():
         assert html_text.main_text(_page(more, "<div>Terms</div>", story)) == text
 
 
+@pytest.mark.parametrize("name", [
+    "content has-sidebar", "no-sidebar", "post with-comments", "hasSidebar", "search-result", "content sidebar-right", "widget",
+    "social", "overlay content", "ads-free", "comments-open", "adbox"])
+def test_marked_wrappers_keep_their_text(name):
+    paragraphs, story = "".join(f"<p>{p}</p>" for p in STORY), " ".join(STORY)
+    menu, notes = "<div class=menu><p>Home</p><p>News</p></div>", f"<div class=comments><p>{STORY[0]}</p><p>{STORY[1]}</p></div>"
+    for inner, text in ((f"<article><div class=entry-header><h1>Harbour</h1></div>{paragraphs}{notes}</article>", "Harbour " + story),
+                        (f"<article><div class='{name}'>{paragraphs}</div></article>", story), (paragraphs, story)):
+        beside = f"{menu}<div class=notice>Terms</div>" if name != "adbox" or "<article>" in inner else ""
+        assert html_text.main_text(f"<body>{beside}<div class='{name}'>{inner}</div>{beside}</body>") == text
+
+
+def test_marked_blocks_beside_the_text_go():
+    paragraphs = "".join(f"<p>{p}</p>" for p in STORY)
+    long = "<div id=comments><article class=comment>" + paragraphs * 3 + "</article></div><div class=cookie-consent>" + paragraphs * 4 + "</div>"
+    for inner in (f"<article>{paragraphs}<div class=related><p>{STORY[0]}</p></div></article>", f"<div>{paragraphs}</div>"):
+        page = f"<body><div class=sidebar><p>{STORY[1]}</p></div>{inner}{long}</body>"
+        assert html_text.main_text(page) == " ".join(STORY)
+
+
 def test_extract_rows_and_depth(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     df = spark.createDataFrame([(1, "u", None, 0), (2, None, deep, 0), (2, None, deep, 0)],
