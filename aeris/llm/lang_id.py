@@ -3,12 +3,15 @@
 For each language a suffix automaton of labelled text recognises every substring of that text. A document
 is parsed greedily: from each place the longest substring known to the automaton is one phrase. The language
 that needs the fewest phrases, normalised by length and by the size of its labelled text
-(``phrases * log2(labelled characters) / characters``), wins; ties go to the first name in sorted order.
+(``phrases * log2(labelled characters) / characters``), wins; ties go to the first name in sorted order. A letter
+that a language's sample does not have must be spelled out: it costs ``log2(letters of all samples)`` more, else the
+language with the smallest sample would win any text that few samples know.
 
 The classifier is fitted on a bounded sample: ``docs_per_lang`` labelled texts per language, ``chars_per_doc``
 characters of each. Prediction reads whole texts: they are parsed in blocks of ``block`` characters (a phrase
 ends at a block's end), all blocks of a batch in lockstep over one transition table, so a long text costs no
-more than short ones. Letters are lower-cased, every run of other characters is one blank.
+more than short ones. Letters are lower-cased, every run of other characters is one blank. Each language knows every
+letter of its own sample, whatever the script.
 
 ``und`` with score 0 for a text that is null or has no letter, and for every text when nothing is labelled.
 ``score`` is ``1 - best / second best`` (1 when only one language is known). Repeated rows get equal rows;
@@ -18,7 +21,6 @@ other columns of the input are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from aeris.llm.common import forget, sliced
 DOCS_PER_LANG = 96
 CHARS_PER_DOC = 320
 MAX_LANGS = 200
-ALPHABET = 56
+DENSE_BYTES = 96 << 20
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -111,60 +113,108 @@ class Automaton:
         return len(self.next) - 1
 
 
+class Table:
+    """Steps of one automaton by a table over all states and symbols."""
+
+    def __init__(self, width: int, states: int, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        self.kind = np.int32 if 4 * width * states < 2 ** 31 else np.int64
+        table = np.empty((states, width), self.kind)
+        table[:] = _leave(width, state, symbol, to)
+        table[0] = 1
+        table[state, symbol] = 4 * width * to
+        self.table = table.ravel()
+
+    def of(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table.take(state + symbol)
+
+
+class Keys:
+    """The same steps by a search among the transitions there are."""
+
+    kind = np.int64
+
+    def __init__(self, width: int, states: int, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        key = state * width + symbol
+        order = np.argsort(key)
+        self.keys = np.append(key[order], np.iinfo(np.int64).max)
+        self.to = np.append(to[order] * (4 * width), 0)
+        self.leave = _leave(width, state, symbol, to)
+
+    def of(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = self.leave.take(symbol)
+        out -= (symbol == 0) & (state == 0)
+        known = np.flatnonzero(symbol)
+        key = state[known] + symbol[known]
+        at = self.keys.searchsorted(key)
+        stays = self.keys.take(at) == key
+        out[known[stays]] = self.to.take(at[stays])
+        return out
+
+
+def _leave(width: int, state: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Steps that close the open phrase, by symbol; the unknown symbol closes its own as well."""
+    out = np.full(width, 2, np.int64)
+    out[symbol[state == 0]] = 4 * width * to[state == 0] + 1
+    return out
+
+
 class Model:
-    """One transition table for all languages.
+    """Transitions of every language's automaton over the symbols of its own sample.
 
-    ``table[state * width + symbol]`` holds ``4 * (next state * width) + phrases closed by this step``. A step
-    that leaves the automaton closes a phrase and starts the next one with the same symbol; a symbol the
-    language does not know is a phrase of its own."""
+    A step gives ``4 * (next state * width) + phrases closed by this step``. A step that leaves the automaton closes a
+    phrase and starts the next one with the same symbol; a symbol the language does not know (0) is a phrase of its
+    own. Automata are tables indexed by ``state * width + symbol`` as long as all of them take at most ``dense_bytes``,
+    those with the smallest tables first; the others (large alphabets, many languages) are sorted keys. Both give the
+    same steps."""
 
-    def __init__(self, samples: dict[str, list[str]], alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, list[str]], dense_bytes: int = DENSE_BYTES):
         self.langs = sorted(samples)
-        counts: Counter = Counter()
         texts = {g: [normal(" " + t + " ") for t in samples[g]] for g in self.langs}
-        for parts in texts.values():
-            for t in parts:
-                counts.update(t.tolist())
-        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:alphabet - 1]]
-        self.symbols = np.zeros(sys.maxunicode + 1, np.uint8)  # 0: not in the alphabet
-        self.symbols[known] = np.arange(1, len(known) + 1)
-        self.width = len(known) + 1
-        tables, self.roots, self.scale, base = [], [], [], 0
+        seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(t for parts in texts.values() for t in parts)]))
+        kind = np.uint16 if len(seen) < 2 ** 16 - 1 else np.uint32
+        self.symbols = np.zeros(sys.maxunicode + 1, kind)  # 0: in no sample
+        self.symbols[seen] = np.arange(1, len(seen) + 1)
+        self.spelling = float(np.log2(max(2, len(seen))))
+        self.own, self.scale, self.steps, moves = [], [], [], []
         for g in self.langs:
+            coded = [self.symbols[t] for t in texts[g]]
+            letters_ = np.unique(np.concatenate([np.zeros(0, kind), *coded]))
+            own = np.zeros(len(seen) + 1, kind)  # the language's symbols, from all languages' symbols
+            own[letters_] = np.arange(1, len(letters_) + 1)
             auto = Automaton()
-            size = 0
-            for t in texts[g]:  # one after the other: the few substrings across texts do no harm
-                for s in self.symbols[t].tolist():
-                    if s:
-                        auto.feed(s)
-                    size += 1
-            n, root_moves = len(auto.next), auto.next[0]
-            table = np.empty((n, self.width), np.int64)
-            table[:] = 4 * base * self.width + 2  # unknown symbol after an open phrase: both are closed
-            for s, to in root_moves.items():
-                table[:, s] = 4 * (base + to) * self.width + 1
-            table[0] = 4 * base * self.width + 1
-            for state, moves in enumerate(auto.next):
-                for s, to in moves.items():
-                    table[state, s] = 4 * (base + to) * self.width
-            tables.append(table)
-            self.roots.append(base * self.width)
-            self.scale.append(float(np.log2(max(2, size))))
-            base += n
-        flat = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.int32 if flat.size == 0 or flat.max() < 2 ** 31 else np.int64)
+            for t in coded:  # one after the other: the few substrings across texts do no harm
+                for s in own[t].tolist():
+                    auto.feed(s)
+            n = sum(map(len, auto.next))
+            state = np.repeat(np.arange(len(auto.next)), [len(m) for m in auto.next])
+            moves.append((len(letters_) + 1, len(auto.next), state, np.fromiter((s for m in auto.next for s in m), np.int64, n),
+                          np.fromiter((to for m in auto.next for to in m.values()), np.int64, n)))
+            self.own.append(own)
+            self.scale.append(float(np.log2(max(2, sum(map(len, coded))))))
+        sizes = [width * states * (4 if 4 * width * states < 2 ** 31 else 8) for width, states, *_ in moves]
+        dense, total = set(), 0
+        for j in sorted(range(len(sizes)), key=lambda j: (sizes[j], j)):
+            total += sizes[j]
+            if total <= dense_bytes:
+                dense.add(j)
+        self.steps = [(Table if j in dense else Keys)(*m) for j, m in enumerate(moves)]
 
     def rates(self, texts: list[str | None], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases per language (rows: texts), and whether a text has letters."""
+        rate, _, has = self._parsed(texts, block)
+        return rate, has
+
+    def _parsed(self, texts: list[str | None], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised phrases and share of unknown letters per language, and whether a text has letters."""
         n, k = len(texts), len(self.langs)
         coded = [np.zeros(0, np.uint32) if not t else normal(t) for t in texts]
         has = np.array([bool((c != 32).any()) for c in coded], bool)
-        total, size = np.zeros((n, k)), np.array([max(1, len(c)) for c in coded], float)
+        total, missing, size = np.zeros((n, k)), np.zeros((n, k)), np.array([max(1, len(c)) for c in coded], float)
         if k == 0:
-            return total, has
+            return total, missing, has
         pieces = np.array([-(-len(c) // block) for c in coded])
         owner = np.repeat(np.arange(n), pieces)
-        grid = np.zeros((len(owner), block), np.uint8)
+        grid = np.zeros((len(owner), block), self.symbols.dtype)
         length = np.zeros(len(owner), np.int64)
         row = 0
         for c, p in zip(coded, pieces, strict=True):
@@ -178,22 +228,25 @@ class Model:
         step = 4096
         for at in range(0, len(order), step):
             rows = order[at:at + step]
-            sub, lens = np.ascontiguousarray(grid[rows].T.astype(self.table.dtype)), length[rows]
+            sub, lens = np.ascontiguousarray(grid[rows].T), length[rows]
             running = np.searchsorted(-lens, -np.arange(block), side="left")  # rows with length > i
-            for j, root in enumerate(self.roots):
-                state = np.full(len(rows), root, self.table.dtype)
+            for j, steps in enumerate(self.steps):
+                own = self.own[j].astype(steps.kind).take(sub[:int(lens[0])])
+                state = np.zeros(len(rows), steps.kind)
                 phrases = np.zeros(len(rows), np.int64)
                 for i in range(int(lens[0])):
                     m = running[i]
-                    v = self.table.take(state[:m] + sub[i, :m])
+                    v = steps.of(state[:m], own[i, :m])
                     phrases[:m] += v & 3
                     state[:m] = v >> 2
-                phrases += state != root
+                phrases += state != 0
                 np.add.at(total[:, j], owner[rows], phrases)
-        return total * np.array(self.scale) / size[:, None], has
+                np.add.at(missing[:, j], owner[rows], lens - np.count_nonzero(own, axis=0))
+        return total * np.array(self.scale) / size[:, None], missing / size[:, None], has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        rate, has = self.rates(texts)
+        rate, missing, has = self._parsed(texts, BLOCK)
+        rate = rate + missing * self.spelling
         names, scores = [], []
         for r, ok in zip(rate, has, strict=True):
             if not ok or not len(r):

@@ -217,6 +217,26 @@ def test_language_id(spark, sf_small):
     assert lang_id.known_language(unlabelled).count() == docs.count()
 
 
+SCRIPTS = {"en": (97, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "ko": (0xAC00, 900), "zh": (0x4E00, 2500), "ja": (0x5500, 2500)}
+
+
+def scripts(rng, g, n):
+    """Words of a language's own letters, the first ones more frequent."""
+    first, many = SCRIPTS[g]
+    return " ".join("".join(chr(first + int(many * rng.random() ** 2)) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("limit", [{}, {"dense_bytes": 0}])
+def test_language_id_knows_every_letter(limit):
+    rng = random.Random(8)
+    samples = {g: [scripts(rng, g, 40) for _ in range(3 if g == "en" else 1 + 3 * k)] for k, g in enumerate(SCRIPTS)}
+    model = lang_id.Model(samples, **limit)
+    names, _ = model.predict([scripts(rng, g, 60) for g in SCRIPTS for _ in range(5)])
+    assert names == [g for g in SCRIPTS for _ in range(5)]
+    texts = [scripts(rng, g, 9) + " x " + scripts(rng, h, 90) for g in SCRIPTS for h in SCRIPTS]
+    assert (model.rates(texts)[0] == lang_id.Model(samples).rates(texts)[0]).all()
+
+
 def test_cross_parsing_by_brute_force():
     samples = {"a": ["the cat sat on the mat"], "b": ["der hund und die katze"]}
     model = lang_id.Model(samples)
