@@ -8,7 +8,7 @@ that a language's sample does not have must be spelled out: it costs ``log2(lett
 language with the smallest sample would win any text that few samples know.
 
 The classifier is fitted on a bounded sample: ``docs_per_lang`` labelled texts per language, ``chars_per_doc``
-characters of each. Prediction reads whole texts: they are parsed in blocks of ``block`` characters (a phrase
+characters of each, for every label (a model holds about 2 to 10 MB a label with a full sample). Prediction reads whole texts: they are parsed in blocks of ``block`` characters (a phrase
 ends at a block's end), all blocks of a batch in lockstep over one transition table, so a long text costs no
 more than short ones. Letters are lower-cased, every run of other characters is one blank. Each language knows every
 letter of its own sample, whatever the script.
@@ -33,7 +33,7 @@ from aeris.llm.common import forget, sliced
 
 DOCS_PER_LANG = 96
 CHARS_PER_DOC = 320
-MAX_LANGS = 200
+SHORT = 40
 DENSE_BYTES = 96 << 20
 BLOCK = 256
 UNKNOWN = "und"
@@ -41,21 +41,25 @@ UNKNOWN = "und"
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> DataFrame:
-    """At most ``docs_per_lang`` labelled texts per language, those with the smallest hashes of their ids.
-
-    Ids alone are counted first; a hash threshold then leaves a few times the wanted rows before any text is
-    ranked, so that no language's rows meet in one task. The ``MAX_LANGS`` most frequent labels are learned."""
-    id_ = F.col(id_col).cast("string")
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.coalesce(id_, F.lit(""))) % 4 != 2)
-                          & (F.length(F.col(text_col)) >= 40))
-    part = (F.xxhash64(id_) / F.lit(2.0 ** 64) + F.lit(0.5)).alias("part")
-    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang_")) \
-        .agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), "lang_").limit(MAX_LANGS)
-    ids = labelled.select(F.col(lang_col).alias("lang"), part, F.col(text_col).alias("text"))
-    few = ids.join(F.broadcast(sizes), ids.lang == sizes["lang_"]) \
-        .where(F.col("part") <= F.lit(6.0 * docs_per_lang) / F.col("n_")) \
-        .select("lang", "part", F.substring("text", 1, chars_per_doc).alias("text"))
-    order = Window.partitionBy("lang").orderBy("part", "text")
+    """At most ``docs_per_lang`` labelled texts per language, those with the smallest hashes of id and text. Texts
+    under ``SHORT`` characters are taken only where a language has too few longer ones; equal rows are one.
+
+    Different rows are counted first, by label and by short or long; a hash threshold then leaves a few times the
+    wanted rows of each before any text is ranked, so that no language's rows meet in one task. Every label with a
+    text that holds a letter is learned."""
+    id_, text = F.col(id_col).cast("string"), F.col(text_col)
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.coalesce(id_, F.lit(""))) % 4 != 2) & text.rlike(r"\p{L}")) \
+        .select(F.col(lang_col).alias("lang"), (F.length(text) < SHORT).alias("short"),
+                (F.xxhash64(id_, text) / F.lit(2.0 ** 64) + F.lit(0.5)).alias("part"),
+                F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, chars_per_doc).alias("text"))
+    different = rows.groupBy(F.col("lang").alias("lang_"), F.col("short").alias("short_")) \
+        .agg(F.approx_count_distinct("part").alias("n_"), F.min("part").alias("least_"))
+    enough = different.where(~F.col("short_") & (F.col("n_") >= 2 * docs_per_lang)).select("lang_")
+    sizes = different.where(~F.col("short_")).unionByName(different.where("short_").join(enough, "lang_", "left_anti"))
+    few = rows.join(F.broadcast(sizes), (rows.lang == sizes["lang_"]) & (rows.short == sizes["short_"])) \
+        .where(F.col("part") <= F.greatest(F.lit(6.0 * docs_per_lang) / F.col("n_"), F.col("least_"))) \
+        .select("lang", "short", "part", "text").distinct()
+    order = Window.partitionBy("lang").orderBy("short", "part", "text")
     return few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("lang", "part", "text")
 
 
@@ -168,9 +172,9 @@ class Model:
     same steps."""
 
     def __init__(self, samples: dict[str, list[str]], dense_bytes: int = DENSE_BYTES):
-        self.langs = sorted(samples)
-        texts = {g: [normal(" " + t + " ") for t in samples[g]] for g in self.langs}
-        seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(t for parts in texts.values() for t in parts)]))
+        texts = {g: [normal(" " + t + " ") for t in samples[g]] for g in samples}
+        self.langs = sorted(g for g in texts if any(map(len, texts[g])))
+        seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(t for g in self.langs for t in texts[g])]))
         kind = np.uint16 if len(seen) < 2 ** 16 - 1 else np.uint32
         self.symbols = np.zeros(sys.maxunicode + 1, kind)  # 0: in no sample
         self.symbols[seen] = np.arange(1, len(seen) + 1)

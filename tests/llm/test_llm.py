@@ -237,6 +237,38 @@ def test_language_id_knows_every_letter(limit):
     assert (model.rates(texts)[0] == lang_id.Model(samples).rates(texts)[0]).all()
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(9)
+
+    def text(k, n):
+        return " ".join("".join(chr(0x4E00 + 12 * k + rng.randrange(12)) for _ in range(3)) for _ in range(n))
+
+    data = [(1000 * k + i, text(k, 5), f"g{k}") for k in range(230) for i in range(4)]  # many labels, short texts only
+    data += [(10 ** 6 + i, text(300, 2 if i % 20 else 20), "mixed") for i in range(3000)]
+    data += [(None, text(301, 20), "no id") for _ in range(700)] + [(8, text(302, 20), "one")] * 900
+    data += [(2 * 10 ** 6 + i, "... 12345 " * 6, "digits") for i in range(9)]
+    rng.shuffle(data)
+    docs = spark.createDataFrame(data, DOC + ", lang string")
+    got = lang_id.training_rows(docs).collect()
+    learned = Counter(r.lang for r in got)
+    open_ = {g for d, _, g in data if d is None or zlib.crc32(str(d).encode()) % 4 != 2} - {"digits"}
+    assert set(learned) == open_ and len(open_) > 225 and learned["mixed"] == learned["no id"] == 96
+    assert all(len(r.text) >= 40 for r in got if r.lang == "mixed") and len(learned) == len(lang_id.fit(docs).langs)
+    pred = lang_id.language_id(docs.where("lang in ('g1', 'g77', 'g200', 'one')").union(docs.where("lang = 'mixed'").limit(50)))
+    assert pred.select("lang_pred").distinct().count() == 5
+
+
+def test_small_labels_take_no_other_texts(spark, sf_small):
+    docs = read_table(spark, sf_small, "documents").select("doc_id", "text", "lang")
+    small = spark.createDataFrame([(-10, "ab", "x1"), (-12, "the", "x2"), (-14, "una de el", "x3"), (-16, "12 34", "x4")],
+                                  DOC + ", lang string")
+    model = lang_id.fit(docs.unionByName(small))
+    pred = {r.doc_id: r.lang_pred for r in lang_id.identify(docs, model).collect()}
+    held = [(r.doc_id, r.lang) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(model.langs) > docs.select("lang").distinct().count() and "x4" not in model.langs
+    assert sum(pred[d] == g for d, g in held) >= 0.95 * len(held)
+
+
 def test_cross_parsing_by_brute_force():
     samples = {"a": ["the cat sat on the mat"], "b": ["der hund und die katze"]}
     model = lang_id.Model(samples)
