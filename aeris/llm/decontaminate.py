@@ -6,9 +6,13 @@ documents are joined with those of the benchmark items, so that a question asked
 names still meets its item. Each match is then checked for slot consistency: within one document and item, a
 value of the item must always stand for the same value of the document, else the match goes.
 
+Every window also has a second key, the hash of its lower-cased words as they stand, so that a word-for-word copy is
+met whatever its words are (numbers, names) and whatever its case, line breaks or the words before it.
+
 An item is found in a document when consistent windows cover ``MIN_COVER`` of its template words or at least
-``MIN_RUN`` of them. Windows with fewer than ``MIN_LITERAL`` literal words are no evidence. Items shorter than a
-window are one window of all their words (at least ``MIN_LITERAL`` literal words, else they cannot be found).
+``MIN_RUN`` of them. Windows with fewer than ``MIN_LITERAL`` literal words are evidence word for word only. Items
+shorter than a window are one window of all their words, by the same rule; very short ones (one word) are thus found
+in every document with these words. A match goes when its template windows are inconsistent, copied words or not.
 
 Null and empty texts match nothing; repeated rows of either table are matched alike; other columns are ignored
 or kept as they are; an empty table on either side gives no match. Rows with a null id cannot be reported and
@@ -56,6 +60,11 @@ def canonical(w: Column) -> Column:
     return F.when(w < "\u0002", F.lit(_PERSON)).when(w < ":", F.lit(_NUMBER)).when(w.isin(*UNITS), F.lit(_UNIT)).otherwise(w)
 
 
+def bare(w: Column) -> Column:
+    """The word without the mark of a name."""
+    return F.when(w < "\u0002", F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
 def template(raw: Column) -> Column:
     return F.transform(raw, canonical)
 
@@ -66,8 +75,17 @@ def _let(value: Column, body) -> Column:
 
 
 def window_hashes(raw: Column) -> Column:
-    """64-bit hashes of all windows of eight template words, by doubling: of one, two, four, eight."""
-    one = F.transform(raw, lambda w: F.xxhash64(canonical(w)))
+    """64-bit hashes of all windows of eight template words."""
+    return _doubled(F.transform(raw, lambda w: F.xxhash64(canonical(w))))
+
+
+def copy_hashes(raw: Column) -> Column:
+    """64-bit hashes of all windows of eight words as they stand."""
+    return _doubled(F.transform(raw, lambda w: F.xxhash64(bare(w), F.lit("copy"))))
+
+
+def _doubled(one: Column) -> Column:
+    """By doubling: hashes of one, two, four, eight words."""
     return _let(_let(_let(one, lambda h: _paired(h, 1)), lambda h: _paired(h, 2)), lambda h: _paired(h, 4))
 
 
@@ -81,25 +99,36 @@ def _short(tokens: Column) -> Column:
     return F.xxhash64(F.concat_ws(" ", tokens), F.lit("short"))
 
 
+def _short_copy(words_: Column) -> Column:
+    return F.xxhash64(F.concat_ws(" ", F.transform(words_, bare)), F.lit("short copy"))
+
+
 def _is_slot(w: Column) -> Column:
     return w.isin(_NUMBER, _UNIT, _PERSON)
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(h, item, at, n, size, raw)``: every window of every item that has enough literal words, with the
-    words it stands for; an item shorter than a window is one window of its ``size`` words."""
+    """``(h, item, at, n, size, raw, t, copy)``: every window of every item, with the words it stands for, by its
+    words (``copy``) and, where it has enough literal ones, by its template words; an item shorter than a window is
+    one window of its ``size`` words."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item"), words(F.col(text_col)).alias("raw"))
-    items = stored(items.withColumn("t", template(F.col("raw"))), "bench-items")
-    long = items.where(F.size("t") >= WINDOW).select(
-        "item", "raw", "t", F.posexplode(window_hashes(F.col("raw"))).alias("at", "h"), F.lit(WINDOW).alias("size"))
-    short = items.where((F.size("t") < WINDOW) & (F.size("t") >= MIN_LITERAL)).select(
-        "item", "raw", "t", F.lit(0).alias("at"), _short(F.col("t")).alias("h"), F.size("t").alias("size"))
+    items = stored(items.withColumn("t", template(F.col("raw"))).where(F.size("raw") > 0), "bench-items")
     piece = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
-    both = long.unionByName(short).withColumn("n", F.size("t")) \
-        .withColumn("t", piece(F.col("t"))).withColumn("raw", piece(F.col("raw")))
     enough = F.size(F.filter("t", lambda w: ~_is_slot(w))) >= MIN_LITERAL
-    return both.where(enough).select("h", "item", "at", "n", "size", "raw", "t").dropDuplicates(["h", "item", "at"])
+
+    def windows(hashes, short, copy: bool) -> DataFrame:
+        long = items.where(F.size("t") >= WINDOW).select(
+            "item", "raw", "t", F.posexplode(hashes).alias("at", "h"), F.lit(WINDOW).alias("size"))
+        few = items.where(F.size("t") < WINDOW).select(
+            "item", "raw", "t", F.lit(0).alias("at"), short.alias("h"), F.size("t").alias("size"))
+        both = long.unionByName(few).withColumn("n", F.size("t")) \
+            .withColumn("t", piece(F.col("t"))).withColumn("raw", piece(F.col("raw"))).withColumn("copy", F.lit(copy))
+        return both if copy else both.where(enough)
+
+    return windows(window_hashes(F.col("raw")), _short(F.col("t")), False) \
+        .unionByName(windows(copy_hashes(F.col("raw")), _short_copy(F.col("raw")), True)) \
+        .select("h", "item", "at", "n", "size", "raw", "t", "copy").dropDuplicates(["h", "item", "at", "copy"])
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,13 +138,18 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
     tokens = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), words(F.col(text_col)).alias("raw"))
-    found = tokens.select("doc", F.posexplode(window_hashes(F.col("raw"))).alias("pos", "h")).join(keys, "h", "left_semi")
+
+    def met(size: int, by_template: Column, by_copy: Column) -> DataFrame:
+        """Both hashes of every place of ``size`` words, one list after the other."""
+        counted = tokens.select("doc", "raw", (F.size("raw") - (size - 1)).alias("places"))  # not the words beside every place
+        return counted.select("doc", "places", F.posexplode(F.concat(by_template, by_copy)).alias("i", "h")) \
+            .join(keys, "h", "left_semi").select("doc", (F.col("i") % F.col("places")).alias("pos"), "h")
+
+    found = met(WINDOW, window_hashes(F.col("raw")), copy_hashes(F.col("raw")))
     for size in sorted(lengths):  # items shorter than a window: at most a few lengths
-        piece = lambda t, at: _short(F.slice(t, at + 1, F.lit(size)))  # noqa: E731, B023  (used in this round only)
-        starts = F.sequence(F.lit(0), F.size("raw") - size)
-        places = _let(template(F.col("raw")), lambda t: F.transform(starts, lambda at: piece(t, at)))  # noqa: B023
-        some = tokens.where(F.size("raw") >= size).select("doc", F.posexplode(places).alias("pos", "h"))
-        found = found.unionByName(some.join(keys, "h", "left_semi"))
+        starts = F.when(F.size("raw") >= size, F.sequence(F.lit(0), F.size("raw") - size)).otherwise(F.array().cast("array<int>"))
+        places = lambda all_, of: _let(all_, lambda t: F.transform(starts, lambda at: of(F.slice(t, at + 1, F.lit(size)))))  # noqa: E731, B023
+        found = found.unionByName(met(size, places(template(F.col("raw")), _short), places(F.col("raw"), _short_copy)))
     return found
 
 
@@ -145,13 +179,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     # slots: what the item's value stands for in the document; item and document positions agree by their difference
     slot = F.explode(F.filter(F.arrays_zip("t", "bw", "dw"), lambda x: _is_slot(x["t"]))).alias("s")
     place = F.col("pos") - F.col("at")
-    slots = pairs.select("doc", "item", place.alias("place"), slot).select(
-        "doc", "item", "place", F.lower("s.bw").alias("was"), F.lower("s.dw").alias("now")).distinct()
-    values = slots.groupBy("doc", "item", "place", "was").agg(
+    slots = pairs.select("doc", "item", place.alias("place"), "copy", slot).select(
+        "doc", "item", "place", bare(F.lower("s.bw")).alias("was"),
+        F.when(~F.col("copy"), bare(F.lower("s.dw"))).alias("now")).distinct()
+    values = slots.groupBy("doc", "item", "place", "was").agg(  # none: the value stands in copied windows only
         F.min("now").alias("lo"), F.max("now").alias("hi"))
     bad = values.groupBy("doc", "item", "place").agg(
-        F.max((F.col("lo") != F.col("hi")).cast("int")).alias("bad"), F.count(F.lit(1)).alias("slots"),
-        F.sum((F.col("was") != F.col("lo")).cast("long")).alias("changed"))
+        F.max(F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).cast("int")).alias("bad"), F.count(F.lit(1)).alias("slots"),
+        F.sum(F.coalesce(F.col("was") != F.col("lo"), F.lit(False)).cast("long")).alias("changed"))
     per_place = pairs.select("doc", "item", place.alias("place"), "n", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")) \
         .groupBy("doc", "item", "place").agg(F.max("n").alias("n"), F.collect_set("w").alias("ws"))
     good = per_place.join(bad, ["doc", "item", "place"], "left").where(F.coalesce("bad", F.lit(0)) == 0)

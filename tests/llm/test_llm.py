@@ -466,6 +466,18 @@ def test_decontaminate(spark):
     assert all(r.covered < r.n_words for r in decontaminate.matches(slips, bench).collect())
 
 
+def test_decontaminate_finds_copies_of_any_words(spark):
+    items = ["1 2 3 4 5 6 7 8 9 10 11 12", "7 8", "Anna, Bert, Carla, Dora, Emil, Fritz, Gerda, Hans, Ida, Jakob", "3 kg 5 km 9 cm",
+             "x = 14 + 25 * 36 / 47 so 58"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    turned = [" ".join(reversed(x.split())) for x in items]
+    data = [(10 + i, f"Some words before it. {x} and words after it") for i, x in enumerate(items)] + \
+        [(20 + i, f"Some words before it. {x} and words after it") for i, x in enumerate(turned)] + [(30, "3 kg 6 km 9 cm")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(spark.createDataFrame(data, DOC), bench).collect()}
+    assert set(got) == {(10 + i, i) for i in range(5)} | {(10, 1)}
+    assert all(r.covered == r.n_words and r.n_changed == 0 for r in got.values())
+
+
 def test_decontaminate_without_python(spark, sf_small):
     df = decontaminate.matches(read_table(spark, sf_small, "documents"), read_table(spark, sf_small, "benchmark"))
     plan = df._jdf.queryExecution().executedPlan().toString()
