@@ -40,8 +40,9 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gr
          "pounds ounce ounces ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks "
          "month months year years dollar dollars euro euros cent cents percent degree degrees kmh mph").split()
 
-# A name: a capitalised word after a word or comma and blanks, hence not at the start of a sentence or line.
-_NAME = r"(?<=[\p{L}\p{N},;] )(?:\p{Lu}[\p{Ll}'’-]+)(?=$|[^\p{L}\p{N}])"
+# A name: a capitalised word after a word or comma and white space, hence not at the start of a sentence.
+# The expression matches the white space before it, whatever and however much that is.
+_NAME = r"(?=[\s\p{Z}])(?<=[\p{L}\p{N},;])[\s\p{Z}]+(?=\p{Lu}[\p{Ll}'’-]+(?:$|[^\p{L}\p{N}]))"
 _MARK = "\u0001"  # stands before a name while the text is one string
 _NUMBER = "#n"
 _UNIT = "#u"
@@ -50,7 +51,7 @@ _PERSON = "#p"
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text in order, names marked."""
-    marked = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, _MARK + "$0"))
+    marked = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, "$0" + _MARK))
     return F.array_remove(F.split(marked, rf"[^\p{{L}}\p{{N}}{_MARK}]+"), "")
 
 

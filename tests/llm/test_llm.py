@@ -478,6 +478,19 @@ def test_decontaminate_finds_copies_of_any_words(spark):
     assert all(r.covered == r.n_words and r.n_changed == 0 for r in got.values())
 
 
+def test_decontaminate_finds_copies_in_any_setting(spark):
+    long = "The ferry to Vardo leaves the quay of Old Bergen at nine, and Captain Nilsen never waits for late guests."
+    short = "Maria buys ten red apples from old Peter"
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    forms = [lambda x: x, str.lower, str.upper, str.title, lambda x: x.replace(" ", "\n"), lambda x: x.replace(" ", "  "),
+             lambda x: x.replace(" ", "\u00a0"), lambda x: "we know, " + x]
+    data = [(100 * item + k, "A word, " + f(x) + " and so on") for item, x in ((1, long), (2, short)) for k, f in enumerate(forms)]
+    data.append((300, "The ferry to\nTromso leaves the quay of  Old\nMolde at nine, and\r\nCaptain Hansen never waits for late guests."))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(spark.createDataFrame(data, DOC), bench).collect()}
+    assert set(got) == {(100 * item + k, item) for item in (1, 2) for k in range(len(forms))} | {(300, 1)}
+    assert all(r.covered == r.n_words for r in got.values()) and got[(300, 1)].n_changed == 3
+
+
 def test_decontaminate_without_python(spark, sf_small):
     df = decontaminate.matches(read_table(spark, sf_small, "documents"), read_table(spark, sf_small, "benchmark"))
     plan = df._jdf.queryExecution().executedPlan().toString()
