@@ -7,7 +7,8 @@ draws a few coordinates at random (the same for all sets at the node) and sends
 that meet at a node of at most ``BUCKET`` members are compared by brute force (in blocks of ``BLOCK``); larger nodes
 are split again. A
 linked pair survives a run of two levels with at least ``threshold ** 2``, so ``runs`` is chosen to miss it with a
-probability below ``1 - recall`` (0.99999: 12 runs).
+probability below ``1 - recall`` (0.99999: 12 runs). Deeper levels lose more, so sets in a node that was split again
+take part in as many more runs as the target needs at ``DEPTH`` levels.
 
 Candidate pairs (similarity of the tokens minus five deviations) only say which documents belong together
 tentatively. All documents of such a component are then compared exactly, so a link inside a component
@@ -48,6 +49,27 @@ def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** 2)))
 
 
+def missed(runs: int, depth: int, threshold: float = THRESHOLD) -> float:
+    """Probability that a pair at ``threshold`` meets in no run: agreeing tokens are binomial, and the nodes that two
+    sets share are a branching process with the children of ``children``."""
+    extra, total = 0.25 / COORDINATES, 0.0
+    for k in range(COORDINATES + 1):
+        agree, lost = k / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - agree + agree * lost
+            lost = one * (1 - extra + extra * one) ** (COORDINATES - 1)
+        total += math.comb(COORDINATES, k) * threshold ** k * (1 - threshold) ** (COORDINATES - k) * lost ** runs
+    return total
+
+
+def more_runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs beyond ``runs_for`` that keep the target at ``depth`` levels."""
+    runs = first = runs_for(threshold, recall)
+    while missed(runs, depth, threshold) > 1 - recall and runs < 100 * first:
+        runs += 1
+    return runs - first
+
+
 def tokens(values: np.ndarray) -> np.ndarray:
     """Min-hash tokens of a non-empty set of hashes."""
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -179,22 +201,37 @@ def _blocked(members: DataFrame, node: str, count: str, block: int) -> DataFrame
         .withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
 
 
-def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Tentative components ``(node, root)`` of distinct sets ``(key, tokens, paths, later)``. The first runs connect most
-    of what belongs together; the others only add edges between the components found so far."""
+    of what belongs together; the others only add edges between the components found so far. Members of nodes that were
+    split below two levels take part in more runs."""
+    split: list[DataFrame] = []
     marks = reps.select("key", "tokens")
-    first = candidate_edges(_members(reps.select("key", F.explode("paths").alias("path")), marks)
+    first = candidate_edges(_members(reps.select("key", F.explode("paths").alias("path")), marks, split)
                             .withColumn("group", F.col("key")), threshold)
     found = connected(first, "join-first")
-    again = _members(reps.select("key", F.explode("later").alias("path")), marks) \
-        .join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("root", "key"))
-    more = candidate_edges(again, threshold)
+
+    def grouped(members: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("root", "key"))
+
+    more = candidate_edges(grouped(_members(reps.select("key", F.explode("later").alias("path")), marks, split)), threshold)
+    n = more_runs(threshold, recall)
+    if split and n:
+        keys = split[0]
+        for other in split[1:]:
+            keys = keys.unionByName(other)
+        roots = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64).tolist()
+        starts = marks.join(keys.distinct(), "key", "left_semi") \
+            .select("key", F.explode(F.array(*(F.lit(x) for x in roots))).alias("path"), "tokens")
+        nodes = _split(_split(starts).join(marks, "key"))
+        more = more.unionByName(candidate_edges(grouped(_members(nodes, marks, [])), threshold))
     return connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "join-candidates")
 
 
-def _members(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+def _members(nodes: DataFrame, marks: DataFrame, split: list[DataFrame]) -> DataFrame:
     """Members ``(path, lo, hi, side, key, tokens)`` to compare of ``nodes(key, path)``: nodes of up to ``BUCKET``
-    members; larger ones are split again by the next tokens, and taken as they are after ``DEPTH`` levels."""
+    members; larger ones are split again by the next tokens, and taken as they are after ``DEPTH`` levels. Adds
+    the keys of split nodes to ``split``."""
     ready: list[DataFrame] = []
     for depth in range(2, DEPTH + 1):
         nodes = stored(nodes, "join-nodes")
@@ -204,6 +241,8 @@ def _members(nodes: DataFrame, marks: DataFrame) -> DataFrame:
         ready.append(_blocked(shared if last else shared.where(F.col("c") <= BUCKET), "path", "c", BLOCK))
         if last or (large := shared.where(F.col("c") > BUCKET)).isEmpty():
             break
+        if depth == 2:  # those split again are among them
+            split.append(large.select("key"))
         nodes = _split(large.select("key", "path").join(marks, "key"))
     members = ready[0]
     for more in ready[1:]:
@@ -293,7 +332,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     same = stored(same, "join-same")
     firsts = same.select(F.col("rep").alias("key"))
     reps = wordy.select("key", "tokens", "paths", "later").join(firsts, "key", "left_semi").dropDuplicates(["key"])
-    found = candidates(stored(reps, "join-reps"), threshold)
+    found = candidates(stored(reps, "join-reps"), threshold, recall)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     members = found.withColumnRenamed("node", "key").join(sizes, "root") \
         .join(same.select(F.col("rep").alias("key"), "copies"), "key")

@@ -149,6 +149,29 @@ def test_jaccard_join(spark, monkeypatch, bucket, block):
     assert rows(jaccard_join.jaccard_join(spark.createDataFrame(data, DOC))) == brute_join(data)
 
 
+def test_jaccard_recall_below_split_nodes(spark, monkeypatch):
+    runs = jaccard_join.runs_for()
+    assert jaccard_join.missed(runs, 2) <= 1e-5 < jaccard_join.missed(runs, 3)
+    assert jaccard_join.missed(runs + jaccard_join.more_runs(), jaccard_join.DEPTH) <= 1e-5
+    monkeypatch.setattr(jaccard_join, "BUCKET", 3)
+    monkeypatch.setattr(jaccard_join, "runs_for", lambda *_: 2)  # few runs, so that a loss shows
+    rng = random.Random(6)
+    pairs = []
+    for i in range(300):  # pairs just above 0.8: two words of a text of 99 shingles differ
+        text = [f"w{rng.randrange(10 ** 6)}" for _ in range(103)]
+        near = text[:]
+        near[20] = near[70] = "zzz"
+        pairs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    docs = spark.createDataFrame(pairs, DOC)
+    sets = jaccard_join.sets(docs).select("key", "doc_id", "tokens", "paths", "later")
+    # one path for all: every first node is large and split again
+    large = sets.selectExpr("key", "tokens", "array(1L) as paths", "array(2L) as later")
+    found = {r.node: r.root for r in jaccard_join.candidates(large).collect()}
+    keys = {r.doc_id: r.key for r in sets.collect()}
+    met = sum(found.get(keys[2 * i], -1) == found.get(keys[2 * i + 1], -2) for i in range(300))
+    assert met == 300
+
+
 def test_jaccard_keep_one(spark):
     data = sample()
     df = spark.createDataFrame([(*r, 1) for r in data], DOC + ", _row_key int")
