@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aeris.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, licenses, packing, repeats, warc
+from aeris.llm import (chat, decontaminate, exact_dedup, fill_middle, html_text, jaccard_join, lang_id, licenses, packing,
+                       prefix_trie, repeats, token_count, warc)
 from aeris.llm.common import read_table, ship
 
 
@@ -56,6 +58,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -67,6 +84,6 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (
         op1_html_text, op2_license_scan, op3_jaccard_join, op4_warc, op5_exact_dedup, op6_packing, op7_chat_collapse,
-        op8_language_id, op9_repeats, op10_decontaminate)}
+        op8_language_id, op9_repeats, op10_decontaminate, op11_fill_middle, op12_token_count, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {}
