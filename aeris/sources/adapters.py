@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeris.sources.tables import session_view, snapshot_value, table
+from aeris.sources.tables import HISTORIC, column_bounds, session_view, table
 
 # --- Fixed values: adapter rules (FIXTURES.md §3) ---------------------------
 EVENT_POLLUTANT = [("error", "PM10"), ("signup", "PM2.5"), ("click", "NO2"),
@@ -39,7 +39,7 @@ def _case(c: Column, pairs: list[tuple[str, str]], default: Column | None = None
     return out.otherwise(default) if default is not None else out
 
 
-def _sp_id(key: Column) -> Column:
+def station_name(key: Column) -> Column:
     """``SPO-`` and the key zero-padded to at least five digits (never truncated)."""
     return F.format_string("SPO-%05d", key)
 
@@ -65,7 +65,7 @@ def _raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(eid % 61 == 7, F.lit(0.0))
              .otherwise(F.col("value")))
     pollutant = _case(F.col("event_type"), EVENT_POLLUTANT, F.col("event_type"))
-    station = _sp_id(F.col("user_id"))
+    station = station_name(F.col("user_id"))
     return (ev.join(cu, ev.user_id == cu.c_custkey)
             .join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
@@ -81,12 +81,12 @@ def _raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings_clock(spark: SparkSession, sf_dir: str):
     """"Now" of the live view: the latest time in the readings feed.
 
-    Evaluated once (a one-column max, one scalar to the driver) and used as a
+    Taken from the bounds kept per file (only files that are new are scanned, one column of them) and used as a
     literal, so the 7-day predicate is pushed into the Parquet scan and skips
     row groups; a scalar subquery would not be pushed down and every run would
     read the whole history.
     """
-    return snapshot_value(spark, sf_dir, "events", "max_ts", lambda ev: ev.agg(F.max("ts")).first()[0])
+    return column_bounds(spark, sf_dir, "events", "ts")[1]
 
 
 def _coord(key: Column, mult: int, modulus: int, base: float) -> Column:
@@ -95,7 +95,7 @@ def _coord(key: Column, mult: int, modulus: int, base: float) -> Column:
 
 def historic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historic table (pollutant, Date, Value, Latitude, Longitude); a per-session view."""
-    return session_view(spark, sf_dir, "historic", lambda: _historic(spark, sf_dir))
+    return session_view(spark, sf_dir, "historic", lambda: _historic(spark, sf_dir), HISTORIC)
 
 
 def _historic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def _raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
-    base = _sp_id(k)
+    base = station_name(k)
     no_coord = k % 17 == 0
     return (cu.where(k % 13 != 5)
             .join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"))

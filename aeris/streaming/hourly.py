@@ -3,14 +3,15 @@
 The reference re-fetches seven days and recomputes; a Spark user instead
 streams the arriving files:
 
-* ``stream_hourly_mean`` — tumbling 1-hour mean per station with a 7-day
-  watermark (the live window). ``update`` mode emits each changed window per
-  micro-batch; ``foreachBatch`` appends those rows with their batch id to a
-  Parquet table, and ``latest_per_key`` reads the newest version of each
-  window (an upsert without a table format). Checkpointed in the shared
-  folder, so a restarted query resumes exactly where it stopped.
-* ``stream_classify`` — stateless clean + tier + stream-static join to the
-  station coordinates, appended to Parquet.
+* ``run_hourly_mean`` — fresh means per station and hour. A reading that is delivered twice (the same seven days are
+  fetched again and again) passes once: ``dropDuplicatesWithinWatermark`` keeps the keys of the last seven days as
+  state. Each micro-batch becomes states (sum, count, ...) that are merged into the days they touch, in a table of days
+  (``sources.daystore``), whose files and bytes don't grow with the number of batches.
+* ``run_hourly_final`` — final history in ``append`` mode: each window once, when the watermark has passed it.
+* ``run_classify`` — clean + tier + station coordinates, appended to Parquet; each reading once, coordinates read
+  again for every micro-batch.
+
+Readings later than the watermark are dropped by these queries, counted and reported; ``streaming.history`` keeps them.
 
 Watermarks need TIMESTAMP (not NTZ): wall-clock times are mapped to instants
 as if they were UTC (independent of the session zone) and mapped back on output.
@@ -19,6 +20,7 @@ as if they were UTC (independent of the session zone) and mapped back on output.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from aeris.functions.eaqi import aqi_label
 from aeris.functions.keys import normalize_key, short_id
 from aeris.functions.timefmt import instant_to_ntz, ntz_to_instant
+from aeris.operators import rollup
 from aeris.operators.clean import valid_value
-from aeris.session import materialize
+from aeris.sources import daystore
 
-KEY = ["country", "pollutant", "station_id", "hour"]
+KEY = rollup.STATION_HOUR
+READING = ["country", "pollutant", "Samplingpoint", "Start"]   # what makes two deliveries the same reading
 WATERMARK = "7 days"
 
 
@@ -43,9 +47,8 @@ def readings_stream(spark: SparkSession, source_dir: str, schema, batch_bytes: i
 
 
 def _finish(query) -> int:
-    """Wait for the query to end. Returns the rows it dropped as later than the watermark (grouped per window
-    and station before they are counted), over the micro-batches the session keeps progress of
-    (``spark.sql.streaming.numRecentProgressUpdates``), and warns if there are any."""
+    """Wait for the query to end. Returns the rows it dropped as later than the watermark, over the micro-batches the
+    session keeps progress of (``spark.sql.streaming.numRecentProgressUpdates``), and warns if there are any."""
     query.awaitTermination()
     late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     if late:
@@ -58,10 +61,14 @@ def clean_stream(stream: DataFrame) -> DataFrame:
             .withColumn("station_id", short_id(F.col("Samplingpoint"))))
 
 
+def once_stream(stream: DataFrame) -> DataFrame:
+    """Cleaned readings, each once however often it is delivered within the watermark (the first delivery counts)."""
+    return (clean_stream(stream).withColumn("_ts", ntz_to_instant(F.col("Start")))
+            .withWatermark("_ts", WATERMARK).dropDuplicatesWithinWatermark(READING))
+
+
 def hourly_mean_stream(stream: DataFrame) -> DataFrame:
-    ts = ntz_to_instant(F.col("Start"))
-    return (clean_stream(stream).withColumn("_ts", ts)
-            .withWatermark("_ts", WATERMARK)
+    return (once_stream(stream)
             .groupBy("country", "pollutant", "station_id", F.window("_ts", "1 hour").alias("w"))
             .agg(F.sum("Value").alias("sum_value"), F.count(F.lit(1)).alias("n")))
 
@@ -69,14 +76,12 @@ def hourly_mean_stream(stream: DataFrame) -> DataFrame:
 def run_hourly_mean(spark: SparkSession, source_dir: str, schema, sink_dir: str,
                     checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> int:
     """Run the stream over everything available now, then stop. Returns the late rows dropped."""
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.select("country", "pollutant", "station_id",
-                      instant_to_ntz(F.col("w.start")).alias("hour"), "sum_value", "n")
-              .withColumn("batch_id", F.lit(batch_id))
-              .write.mode("append").parquet(sink_dir))
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        daystore.merge_days(rollup.station_hour_states(batch), sink_dir, batch_id, rollup.merged, "station_id")
 
-    q = (hourly_mean_stream(readings_stream(spark, source_dir, schema, batch_bytes))
-         .writeStream.outputMode("update").foreachBatch(upsert)
+    q = (once_stream(readings_stream(spark, source_dir, schema, batch_bytes))
+         .select(*READING, "Value")
+         .writeStream.foreachBatch(merge)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     return _finish(q)
 
@@ -97,27 +102,27 @@ def run_hourly_final(spark: SparkSession, source_dir: str, schema, sink_dir: str
 
 
 def latest_per_key(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Current value of every window: the row of the highest batch id per key."""
-    rows = spark.read.parquet(sink_dir)
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct("sum_value", "n"), "batch_id").alias("r"))
-    return last.select(*KEY, (F.col("r.sum_value") / F.col("r.n")).alias("Value"), F.col("r.n").alias("n"))
+    """Current mean of every station and hour."""
+    return rollup.hourly(spark, sink_dir).select(*KEY, "Value", "n")
 
 
-def classify_stream(stream: DataFrame, coords: DataFrame) -> DataFrame:
-    """Stateless: clean, label, attach coordinates (stream-static left join)."""
+def classify(clean: DataFrame, coords: DataFrame) -> DataFrame:
+    """Label, and attach coordinates (left join)."""
     c = coords.select("key", "lat", "lon", "station_name")
-    return (clean_stream(stream)
-            .withColumn("aqi_label", aqi_label(F.col("Value"), F.col("pollutant")))
+    return (clean.withColumn("aqi_label", aqi_label(F.col("Value"), F.col("pollutant")))
             .withColumn("key", normalize_key(F.col("station_id")))
             .join(c, "key", "left").drop("key"))
 
 
-def run_classify(spark: SparkSession, source_dir: str, schema, coords: DataFrame, sink_dir: str,
-                 checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> None:
-    """``coords`` is written once, so that no micro-batch computes it again."""
-    coords = materialize(coords.select("key", "lat", "lon", "station_name"), "stream-coords")
-    q = (classify_stream(readings_stream(spark, source_dir, schema, batch_bytes), coords)
-         .writeStream.outputMode("append").format("parquet")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def run_classify(spark: SparkSession, source_dir: str, schema, coords: Callable[[], DataFrame], sink_dir: str,
+                 checkpoint_dir: str, batch_bytes: int = BATCH_BYTES) -> int:
+    """``coords`` is called for every micro-batch, so that stations added while the stream runs are found. A batch that
+    is repeated after a failure replaces its own rows. Returns the late rows dropped."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        (classify(batch, coords()).withColumn("batch", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink_dir))
+
+    once = once_stream(readings_stream(spark, source_dir, schema, batch_bytes))
+    q = (once.drop("_ts").writeStream.foreachBatch(append)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    return _finish(q)
