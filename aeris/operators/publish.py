@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeris.functions.eaqi import effective_pollutant
+from aeris.operators.numbering import number_rows
 
 GROUP = ["country", "pollutant"]
 # --- Fixed values: map payload of the reference -----------------------------
@@ -42,6 +43,26 @@ def map_payload(view: DataFrame) -> DataFrame:
                     F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("record")))
 
 
+def payload_pages(view: DataFrame, page_rows: int = 5000) -> DataFrame:
+    """The map payload as objects of three arrays (``{"urban": [...], "suburban": [...], "rural": [...]}``), in pages of
+    up to ``page_rows`` records: ``country, pollutant, page, n_pages, payload``.
+
+    Records stand by bucket, then by station id and record. Their places come from counts per sorted part and
+    running sums (``number_rows``), so no group is sorted in one task, and a page is all that is ever gathered. The
+    arrays of all pages, one after the other, are the arrays of the whole object."""
+    names = [name for name, _ in BUCKETS]
+    records = map_payload(view).withColumn("_bucket", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("bucket")))
+    placed = number_rows(records, GROUP, ["_bucket", "station_id", "record"], "_place") \
+        .withColumn("page", F.floor(F.col("_place") / page_rows).cast("int"))
+    one = F.struct("_place", "record")
+    pages = placed.groupBy(*GROUP, "page").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("bucket") == n, one))).alias(f"_{n}") for n in names])
+    arrays = [F.concat(F.lit(f'"{n}":['), F.array_join(F.transform(f"_{n}", lambda r: r["record"]), ","), F.lit("]")) for n in names]
+    total = placed.groupBy(*GROUP).agg((F.max("page") + 1).alias("n_pages"))      # one row per group
+    return pages.select(*GROUP, "page", F.concat(F.lit("{"), F.concat_ws(",", *arrays), F.lit("}")).alias("payload")) \
+        .join(total, GROUP).select(*GROUP, "page", "n_pages", "payload")
+
+
 def write_map_payload(payload: DataFrame, path: str) -> str:
     """JSON-lines sink: one directory per (country, pollutant, bucket), one record per line."""
     (payload.select("record", *GROUP, "bucket")

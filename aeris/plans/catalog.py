@@ -26,6 +26,7 @@ from aeris.operators import metadata as M
 from aeris.operators import publish as P
 from aeris.plans import sqlparts as S
 from aeris.sources import adapters as A
+from aeris.sources.tables import HISTORIC
 
 # --- Parameters of the registered queries -----------------------------------
 RANGE_START, RANGE_END = "1997-01-01", "1997-12-31"    # a one-year window
@@ -108,7 +109,7 @@ def q_route_partitioned(spark, sf):
     from aeris.sources import files as FS
     from aeris.sources.tables import session_folder
     root = session_folder(spark, sf, "historic", lambda: FS.write_historic(
-        _hist(spark, sf), scratch_path(spark, "historic")))
+        _hist(spark, sf), scratch_path(spark, "historic")), HISTORIC)
     routed = H.route_pollutant(FS.scan_historic(spark, root), "PM2.5")
     d = H.daily_average(routed, RANGE_START, RANGE_END)
     return d.select("pollutant", "Date", r6("AvgValue").alias("AvgValue"))
@@ -323,6 +324,40 @@ def q_default_date(spark, sf):
     return H.default_date(H.time_bounds(_hist(spark, sf)))
 
 
+# ----- frames as intervals ------------------------------------------------------------
+
+_INTERVAL_SQL = """SELECT {station}, any_value("Value") AS "Value", min(t) AS "from", max(t) AS "to" FROM (
+  SELECT *, {number} - row_number() OVER (PARTITION BY {station}, "Value" ORDER BY t) AS island FROM {rows})
+GROUP BY {station}, "Value", island"""
+
+
+@register("frame_intervals", S.with_ctes([S.HISTORIC, _dedup_sql(), 'd AS (SELECT *, "Date" AS t FROM dedup)'], _INTERVAL_SQL.format(
+    station="pollutant, lat, lon", number="date_diff('day', DATE '1970-01-01', t)", rows="d")))
+def q_frame_intervals(spark, sf):
+    """All day frames as one row per station, value and stretch of days."""
+    from aeris.operators import intervals as I
+    return I.day_intervals(_hist(spark, sf))
+
+
+@register("frame_lookup", S.with_ctes([S.HISTORIC, _MASTER_SQL, _dedup_sql(f"""CAST("Date" AS DATE) = DATE '{DAY}'""")],
+          f"""frame AS (
+  SELECT m.pollutant, DATE '{DAY}' AS "Date", m.lat, m.lon, d."Value"
+  FROM master m LEFT JOIN dedup d ON m.pollutant = d.pollutant AND m.lat = d.lat AND m.lon = d.lon),
+""" + _styled_sql("frame")))
+def q_frame_lookup(spark, sf):
+    """One day's map from the stored intervals: the same as ``map_frame``."""
+    from aeris.operators import intervals as I
+    from aeris.session import scratch_path
+    from aeris.sources.tables import session_folder
+
+    def write():
+        path = scratch_path(spark, "day-intervals")
+        I.day_intervals(_hist(spark, sf)).write.parquet(path)
+        return path
+    stored = spark.read.parquet(session_folder(spark, sf, "day-intervals", write, HISTORIC))
+    return _frame_out(I.day_frame(stored, I.day_stations(stored), DAY))
+
+
 # ======================================= live =========================================
 
 _LIVE = S.LIVE
@@ -512,6 +547,26 @@ def q_hour_frames_all(spark, sf):
     return _view_out(L.hour_frames_all(L.station_meta_of(hours, _coords(spark, sf)), L.hourly_means(hours)))
 
 
+@register("hour_intervals", S.with_ctes(_LIVE + [S.HOURLY, 'd AS (SELECT country, pollutant, station_id, Value AS "Value", hour AS t FROM hourly)',
+    "i AS (" + _INTERVAL_SQL.format(station="country, pollutant, station_id", number="date_diff('hour', TIMESTAMP '1970-01-01', t)", rows="d") + ")"],
+    'SELECT country, pollutant, station_id, round("Value", 6) AS "Value", "from", "to" FROM i'))
+def q_hour_intervals(spark, sf):
+    """All hour frames as one row per station, mean and stretch of hours."""
+    from aeris.operators import intervals as I
+    hourly = L.hourly_means(L.station_hours(_recent(spark, sf)))
+    return I.hour_intervals(hourly).withColumn("Value", r6("Value"))
+
+
+@register("hour_lookup", REGISTRY["hour_view_at"].sql)
+def q_hour_lookup(spark, sf):
+    """The hour view at a chosen hour from the intervals: the same as ``hour_view_at``."""
+    from aeris.operators import intervals as I
+    from aeris.session import materialize
+    hours = materialize(L.station_hours(_recent(spark, sf)), "station-hours")
+    intervals = I.hour_intervals(L.hourly_means(hours))
+    return _view_out(I.hour_frame(L.station_meta_of(hours, _coords(spark, sf)), intervals, VIEW_HOUR))
+
+
 @register("area_symbol", S.with_ctes(_LIVE, f"SELECT country, pollutant, station_id, url, area_type, {S.symbol('area_type')} AS symbol FROM meta"))
 def q_area_symbol(spark, sf):
     meta = _station_meta(spark, sf)
@@ -535,6 +590,28 @@ def q_map_payload(spark, sf):
     return P.map_payload(_hour_view(spark, sf))
 
 
+PAGE_ROWS = 40
+
+
+def _pages_sql() -> str:
+    payload = _payload_sql()
+    head, tail = payload.rsplit("\nSELECT country, pollutant, bucket, station_id,", 1)
+    order = "CASE bucket " + " ".join(f"WHEN '{n}' THEN {k}" for k, (n, _) in enumerate(P.BUCKETS)) + " END"
+    arrays = " || ',' || ".join(f"""'"{n}":[' || coalesce(string_agg(record, ',' ORDER BY place) FILTER (WHERE bucket = '{n}'), '') || ']'"""
+                                for n, _ in P.BUCKETS)
+    return head + f""",
+records AS (SELECT country, pollutant, bucket, station_id,{tail}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY country, pollutant ORDER BY {order}, station_id, record) - 1 AS place FROM records),
+paged AS (SELECT *, CAST(place // {PAGE_ROWS} AS INTEGER) AS page,
+  CAST(max(place) OVER (PARTITION BY country, pollutant) // {PAGE_ROWS} + 1 AS INTEGER) AS n_pages FROM placed)
+SELECT country, pollutant, page, n_pages, '{{' || {arrays} || '}}' AS payload FROM paged GROUP BY country, pollutant, page, n_pages"""
+
+
+@register("payload_pages", _pages_sql())
+def q_payload_pages(spark, sf):
+    return P.payload_pages(_hour_view(spark, sf), PAGE_ROWS)
+
+
 @register("empty_schema", S.with_ctes(_LIVE, f"SELECT {_META_COLS} FROM meta WHERE pollutant = 'CO'"))
 def q_empty_schema(spark, sf):
     """A request that finds nothing (no CO series) still yields the station table's typed schema."""
@@ -633,6 +710,32 @@ def q_format_time(spark, sf):
                     F.date_format("Start", FMT_SLIDER).alias("slider_text"))
 
 
+_BANDS_SQL = S.dim_values() + """,
+bands AS (SELECT printf('SPO-%05d', c.c_custkey) AS station_id, d.pollutant, d.tier, d.lower * (1 + c.c_custkey % 7 / 10.0::DOUBLE) AS lower,
+    d.upper * (1 + c.c_custkey % 7 / 10.0::DOUBLE) AS upper FROM customer c, eaqi d)"""
+
+
+@register("band_lookup", S.with_ctes([S.RAW_READINGS, S.CLEAN, _BANDS_SQL], f"""SELECT r.country, r.pollutant, r.Start, r.Value, r.station_id,
+  b.tier, round(b.lower, 6) AS lower, round(b.upper, 6) AS upper
+FROM (SELECT *, {S.short_id('Samplingpoint')} AS station_id FROM clean) r LEFT JOIN bands b
+  ON b.station_id = r.station_id AND b.pollutant = r.pollutant AND (r.Value > b.lower OR (b.tier = 1 AND r.Value = b.lower)) AND r.Value <= b.upper"""))
+def q_band_lookup(spark, sf):
+    """Every reading with the band of its own station's limits: a band table that grows with the stations."""
+    from aeris.functions.keys import short_id
+    from aeris.operators.bands import band_join
+    from aeris.sources.tables import table
+    k = F.col("c_custkey")
+    factor = 1 + (k % 7) / F.lit(10.0)
+    rows = F.array(*[F.struct(F.lit(p).alias("pollutant"), F.lit(t).alias("tier"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"))
+                     for p, t, lo, hi, _, _ in eaqi.dim_rows()])
+    bands = table(spark, sf, "customer").select(A.station_name(k).alias("station_id"), factor.alias("_f"), F.explode(rows).alias("d")) \
+        .select("station_id", "d.pollutant", "d.tier", (F.col("d.lower") * F.col("_f")).alias("lower"),
+                (F.col("d.upper") * F.col("_f")).alias("upper"), (F.col("d.tier") == 1).alias("_closed"))
+    clean = C.clean_readings(A.raw_readings(spark, sf)).withColumn("station_id", short_id(F.col("Samplingpoint")))
+    out = band_join(clean, bands, ["station_id", "pollutant"], "Value", lower_closed="_closed")
+    return out.select("country", "pollutant", "Start", "Value", "station_id", "tier", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
 # ===================================== compare ========================================
 
 _SERIES_SQL = f"""series AS (SELECT *, coalesce({S.label('Value', 'pollutant')}, 'Unknown') AS aqi_label FROM named)"""
@@ -839,6 +942,47 @@ def q_select_partition(spark, sf):
                                       _SEL_START, _SEL_END))
 
 
+def _releases_root(spark, sf) -> str:
+    """Readings of two releases, stored by release: all but every third minute up to date, and verified ones (corrected by
+    0.5) of every other minute."""
+    from aeris.operators import releases as RL
+    from aeris.session import scratch_path
+    from aeris.sources.files import write_series
+    from aeris.sources.tables import session_folder
+    raw = A.raw_readings(spark, sf).drop("url")
+    minute = F.minute("Start")
+    both = raw.where(minute % 3 != 0).withColumn("dataset", F.lit(RL.UP_TO_DATE)).unionByName(
+        raw.where(minute % 2 == 0).withColumn("Value", F.col("Value") + 0.5).withColumn("dataset", F.lit(RL.VERIFIED)))
+    return session_folder(spark, sf, "releases", lambda: write_series(both, scratch_path(spark, "releases"), releases=True))
+
+
+_RELEASE_SQL = """up AS (SELECT country, pollutant, Samplingpoint, Start, Value FROM raw_readings WHERE extract('minute' FROM Start) % 3 <> 0),
+ver AS (SELECT country, pollutant, Samplingpoint, Start, Value + 0.5 AS Value FROM raw_readings WHERE extract('minute' FROM Start) % 2 = 0),
+best AS (SELECT *, 2 AS dataset FROM ver UNION ALL SELECT *, 1 FROM up ANTI JOIN ver USING (country, pollutant, Samplingpoint, Start))"""
+
+
+@register("release_precedence", S.with_ctes([S.RAW_READINGS, _RELEASE_SQL], f"""SELECT country, pollutant, Samplingpoint, Start,
+  Value, dataset FROM best WHERE country IN ('NATION_3', 'NATION_7', 'NATION_12') AND pollutant IN ('NO2', 'PM10')
+    AND Start >= TIMESTAMP '{_SEL_START}' AND Start <= TIMESTAMP '{_SEL_END}'"""))
+def q_release_precedence(spark, sf):
+    """A request over two releases: the verified reading where there is one, else the one that is up to date."""
+    from aeris.operators.releases import best_release
+    from aeris.sources.files import scan_readings, select_partition
+    series = scan_readings(spark, _releases_root(spark, sf), releases=True)
+    return best_release(select_partition(series, _SEL_COUNTRIES, _SEL_POLLUTANTS, _SEL_START, _SEL_END))
+
+
+@register("select_dataset", S.with_ctes([S.RAW_READINGS, _RELEASE_SQL], """SELECT country, pollutant, count(*) AS n,
+  round(sum(CASE WHEN NOT isnan(Value) THEN Value END), 6) AS total FROM ver GROUP BY ALL"""))
+def q_select_dataset(spark, sf):
+    """One release of the request, chosen by pruning folders."""
+    from aeris.operators.releases import VERIFIED
+    from aeris.sources.files import scan_readings, select_partition
+    rows = select_partition(scan_readings(spark, _releases_root(spark, sf), releases=True), datasets=[VERIFIED])
+    value = F.when(~F.isnan("Value"), F.col("Value"))
+    return rows.groupBy("country", "pollutant").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(value)).alias("total"))
+
+
 def _manifest(spark, sf):
     from aeris.session import scratch_path
     from aeris.sources.files import manifest_entries, write_manifest
@@ -901,16 +1045,102 @@ def q_csv_dialect(spark, sf):
     return _typed_metadata(found, clean)
 
 
+_CSV_NAMES = ["Country", "Air Quality Station Name", "Sampling Point Id", "Latitude", "Longitude", "Air Quality Station Area",
+              "Operational Activity Begin", "Operational Activity End"]
+
+
+def _csv_lines(spark, sf, extra: str = ",") -> DataFrame:
+    """The raw metadata as hand-written CSV lines (quoted names with separators and doubled quotes), some of them with
+    more or fewer fields than the header: by row number, 3 of 7 get two more fields (the first one empty), 4 of 7 an empty
+    one more, and of the others 5 of 11 lack the last two."""
+    raw = A.raw_metadata(spark, sf)
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in _CSV_NAMES]
+    text[1] = F.concat(F.lit('"'), text[1], F.lit(', ""A"""'))
+    n = F.col("source_row")
+    full, short = F.concat_ws(",", *text), F.concat_ws(",", *text[:6])
+    line = F.when(n % 7 == 3, F.concat(full, F.lit(",,x"))).when(n % 7 == 4, F.concat(full, F.lit(","))) \
+        .when(n % 11 == 5, short).otherwise(full)
+    return raw.select("source_row", line.alias("value"))
+
+
+_CSV_KEPT = """csv_rows AS (SELECT * REPLACE ("Air Quality Station Name" || ', "A"' AS "Air Quality Station Name",
+    CASE WHEN source_row % 11 = 5 THEN NULL ELSE "Operational Activity Begin" END AS "Operational Activity Begin",
+    CASE WHEN source_row % 11 = 5 THEN NULL ELSE "Operational Activity End" END AS "Operational Activity End")
+  FROM (SELECT * REPLACE (coalesce("Air Quality Station Name", '') AS "Air Quality Station Name") FROM raw_metadata)
+  WHERE source_row % 7 NOT IN (3, 4))"""
+
+
+@register("csv_row_rule", S.with_ctes([S.RAW_METADATA, _CSV_KEPT], "SELECT " + ", ".join(
+    f'"{c}"' for c in _CSV_NAMES) + " FROM csv_rows"))
+def q_csv_row_rule(spark, sf):
+    """Lines with more fields than the header are skipped, empty ones counted; shorter ones are padded."""
+    from aeris.session import scratch_path
+    from aeris.sources.csvio import read_csv_discovered
+    path = scratch_path(spark, "metadata-lines")
+    parts = 4       # files, each with its header first
+    lines = _csv_lines(spark, sf).withColumn("part", F.pmod("source_row", F.lit(parts)).cast("int"))
+    heads = spark.range(parts).select(F.lit(-1).cast("long").alias("source_row"), F.lit(",".join(_CSV_NAMES)).alias("value"),
+                                      F.col("id").cast("int").alias("part"))
+    lines.unionByName(heads).repartition(parts, "part").sortWithinPartitions("part", "source_row") \
+        .drop("source_row").write.partitionBy("part").text(path)
+    like = A.raw_metadata(spark, sf).select(*[f"`{c}`" for c in _CSV_NAMES])
+    return _typed_metadata(read_csv_discovered(spark, path), like)
+
+
+@register("metadata_from_csv", S.with_ctes([S.RAW_METADATA, """m AS (SELECT *, row_number() OVER (
+    PARTITION BY "Sampling Point Id" ORDER BY source_row) AS rn FROM raw_metadata)"""], """SELECT "Country" AS country,
+  "Air Quality Station Name" AS air_quality_station_name, "Sampling Point Id" AS sampling_point_id, "Latitude" AS latitude,
+  "Longitude" AS longitude, "Air Quality Station Area" AS air_quality_station_area,
+  "Operational Activity Begin" AS operational_activity_begin, "Operational Activity End" AS operational_activity_end
+FROM m WHERE rn = 1"""))
+def q_metadata_from_csv(spark, sf):
+    """A folder of CSV files of growing size, read and de-duplicated: the first row in the order of files and lines stays
+    (Spark itself takes large files first)."""
+    from aeris.session import scratch_path
+    from aeris.sources.csvio import read_csv_discovered, write_csv
+    raw = A.raw_metadata(spark, sf)
+    top = raw.agg(F.max("source_row")).first()[0] or 0
+    root = scratch_path(spark, "metadata-files")
+    part = F.floor(F.sqrt(F.col("source_row") * F.lit(9.0) / F.lit(top + 1)) * 2).cast("int")   # 0 to 5, each larger than the one before
+    parts = raw.withColumn("part", part).repartitionByRange(6, "part").sortWithinPartitions("part", "source_row")
+    write_csv(parts.drop("part", "source_row"), root)
+    clean = M.metadata_dedup(read_csv_discovered(spark, root, row_col=M.ORDER_COL)).drop(M.ORDER_COL)
+    return _typed_metadata(clean, M.metadata_select(raw, keep_order=False))
+
+
 @register("metadata_fallback", S.with_ctes(_META_BASE + [S.COORDS], "SELECT * FROM coords"))
 def q_metadata_fallback(spark, sf):
+    """All four links of the chain: a local file that is absent, a download that fails, a third source of frames per
+    country, one of which fails and one of which is empty, and the typed empty result if nothing resolves."""
     import os
     from aeris.session import scratch_path
-    from aeris.sources.csvio import first_non_empty, read_csv_metadata
+    from aeris.sources.csvio import first_non_empty, read_csv_metadata, union_available
     missing = os.path.join(scratch_path(spark, "absent"), "station_metadata_clean.csv")
-    local = lambda: M.station_coords(read_csv_metadata(spark, missing))
-    exported = lambda: _coords(spark, sf)
-    out = first_non_empty(local, exported)
-    return out if out is not None else M.empty_coords(spark)
+    raw = A.raw_metadata(spark, sf)
+
+    def local():
+        return M.station_coords(read_csv_metadata(spark, missing))
+
+    def downloaded():
+        raise ConnectionError("no answer from the metadata service")
+
+    def broken():
+        raise ConnectionError("no answer for this country")
+
+    def third():
+        odd = F.pmod(F.xxhash64("Country"), F.lit(2)) == 1
+        frames = union_available(lambda: raw.where(odd), broken, lambda: raw.limit(0), lambda: raw.where(~odd))
+        return M.station_coords(M.metadata_dedup(frames))
+
+    return first_non_empty(local, downloaded, third, lambda: M.empty_coords(spark), default=M.empty_coords(spark))
+
+
+@register("empty_coords", S.with_ctes(_META_BASE + [S.COORDS], "SELECT * FROM coords WHERE false"))
+def q_empty_coords(spark, sf):
+    """Metadata without columns for coordinates gives the typed empty dimension; so does a chain of which no link yields."""
+    from aeris.sources.csvio import first_non_empty
+    no_place = A.raw_metadata(spark, sf).drop("Latitude", "Longitude")
+    return first_non_empty(lambda: M.station_coords(no_place), default=M.empty_coords(spark))
 
 
 # ===================================== streaming ======================================
@@ -927,23 +1157,24 @@ def _write_arrivals(spark, sf) -> tuple[str, object]:
     Slices span at most the 7-day watermark delay: a micro-batch's watermark is
     at most (end of its slice − 7 days) ≤ start of that slice, so no row of the
     same or a later arrival is ever behind it (it would be dropped as late data,
-    correctly, and the result would differ from batch).
+    correctly, and the result would differ from batch). One write makes all slices; a file stream takes
+    files by their time of change, which is then set slice by slice.
     """
     import datetime as dt
     import math
     from aeris.functions.timefmt import ntz_lit
     from aeris.session import scratch_path
+    from aeris.sources.daystore import age_files
     raw = A.raw_readings(spark, sf)
     lo, hi = raw.agg(F.min("Start"), F.max("Start")).first()
     parts = max(2, math.ceil((hi - lo) / dt.timedelta(days=7)))
     src = scratch_path(spark, "arrivals")
-    step = (hi - lo) / parts
-    for i in range(parts):
-        cond = F.col("Start") >= ntz_lit(lo + step * i)
-        if i < parts - 1:
-            cond &= F.col("Start") < ntz_lit(lo + step * (i + 1))
-        raw.where(cond).write.mode("append").parquet(src)
-    return src, raw.schema
+    step = math.ceil((hi - lo).total_seconds() / parts) or 1
+    cut = F.floor(F.timestamp_diff("SECOND", ntz_lit(lo), F.col("Start")) / step).cast("int")
+    sliced = raw.withColumn("slice", F.coalesce(cut, F.lit(0)))
+    sliced.write.partitionBy("slice").parquet(src)
+    age_files(spark, src, "slice")
+    return src, sliced.schema
 
 
 @register("stream_hourly_mean", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
@@ -982,8 +1213,113 @@ def q_stream_classify(spark, sf):
     from aeris.streaming import hourly as ST
     src, schema = _arrivals(spark, sf)
     sink, ckpt = scratch_path(spark, "classify-sink"), scratch_path(spark, "classify-ckpt")
-    ST.run_classify(spark, src, schema, _coords(spark, sf), sink, ckpt)
-    return spark.read.parquet(sink)
+    from aeris.session import materialize
+    coords = materialize(_coords(spark, sf), "stream-coords")    # stations as a stored table
+    ST.run_classify(spark, src, schema, lambda: coords, sink, ckpt)
+    return spark.read.parquet(sink).drop("batch", "slice")
+
+
+def _redelivered(spark, sf, late: bool) -> tuple[str, object, list[str]]:
+    """Arrivals as a service sends them that is asked again and again: folders of files of which the second holds
+    readings that the first had (every tenth minute) and, with ``late``, readings more than seven days old that
+    the first lacked."""
+    from aeris.session import scratch_path
+    raw = A.raw_readings(spark, sf).withColumn("_old", F.col("Start") < F.lit(str(A.readings_clock(spark, sf))).cast(
+        "timestamp_ntz") - F.expr("INTERVAL 8 DAYS"))
+    minute = F.minute("Start") % 10
+    held = F.col("_old") & (minute == 3) if late else F.lit(False)
+    first, again = raw.where(~held).drop("_old"), raw.where(held | (minute == 4)).drop("_old")
+    out = [scratch_path(spark, "delivery") for _ in range(2)]
+    first.write.parquet(out[0])
+    again.write.parquet(out[1])
+    return raw.drop("_old").schema, out
+
+
+def _deliver(spark, folder: str, schema, landing: str) -> None:
+    spark.read.schema(schema).parquet(folder).write.mode("append").parquet(landing)
+
+
+@register("stream_redelivered", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
+  {S.short_id('Samplingpoint')} AS station_id, date_trunc('hour', Start) AS hour, round(avg(Value), 6) AS Value,
+  count(*) AS n FROM clean GROUP BY ALL"""))
+def q_stream_redelivered(spark, sf):
+    """The stream of fresh means, restarted after files that hold readings it has seen: each counts once."""
+    from aeris.session import scratch_path
+    from aeris.streaming import hourly as ST
+    schema, folders = _redelivered(spark, sf, late=False)
+    src, sink, ckpt = (scratch_path(spark, f"redelivered-{n}") for n in ("landing", "sink", "ckpt"))
+    for folder in folders:
+        _deliver(spark, folder, schema, src)
+        ST.run_hourly_mean(spark, src, schema, sink, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
+    return ST.latest_per_key(spark, sink).withColumn("Value", r6("Value"))
+
+
+def _late_history(spark, sf) -> str:
+    from aeris.session import scratch_path
+    from aeris.sources.tables import session_folder
+    from aeris.streaming import history as HI
+
+    def build():
+        schema, folders = _redelivered(spark, sf, late=True)
+        src, root, ckpt = (scratch_path(spark, f"history-{n}") for n in ("landing", "root", "ckpt"))
+        for folder in folders:
+            _deliver(spark, folder, schema, src)
+            HI.run_history(spark, src, schema, root, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
+        return root
+    return session_folder(spark, sf, "late-history", build)
+
+
+@register("stream_late_history", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
+  {S.short_id('Samplingpoint')} AS station_id, date_trunc('hour', Start) AS hour, round(avg(Value), 6) AS Value,
+  count(*) AS n FROM clean GROUP BY ALL"""))
+def q_stream_late_history(spark, sf):
+    """History after late and repeated readings: the same as one batch over all of them."""
+    from aeris.streaming import history as HI
+    return HI.history(spark, _late_history(spark, sf)).select(
+        "country", "pollutant", "station_id", "hour", r6("Value").alias("Value"), "n")
+
+
+@register("stream_corrections", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
+  {S.short_id('Samplingpoint')} AS station_id, date_trunc('hour', Start) AS hour, round(sum(Value), 6) AS sum_value,
+  count(*) AS n FROM clean
+WHERE Start < (SELECT max(ts) FROM events) - INTERVAL 8 DAY AND extract('minute' FROM Start) % 10 = 3 GROUP BY ALL"""))
+def q_stream_corrections(spark, sf):
+    """What the late readings added to hours that were final."""
+    from aeris.streaming import history as HI
+    return HI.corrections(spark, _late_history(spark, sf)).withColumn("sum_value", r6("sum_value"))
+
+
+# ===================================== incremental rollups ============================
+
+def _thirds(df: DataFrame, *by: str) -> list[DataFrame]:
+    """Three arrivals that all touch every day."""
+    part = F.pmod(F.xxhash64(*by), F.lit(3))
+    return [df.where(part == k) for k in range(3)]
+
+
+@register("rollup_hourly", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
+  {S.short_id('Samplingpoint')} AS station_id, date_trunc('hour', Start) AS hour, round(avg(Value), 6) AS Value,
+  count(*) AS n, min(Value) AS min_value, max(Value) AS max_value FROM clean GROUP BY ALL"""))
+def q_rollup_hourly(spark, sf):
+    """Means per station and hour, merged from three arrivals."""
+    from aeris.operators import rollup as R
+    from aeris.session import scratch_path
+    root = scratch_path(spark, "rollup-hourly")
+    for version, arrival in enumerate(_thirds(A.raw_readings(spark, sf), "Samplingpoint", "Start")):
+        R.add_readings(arrival, root, version)
+    return R.hourly(spark, root).withColumn("Value", r6("Value"))
+
+
+@register("rollup_daily", S.with_ctes([S.HISTORIC], """SELECT pollutant, CAST("Date" AS DATE) AS "Date",
+  round(avg("Value"), 6) AS AvgValue, count("Value") AS n FROM historic WHERE "Value" IS NOT NULL GROUP BY ALL"""))
+def q_rollup_daily(spark, sf):
+    """Daily means over all stations, merged from three arrivals."""
+    from aeris.operators import rollup as R
+    from aeris.session import scratch_path
+    root = scratch_path(spark, "rollup-daily")
+    for version, arrival in enumerate(_thirds(_hist(spark, sf), "Latitude", "Date")):
+        R.add_days(arrival, root, version)
+    return R.daily(spark, root).withColumn("AvgValue", r6("AvgValue"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

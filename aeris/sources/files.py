@@ -37,6 +37,7 @@ SERIES_SCHEMA = T.StructType([
     T.StructField("pollutant", T.StringType()),
 ])
 PARTITIONS = ["country", "pollutant"]
+DATASET = "dataset"
 ROWS_PER_FILE = 5_000_000
 
 
@@ -45,27 +46,30 @@ def _by_range(df: DataFrame, num_partitions: int | None, *cols: str) -> DataFram
     return df.repartitionByRange(*([num_partitions] if num_partitions else []), *cols)
 
 
-def write_series(raw: DataFrame, root: str, num_partitions: int | None = None) -> str:
-    """Write readings under ``root`` partitioned by country and pollutant."""
+def write_series(raw: DataFrame, root: str, num_partitions: int | None = None, releases: bool = False) -> str:
+    """Write readings under ``root`` partitioned by country and pollutant, with ``releases`` by ``dataset`` above them."""
+    folders = [DATASET, *PARTITIONS] if releases else PARTITIONS
     keyed = raw.withColumn("_series", short_id(F.col("Samplingpoint")))
-    (_by_range(keyed, num_partitions, *PARTITIONS, "_series", "Start")
-        .sortWithinPartitions(*PARTITIONS, "_series", "Start")
+    (_by_range(keyed, num_partitions, *folders, "_series", "Start")
+        .sortWithinPartitions(*folders, "_series", "Start")
         .drop("_series")
         .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy(*PARTITIONS).parquet(root))
+        .partitionBy(*folders).parquet(root))
     return root
 
 
-def _series_schema(start_type: str, value_type: str = "double") -> T.StructType:
+def _series_schema(start_type: str, value_type: str = "double", releases: bool = False) -> T.StructType:
     types = {"Start": {"timestamp": T.TimestampNTZType(), "nanos": T.LongType(), "text": T.StringType()}[start_type],
              "Value": {"double": T.DoubleType(), "text": T.StringType()}[value_type]}
-    return T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in SERIES_SCHEMA.fields])
+    out = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in SERIES_SCHEMA.fields])
+    return out.add(DATASET, T.IntegerType()) if releases else out
 
 
 def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool = False,
                   base_path: str | None = None, start_type: str = "timestamp",
-                  value_type: str = "double") -> DataFrame:
-    """Multi-file scan with a declared schema; ``url`` is the file each row came from.
+                  value_type: str = "double", releases: bool = False) -> DataFrame:
+    """Multi-file scan with a declared schema; ``url`` is the file each row came from. ``releases``: the readings are
+    stored by ``dataset`` too, which becomes a column.
 
     ``tolerant`` leaves out files that cannot be read in full (a failing file
     contributes nothing, as in the reference's per-file try/except) instead of
@@ -78,7 +82,7 @@ def scan_readings(spark: SparkSession, paths: list[str] | str, tolerant: bool =
     """
     if start_type == "nanos" and spark.conf.get(_NANOS, "false") != "true":
         raise ValueError(f"nanosecond times need a session with {_NANOS}=true")
-    df = _open(spark, paths, _series_schema(start_type, value_type), base_path, tolerant) \
+    df = _open(spark, paths, _series_schema(start_type, value_type, releases), base_path, tolerant) \
         .withColumn("url", F.col("_metadata.file_path"))
     if tolerant:
         bad = skipped_files(spark, paths, base_path, start_type, value_type).select(F.col("path").alias("url"))
@@ -200,10 +204,11 @@ def read_manifest(spark: SparkSession, entries: DataFrame, base_path: str, toler
 
 def select_partition(series: DataFrame, countries: list[str] | None = None,
                      pollutants: list[str] | None = None, start: str | None = None,
-                     end: str | None = None) -> DataFrame:
-    """The download request as predicates: partition columns prune directories,
+                     end: str | None = None, datasets: list[int] | None = None) -> DataFrame:
+    """The download request as predicates: partition columns (``dataset`` too, where readings are stored by release)
+    prune directories,
     the time range is pushed into the Parquet scan. ``None`` means no restriction; an empty list selects nothing."""
-    out = series
+    out = series if datasets is None else series.where(F.col(DATASET).isin(datasets))
     if countries is not None:
         out = out.where(F.col("country").isin(countries))
     if pollutants is not None:
