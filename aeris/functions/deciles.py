@@ -9,7 +9,7 @@ single distinct edge there are no bins and the label is null.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +24,16 @@ def decile_edges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     the value (at most 241 of them where values are clipped to 0..240). Running counts over the buckets tell
     which ones hold the 22 ranks an edge is interpolated from, and only those buckets' values are ranked, each
     bucket by itself in a running sum.
+
+    The counted values are dealt to tasks by (group, bucket) once: bucket sums, the join with the buckets hit and the
+    ranks inside a bucket all use that one exchange (the bucket's highest value, which a rank is checked against, makes
+    both uses read the same columns).
     """
-    keyed = values.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value)))
-    counted = keyed.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_w"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, value)])    # frames without a key have no edges
+    keyed = values.where(known).withColumn("_b", F.floor(F.col(value))).where(F.col("_b").isNotNull())
+    counted = keyed.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_w")).repartition(*keys, "_b")
     group, steps = Window.partitionBy(*keys), (Window.unboundedPreceding, Window.currentRow)
-    buckets = (counted.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
+    buckets = (counted.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.max(value).alias("_top"))
                .withColumn("_n", F.sum("_bw").over(group))
                .withColumn("_from", F.sum("_bw").over(group.orderBy("_b").rowsBetween(*steps)) - F.col("_bw")))
     at = [(F.col("_n") - F.lit(1)) * F.lit(p) for p in _PROBS]
@@ -38,7 +43,8 @@ def decile_edges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
         return (rank >= F.col("_from")) & (rank < F.col("_from") + F.col(width))
 
     hit = reduce(or_, [covers(r, "_bw") for pair in ranks for r in pair])
-    ranked = (counted.join(buckets.where(hit).select(*keys, "_b", "_n", "_from"), [*keys, "_b"])
+    ranked = (counted.join(buckets.where(hit).select(*keys, "_b", "_n", "_from", "_top"), [*keys, "_b"])
+              .where(F.col(value) <= F.col("_top"))
               .withColumn("_from", F.col("_from") - F.col("_w") + F.sum("_w").over(
                   Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(*steps))))
     found = ranked.groupBy(*keys, "_n").agg(*[

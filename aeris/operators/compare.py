@@ -27,12 +27,19 @@ def compare_series(named: DataFrame) -> DataFrame:
 def station_labels(recent: DataFrame, coords: DataFrame) -> DataFrame:
     """Per (file, label): rows and extremes with the file's station, from one pass over the readings.
 
-    ``tier_breakdown`` and ``station_summary`` take it in place of the labelled readings."""
+    ``station_summary`` takes it in place of the labelled readings; ``tier_breakdown`` needs ``label_counts`` only."""
     keys = [*GROUP, "url", "_sp"]
     pre = _extremes(compare_series(recent.withColumn("_sp", point_column(recent))), keys)
     return with_station(pre, coords)
 
 
+def label_counts(recent: DataFrame, coords: DataFrame) -> DataFrame:
+    """Per (file, label): rows (``hours``) with the file's station. The readings are counted before any shuffle."""
+    pre = compare_series(recent.withColumn("_sp", point_column(recent))).groupBy(*GROUP, "url", "_sp", "aqi_label").agg(
+        F.count(F.lit(1)).alias("hours"), F.min("Start").alias("_t"))
+    return with_station(pre, coords)
+
+
 def station_sizes(recent: DataFrame, coords: DataFrame) -> DataFrame:
     """Files with their station and number of readings (``hours``)."""
     pre = recent.groupBy(*GROUP, "url", point_column(recent).alias("_sp")).agg(
@@ -59,7 +66,7 @@ def compare_semi(named: DataFrame, selection: DataFrame) -> DataFrame:
 def tier_breakdown(series: DataFrame) -> DataFrame:
     """Rows per (station, label) named ``hours`` (it counts rows), with share and order.
 
-    ``series`` holds labelled readings, or ``station_labels``. The share window runs over a station's at
+    ``series`` holds labelled readings, or ``label_counts``. The share window runs over a station's at
     most 7 label rows.
     """
     n = F.sum("hours") if "hours" in series.columns else F.count(F.lit(1))

@@ -768,7 +768,7 @@ _COUNTS_SQL = """counts AS (SELECT country, pollutant, station_name, aqi_label,
   round(hours / sum(hours) OVER (PARTITION BY country, pollutant, station_name), 6) AS share,
   {S.order_of('aqi_label')} AS order_idx FROM counts"""))
 def q_tier_breakdown(spark, sf):
-    t = CMP.tier_breakdown(CMP.station_labels(_recent(spark, sf), _coords(spark, sf)))
+    t = CMP.tier_breakdown(CMP.label_counts(_recent(spark, sf), _coords(spark, sf)))
     return t.withColumn("share", r6("share"))
 
 
