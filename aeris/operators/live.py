@@ -150,19 +150,6 @@ def readings_named(recent: DataFrame, meta: DataFrame) -> DataFrame:
         *GROUP, "station_id", "station_name", "Start", "Value")
 
 
-def hourly_mean(named: DataFrame, hour: str | _dt.datetime | None = None) -> DataFrame:
-    """Mean per station and hour (partial aggregation before the shuffle).
-
-    With ``hour``, only that hour: the readings are cut to ``[hour, hour + 1h)``
-    first, a plain range on the time column that reaches the Parquet scan.
-    """
-    if hour is not None:
-        h0 = _dt.datetime.fromisoformat(hour) if isinstance(hour, str) else hour
-        named = named.where((F.col("Start") >= ntz_lit(h0)) & (F.col("Start") < ntz_lit(h0 + _dt.timedelta(hours=1))))
-    return (named.groupBy(*GROUP, "station_id", floor_hour(F.col("Start")).alias("hour"))
-            .agg(F.avg("Value").alias("Value"), F.count(F.lit(1)).alias("n")))
-
-
 def observed_hours(named: DataFrame) -> DataFrame:
     """Distinct hours per group. At most 7 × 24 + 1 per group: the window bounds it."""
     return named.select(*GROUP, floor_hour(F.col("Start")).alias("hour")).distinct()
@@ -174,21 +161,6 @@ def _styled(frame: DataFrame) -> DataFrame:
             .withColumn("value_str", fixed_decimals(F.col("Value"), 2)))
 
 
-def hour_view(meta: DataFrame, hourly: DataFrame, hour: str | _dt.datetime | None = None) -> DataFrame:
-    """Per station, the mean of one hour (default: each group's latest hour),
-    falling back to the window mean; styled for the map."""
-    h = hourly.select(*GROUP, "station_id", "hour", F.col("Value").alias("_v"))
-    if hour is None:
-        last = hourly.groupBy(*GROUP).agg(F.max("hour").alias("hour"))      # one row per (country, pollutant)
-        h = h.join(last, [*GROUP, "hour"], "left_semi")
-    else:
-        h = h.where(F.col("hour") == ntz_lit(hour))
-    frame = (meta.join(h.drop("hour"), [*GROUP, "station_id"], "left")
-             .withColumn("is_fallback", F.col("_v").isNull())
-             .withColumn("Value", F.coalesce("_v", "Value")).drop("_v"))
-    return _styled(frame)
-
-
 def hour_bounds(named: DataFrame) -> DataFrame:
     return named.groupBy(*GROUP).agg(floor_hour(F.min("Start")).alias("first_hour"),
                                      floor_hour(F.max("Start")).alias("last_hour"))

@@ -153,9 +153,7 @@ def test_hour_view_fallback_and_styling(spark):
     coords = spark.createDataFrame([("spo-1", 47.0, 8.0, "One", "urban"), ("spo-2", 46.0, 7.0, None, None)],
                                    "key string, lat double, lon double, station_name string, area_type string")
     recent = L.recent_readings(raw, as_of="2024-01-05 13:00:00")
-    meta = L.station_meta(recent, coords)
-    named = L.readings_named(recent, meta)
-    view = {r.station_id: r for r in L.hour_view(meta, L.hourly_mean(named)).collect()}
+    view = {r.station_id: r for r in L.live_view(recent, coords).collect()}
     assert set(view) == {"SPO-1", "SPO-2"}
     one, two = view["SPO-1"], view["SPO-2"]
     assert (one.Value, one.is_fallback, one.aqi_label, one.color_a, one.value_str) == (50.0, False, "Moderate", 220, "50.00")

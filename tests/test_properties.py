@@ -39,7 +39,7 @@ def test_hour_frames_cover_every_observed_hour(spark, sf_small):
     coords = M.station_coords(M.metadata_dedup(A.raw_metadata(spark, sf_small)))
     meta = L.station_meta(recent, coords)
     named = L.readings_named(recent, meta)
-    frames = L.hour_frames_all(meta, L.hourly_mean(named))
+    frames = L.hour_frames_all(meta, L.hourly_means(L.station_hours(recent)))
     per_group = meta.dropna(subset=["lat", "lon"]).groupBy("country", "pollutant").count().withColumnRenamed("count", "s")
     hours = L.observed_hours(named).groupBy("country", "pollutant").count().withColumnRenamed("count", "h")
     expected = per_group.join(hours, ["country", "pollutant"]).select(F.sum(F.col("s") * F.col("h"))).first()[0]

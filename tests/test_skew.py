@@ -47,8 +47,8 @@ def test_hot_key_keep_first_and_hourly_mean(spark):
     pdf = pd.DataFrame([(i, *r) for i, r in enumerate(rows)],
                        columns=["source_row", "country", "pollutant", "station_name", "url", "Start", "Value"])
     assert first == pdf.groupby("station_name")["source_row"].min().to_dict()
-    named = df.withColumnRenamed("station_name", "station_id")
-    hourly = {(r.station_id, r.hour): (round(r.Value, 9), r.n) for r in L.hourly_mean(named).collect()}
+    points = df.withColumn("Samplingpoint", F.col("station_name")).withColumn("url", F.col("station_name"))
+    hourly = {(r.station_id, r.hour): (round(r.Value, 9), r.n) for r in L.hourly_means(L.station_hours(points)).collect()}
     pdf["hour"] = pdf["Start"].dt.floor("h")
     ref = pdf.groupby(["station_name", "hour"])["Value"].agg(["mean", "count"])
     assert hourly == {(s, h.to_pydatetime()): (round(m, 9), c) for (s, h), (m, c) in ref.iterrows()}
