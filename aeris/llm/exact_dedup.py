@@ -49,6 +49,7 @@ def _prints(batches):
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([digest(t) for t in texts], pa.binary()),
              pa.array([code_points(t) for t in texts], pa.int64())], names=["id", "sha", "n_cp"])
+    forget()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +156,8 @@ def possibly_repeated(found: Filter):
 
 
 def fingerprint_and_test(found: Filter):
-    """A column function ``text -> struct<sha, maybe>``, one Python call for both."""
+    """A column function ``text -> struct<sha, maybe>``, one Python call for both. It is marked as not deterministic, so
+    that a plan which uses both fields, and filters by one, still calls it once a row (and needs one worker a task)."""
     @F.pandas_udf("sha binary, maybe boolean")
     def marked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         maybe = found.test()
@@ -164,7 +166,7 @@ def fingerprint_and_test(found: Filter):
             yield pd.DataFrame({"sha": shas, "maybe": maybe(shas) if shas else np.zeros(0, bool)})
         forget()
 
-    return marked
+    return marked.asNondeterministic()
 
 
 def grouped(maybe: DataFrame) -> DataFrame:

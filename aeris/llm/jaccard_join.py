@@ -187,6 +187,7 @@ def candidate_edges(members: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 b.append(mine[other])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        forget()
 
     order = ["path", "lo", "hi"]
     return members.select(*order, "side", "key", "group", "tokens").repartition(*order).sortWithinPartitions(*order, "key") \
@@ -262,6 +263,7 @@ def _split(members: DataFrame) -> DataFrame:
                 row, path = children(np.asarray(b.column(1))[at:at + 4096].view(np.uint64), values[at:at + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 4096][row]), pa.array(path.view(np.int64))],
                                                  names=["key", "path"])
+        forget()
 
     return members.select("key", "path", "tokens").mapInArrow(run, "key long, path long")
 
