@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeris.llm import (chat, decontaminate, exact_dedup, fill_middle, html_text, jaccard_join, lang_id, licenses, packing,
-                       prefix_trie, repeats, token_count, warc)
+                       prefix_trie, repeats, sql, token_count, warc)
 from aeris.llm.common import read_table, ship
 
 
@@ -86,4 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_html_text, op2_license_scan, op3_jaccard_join, op4_warc, op5_exact_dedup, op6_packing, op7_chat_collapse,
         op8_language_id, op9_repeats, op10_decontaminate, op11_fill_middle, op12_token_count, op13_prefix_trie)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": sql.EXACT_DEDUP, "op7_chat_collapse": sql.CHAT_COLLAPSE, "op11_fill_middle": sql.FILL_MIDDLE,
+    "op13_prefix_trie": sql.PREFIX_TRIE}
