@@ -1,6 +1,6 @@
 """Token counts of whole texts, huge ones in overlapping pieces.
 
-Texts of up to ``CHUNK`` code points are encoded whole. A longer one is cut into overlapping pieces which Spark
+Texts of up to ``CHUNK`` code points are counted whole (``WordCounts``). A longer one is cut into overlapping pieces which Spark
 deals to tasks like any other rows; each is encoded on its own, with offsets. Two neighbours are spliced at a proven
 common boundary, and the number of tokens is
 
@@ -28,6 +28,8 @@ tokens, or one piece (a longer one only where a word is longer than a piece).
 from __future__ import annotations
 
 import json
+from itertools import islice
+from unicodedata import category
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ from aeris.llm.common import forget, sliced, stored
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
 _LOOK_AHEAD = 2
+_LONG_WORD = 64
+_NEVER = -(1 << 62)
 
 
 def load(path: str):
@@ -64,6 +68,51 @@ def margin(tokenizer) -> int | None:
     return max([_LOOK_AHEAD, *(len(a["content"]) for a in added)])
 
 
+class WordCounts:
+    """Tokens of whole texts through remembered counts of their words.
+
+    The words are those that the tokenizer's own splitter makes (its published pattern, by the ``regex`` library), and
+    each distinct one is encoded by the tokenizer once, alone: the splitter leaves a word as it is. Texts with special
+    strings, and with code points that are not assigned yet (two libraries may class them by other versions of the
+    standard), are encoded whole by the tokenizer."""
+
+    #: fixed: the splitting pattern of the byte-level tokenizers
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, tokenizer, remember: int = 400_000):
+        import regex
+        self.tokenizer, self.remember = tokenizer, remember
+        self.split = regex.compile(self.PATTERN).findall
+        self.special = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
+        self.sure: set[str] = set()          # code points that are assigned
+        self.known: dict[str, int] = {}      # tokens of a word; negative: its texts are not split here
+
+    def _learn(self, new: list[str]) -> None:
+        fresh = set().union(*new) - self.sure
+        unsure = {c for c in fresh if category(c) == "Cn"}
+        self.sure |= fresh - unsure
+        for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[k] = len(e)
+        for k in new if unsure else []:
+            if not unsure.isdisjoint(k):
+                self.known[k] = _NEVER
+
+    def count(self, texts: list[str]) -> list[int]:
+        if len(self.known) > self.remember:  # keep those learnt first, which hold the frequent ones
+            self.known = dict(islice(self.known.items(), self.remember // 2))
+        words = [[] if any(s in x for s in self.special) else self.split(x) for x in texts]
+        new = list(set().union(*words).difference(self.known))
+        self._learn(new)
+        out = [sum(map(self.known.__getitem__, w)) for w in words]
+        whole = [k for k, (x, w) in enumerate(zip(texts, words, strict=True)) if x and not w or out[k] < 0]
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = len(e)
+        for k in new:
+            if len(k) > _LONG_WORD:  # not worth its memory
+                del self.known[k]
+        return out
+
+
 def _cut(docs: DataFrame, path: str, chunk: int, overlap: int, id_col: str, text_col: str) -> DataFrame:
     """``row, doc_id, n_bytes, n_tokens`` of short texts; of longer ones a row per piece with ``piece, first, text``."""
     kind = "row long, doc_id long, n_bytes long, n_tokens long, piece long, first long, text string"
@@ -73,13 +122,16 @@ def _cut(docs: DataFrame, path: str, chunk: int, overlap: int, id_col: str, text
         import pyarrow.compute as pc
         t = load(path)
         sure = margin(t) is not None
+        words = WordCounts(t) if sure else None
         types = [pa.int64()] * 6 + [pa.string()]
         names = ["row", "doc_id", "n_bytes", "n_tokens", "piece", "first", "text"]
         for b in sliced(batches, 1 << 20):
             texts = [x or "" for x in b.column(1).to_pylist()]
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             short = [k for k, x in enumerate(texts) if len(x) <= chunk or not sure]
-            count = dict(zip(short, map(len, t.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)), strict=True))
+            own = [texts[k] for k in short]
+            counts = words.count(own) if sure else [len(e) for e in t.encode_batch_fast(own, add_special_tokens=False)]
+            count = dict(zip(short, counts, strict=True))
             out = []
             for k, (doc, row) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if k in count:
@@ -89,8 +141,8 @@ def _cut(docs: DataFrame, path: str, chunk: int, overlap: int, id_col: str, text
                     out += [(row, doc, size[k], None, i, at, x[at:at + chunk + overlap])
                             for i, at in enumerate(range(0, max(1, len(x) - overlap), chunk))]
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
-            del texts, out
-        del t
+            del texts, own, out
+        del t, words
         forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),

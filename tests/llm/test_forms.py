@@ -259,3 +259,22 @@ def test_member_digests_in_slices(spark, monkeypatch):
 def test_prefix_trie_query(spark, sf_small):
     log = [tuple(r) for r in read_table(spark, sf_small, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert rows(queries.QUERIES["op13_prefix_trie"](spark, sf_small)) == brute_trie(log)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["don't", " ", "\n ", "<|endoftext|>", "١٢", "漢", "\x1c", "\x85", "՘", "\U000323b0x", "ǅ", "²", "é"])),
+                max_size=8).map("".join))
+def test_words_counted_alone_are_the_whole(tokenizer, text):
+    counts = token_count.WordCounts(tokenizer, remember=8)
+    want = len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert counts.count([text, "", text + "a"])[:2] == [want, 0] and counts.count([text]) == [want]
+
+
+def test_words_of_all_code_points(tokenizer):
+    """The splitter and the tokenizer class every code point alike, or the text is left to the tokenizer."""
+    texts = []
+    for first in range(0x80, 0x30000, 64):
+        chars = [chr(c) for c in range(first, first + 64) if not 0xD800 <= c < 0xE000]
+        texts.append("".join(f"a{c}a 1{c}1 !{c}! {c}{c}" for c in chars))
+    want = [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_count.WordCounts(tokenizer).count(texts) == want
