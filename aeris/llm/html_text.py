@@ -8,8 +8,8 @@ core, and what stands beside the core or beside an element of that path with a d
 (a run of text and inline elements counts as one element). A core inside an ``article`` or ``main`` element is
 widened to it; a core that holds most of its text in such elements is narrowed to them.
 
-Before that, elements that are no text of a page by their kind go: scripts, styles, forms, navigation, page
-headers and footers, asides, and elements whose class, id or role marks them as menus, sidebars, notices,
+Before that, elements that are no text of a page by their kind go: scripts, styles, controls, navigation, page
+headers and footers, asides, and forms and elements whose class, id or role marks them as menus, sidebars, notices,
 adverts or reader comments. Such words also name layouts (``content sidebar-right``), so a marked element goes only
 after densities are measured, and stays if it holds the core or the chosen article; adverts, consent and reader
 comments may be denser than the article and stay only if they hold the page's only articles, or all text of an article or page.
@@ -25,18 +25,19 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeris.llm.common import sliced
+from aeris.llm.common import forget, sliced
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre
 search section select summary table tbody td tfoot th thead title tr ul""".split())
-_DROP = frozenset("""applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header
+_DROP = frozenset("""applet aside audio button canvas datalist dialog embed fieldset footer frame frameset head header
 iframe input link menu meta nav noembed noframes noscript object search select script style svg template textarea title
 video""".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "title",
@@ -58,8 +59,11 @@ _HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|!--(.*?)(?:--!?>|\Z)|[!?/][^>]*>?)", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: attributes by the HTML rules: a quote opens a value only after "="; elsewhere it is an ordinary character
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+)|(?=>|\Z))"""
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:" + _VALUE + ")?+")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:" + re.sub(r"\((?!\?)", "(?:", _VALUE)
+                  + r")?+)*+)>?|!--(.*?)(?:--!?>|\Z)|[!?/][^>]*>?)", re.S)
 
 
 class Node:
@@ -72,10 +76,10 @@ class Node:
 
 def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
     """Whether an element is no text of a page by its kind, and what its class, id or role marks it as: 0 nothing,
-    1 boilerplate or a layout, 2 adverts, consent or comments."""
+    1 boilerplate or a layout (a form too: some pages stand in one), 2 adverts, consent or comments."""
     if tag in _DROP:
         return True, 0
-    mark = 0
+    mark = 1 if tag == "form" else 0
     if not attributes or tag in ("html", "body"):
         return False, mark
     for m in _ATTR.finditer(attributes):
@@ -101,6 +105,14 @@ def parse(page: str) -> Node:
     root = node = Node("#root", None)
     at, end = 0, len(page)
     article_depth = 0
+    open_tags: Counter[str] = Counter()
+
+    def up_to(n: Node, top: Node) -> Node:
+        """Close elements from ``n`` up; ``top`` is the one that stays open."""
+        while n is not top:
+            open_tags[n.tag] -= 1
+            n = n.parent
+        return top
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -122,14 +134,12 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:  # an end tag closes the nearest such element, if it is open
-            p = node
-            while p is not root and p.tag != name:
-                p = p.parent
-            if p is not root:
-                while node is not p:
-                    node = node.parent
+            if open_tags[name]:
+                p = node
+                while p.tag != name:
+                    p = p.parent
                 article_depth -= name in ("article", "main")
-                node = p.parent
+                node = up_to(node, p.parent)
             elif name in _BLOCK:
                 node.kids.append(Node("br", node))
             continue
@@ -137,25 +147,25 @@ def parse(page: str) -> Node:
             break  # an unfinished tag at the end
         if name in _CLOSES_P or name in ("li", "dd", "dt", "option", "tr", "td", "th"):
             p = node  # an open paragraph or list item ends here
-            while p is not root and (p.tag == "p" and name in _CLOSES_P or p.tag not in _BLOCK):
+            while open_tags["p"] and p is not root and (p.tag == "p" and name in _CLOSES_P or p.tag not in _BLOCK):
                 if p.tag == "p":
-                    node = p.parent
+                    node = up_to(node, p.parent)
                     break
                 p = p.parent
             same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"),
                     "td": ("td", "th"), "th": ("td", "th")}.get(name)
-            if same:
+            if same and any(open_tags[t] for t in same):
                 p = node
                 while p is not root and p.tag not in ("ul", "ol", "dl", "table", "select", "menu", "tbody", "thead", "tfoot"):
                     if p.tag in same and (name != "tr" or p.tag == "tr"):
-                        node = p.parent
+                        node = up_to(node, p.parent)
                         break
                     p = p.parent
         elif name == "body":
             p = node  # whatever the head left open ends here
             while p is not root and p.tag != "html":
                 p = p.parent
-            node = p
+            node = up_to(node, p)
         # a header inside an article is its title block, not the page's header
         dropped, mark = _judge(name, m[3], article_depth > 0)
         new = Node(name, node, dropped and not (name == "header" and article_depth), mark)
@@ -168,6 +178,7 @@ def parse(page: str) -> Node:
             continue
         if name in ("article", "main"):
             article_depth += 1
+        open_tags[name] += 1
         node = new
     return root
 
@@ -391,6 +402,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
+        forget()
 
     three = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                          F.col(html_col).alias("html"))
