@@ -132,19 +132,23 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
         .select("h", "item", "at", "n", "size", "raw", "t", "copy").dropDuplicates(["h", "item", "at", "copy"])
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, pos, h)``: places in documents where some item's window stands."""
+    """``(doc, tk, pos, h)``: places in documents where some item's window stands; ``tk`` tells the texts of one id apart."""
     n, lengths = windows.agg(F.count(F.lit(1)), F.collect_set(F.when(F.col("size") < WINDOW, F.col("size")))).first()
     keys = windows.select("h").distinct()
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
     tokens = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), words(F.col(text_col)).alias("raw"))
+        F.col(id_col).cast("long").alias("doc"), _text_key(F.col(text_col)).alias("tk"), words(F.col(text_col)).alias("raw"))
 
     def met(size: int, by_template: Column, by_copy: Column) -> DataFrame:
         """Both hashes of every place of ``size`` words, one list after the other."""
-        counted = tokens.select("doc", "raw", (F.size("raw") - (size - 1)).alias("places"))  # not the words beside every place
-        return counted.select("doc", "places", F.posexplode(F.concat(by_template, by_copy)).alias("i", "h")) \
-            .join(keys, "h", "left_semi").select("doc", (F.col("i") % F.col("places")).alias("pos"), "h")
+        counted = tokens.select("doc", "tk", "raw", (F.size("raw") - (size - 1)).alias("places"))  # not the words beside every place
+        return counted.select("doc", "tk", "places", F.posexplode(F.concat(by_template, by_copy)).alias("i", "h")) \
+            .join(keys, "h", "left_semi").select("doc", "tk", (F.col("i") % F.col("places")).alias("pos"), "h")
 
     found = met(WINDOW, window_hashes(F.col("raw")), copy_hashes(F.col("raw")))
     for size in sorted(lengths):  # items shorter than a window: at most a few lengths
@@ -164,43 +168,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             item_col: str = "item_id", item_text_col: str = "text", min_cover: float = MIN_COVER,
             min_run: int = MIN_RUN) -> DataFrame:
     """``doc_id, item_id, n_words, covered, n_slots, n_changed``: items found in documents, with the item's template
-    words covered by consistent windows, the slots checked and those with another value than in the item."""
+    words covered by consistent windows, the slots checked and those with another value than in the item. Of texts that
+    share an id the one with most covered words tells (then most changed slots, most slots)."""
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, min_cover, min_run)
+    best = found.groupBy("doc", "item").agg(F.max(F.struct("covered", "changed", "slots", "n")).alias("m"))
+    return best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("m.n").alias("n_words"),
+                       F.col("m.covered").alias("covered"), F.col("m.slots").alias("n_slots"), F.col("m.changed").alias("n_changed"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id",
+           item_text_col: str = "text", min_cover: float = MIN_COVER, min_run: int = MIN_RUN) -> DataFrame:
+    """``doc, tk, item, n, covered, slots, changed``: items found in texts, each text by itself."""
     windows = stored(item_windows(benchmark, item_col, item_text_col), "bench-windows")
     found = stored(hits(docs, windows, id_col, text_col), "bench-hits")
-    # the words of the documents that were hit, at the places that were hit
-    ids = _sized(found.select("doc").distinct())
-    raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")) \
-        .join(ids, "doc", "left_semi").select("doc", words(F.col("text")).alias("dw"))
-    # one row per document with its places: places are bounded by the words of the document
-    places = found.groupBy("doc").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
-    at = raw.join(places, "doc").select("doc", "dw", F.explode("places").alias("x")) \
-        .select("doc", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.slice("dw", F.col("x.pos") + 1, WINDOW).alias("dw"))
+    # the words of the texts that were hit, at the places that were hit
+    ids = _sized(found.select("doc", "tk").distinct())
+    raw = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc"), _text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text")) \
+        .join(ids, ["doc", "tk"], "left_semi").select("doc", "tk", words(F.col("text")).alias("dw"))
+    # one row per text with its places: places are bounded by its words
+    places = found.groupBy("doc", "tk").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
+    at = raw.join(places, ["doc", "tk"]).select("doc", "tk", "dw", F.explode("places").alias("x")) \
+        .select("doc", "tk", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.slice("dw", F.col("x.pos") + 1, WINDOW).alias("dw"))
     pairs = stored(at.join(windows.withColumnRenamed("raw", "bw"), "h").withColumn("dw", F.slice("dw", F.lit(1), F.col("size"))),
                    "bench-pairs")
-    # slots: what the item's value stands for in the document; item and document positions agree by their difference
+    # slots: what the item's value stands for in the text; item and text positions agree by their difference
     slot = F.explode(F.filter(F.arrays_zip("t", "bw", "dw"), lambda x: _is_slot(x["t"]))).alias("s")
     place = F.col("pos") - F.col("at")
-    slots = pairs.select("doc", "item", place.alias("place"), "copy", slot).select(
-        "doc", "item", "place", bare(F.lower("s.bw")).alias("was"),
+    one = ["doc", "tk", "item", "place"]
+    slots = pairs.select("doc", "tk", "item", place.alias("place"), "copy", slot).select(
+        *one, "copy", bare(F.lower("s.bw")).alias("was"),
         F.when(~F.col("copy"), bare(F.lower("s.dw"))).alias("now")).distinct()
-    values = slots.groupBy("doc", "item", "place", "was").agg(  # none: the value stands in copied windows only
+    values = slots.groupBy(*one, "was").agg(  # none: the value stands in copied windows only
         F.min("now").alias("lo"), F.max("now").alias("hi"))
-    bad = values.groupBy("doc", "item", "place").agg(
+    bad = values.groupBy(*one).agg(
         F.max(F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).cast("int")).alias("bad"), F.count(F.lit(1)).alias("slots"),
         F.sum(F.coalesce(F.col("was") != F.col("lo"), F.lit(False)).cast("long")).alias("changed"))
-    per_place = pairs.select("doc", "item", place.alias("place"), "n", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")) \
-        .groupBy("doc", "item", "place").agg(F.max("n").alias("n"), F.collect_set("w").alias("ws"))
-    good = per_place.join(bad, ["doc", "item", "place"], "left").where(F.coalesce("bad", F.lit(0)) == 0)
-    whole = good.groupBy("doc", "item").agg(
+    per_place = pairs.select("doc", "tk", "item", place.alias("place"), "n", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")) \
+        .groupBy(*one).agg(F.max("n").alias("n"), F.collect_set("w").alias("ws"))
+    good = per_place.join(bad, one, "left").where(F.coalesce("bad", F.lit(0)) == 0)
+    whole = good.groupBy("doc", "tk", "item").agg(
         F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("covered"),
-        F.coalesce(F.sum("slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.sum("changed"), F.lit(0)).alias("n_changed"))
+        F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"))
     enough = (F.col("covered") >= F.lit(min_run)) | (F.col("covered") >= F.col("n") * F.lit(min_cover))
-    return whole.where(enough).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"),
-                                      F.col("n").alias("n_words"), "covered", "n_slots", "n_changed")
+    return whole.where(enough)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item was found, all columns as they were."""
-    (key,) = fresh(docs, "_leak_id")
-    ids = _sized(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(ids, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    key, text_key = fresh(docs, "_leak_id", "_leak_text")
+    found = _found(docs, benchmark, id_col, text_col).select(F.col("doc").alias(key), F.col("tk").alias(text_key)).distinct()
+    return docs.join(_sized(found), (F.col(id_col).cast("long") == F.col(key)) & (_text_key(F.col(text_col)) == F.col(text_key)),
+                     "left_anti")
