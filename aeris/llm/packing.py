@@ -41,8 +41,8 @@ class WordTokens:
     """Ids of texts through remembered ids of their blank-separated words.
 
     Texts are lower-cased as the tokenizer does, and full stops and commas at the end of a word become words of
-    their own, which they are to the tokenizer unless they follow another sign; texts where they do go to the
-    tokenizer whole. New words are tokenised together: words of letters joined by blanks and told apart again
+    their own, which they are to the tokenizer unless they follow another sign; texts where they do, and those with
+    special strings or a capital sigma, go to the tokenizer whole. New words are tokenised together: words of letters joined by blanks and told apart again
     by the end mark that each one's last id carries, all others one by one."""
 
     def __init__(self, path: str):
@@ -110,7 +110,11 @@ class WordTokens:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         self._forget()
+        # special strings keep their case and a final sigma is lowered by what stands around it: the tokenizer's work
+        special = [i for i, t in enumerate(texts) if t and ("<|" in t or "\u03a3" in t)]
         split = [self._words(t or "") for t in texts]
+        for i in special:
+            split[i] = [""]
         words = [w for s in split for w in s]
         index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         if self.at.new:
@@ -119,7 +123,7 @@ class WordTokens:
         ends = np.cumsum([len(s) for s in split])
         # a stop or comma after another sign belongs to it
         joined = np.flatnonzero(self.sign[index[:-1]] & ((index[1:] == 1) | (index[1:] == 2))) + 1 if len(index) else []
-        whole = np.unique(np.searchsorted(ends, joined, side="right")).tolist()
+        whole = np.union1d(np.searchsorted(ends, joined, side="right"), special).astype(int).tolist()
         size = self.size[index]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[index] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
@@ -132,9 +136,7 @@ class WordTokens:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        if "<|" not in text and "\u03a3" not in text:  # special tokens keep their case; final sigma is lowered by context
-            text = text.lower()
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
         return (text + " ").replace(". ", " . ").replace(", ", " , ").split(" ")
 
 
@@ -349,6 +351,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
             extra = [b.column(6)] if with_ids else []
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset), *extra], names=names)
+        forget()
 
     kind = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
             + ", ids array<int>" * with_ids)
