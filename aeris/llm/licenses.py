@@ -73,6 +73,8 @@ class LicenceAutomaton:
 
     def __init__(self, sequences: list[tuple[str, bool, list[bytes]]]):
         self.sequences = sequences
+        #: shorter runs of known words hold neither a phrase nor a match
+        self.least = min([MIN_MATCH, *(len(words) for _, base, words in sequences if base)])
         self.vocabulary: dict[bytes, int] = {}
         self.next, self.link, self.len, ends = [{}], [-1], [0], [[]]
         for k, (_, _, words) in enumerate(sequences):
@@ -138,7 +140,7 @@ class LicenceAutomaton:
             return phrases, matches
         cut = np.flatnonzero(np.diff(known) > 1) + 1
         starts, stops = known[np.r_[0, cut]], known[np.r_[cut - 1, len(known) - 1]] + 1
-        wide = stops - starts >= 3
+        wide = stops - starts >= self.least
         nxt, link, size, base = self.next, self.link, self.len, self.phrases
         for a, b in zip(starts[wide].tolist(), stops[wide].tolist(), strict=True):
             state, length = 0, 0

@@ -518,3 +518,67 @@ def test_decontaminate_without_python(spark, sf_small):
     df = decontaminate.matches(read_table(spark, sf_small, "documents"), read_table(spark, sf_small, "benchmark"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# ---------------------------------------------------------------- broken markup, shared ids, odd letters
+
+PARAGRAPHS = ["word " * 60 + "one.", "text " * 60 + "two.", "para " * 60 + "three."]
+
+
+@pytest.mark.parametrize("tag", ["<p title=John's>", '<p class="x"">', '<p class=x">', "<p a='1'b=\"2>3\" c>", "<p =x>", "<p a=>", "<p a=b/c>"])
+def test_html_odd_quotes_lose_no_text(tag):
+    page = f"<html><body><div><p>{PARAGRAPHS[0]}</p>{tag}{PARAGRAPHS[1]}</p><p>{PARAGRAPHS[2]}</p></div></body></html>"
+    assert html_text.main_text(page) == " ".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("wrap", ["<form>{}</form>", "<main><form action=x>{}<input name=q><button>Go</button></form></main>",
+                                  "<form><article>{}</article></form>"])
+def test_html_page_in_a_form(wrap):
+    body = wrap.format("".join(f"<p>{p}</p>" for p in PARAGRAPHS))
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == " ".join(PARAGRAPHS)
+
+
+def test_html_a_form_beside_the_text_goes():
+    form = "<form><p>Your name and your address please</p><label>Name</label><input></form>"
+    page = f"<html><body><div>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}{form}</div></body></html>"
+    assert html_text.main_text(page) == " ".join(PARAGRAPHS)
+
+
+def test_html_many_stray_end_tags_are_quick():
+    import time
+    began = time.time()
+    html_text.main_text("<b>" * 20000 + "</i>" * 20000 + "x")
+    assert time.time() - began < 5
+
+
+def test_leaks_under_a_shared_id(spark):
+    item = "A train leaves the station at 9 hours and travels 120 miles to the next town before it stops for water"
+    other = "completely different words stand in this second text which has the same number as the first one does here"
+    changed = item.replace("9", "7").replace("120", "85")
+    docs = [(1, item), (1, other), (2, changed), (2, other), (2, None), (3, other)]
+    d = spark.createDataFrame(docs, DOC)
+    b = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.matches(d, b).collect()}
+    assert got == {(1, 10): 0, (2, 10): 2}
+    kept = sorted(((r.doc_id, r.text) for r in decontaminate.without_leaks(d, b).collect()), key=repr)
+    assert kept == sorted([(1, other), (2, other), (2, None), (3, other)], key=repr)
+
+
+def test_packing_ids_of_random_texts():
+    tokens = packing.WordTokens(queries.tokenizer_path())
+    rng = random.Random(8)
+    bits = ["İ", "Σ", "ΑΣ", "ß", "x", "word", ".", ",", ". ", ", ", " ", "\n", "<|", "|>", "<|endoftext|>", "é", "é", "!", "9", "'s", "漢", "...", ".,", "Ǆ"]
+    texts = ["x <|y|> İ. end"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at:at + 500]
+        ids, sizes = tokens.encode(part)
+        own = np.split(ids, np.cumsum(sizes)[:-1])
+        for t, got in zip(part, own, strict=True):
+            assert got.tolist() == tokens.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_licence_phrases_shorter_than_three_words(spark):
+    data = [(1, "released xx mit license ok"), (2, "free"), (3, "mit"), (4, "under mit license"), (5, None)]
+    got = licenses.license_scan(spark.createDataFrame(data, DOC), base={"mit license": "mit", "free": "free"})
+    assert {r.doc_id: (r.n_base, r.base_labels) for r in got.collect()} == {
+        1: (1, "mit"), 2: (1, "free"), 3: (0, ""), 4: (1, "mit"), 5: (0, "")}
