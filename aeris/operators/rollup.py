@@ -53,9 +53,10 @@ def station_hour_states(clean: DataFrame) -> DataFrame:
 
 
 def day_states(hist: DataFrame) -> DataFrame:
-    """States of the historic table per pollutant and day (null values don't count), kept by month: a day has few rows."""
+    """States of the historic table per pollutant and day (null values don't count), kept by year: a day has a row per
+    pollutant."""
     rows = hist.where(F.col("Value").isNotNull()).withColumn("Date", F.to_date("Date"))
-    return partials(rows, ["pollutant", "Date"], F.trunc("Date", "month"))
+    return partials(rows, ["pollutant", "Date"], F.trunc("Date", "year"))
 
 
 def add_readings(raw: DataFrame, root: str, version: int) -> list[str]:
@@ -64,7 +65,7 @@ def add_readings(raw: DataFrame, root: str, version: int) -> list[str]:
 
 
 def add_days(hist: DataFrame, root: str, version: int) -> list[str]:
-    """Merge an arrival of the historic table into the daily table in ``root``; returns the months it touched."""
+    """Merge an arrival of the historic table into the daily table in ``root``; returns the years it touched."""
     return daystore.merge_days(day_states(hist), root, version, merged)
 
 
@@ -74,8 +75,8 @@ def hourly(spark: SparkSession, root: str, days: list[str] | None = None) -> Dat
         *STATION_HOUR, (F.col("sum_value") / F.col("n")).alias("Value"), "n", "min_value", "max_value")
 
 
-def daily(spark: SparkSession, root: str, months: list[str] | None = None) -> DataFrame:
-    """Means per pollutant and day over all stations from the stored states, of all months or of those given (by their
+def daily(spark: SparkSession, root: str, years: list[str] | None = None) -> DataFrame:
+    """Means per pollutant and day over all stations from the stored states, of all years or of those given (by their
     first days)."""
-    return daystore.read_days(spark, root, DAILY_SCHEMA, months).select(
+    return daystore.read_days(spark, root, DAILY_SCHEMA, years).select(
         "pollutant", "Date", (F.col("sum_value") / F.col("n")).alias("AvgValue"), "n")

@@ -1,6 +1,6 @@
 """A table of days on plain Parquet that can be merged into.
 
-Layout: ``root/day=YYYY-MM-DD/version=N/*.parquet`` (``day`` may stand for a longer stretch, the first day of a month for
+Layout: ``root/day=YYYY-MM-DD/version=N/*.parquet`` (``day`` may stand for a longer stretch, the first day of a year for
 instance, where a day has few rows). A merge rewrites only the days that new rows touch, each as a new
 version (its batch number), by dynamic partition overwrite; readers take the newest version of every day, found by
 listing folders, without reading older ones. Then older versions go, except the one before, so that a merge which was
