@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aeris.llm.common import forget, stored
+from aeris.session import scratch_path
 
 OPENING = 100  # conversations that share an opening
 SHARED = 6     # their number of shared turns is below this
@@ -91,8 +92,10 @@ def height(sizes: DataFrame) -> int:
 
 
 def names(turns: DataFrame, top: int) -> DataFrame:
-    """``conv, n, depth, x1, x2, chars``: the name of the node of every place of every path, cut from the top down."""
-    done = None
+    """``conv, n, depth, x1, x2, chars``: the name of the node of every place of every path, cut from the top down. Each
+    height is written beside the ones before it, and all are read as one table."""
+    spark = turns.sparkSession
+    root, levels, done = scratch_path(spark, "trie-names"), [], None
     m = top // 2
     while m:
         # the upper tries of height m below a cut of height 2m that is reached
@@ -106,9 +109,11 @@ def names(turns: DataFrame, top: int) -> DataFrame:
         if done is not None:
             roots = done.select("conv", F.col("depth").alias("above"), F.col("x1").alias("r1"), F.col("x2").alias("r2"))
             rooted = rooted.unionByName(cuts.where("above > 0").join(roots, ["conv", "above"]))
-        level = stored(rooted.select("conv", "n", "depth", F.xxhash64("r1", "s1", "depth").alias("x1"),
-                                     F.xxhash64("depth", "s2", "r2").alias("x2"), "chars"), f"trie-names-{m}")
-        done = level if done is None else done.unionByName(level)
+        level = rooted.select("conv", "n", "depth", F.xxhash64("r1", "s1", "depth").alias("x1"),
+                              F.xxhash64("depth", "s2", "r2").alias("x2"), "chars")
+        levels.append(f"{root}/{m}")
+        level.write.parquet(levels[-1])
+        done = spark.read.schema(level.schema).parquet(*levels)
         m //= 2
     return done
 
