@@ -14,8 +14,12 @@ at growing lengths, as in prefix doubling, until a position is unique or past th
    the gram, are counted; ranks held by two or more are repeated.
 
 Ranks are 64-bit hashes of content, always compared together with the gram's (128 bits in all), so a rank
-needs no global renumbering. Equal segments within a batch are merged before the shuffle, and equal documents
-enter with one row, so that copies and passages held by very many documents do not meet in one task.
+needs no global renumbering. A document is known by its id and a 64-bit hash of id and text together.
+
+Passages held by very many documents do not meet in one task. A task gives a segment twice at most (as far as its
+tables of fixed size remember), and ``HOT`` different segments of a gram: the next one tells all others that
+the gram is hot, and those after it are dealt by gram and segment. Segments of a hot gram are refined string by string,
+counted with partial sums, so that it does not matter where they were dealt to.
 
 Null and empty texts have no bytes and keep none; texts shorter than ``length`` are kept whole. Repeated rows are
 documents of their own. Bytes are those of the UTF-8 text; what remains may not be valid UTF-8 and is
@@ -41,6 +45,38 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 23) - 1)  # low bits of a key: the place in the buffer
 
 
+class Met:
+    """What a task has given so far, in tables of fixed size that forget by overwriting: how often a segment was given (0,
+    1, or 2: as repeated), and how many segments of a gram."""
+
+    def __init__(self, bits: int = 17):
+        self.shift = np.uint64(64 - bits)
+        self.g, self.e, self.gram = (np.zeros(1 << bits, np.uint64) for _ in range(3))
+        self.times, self.count = np.zeros(1 << bits, np.int8), np.zeros(1 << bits, np.int64)
+
+    def segments(self, g: np.ndarray, e: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """How often each of these different segments was given before; they are given once more."""
+        slot = (mix(g ^ mix(e)) >> self.shift).astype(np.int64)
+        before = np.where((self.g[slot] == g) & (self.e[slot] == e), self.times[slot], 0)
+        self.g[slot], self.e[slot], self.times[slot] = g, e, np.minimum(2, before + 1 + repeated)
+        return before
+
+    def grams(self, g: np.ndarray) -> np.ndarray:
+        """For each segment given, how many of its gram were given before it."""
+        if not len(g):
+            return np.zeros(0, np.int64)
+        order = np.argsort(g, kind="stable")
+        head = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]])
+        size = np.diff(np.r_[head, len(g)])
+        one = g[order][head]
+        slot = (mix(one) >> self.shift).astype(np.int64)
+        base = np.where(self.gram[slot] == one, self.count[slot], 0)
+        self.gram[slot], self.count[slot] = one, base + size
+        at = np.empty(len(g), np.int64)
+        at[order] = np.repeat(base - head, size) + np.arange(len(g))
+        return at
+
+
 class Rolling:
     """Hashes of substrings of a buffer: ``sum(value[byte] * base ** place)`` modulo 2**64, shifted to place 0."""
 
@@ -81,10 +117,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """``first, count, offset, g, e``: runs of string starts with the same anchor; ``valid`` tells which starts
+    """``first, count, g, e``: runs of string starts with the same anchor; ``valid`` tells which starts
     count (a string that crosses the end of a document does not)."""
     n = len(data) - length + 1
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     if n <= 0 or not valid.any():
         return none
     rolling = Rolling(data)
@@ -101,7 +137,7 @@ def anchors(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int
     g = grams[place[first]]
     e = rolling.at(first, first + count - 1 + length)
     e = mix(e + offset.astype(np.uint64) * np.uint64(0x9E3779B1) + count.astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63))
-    return first, count, offset, g, e
+    return first, count, g, e
 
 
 def buffers(texts: list[bytes], length: int = LENGTH):
@@ -140,88 +176,103 @@ def buffers(texts: list[bytes], length: int = LENGTH):
 
 _PLAIN, _KNOWN, _DONE = 0, 1, 2
 _GROUP = 1000
+HOT = 32
+_HOT, _SPREAD = 1, 2  # flags of an anchor
+_DEALS = 4096  # parts of a hot gram
 
 
-def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(key, g, e, packed)`` of every anchor of ``texts(key, text)``. ``packed`` holds the first string start, the
-    number of starts, the offset of the gram and a state. Equal segments of a buffer have one row that may meet others
+def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``(key, doc, g, e, packed)`` of every anchor of ``texts(key, doc, text)``. ``packed`` holds the first string start,
+    the number of starts, flags and a state. Segments a task has not given yet have a row that may meet others
     (``_KNOWN``: it is repeated already); the others are settled (``_DONE``), joined to runs, with their number
-    of starts in ``e``."""
+    of starts in ``e``. The flag ``_HOT`` marks the segment of a gram that follows ``hot`` others of the task,
+    ``_SPREAD`` those after it."""
     def run(batches):
-        for b in sliced(batches, 4 << 20):
-            keys = np.asarray(b.column(0))
-            for data, owner, start, begin, valid in buffers(as_bytes(b.column(1)), length):
-                first, count, offset, g, e = anchors(data, valid, length, gram)
+        met = Met()
+        for b in sliced(batches, 4 << 20, column=2):
+            keys, docs = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for data, owner, start, begin, valid in buffers(as_bytes(b.column(2)), length):
+                first, count, g, e = anchors(data, valid, length, gram)
                 if not len(first):
                     continue
                 at = np.searchsorted(start, first, side="right") - 1
-                key, place = keys[owner[at]], first - start[at] + begin[at]
+                key, doc, place = keys[owner[at]], docs[owner[at]], first - start[at] + begin[at]
                 _, lead, where, n = np.unique(g ^ mix(e), return_index=True, return_inverse=True, return_counts=True)
+                before = met.segments(g[lead], e[lead], n > 1)
                 leads = np.zeros(len(g), bool)
-                leads[lead] = True
-                state = np.where(n[where] > 1, _KNOWN, _PLAIN)
+                leads[lead[before < 2]] = True
+                state = np.where((n > 1) | (before > 0), _KNOWN, _PLAIN)[where]
                 done = np.flatnonzero(~leads)
                 if len(done):  # runs of neighbours
                     ends = place[done] + count[done]
-                    new = np.r_[True, (key[done][1:] != key[done][:-1]) | (place[done][1:] != ends[:-1])]
+                    new = np.r_[True, (owner[at[done]][1:] != owner[at[done]][:-1]) | (place[done][1:] != ends[:-1])]
                     head = np.flatnonzero(new)
                     total = np.add.reduceat(count[done], head)
                     head = done[head]
                     far = mix(key[head].view(np.uint64) + place[head].astype(np.uint64))  # dealt anywhere
-                    yield _rows(key[head], far, total, _packed(place[head], 0, 0, _DONE))
-                yield _rows(key[leads], g[leads], e[leads], _packed(place[leads], count[leads], offset[leads], state[leads]))
+                    yield _rows(key[head], doc[head], far, total, _packed(place[head], 0, 0, _DONE))
+                nth = met.grams(g[leads])
+                flags = np.where(nth > hot, _SPREAD, np.where(nth == hot, _HOT, 0))
+                yield _rows(key[leads], doc[leads], g[leads], e[leads], _packed(place[leads], count[leads], flags, state[leads]))
         forget()
 
-    return texts.mapInArrow(run, "key long, g long, e long, packed long")
+    return texts.mapInArrow(run, "key long, doc long, g long, e long, packed long")
 
 
-def _packed(first, n, offset, state) -> np.ndarray:
-    return (first.astype(np.int64) << 20) | (n << 11) | (offset << 2) | state
+def _packed(first, n, flags, state) -> np.ndarray:
+    return (first.astype(np.int64) << 20) | (n << 11) | (flags << 2) | state
 
 
-def _rows(key, g, e, packed):
+def _rows(key, doc, g, e, packed):
     import pyarrow as pa
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, g, e, packed)],
-                                      names=["key", "g", "e", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, doc, g, e, packed)],
+                                      names=["key", "doc", "g", "e", "packed"])
 
 
 def ranked(rows: DataFrame) -> DataFrame:
     """Anchors that are not unique: ``repeated`` (all strings of the segment are), and ``open``: one row of each
-    different segment of a gram that has several (``group`` of them)."""
-    gram, segment = Window.partitionBy("g"), Window.partitionBy("g", "e")
-    state = F.col("packed").bitwiseAND(3)
+    different segment of a gram that has several (``group`` of them; more than ``_GROUP`` for a hot gram, whose equal
+    segments may have several open rows)."""
+    gram, segment = Window.partitionBy("g", "s"), Window.partitionBy("g", "s", "e")
+    state, flags = F.col("packed").bitwiseAND(3), F.shiftright("packed", 2).bitwiseAND(3)
+    part = F.when(flags == _SPREAD, F.pmod(F.col("e"), F.lit(_DEALS)) + 1).otherwise(0).cast("int")
     # dealt by the gram once: that holds for its segments as well
-    both = rows.repartition("g").withColumn("k", F.row_number().over(segment.orderBy("key", "packed"))) \
+    both = rows.withColumn("s", part).repartition("g", "s") \
+        .withColumn("k", F.row_number().over(segment.orderBy("key", "doc", "packed"))) \
         .withColumn("same", F.count(F.lit(1)).over(segment)).withColumn("known", F.max(state).over(segment)) \
-        .withColumn("group", F.sum((F.col("k") == 1).cast("int")).over(gram))
+        .withColumn("group", F.sum((F.col("k") == 1).cast("int")).over(gram)).withColumn("hot", F.max(flags).over(gram))
     done = state == _DONE
     repeated = (F.col("same") > 1) | (F.col("known") > 0)
-    return both.select(
-        "key", "g", F.shiftright("packed", 20).alias("first"),
+    group = F.when(F.col("hot") > 0, F.greatest("group", F.lit(_GROUP + 1))).otherwise(F.col("group"))
+    return both.withColumn("group", group).select(
+        "key", "doc", "g", F.shiftright("packed", 20).alias("first"),
         F.when(done, F.col("e")).otherwise(F.shiftright("packed", 11).bitwiseAND(511)).alias("n"),
         repeated.alias("repeated"), (~done & (F.col("group") > 1) & (F.col("k") == 1)).alias("open"), "group") \
         .where("repeated or open")
 
 
 def segment_bytes(texts: DataFrame, open_: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(g, key, first, n, group, bytes)``: open segments with their bytes; ``texts`` holds ``(key, packed_text)``."""
-    lists = open_.groupBy("key").agg(F.collect_list(F.struct("g", "first", "n", "group")).alias("segs"))
+    """``(g, key, doc, first, n, group, bytes)``: open segments with their bytes; ``texts`` holds ``(key, doc,
+    packed_text)``."""
+    lists = open_.groupBy("key", "doc").agg(F.collect_list(F.struct("g", "first", "n", "group")).alias("segs"))
 
     def run(batches):
         import pyarrow as pa
-        for b in sliced(batches, 1 << 20):
-            out: list[list] = [[] for _ in range(6)]
-            for key, text, segs in zip(b.column(0).to_pylist(), _unpack(b.column(1)), b.column(2).to_pylist(), strict=True):
+        for b in sliced(batches, 1 << 20, column=2):
+            out: list[list] = [[] for _ in range(7)]
+            columns = (b.column(0).to_pylist(), b.column(1).to_pylist(), _unpack(b.column(2)), b.column(3).to_pylist())
+            for key, doc, text, segs in zip(*columns, strict=True):
                 for x in segs:
-                    values = (x["g"], key, x["first"], x["n"], x["group"], text[x["first"]:x["first"] + x["n"] - 1 + length])
+                    values = (x["g"], key, doc, x["first"], x["n"], x["group"], text[x["first"]:x["first"] + x["n"] - 1 + length])
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-            types = [pa.int64()] * 5 + [pa.binary()]
+            types = [pa.int64()] * 6 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
-                                             names=["g", "key", "first", "n", "group", "bytes"])
+                                             names=["g", "key", "doc", "first", "n", "group", "bytes"])
+        forget()
 
-    return texts.select("key", "packed_text").join(lists, "key") \
-        .mapInArrow(run, "g long, key long, first long, n long, group long, bytes binary")
+    return texts.select("key", "doc", "packed_text").join(lists, ["key", "doc"]) \
+        .mapInArrow(run, "g long, key long, doc long, first long, n long, group long, bytes binary")
 
 
 def _strings(n: np.ndarray, data: list[bytes], length: int):
@@ -236,13 +287,13 @@ def _strings(n: np.ndarray, data: list[bytes], length: int):
 
 
 def refined(segments: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(key, first, n)``: runs of repeated strings of the open segments."""
-    kind = "key long, first long, n long"
+    """``(key, doc, first, n)``: runs of repeated strings of the open segments."""
+    kind = "key long, doc long, first long, n long"
 
     def together(batches):
         held: list[tuple] = []
         for b in batches:
-            rows = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
             for row in rows:
                 if held and row[0] != held[-1][0] and len(held) >= 2000:
                     yield _repeated_runs(held, length)
@@ -250,38 +301,40 @@ def refined(segments: DataFrame, length: int = LENGTH) -> DataFrame:
                 held.append(row)
         if held:
             yield _repeated_runs(held, length)
+        forget()
 
     few = segments.where(F.col("group") <= _GROUP).drop("group").repartition("g").sortWithinPartitions("g") \
         .mapInArrow(together, kind)
 
     def strings(batches):
         import pyarrow as pa
-        for b in sliced(batches, 64 << 10, column=5):
-            n = np.asarray(b.column(3))
-            h, owner, within = _strings(n, b.column(5).to_pylist(), length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(b.column(0))[owner]), pa.array(h.view(np.int64)), pa.array(np.asarray(b.column(1))[owner]),
-                 pa.array(np.asarray(b.column(2))[owner] + within)], names=["g", "h", "key", "first"])
-
-    each = segments.where(F.col("group") > _GROUP).mapInArrow(strings, "g long, h long, key long, first long")
+        for b in sliced(batches, 64 << 10, column=6):
+            n = np.asarray(b.column(4))
+            h, owner, within = _strings(n, b.column(6).to_pylist(), length)
+            g, key, doc, first = (np.asarray(b.column(i))[owner] for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, h.view(np.int64), key, doc, first + within)],
+                                             names=["g", "h", "key", "doc", "first"])
+        forget()
+
+    each = segments.where(F.col("group") > _GROUP).mapInArrow(strings, "g long, h long, key long, doc long, first long")
     twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "h")
-    many = each.join(twice, ["g", "h"]).select("key", "first", F.lit(1).cast("long").alias("n"))
+    many = each.join(twice, ["g", "h"]).select("key", "doc", "first", F.lit(1).cast("long").alias("n"))
     return few.unionByName(many)
 
 
 def _repeated_runs(rows: list[tuple], length: int):
     import pyarrow as pa
     g = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    key, first, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-    h, owner, within = _strings(n, [r[4] for r in rows], length)
+    key, doc, first, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+    h, owner, within = _strings(n, [r[5] for r in rows], length)
     _, where, count = np.unique(mix(h + mix(g[owner])), return_inverse=True, return_counts=True)
     again = np.flatnonzero(count[where] > 1)
     new = np.r_[True, (owner[again][1:] != owner[again][:-1]) | (np.diff(again) > 1)][:len(again)]
     head = np.flatnonzero(new)
     size = np.diff(np.r_[head, len(again)])
     at = again[head]
-    return pa.RecordBatch.from_arrays([pa.array(key[owner[at]]), pa.array(first[owner[at]] + within[at]), pa.array(size)],
-                                      names=["key", "first", "n"])
+    values = (key[owner[at]], doc[owner[at]], first[owner[at]] + within[at], size)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["key", "doc", "first", "n"])
 
 
 def _unpack(column) -> list[bytes]:
@@ -304,15 +357,17 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   with_bytes: bool = False) -> DataFrame:
+                   with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``) of every row of ``docs``."""
-    own = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
+    id_ = F.col(id_col).cast("long")
+    own = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), id_.alias("doc_id"),
                       F.col(text_col).alias("text"))
-    found = stored(ranked(anchor_rows(own.select("key", "text"), length)), "repeat-ranks")
-    texts = packed_texts(own)
-    runs = found.where("repeated").select("key", "first", "n").unionByName(
+    doc = F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc")  # the key tells a null id from -1
+    found = stored(ranked(anchor_rows(own.select("key", doc, "text"), length, hot=hot)), "repeat-ranks")
+    texts = packed_texts(own).select("*", doc)
+    runs = found.where("repeated").select("key", "doc", "first", "n").unionByName(
         refined(segment_bytes(texts, found.where("open"), length), length))
-    lists = runs.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    lists = runs.groupBy("key", "doc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
     def cut(batches):
         import pyarrow as pa
@@ -333,9 +388,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             m = 6 if with_bytes else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:m], types[:m], strict=True)], names=names[:m])
+        forget()
 
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return texts.join(lists, "key", "left").select("doc_id", "packed_text", "runs").mapInArrow(cut, kind)
+    return texts.join(lists, ["key", "doc"], "left").select("doc_id", "packed_text", "runs").mapInArrow(cut, kind)
 
 
 def _merged(spans: list[dict], length: int) -> list[tuple[int, int]]:

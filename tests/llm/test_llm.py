@@ -58,7 +58,13 @@ def brute_exact(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [exact_dedup.FILTER_BITS, 64])
+def test_filter_grows_with_rows():
+    assert exact_dedup.bits_for(0) == exact_dedup.bits_for(1) == 1 << 20
+    assert exact_dedup.bits_for(1 << 20) == 1 << 23 and exact_dedup.bits_for((1 << 20) + 1) == 1 << 24
+    assert exact_dedup.bits_for(10 ** 12) == exact_dedup.FILTER_BITS
+
+
+@pytest.mark.parametrize("bits", [None, 64])
 def test_exact_dedup(spark, bits):
     data = sample()
     df = spark.createDataFrame(data, DOC)
@@ -104,6 +110,42 @@ def test_repeats(spark, monkeypatch, group):
     assert rows(repeats.remove_repeats(spark.createDataFrame(data, DOC))) == brute_repeats(data)
 
 
+@pytest.mark.parametrize("hot", [0, 1, 2])
+def test_repeats_of_hot_grams(spark, hot):
+    """Grams beyond ``hot`` segments of a task are dealt by segment, and others of them elsewhere by gram."""
+    data = sample()
+    df = spark.createDataFrame(data, DOC)
+    assert rows(repeats.remove_repeats(df.repartition(3), hot=hot)) == brute_repeats(data)
+    assert rows(repeats.remove_repeats(df.coalesce(1), hot=hot)) == brute_repeats(data)
+
+
+def test_repeats_met_in_earlier_buffers(spark):
+    """Passages that return in every buffer of a task, whole and cut, between texts of their own."""
+    rng = random.Random(3)
+    passage = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([150, 230, 700]))) for _ in range(6)]
+    data = []
+    for i in range(90):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(14_000))
+        p = rng.choice(passage)
+        cut = rng.randrange(0, 60)
+        data.append((i, own[:7000] + p[cut:] + own[7000:] + rng.choice(passage)))
+    df = spark.createDataFrame(data, DOC)
+    expected = brute_repeats(data)
+    assert rows(repeats.remove_repeats(df.coalesce(1), hot=2)) == expected
+    assert rows(repeats.remove_repeats(df.coalesce(1))) == expected
+
+
+def test_met_tables():
+    met = repeats.Met()
+    g, e = np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64)
+    assert met.segments(g, e, np.array([False, True, False])).tolist() == [0, 0, 0]
+    assert met.segments(g, e, np.array([False, False, False])).tolist() == [1, 2, 1]
+    assert met.segments(g[:1], e[:1], np.array([False])).tolist() == [2]
+    assert met.grams(np.array([9, 5, 9, 9], np.uint64)).tolist() == [0, 0, 1, 2]
+    assert met.grams(np.array([5, 9, 5], np.uint64)).tolist() == [1, 3, 2]
+    assert met.grams(np.array([], np.uint64)).tolist() == []
+
+
 def test_repeats_across_buffers(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))  # more than two buffers
