@@ -10,8 +10,9 @@ empty. Of equal texts the row with the most code points stays, then the smallest
 then one of fully equal rows. Every row of the input has one row in the result, repeated rows too; an
 empty table gives an empty result. Other columns of the input are ignored.
 
-The filter has ``filter_bits`` bits whatever the input (8 MB by default): more rows than it was made for
-make more rows "possibly repeated", which costs shuffle and never changes the result.
+The filter has ``BITS_PER_ROW`` bits for every row, rounded up to a power of two, and at most ``FILTER_BITS`` (64 MB;
+about 7 in 10,000 different rows are "possibly repeated" up to 67 million rows, 7 in 100 at four times as many). More
+rows than it was made for make more rows "possibly repeated", which costs shuffle and never changes the result.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeris.llm.common import as_bytes, forget, fresh, stored
 
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 29
+BITS_PER_ROW = 8
 PROBES = 2
 _CHUNK_BITS = 1 << 20
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -42,8 +44,12 @@ def code_points(text: bytes) -> int:
     return len(text.translate(None, _CONTINUATION))
 
 
+def bits_for(rows: int, most: int = FILTER_BITS) -> int:
+    """Bits of the filter for a counted number of rows."""
+    return min(most, max(_CHUNK_BITS, 1 << (BITS_PER_ROW * rows - 1).bit_length()))
+
+
 def _prints(batches):
-    import pyarrow as pa
     for b in batches:
         texts = as_bytes(b.column(1))
         yield pa.RecordBatch.from_arrays(
@@ -65,7 +71,7 @@ def _slots(shas, bits: int) -> np.ndarray:
     return (words % np.uint64(bits)).astype(np.int64)
 
 
-def repeated_bits(prints: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes]:
+def repeated_bits(prints: DataFrame, bits: int) -> dict[int, bytes]:
     """The "seen again" filter as ``{chunk: packed bits}``; at most ``bits / 8`` bytes in all."""
 
     def local(batches):  # one filter pair per task: bytes of eight bits, chunks that were hit
@@ -86,6 +92,7 @@ def repeated_bits(prints: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes
                     np.bitwise_or.at(again[c], byte[more], bit[more])
                     np.bitwise_or.at(seen[c], byte, bit)
         yield from _packed(seen, again)
+        forget()
 
     def merged(batches):
         seen: dict[int, np.ndarray] = {}
@@ -107,7 +114,6 @@ def repeated_bits(prints: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes
 
 
 def _packed(seen, again):
-    import pyarrow as pa
     for c in seen:
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(c)], pa.int32()), pa.array([zlib.compress(seen[c].tobytes(), 1)]),
@@ -125,8 +131,9 @@ def _bit(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Filter:
     """The broadcast "seen again" filter, unpacked where it is used."""
 
-    def __init__(self, spark, chunks: dict[int, bytes], bits: int = FILTER_BITS):
-        self.shared, self.bits = spark.sparkContext.broadcast(chunks), bits
+    def __init__(self, prints: DataFrame, bits: int | None = None):
+        self.bits = bits or bits_for(prints.count())
+        self.shared = prints.sparkSession.sparkContext.broadcast(repeated_bits(prints, self.bits))
 
     def test(self):
         """A function from digests to booleans, for one task."""
@@ -145,11 +152,11 @@ class Filter:
 
 def possibly_repeated(found: Filter):
     """A column function ``sha -> boolean``."""
-    @F.pandas_udf("boolean")
-    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def test(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         maybe = found.test()
         for shas in parts:
-            yield pd.Series(maybe(shas) if len(shas) else [], dtype=bool)
+            yield pa.array(maybe(shas.to_pylist()) if len(shas) else [], pa.bool_())
         forget()
 
     return test
@@ -158,12 +165,13 @@ def possibly_repeated(found: Filter):
 def fingerprint_and_test(found: Filter):
     """A column function ``text -> struct<sha, maybe>``, one Python call for both. It is marked as not deterministic, so
     that a plan which uses both fields, and filters by one, still calls it once a row (and needs one worker a task)."""
-    @F.pandas_udf("sha binary, maybe boolean")
-    def marked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("sha binary, maybe boolean")
+    def marked(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         maybe = found.test()
         for texts in parts:
-            shas = [digest(t.encode() if isinstance(t, str) else b"") for t in texts]
-            yield pd.DataFrame({"sha": shas, "maybe": maybe(shas) if shas else np.zeros(0, bool)})
+            shas = [digest(t) for t in as_bytes(texts)]
+            yield pa.StructArray.from_arrays([pa.array(shas, pa.binary()), pa.array(maybe(shas) if shas else [], pa.bool_())],
+                                             names=["sha", "maybe"])
         forget()
 
     return marked.asNondeterministic()
@@ -177,10 +185,10 @@ def grouped(maybe: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                filter_bits: int = FILTER_BITS) -> DataFrame:
+                filter_bits: int | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     prints = fingerprints(docs, id_col, text_col)
-    test = possibly_repeated(Filter(docs.sparkSession, repeated_bits(prints, filter_bits), filter_bits))
+    test = possibly_repeated(Filter(prints, filter_bits))
     flagged = prints.withColumn("maybe", test("sha"))
     alone = flagged.where(~F.col("maybe")).select(
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -194,12 +202,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             filter_bits: int = FILTER_BITS) -> DataFrame:
+             filter_bits: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were. Rows whose digest
     cannot be repeated pass through without a shuffle; the rest meet the rows that stay by (digest, id)."""
-    spark, cols = docs.sparkSession, docs.columns
+    cols = docs.columns
     prints = fingerprints(docs, id_col, text_col)
-    found = Filter(spark, repeated_bits(prints, filter_bits), filter_bits)
+    found = Filter(prints, filter_bits)
     kept = stored(grouped(prints.where(possibly_repeated(found)("sha"))), "exact-kept")
     mark, sha_name, key_name, id_name = fresh(docs, "_mark", "_sha", "_keep_sha", "_keep_id")
     flagged = docs.withColumn(mark, fingerprint_and_test(found)(F.col(text_col))).withColumn(sha_name, F.col(mark)["sha"])

@@ -24,7 +24,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -279,7 +279,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
         for b in sliced(batches, 4 << 20):
             names, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -306,14 +305,14 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     model = fit(docs, id_col, text_col) if "lang" in docs.columns else Model({})
     shared = docs.sparkSession.sparkContext.broadcast(model if model.langs else Model({"any": ["a"]}))
 
-    @F.pandas_udf("boolean")
-    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def known(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             out: list[bool] = []
             for at in range(0, len(texts), 256):
-                names, _ = shared.value.predict([t if isinstance(t, str) else None for t in texts[at:at + 256]])
+                names, _ = shared.value.predict(texts[at:at + 256].to_pylist())
                 out += [x != UNKNOWN for x in names]
-            yield pd.Series(out, dtype=bool)
+            yield pa.array(out, pa.bool_())
         forget()
 
     return docs.where(known(F.col(text_col)))
