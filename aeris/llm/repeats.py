@@ -18,8 +18,9 @@ needs no global renumbering. A document is known by its id and a 64-bit hash of
 
 Passages held by very many documents do not meet in one task. A task gives a segment twice at most (as far as its
 tables of fixed size remember), and ``HOT`` different segments of a gram: the next one tells all others that
-the gram is hot, and those after it are dealt by gram and segment. Segments of a hot gram are refined string by string,
-counted with partial sums, so that it does not matter where they were dealt to.
+the gram is hot, and those after it are dealt by gram and segment. Segments of a gram that has more than ``_GROUP`` are
+compared about ``_GROUP`` at a time; then the strings still alone, and one of each found again, are counted by
+string, with partial sums, so that it does not matter where they were dealt to.
 
 Null and empty texts have no bytes and keep none; texts shorter than ``length`` are kept whole. Repeated rows are
 documents of their own. Bytes are those of the UTF-8 text; what remains may not be valid UTF-8 and is
@@ -231,8 +232,8 @@ def _rows(key, doc, g, e, packed):
 
 def ranked(rows: DataFrame) -> DataFrame:
     """Anchors that are not unique: ``repeated`` (all strings of the segment are), and ``open``: one row of each
-    different segment of a gram that has several (``group`` of them; more than ``_GROUP`` for a hot gram, whose equal
-    segments may have several open rows)."""
+    different segment of a gram that has several (``group`` of them; null for a hot gram, whose equal segments may have
+    several open rows, see ``counted``)."""
     gram, segment = Window.partitionBy("g", "s"), Window.partitionBy("g", "s", "e")
     state, flags = F.col("packed").bitwiseAND(3), F.shiftright("packed", 2).bitwiseAND(3)
     part = F.when(flags == _SPREAD, F.pmod(F.col("e"), F.lit(_DEALS)) + 1).otherwise(0).cast("int")
@@ -243,14 +244,21 @@ def ranked(rows: DataFrame) -> DataFrame:
         .withColumn("group", F.sum((F.col("k") == 1).cast("int")).over(gram)).withColumn("hot", F.max(flags).over(gram))
     done = state == _DONE
     repeated = (F.col("same") > 1) | (F.col("known") > 0)
-    group = F.when(F.col("hot") > 0, F.greatest("group", F.lit(_GROUP + 1))).otherwise(F.col("group"))
+    group = F.when(F.col("hot") == 0, F.col("group"))
     return both.withColumn("group", group).select(
         "key", "doc", "g", F.shiftright("packed", 20).alias("first"),
         F.when(done, F.col("e")).otherwise(F.shiftright("packed", 11).bitwiseAND(511)).alias("n"),
-        repeated.alias("repeated"), (~done & (F.col("group") > 1) & (F.col("k") == 1)).alias("open"), "group") \
+        repeated.alias("repeated"), (~done & (F.coalesce("group", F.lit(2)) > 1) & (F.col("k") == 1)).alias("open"), "group") \
         .where("repeated or open")
 
 
+def counted(open_: DataFrame) -> DataFrame:
+    """Open rows with their ``group``; the parts of a hot gram are added up."""
+    hot = open_.where("group is null").drop("group")
+    total = hot.groupBy("g").agg(F.count(F.lit(1)).alias("group"))
+    return open_.where("group is not null").unionByName(hot.join(total, "g"))
+
+
 def segment_bytes(texts: DataFrame, open_: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(g, key, doc, first, n, group, bytes)``: open segments with their bytes; ``texts`` holds ``(key, doc,
     packed_text)``."""
@@ -306,35 +314,69 @@ def refined(segments: DataFrame, length: int = LENGTH) -> DataFrame:
     few = segments.where(F.col("group") <= _GROUP).drop("group").repartition("g").sortWithinPartitions("g") \
         .mapInArrow(together, kind)
 
-    def strings(batches):
-        import pyarrow as pa
-        for b in sliced(batches, 64 << 10, column=6):
-            n = np.asarray(b.column(4))
-            h, owner, within = _strings(n, b.column(6).to_pylist(), length)
-            g, key, doc, first = (np.asarray(b.column(i))[owner] for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, h.view(np.int64), key, doc, first + within)],
-                                             names=["g", "h", "key", "doc", "first"])
+    def parts(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                held.append(row)
+                if len(held) >= 2000:
+                    yield _compared(held, length)
+                    held = []
+        if held:
+            yield _compared(held, length)
         forget()
 
-    each = segments.where(F.col("group") > _GROUP).mapInArrow(strings, "g long, h long, key long, doc long, first long")
-    twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "h")
-    many = each.join(twice, ["g", "h"]).select("key", "doc", "first", F.lit(1).cast("long").alias("n"))
-    return few.unionByName(many)
+    large = segments.where(F.col("group") > _GROUP)
+    part = F.pmod(F.xxhash64("key", "doc", "first"), F.ceil(F.col("group") / _GROUP))
+    large = large.withColumn("part", part).drop("group").repartition("g", "part").sortWithinPartitions("g", "part") \
+        .select("g", "key", "doc", "first", "n", "bytes")
+    each = stored(large.mapInArrow(parts, "g long, h long, kind int, key long, doc long, first long, n long"), "repeat-strings")
+    strings = each.where(F.col("kind") != _RUN)
+    twice = strings.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "h")
+    columns = ["key", "doc", "first", "n"]
+    return few.unionByName(each.where(F.col("kind") == _RUN).select(*columns)) \
+        .unionByName(strings.where(F.col("kind") == _ALONE).join(twice, ["g", "h"]).select(*columns))
 
 
-def _repeated_runs(rows: list[tuple], length: int):
-    import pyarrow as pa
-    g = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    key, doc, first, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+_RUN, _ALONE, _ONE_OF = 0, 1, 2
+
+
+def _found(rows: list[tuple], length: int):
+    """All strings of segments ``(g, key, doc, first, n, bytes)``: ``g, h, key, doc, first`` of each, the segment it belongs
+    to, how many equal it, and the first of each kind."""
+    g, key, doc, first, n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
     h, owner, within = _strings(n, [r[5] for r in rows], length)
-    _, where, count = np.unique(mix(h + mix(g[owner])), return_inverse=True, return_counts=True)
-    again = np.flatnonzero(count[where] > 1)
+    _, lead, where, count = np.unique(mix(h + mix(g.view(np.uint64)[owner])), return_index=True, return_inverse=True,
+                                      return_counts=True)
+    return (g[owner], h.view(np.int64), key[owner], doc[owner], first[owner] + within), owner, count[where], lead
+
+
+def _runs(owner: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of neighbouring strings of a segment among ``again`` (places) begin, and their lengths."""
     new = np.r_[True, (owner[again][1:] != owner[again][:-1]) | (np.diff(again) > 1)][:len(again)]
     head = np.flatnonzero(new)
-    size = np.diff(np.r_[head, len(again)])
-    at = again[head]
-    values = (key[owner[at]], doc[owner[at]], first[owner[at]] + within[at], size)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["key", "doc", "first", "n"])
+    return again[head], np.diff(np.r_[head, len(again)])
+
+
+def _repeated_runs(rows: list[tuple], length: int):
+    import pyarrow as pa
+    (_, _, *place), owner, count, _ = _found(rows, length)
+    at, size = _runs(owner, np.flatnonzero(count > 1))
+    return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in place), pa.array(size)], names=["key", "doc", "first", "n"])
+
+
+def _compared(rows: list[tuple], length: int):
+    """Runs of the strings that are repeated among these segments, the strings that are alone, and one of each repeated."""
+    import pyarrow as pa
+    columns, owner, count, lead = _found(rows, length)
+    at, size = _runs(owner, np.flatnonzero(count > 1))
+    alone, one_of = np.flatnonzero(count == 1), lead[count[lead] > 1]
+    every = np.r_[at, alone, one_of]
+    kind = np.repeat(np.array([_RUN, _ALONE, _ONE_OF], np.int32), [len(at), len(alone), len(one_of)])
+    n = np.r_[size, np.ones(len(alone), np.int64), np.zeros(len(one_of), np.int64)]
+    g, h, key, doc, first = (pa.array(x[every]) for x in columns)
+    return pa.RecordBatch.from_arrays([g, h, pa.array(kind), key, doc, first, pa.array(n)],
+                                      names=["g", "h", "kind", "key", "doc", "first", "n"])
 
 
 def _unpack(column) -> list[bytes]:
@@ -366,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(ranked(anchor_rows(own.select("key", doc, "text"), length, hot=hot)), "repeat-ranks")
     texts = packed_texts(own).select("*", doc)
     runs = found.where("repeated").select("key", "doc", "first", "n").unionByName(
-        refined(segment_bytes(texts, found.where("open"), length), length))
+        refined(segment_bytes(texts, counted(found.where("open")), length), length))
     lists = runs.groupBy("key", "doc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
     def cut(batches):
