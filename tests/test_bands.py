@@ -209,3 +209,16 @@ def test_pages_hold_the_whole_payload(spark, sf_small):
                 for n in whole:
                     whole[n] += part[n]
             assert whole == {n: [json.loads(x) for _, x in sorted(own.get(n, []))] for n in whole}
+
+
+def test_many_bands_are_not_broadcast_on_a_wrong_estimate(spark):
+    """Bands made by an ``explode`` look as small as the table they are made from."""
+    few = spark.range(3000).select(F.col("id").cast("string").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    b = few.select("g", (F.col("k") * 2.0).alias("lower"), (F.col("k") * 2.0 + 2.0).alias("upper"), F.concat("g", "k").alias("name"))
+    v = spark.range(500).selectExpr("cast(id * 6 as string) g", "cast(id % 20 as double) + 0.5 v")
+    out = band_join(v, b, ["g"], "v")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.g, r.name) for r in out.collect()} == {(str(i * 6), f"{i * 6}{i % 20 // 2}") for i in range(500)}
+    small = band_join(v, b.where("g = '6'"), ["g"], "v")     # few bands may still go to every executor
+    assert "SortMergeJoin" not in small._jdf.queryExecution().sparkPlan().toString()
