@@ -17,7 +17,8 @@ from aeris.functions.timefmt import floor_hour
 from aeris.operators.clean import clean_readings
 from aeris.sources import daystore
 
-STATION_HOUR = ["country", "pollutant", "station_id", "hour"]
+STATION = "station_id"
+STATION_HOUR = ["country", "pollutant", STATION, "hour"]
 STATE = [("sum_value", "sum", "double"), ("n", "sum", "long"), ("min_value", "min", "double"), ("max_value", "max", "double")]
 
 HOURLY_SCHEMA = T.StructType([
@@ -40,16 +41,30 @@ def partials(rows: DataFrame, keys: list[str], day: Column, value: str = "Value"
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """States of both sides as one per key."""
+    """States of both sides as one per key. States of stations are dealt by day and station, as ``merge_days`` writes
+    them: one shuffle serves both."""
     keys = [c for c in old.columns if c not in {s for s, _, _ in STATE}]
-    return old.unionByName(new).groupBy(*keys).agg(
+    both = old.unionByName(new)
+    if STATION in keys:
+        both = both.repartition(F.col(daystore.DAY), F.col(STATION))
+    return both.groupBy(*keys).agg(
         *[{"sum": F.sum, "min": F.min, "max": F.max}[how](c).alias(c) for c, how, _ in STATE]).select(*old.columns)
 
 
+def _hours(clean: DataFrame) -> DataFrame:
+    return clean.withColumn(STATION, short_id(F.col("Samplingpoint"))).withColumn("hour", floor_hour(F.col("Start")))
+
+
 def station_hour_states(clean: DataFrame) -> DataFrame:
     """States of cleaned readings per station and hour."""
-    hours = clean.withColumn("station_id", short_id(F.col("Samplingpoint"))).withColumn("hour", floor_hour(F.col("Start")))
-    return partials(hours, STATION_HOUR, F.to_date("hour"))
+    return partials(_hours(clean), STATION_HOUR, F.to_date("hour"))
+
+
+def reading_states(clean: DataFrame) -> DataFrame:
+    """A state of its own for each cleaned reading, in the columns of ``station_hour_states``: ``merged`` adds them up."""
+    v = F.col("Value")
+    return _hours(clean).select(*STATION_HOUR, v.alias("sum_value"), F.lit(1).cast("long").alias("n"), v.alias("min_value"),
+                                v.alias("max_value"), F.to_date("hour").alias(daystore.DAY))
 
 
 def day_states(hist: DataFrame) -> DataFrame:
@@ -61,7 +76,7 @@ def day_states(hist: DataFrame) -> DataFrame:
 
 def add_readings(raw: DataFrame, root: str, version: int) -> list[str]:
     """Merge an arrival of raw readings into the station-hour table in ``root``; returns the days it touched."""
-    return daystore.merge_days(station_hour_states(clean_readings(raw)), root, version, merged, "station_id")
+    return daystore.merge_days(station_hour_states(clean_readings(raw)), root, version, merged, STATION)
 
 
 def add_days(hist: DataFrame, root: str, version: int) -> list[str]:

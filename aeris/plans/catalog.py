@@ -1219,24 +1219,19 @@ def q_stream_classify(spark, sf):
     return spark.read.parquet(sink).drop("batch", "slice")
 
 
-def _redelivered(spark, sf, late: bool) -> tuple[str, object, list[str]]:
-    """Arrivals as a service sends them that is asked again and again: folders of files of which the second holds
+def _redelivered(spark, sf, late: bool) -> list[DataFrame]:
+    """Arrivals as a service sends them that is asked again and again: two deliveries of which the second holds
     readings that the first had (every tenth minute) and, with ``late``, readings more than seven days old that
     the first lacked."""
-    from aeris.session import scratch_path
     raw = A.raw_readings(spark, sf).withColumn("_old", F.col("Start") < F.lit(str(A.readings_clock(spark, sf))).cast(
         "timestamp_ntz") - F.expr("INTERVAL 8 DAYS"))
     minute = F.minute("Start") % 10
     held = F.col("_old") & (minute == 3) if late else F.lit(False)
-    first, again = raw.where(~held).drop("_old"), raw.where(held | (minute == 4)).drop("_old")
-    out = [scratch_path(spark, "delivery") for _ in range(2)]
-    first.write.parquet(out[0])
-    again.write.parquet(out[1])
-    return raw.drop("_old").schema, out
+    return [raw.where(~held).drop("_old"), raw.where(held | (minute == 4)).drop("_old")]
 
 
-def _deliver(spark, folder: str, schema, landing: str) -> None:
-    spark.read.schema(schema).parquet(folder).write.mode("append").parquet(landing)
+def _deliver(delivery: DataFrame, landing: str) -> None:
+    delivery.write.mode("append").parquet(landing)
 
 
 @register("stream_redelivered", S.with_ctes([S.RAW_READINGS, S.CLEAN], f"""SELECT country, pollutant,
@@ -1246,11 +1241,10 @@ def q_stream_redelivered(spark, sf):
     """The stream of fresh means, restarted after files that hold readings it has seen: each counts once."""
     from aeris.session import scratch_path
     from aeris.streaming import hourly as ST
-    schema, folders = _redelivered(spark, sf, late=False)
     src, sink, ckpt = (scratch_path(spark, f"redelivered-{n}") for n in ("landing", "sink", "ckpt"))
-    for folder in folders:
-        _deliver(spark, folder, schema, src)
-        ST.run_hourly_mean(spark, src, schema, sink, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
+    for delivery in _redelivered(spark, sf, late=False):
+        _deliver(delivery, src)
+        ST.run_hourly_mean(spark, src, delivery.schema, sink, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
     return ST.latest_per_key(spark, sink).withColumn("Value", r6("Value"))
 
 
@@ -1260,11 +1254,10 @@ def _late_history(spark, sf) -> str:
     from aeris.streaming import history as HI
 
     def build():
-        schema, folders = _redelivered(spark, sf, late=True)
         src, root, ckpt = (scratch_path(spark, f"history-{n}") for n in ("landing", "root", "ckpt"))
-        for folder in folders:
-            _deliver(spark, folder, schema, src)
-            HI.run_history(spark, src, schema, root, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
+        for delivery in _redelivered(spark, sf, late=True):
+            _deliver(delivery, src)
+            HI.run_history(spark, src, delivery.schema, root, ckpt, batch_bytes=1 << 62)    # a delivery is one micro-batch
         return root
     return session_folder(spark, sf, "late-history", build)
 

@@ -7,7 +7,8 @@ listing folders, without reading older ones. Then older versions go, except the
 lost half-way (its driver died) can be repeated under the same number with the same result. A day thus holds at most
 two versions, however many merges there were, and readers see each day before or after a merge, never in between.
 
-New rows are written once to ``root/_staging`` (overwritten by the next merge), so their plan runs once.
+New rows are written once to ``root/_staging`` (overwritten by the next merge), so their plan runs once; rows that are
+in files already (``stored``) are not written again.
 """
 
 from __future__ import annotations
@@ -87,17 +88,19 @@ def prune(spark: SparkSession, root: str, days: Iterable[str]) -> None:
 
 
 def merge_days(new: DataFrame, root: str, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame],
-               part_key: str | None = None) -> list[str]:
+               part_key: str | None = None, stored: bool = False) -> list[str]:
     """Merge ``new`` (which has a ``day``) into the days it touches: ``merge(old, new)`` gives their new rows.
     Returns the days. ``version`` must grow from merge to merge; repeating the last one changes nothing.
 
     ``part_key`` names a column by whose values a day's rows are dealt to files, so that a day of any size is written
-    by many tasks; adaptive execution merges small ones."""
+    by many tasks; adaptive execution merges small ones. A ``merge`` that deals by day and ``part_key`` itself saves a
+    second shuffle. ``stored`` says that ``new`` is no more than read from files, by a plan that may run twice."""
     spark = new.sparkSession
-    staged = f"{root}/{_STAGING}"
     schema = new.schema
-    new.write.mode("overwrite").parquet(staged)
-    new = spark.read.schema(schema).parquet(staged)
+    if not stored:
+        staged = f"{root}/{_STAGING}"
+        new.write.mode("overwrite").parquet(staged)
+        new = spark.read.schema(schema).parquet(staged)
     days = sorted(r[0].isoformat() for r in new.select(DAY).distinct().collect() if r[0] is not None)
     if not days:
         return []

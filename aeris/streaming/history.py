@@ -3,7 +3,8 @@
 A stream with a watermark drops what comes later than that. Here each micro-batch
 
 1. keeps the readings whose key is in no earlier batch: keys are stored per day, and a batch reads those of the days it
-   touches only, so a reading delivered again counts once however late it comes;
+   touches only, so a reading delivered again counts once however late it comes; the grouping that gives each reading
+   once takes the stored keys too, so rows are shuffled and written once for both;
 2. calls those late that are older than the latest time of earlier batches less the watermark (the rule of Spark's
    own watermark);
 3. merges the states of all of them, by event time, into the history, and those of the late ones into a table of
@@ -15,9 +16,6 @@ a repeated micro-batch gives the same result, and files and bytes don't grow wit
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,28 +40,25 @@ def _clock(spark: SparkSession, root: str, before: int) -> DataFrame:
 def add_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     """Take one batch of raw readings into the history in ``root``."""
     spark = batch.sparkSession
-    one = clean_readings(batch).groupBy(*READING).agg(F.min("Value").alias("Value")) \
-        .withColumn(daystore.DAY, F.to_date("Start"))
-    incoming, fresh_dir = f"{root}/_incoming", f"{root}/_fresh"
-    one.write.mode("overwrite").parquet(incoming)
-    one = spark.read.schema(one.schema).parquet(incoming)
-    days = [r[0].isoformat() for r in one.select(daystore.DAY).distinct().collect()]
+    arrived = clean_readings(batch).select(*READING, "Value", F.lit(False).alias("_known"))
+    days = [r[0].isoformat() for r in arrived.select(F.to_date("Start")).distinct().collect()]
     if not days:
         return
-    known = daystore.read_days(spark, f"{root}/keys", _KEYS, days, before=batch_id)
-    keys = [*READING, daystore.DAY]
-    known = known.select(*(F.col(c).alias(f"_k_{c}") for c in keys))
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
-    one.join(known, same, "left_anti").write.mode("overwrite").parquet(fresh_dir)
-    fresh = spark.read.schema(one.schema).parquet(fresh_dir)
+    known = daystore.read_days(spark, f"{root}/keys", _KEYS, days, before=batch_id) \
+        .select(*READING, F.lit(None).cast("double").alias("Value"), F.lit(True).alias("_known"))
+    fresh = arrived.unionByName(known).groupBy(*READING).agg(F.min("Value").alias("Value"), F.max("_known").alias("_known")) \
+        .where(~F.col("_known")).drop("_known").withColumn(daystore.DAY, F.to_date("Start"))
+    schema, fresh_dir = fresh.schema, f"{root}/_fresh"
+    fresh.write.mode("overwrite").parquet(fresh_dir)
+    fresh = spark.read.schema(schema).parquet(fresh_dir)
     clock = _clock(spark, root, batch_id).agg(F.max("latest")).first()[0]
-    states = rollup.station_hour_states(fresh)
-    daystore.merge_days(fresh.select(_KEYS.fieldNames()), f"{root}/keys", batch_id, DataFrame.unionByName, "Samplingpoint")
-    daystore.merge_days(states, f"{root}/states", batch_id, rollup.merged, "station_id")
+    daystore.merge_days(fresh.select(_KEYS.fieldNames()), f"{root}/keys", batch_id, DataFrame.unionByName, "Samplingpoint",
+                        stored=True)
+    daystore.merge_days(rollup.reading_states(fresh), f"{root}/states", batch_id, rollup.merged, rollup.STATION, stored=True)
     if clock is not None:
         bound = F.lit(clock.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr(f"INTERVAL {WATERMARK}")
-        late = rollup.station_hour_states(fresh.where(F.col("Start") < bound))
-        daystore.merge_days(late, f"{root}/corrections", batch_id, rollup.merged, "station_id")
+        late = rollup.reading_states(fresh.where(F.col("Start") < bound))
+        daystore.merge_days(late, f"{root}/corrections", batch_id, rollup.merged, rollup.STATION, stored=True)
     latest = fresh.agg(F.max("Start").alias("latest")).where("latest is not null") \
         .withColumn(daystore.DAY, F.lit("1970-01-01").cast("date"))
     daystore.merge_days(latest, f"{root}/clock", batch_id,

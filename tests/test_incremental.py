@@ -170,6 +170,27 @@ def test_history_takes_a_repeated_micro_batch_as_one(spark):
     assert means(HI.history(spark, root)) == batch(rows)
 
 
+def test_history_writes_a_batch_once(spark):
+    """Known readings are left out by the grouping that gives each reading once; what is stored is not staged again."""
+    root = scratch_path(spark, "once")
+    rows = readings(200, 10, days=9)
+    rows += [(None, "NO2", "x/N", rows[0][3], 1.0), ("AT", None, "x/N", rows[0][3], 2.0)]       # null keys are keys
+    for batch_id, part in enumerate((rows + rows[:50], rows[100:])):
+        HI.add_batch(spark.createDataFrame(part, SCHEMA), root, batch_id)
+    assert means(HI.history(spark, root)) == batch(rows)
+    assert sum(n for _, n in means(HI.history(spark, root)).values()) == len({r[:4] for r in rows if r[4] is not None and r[4] >= 0})
+    stored = {d for d, _, names in os.walk(root.removeprefix("file:")) if any(n.endswith(".parquet") for n in names)}
+    assert not [d for d in stored if "_incoming" in d or ("_staging" in d and "/clock/" not in d)]
+
+
+def test_a_merge_of_stations_shuffles_once(spark):
+    clean = clean_readings(spark.createDataFrame(readings(50, 11), SCHEMA))
+    out = R.merged(R.station_hour_states(clean), R.reading_states(clean)).withColumn("version", F.lit(1))
+    plan = out.repartition(F.col(DS.DAY), F.col(R.STATION))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Union")[0]
+    assert above.count("Exchange") == 1 and "HashAggregate" in above
+
+
 def test_classify_finds_stations_added_meanwhile_and_repeats_nothing(spark):
     src, sink, ckpt, dim = (scratch_path(spark, f"classify-{n}") for n in ("src", "sink", "ckpt", "dim"))
     kind = "key string, lat double, lon double, station_name string"
